@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import ngram_join, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
         "op9_quality_rules": quality_rules.op9_quality_rules,
     }
 
