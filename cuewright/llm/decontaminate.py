@@ -7,11 +7,11 @@ inside it (winnowing), so that a document that holds a whole window holds its
 fingerprint too: no shared window is missed. Equal fingerprints of neighbouring
 windows are kept once, with the range of windows that they stand for.
 
-Fingerprints of documents meet those of the benchmark; hits are extended to the
-windows in their range, which are compared word for word with the benchmark's
-distinct windows. Up to BROADCAST_ROWS fingerprints the benchmark is broadcast (its
-size is counted first); beyond that both sides are shuffled on the fingerprint, and
-texts come back by row key only for documents with a hit.
+Fingerprints of documents carry the few words that their windows cover and meet
+those of the benchmark; hits are extended to the windows in their range, which are
+compared word for word with the benchmark's distinct windows. Up to BROADCAST_ROWS
+windows the benchmark is broadcast (its size is counted first), so that documents
+aren't shuffled; beyond that both sides are shuffled on the fingerprint.
 
 Nulls and ties: a null text, or one without words, has no windows and no hits; a
 null item_id counts as no item but its windows still mark words; repeated items or
@@ -50,11 +50,13 @@ def _upto(last: Column) -> Column:
     return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
 
-def with_fingerprints(df: DataFrame, length: int, words: str = "words") -> DataFrame:
-    """Adds ``prints``: hash, first and last window of each fingerprint of windows of ``length`` words.
+def _with_fingerprints(df: DataFrame, length: int, words: str = "words") -> DataFrame:
+    """Adds ``prints``: a struct for each fingerprint of windows of ``length`` words, with
+    length, hash, first and last window, and the words that those windows cover.
 
-    Every array is named by a column that is used twice, else the optimizer would
-    write its expression into the lambdas and evaluate it for each element.
+    Every array is named by a column that is used more than once, so that the optimizer
+    evaluates it once a row. For the same reason readers use explode_outer: explode would
+    push a filter on the array's size below, and its whole expression with it.
     """
     k = min(K, length)
     per_window = length - k + 1
@@ -65,50 +67,60 @@ def with_fingerprints(df: DataFrame, length: int, words: str = "words") -> DataF
     else:
         df = df.withColumn("_least", g)
     df = df.withColumn("_new", F.filter(_upto(F.size(m) - 1), lambda i: (i == 0) | (F.get(m, i) != F.get(m, i - 1))))
-    prints = F.transform(s, lambda i, n: F.struct(F.get(m, i).alias("hash"), i.alias("first"), (F.coalesce(F.get(s, n + 1), F.size(m)) - 1).alias("last")))
-    return df.withColumn("prints", F.when(F.size(s) > 0, prints)).drop("_grams", "_least", "_new")
+    last = lambda n: F.coalesce(F.get(s, n + 1), F.size(m)) - 1
+    prints = F.transform(
+        s,
+        lambda i, n: F.struct(
+            F.lit(length).alias("length"),
+            F.get(m, i).alias("hash"),
+            i.alias("first"),
+            last(n).alias("last"),
+            F.slice(w, i + 1, last(n) - i + length).alias("covered"),
+        ),
+    )
+    return df.withColumn("prints", prints).drop("_grams", "_least", "_new")
 
 
-def window_text(words: Column, start: Column, length: int) -> Column:
-    return F.array_join(F.slice(words, start + 1, length), " ")
+def fingerprints(df: DataFrame, lengths: list[int], keep: tuple[str, ...]) -> DataFrame:
+    """``keep`` of each row and length, hash, first, last, covered of each of its fingerprints
+    (nulls for a row without any); ``words`` is an array column of ``df``."""
+    for n in lengths:
+        df = _with_fingerprints(df, n).withColumnRenamed("prints", f"_prints{n}")
+    every = F.concat(*(F.col(f"_prints{n}") for n in lengths))
+    return df.select(*keep, F.explode_outer(every).alias("p")).select(*keep, "p.*")
 
 
-def benchmark_windows(benchmark: DataFrame, length: int, text_col: str, id_col: str) -> DataFrame:
-    """Distinct windows of ``length`` words: window, fingerprint, item ids (sorted strings)."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("item"), words_of(F.col(text_col)).alias("words"))
-    mine = F.size("words") >= WINDOW if length == WINDOW else F.size("words") == length
-    prints = with_fingerprints(items.where(mine), length).select("item", "words", F.explode("prints").alias("p"))
-    windows = prints.select("item", "words", F.col("p.hash").alias("hash"), F.explode(F.sequence("p.first", "p.last")).alias("at"))
-    return windows.groupBy(window_text(F.col("words"), F.col("at"), length).alias("window")).agg(F.first("hash").alias("hash"), F.sort_array(F.collect_set("item")).alias("items"))
+def window_text(words: Column, start: Column, length: Column) -> Column:
+    return F.array_join(F.slice(words, start + 1, length), " ")
 
 
-def _hits(docs: DataFrame, benchmark: DataFrame, length: int, text_col: str, id_col: str) -> DataFrame:
-    """row_key, start and end (words, end exclusive), window and items of every occurrence."""
-    windows = saved(benchmark_windows(benchmark, length, text_col, id_col), "windows")
-    known = windows.select("hash").distinct()
-    small = windows.count() <= BROADCAST_ROWS
-    prints = with_fingerprints(docs.withColumn("words", words_of(F.col("_text"))), length)
-    if small:
-        found = prints.select("row_key", "words", F.explode("prints").alias("p")).select("row_key", "words", "p.*").join(F.broadcast(known), "hash", "left_semi")
-    else:
-        met = prints.select("row_key", F.explode("prints").alias("p")).select("row_key", "p.*").join(known, "hash", "left_semi")
-        met = met.groupBy("row_key").agg(F.collect_list(F.struct("first", "last")).alias("met"))
-        again = docs.dropDuplicates(["row_key"]).join(met, "row_key").select("row_key", words_of(F.col("_text")).alias("words"), F.explode("met").alias("p"))
-        found = again.select("row_key", "words", "p.*")
-    spread = found.select("row_key", "words", F.explode(F.sequence("first", "last")).alias("start"))
-    spread = spread.select("row_key", "start", (F.col("start") + length).alias("end"), window_text(F.col("words"), F.col("start"), length).alias("window"))
-    exact = windows.select("window", "items")
-    return spread.join(F.broadcast(exact) if small else exact, "window").select("row_key", "start", "end", "items")
+def benchmark_windows(items: DataFrame) -> DataFrame:
+    """Distinct windows of items (item, words): length, window, fingerprint, item ids (sorted strings)."""
+    size = F.size("words")
+    parts = []
+    for n in range(1, WINDOW + 1):
+        prints = fingerprints(items.where(size >= n if n == WINDOW else size == n), [n], ("item",))
+        parts.append(prints.where("hash is not null"))
+    windows = reduce(DataFrame.union, parts).select("item", "length", "hash", "covered", F.explode(F.sequence(F.lit(0), F.col("last") - F.col("first"))).alias("at"))
+    return windows.groupBy("length", window_text(F.col("covered"), F.col("at"), F.col("length")).alias("window")).agg(F.first("hash").alias("hash"), F.sort_array(F.collect_set("item")).alias("items"))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_text_col: str = "text", item_id_col: str = "item_id") -> DataFrame:
     """row_key (of id and text), start, end, items: where windows of the benchmark stand in documents."""
-    sized = benchmark.select(F.least(F.size(words_of(F.col(item_text_col))), F.lit(WINDOW)).alias("n")).where("n > 0").distinct()
-    lengths = sorted(r["n"] for r in sized.collect())  # at most WINDOW values
-    rows = docs.select(row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("_text"))
+    items = benchmark.select(F.col(item_id_col).cast("string").alias("item"), words_of(F.col(item_text_col)).alias("words"))
+    windows = saved(benchmark_windows(items), "windows")
+    lengths = sorted(r["length"] for r in windows.select("length").distinct().collect())  # at most WINDOW values
+    rows = docs.select(row_key(id_col, text_col).alias("row_key"), words_of(F.col(text_col)).alias("words"))
     if not lengths:
         return rows.where("false").select("row_key", F.lit(0).alias("start"), F.lit(0).alias("end"), F.array(F.lit("")).alias("items"))
-    return reduce(DataFrame.union, (_hits(rows, benchmark, n, item_text_col, item_id_col) for n in lengths))
+    small = windows.count() <= BROADCAST_ROWS
+    sent = F.broadcast if small else (lambda df: df)
+    known = windows.select("length", "hash").distinct()
+    found = fingerprints(rows, lengths, ("row_key",)).join(sent(known), ["length", "hash"], "left_semi")
+    spread = found.select("row_key", "length", "covered", "first", F.explode(F.sequence(F.lit(0), F.col("last") - F.col("first"))).alias("at"))
+    spread = spread.select("row_key", "length", (F.col("first") + F.col("at")).alias("start"), window_text(F.col("covered"), F.col("at"), F.col("length")).alias("window"))
+    exact = sent(windows.select("length", "window", "items"))
+    return spread.join(exact, ["length", "window"]).select("row_key", "start", (F.col("start") + F.col("length")).alias("end"), "items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_text_col: str = "text", item_id_col: str = "item_id") -> DataFrame:

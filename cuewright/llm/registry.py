@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, quality_rules
+from . import decontaminate, ngram_join, quality_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
         "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
         "op9_quality_rules": quality_rules.op9_quality_rules,
     }
@@ -20,5 +21,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_benchmark_decontamination": decontaminate.ORACLE,
         "op9_quality_rules": quality_rules.ORACLE,
     }
