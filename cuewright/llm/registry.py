@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, ngram_join, quality_rules
+from . import decontaminate, ngram_join, quality_rules, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
         "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
+        "op5_secret_scans": secrets.op5_secret_scans,
         "op9_quality_rules": quality_rules.op9_quality_rules,
     }
 
@@ -22,5 +23,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_benchmark_decontamination": decontaminate.ORACLE,
+        "op5_secret_scans": secrets.ORACLE,
         "op9_quality_rules": quality_rules.ORACLE,
     }
