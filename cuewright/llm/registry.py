@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, ngram_join, quality_rules, secrets
+from . import decontaminate, ngram_join, packing, quality_rules, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
         "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
         "op5_secret_scans": secrets.op5_secret_scans,
+        "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_quality_rules": quality_rules.op9_quality_rules,
     }
 
