@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, ngram_join, packing, quality_rules, secrets
+from . import chat, decontaminate, ngram_join, packing, quality_rules, secrets, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,8 @@ def queries() -> dict[str, Query]:
         "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
         "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
         "op5_secret_scans": secrets.op5_secret_scans,
+        "op6_warc": warc.op6_warc,
+        "op7_chat_formatting": chat.op7_chat_formatting,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_quality_rules": quality_rules.op9_quality_rules,
     }
@@ -25,5 +27,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_benchmark_decontamination": decontaminate.ORACLE,
         "op5_secret_scans": secrets.ORACLE,
+        "op6_warc": warc.ORACLE,
+        "op7_chat_formatting": chat.ORACLE,
         "op9_quality_rules": quality_rules.ORACLE,
     }
