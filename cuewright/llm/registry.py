@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, ngram_join, packing, quality_rules, secrets, warc
+from . import chat, decontaminate, html_text, language_id, ngram_join, packing, quality_classifier, quality_rules, secrets, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,11 +15,14 @@ def queries() -> dict[str, Query]:
     return {
         "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
         "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
+        "op3_html_extraction": html_text.op3_html_extraction,
+        "op4_language_id": language_id.op4_language_id,
         "op5_secret_scans": secrets.op5_secret_scans,
         "op6_warc": warc.op6_warc,
         "op7_chat_formatting": chat.op7_chat_formatting,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_quality_rules": quality_rules.op9_quality_rules,
+        "op10_quality_classifier": quality_classifier.op10_quality_classifier,
     }
 
 
