@@ -56,5 +56,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Most bytes of a table that is broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def broadcast_if_small(df: DataFrame, width: Column | int) -> DataFrame:
+    """A written table, marked for broadcast if ``width`` (bytes of a row) sums to at most BROADCAST_BYTES."""
+    width = F.lit(width) if isinstance(width, int) else width
+    total = df.agg(F.sum(width.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+
+
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")

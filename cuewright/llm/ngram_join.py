@@ -286,5 +286,11 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     )
 
 
+def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row of ``df`` of each class of near duplicates: the one with the least id."""
+    stays = near_duplicates(df, text_col, id_col).where("keep").select(F.col("row_key").alias("_key")).distinct()
+    return df.withColumn("_key", row_key(id_col, text_col)).join(stays, "_key", "left_semi").dropDuplicates(["_key"]).select(*df.columns)
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_documents(spark, sf_dir)).select("doc_id", "n_ngrams", "copy_id", "class_id", "n_links")

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,18 +68,24 @@ def count_texts(texts: list[str | None]) -> dict[str, np.ndarray]:
 
 
 def with_counts(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
-    """``keep`` and the counts of each row's text."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = pdf["_text"].tolist()
+    """``keep`` (of any types, the text itself too) and the counts of each row's text."""
+    names = [f"_k{i}" for i in range(len(keep))]
+    shown = text_col in keep
+    at = keep.index(text_col) if shown else len(keep)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            kept = batch if shown else batch.select(names)
             for a, b in tb.pieces(texts):
                 counts = count_texts(texts[a:b])
-                yield pdf.iloc[a:b].drop(columns="_text").assign(**{c: counts[c].astype(np.int64) for c in COUNTS})
+                arrays = [*kept.slice(a, b - a).columns, *(pa.array(counts[c].astype(np.int64)) for c in COUNTS)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*names, *COUNTS])
 
-    rows = df.select(*keep, F.col(text_col).alias("_text"))
+    rows = df.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), *([] if shown else [F.col(text_col).alias("_text")]))
     fields = [f for f in rows.schema if f.name != "_text"]
-    return rows.mapInPandas(count, T.StructType([*fields, *(T.StructField(c, T.LongType()) for c in COUNTS)]))
+    out = rows.mapInArrow(count, T.StructType([*fields, *(T.StructField(c, T.LongType()) for c in COUNTS)]))
+    return out.withColumnsRenamed(dict(zip(names, keep, strict=True)))
 
 
 def base_failed() -> F.Column:
@@ -118,6 +125,13 @@ def judge(df: DataFrame, text_col: str = "text", host_col: str = "source", keep:
     )
 
 
+def keep_good(df: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The rows of ``df`` that the rules and their host's verdict keep, with its columns."""
+    short = {c: f"_d{i}" for i, c in enumerate(df.columns)}
+    judged = judge(df.withColumnsRenamed(short), short[text_col], short[host_col], tuple(short.values()))
+    return judged.where("kept").select(*(F.col(s).alias(c) for c, s in short.items()))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read_documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
