@@ -20,6 +20,7 @@ Extra columns are not read. Memory: a block, and a bounded cache of words in eac
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -28,6 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textbytes as tb
 from .common import read_documents, saved
 
 CAPACITY = 2048
@@ -37,14 +39,17 @@ BLOCK = 3500
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 4, 3
 WELL_FILLED = 0.99
 #: Most words whose ids a task keeps.
-CACHE = 300_000
+CACHE = 700_000
+
+
+_MARKS = b".,:;!?#*$%&|"
 
 
 class _Tokens:
     """Token ids of texts as little-endian bytes, by way of their words.
 
-    No token of this kind of tokenizer spans white space, it lowers letters itself, and a comma
-    or full stop after a letter stands alone; so a text's ids are those of its words, A-Z
+    No token of this kind of tokenizer spans white space, it lowers letters itself, and a run of
+    marks after a letter is a token of its own; so a text's ids are those of its words, A-Z
     lowered. A text that might hold a special token is encoded as it is.
     """
 
@@ -57,47 +62,79 @@ class _Tokens:
 
             path = public_tokenizers.path(TOKENIZER)
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of letters, encoded as one text and cut after each token that ends a word."""
+        ids = np.array(self.tokenizer.encode(" ".join(w.decode() for w in words), add_special_tokens=False).ids, dtype="<u4")
+        ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+        if len(ends) != len(words):
+            return self._encode([w.decode() for w in words])
+        whole = ids.tobytes()
+        return [whole[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
     def _learn(self, words: set[bytes]) -> None:
-        if len(self.known) > CACHE:
-            self.known = {}
-        stems: dict[bytes, list[bytes]] = {}
-        for w in words:
-            cut = w[:-1] if w[-1:] in (b",", b".") and w[:-1].decode()[-1:].isalpha() else w
-            stems.setdefault(cut, []).append(w)
-        new = [s for s in stems if s not in self.known]
-        self.known.update(zip([*new, b",", b"."], self._encode([*(s.decode() for s in new), ",", "."]), strict=True))
-        for s, of in stems.items():
-            for w in of:
-                if w != s:
-                    self.known[w] = self.known[s] + self.known[w[-1:]]
-
-    def ids(self, text: str) -> bytes:
-        if "<|" in text:
-            return self._encode([text])[0]
-        words = text.encode("utf-8", "replace").lower().split()
-        found = list(map(self.known.get, words))
-        if None in found:
-            self._learn({w for w, f in zip(words, found, strict=True) if f is None} if len(self.known) <= CACHE else set(words))
-            found = list(map(self.known.get, words))
-        return b"".join(found)  # type: ignore[arg-type]
+        """Of the words in ``words`` those that aren't known yet."""
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > CACHE:
+            self.known, new = {}, words
+        stems, marked = set(), []
+        for w in new:
+            stem = w.rstrip(_MARKS)
+            if len(stem) < len(w) and stem and (stem[-1:].isalpha() or (stem[-1] >= 0x80 and stem.decode()[-1].isalpha())):
+                marked.append((w, stem, w[len(stem) :]))
+                stems |= {stem, marked[-1][2]}
+            else:
+                stems.add(w)
+        plain, other = [], []
+        for s in stems.difference(self.known):
+            (plain if s.isalpha() or _letters(s) else other).append(s)
+        self.known.update(zip(other, self._encode([s.decode() for s in other]), strict=True))
+        if plain:
+            self.known.update(zip(plain, self._encode_words(plain), strict=True))
+        known = self.known
+        for w, stem, tail in marked:
+            known[w] = known[stem] + known[tail]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Of texts that together aren't long (a longer one stands alone)."""
+        words = [[] if "<|" in t else t.encode("utf-8", "replace").lower().split() for t in texts]
+        self._learn(set().union(*words))
+        get = self.known.__getitem__
+        return [self._encode([t])[0] if "<|" in t else b"".join(map(get, ws)) for t, ws in zip(texts, words, strict=True)]
+
+
+def _letters(word: bytes) -> bool:
+    """Whether a word with letters beyond ASCII stays one run of letters when it is normalized and lowered."""
+    w = word.decode()
+    return w.isalpha() and unicodedata.is_normalized("NFC", w) and w.lower().isalpha()
+
+
+_loaded: dict[str | None, _Tokens] = {}
+
+
+def _tokens(path: str | None) -> _Tokens:
+    """One for each Python worker, which serves many tasks."""
+    if path not in _loaded:
+        _loaded[path] = _Tokens(path)
+    return _loaded[path]
 
 
 def tokenized(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, ids of every piece."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = None
+        tokens = _tokens(tokenizer)
         end = np.array([end_id], dtype="<u4").tobytes()
         for pdf in batches:
-            tokens = tokens or _Tokens(tokenizer)
-            out = []
-            for doc, text in zip(pdf["_id"], pdf["_text"], strict=True):
-                ids = tokens.ids(text) + end
+            docs, texts, out = pdf["_id"].tolist(), pdf["_text"].tolist(), []
+            for doc, ids in ((d, i + end) for a, b in tb.pieces(texts) for d, i in zip(docs[a:b], tokens.ids(texts[a:b]), strict=True)):
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     out.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, dtype="<u4").astype(np.int32)] if with_ids else [])))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
-from .common import read_documents, saved
+from .common import broadcast_if_small, read_documents, saved
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -116,7 +116,8 @@ def judge(df: DataFrame, text_col: str = "text", host_col: str = "source", keep:
     """``keep``, the host, the counts, base_failed, shrunk_rate, host_rejected and kept."""
     columns = tuple(dict.fromkeys((*keep, host_col)))
     counted = saved(with_counts(df, text_col, columns).withColumn("base_failed", base_failed()), "rules")
-    verdicts = host_verdicts(counted, host_col).select(F.col("host").alias("_host"), "shrunk_rate", "host_rejected")
+    verdicts = saved(host_verdicts(counted, host_col).select(F.col("host").alias("_host"), "shrunk_rate", "host_rejected"), "hosts")
+    verdicts = broadcast_if_small(verdicts, 64 + F.length("_host"))
     return (
         counted.join(verdicts, F.col(host_col) == F.col("_host"), "left")
         .drop("_host")
