@@ -39,7 +39,7 @@ BLOCK = 3500
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 4, 3
 WELL_FILLED = 0.99
 #: Most words whose ids a task keeps.
-CACHE = 700_000
+CACHE = 1_000_000
 
 
 _MARKS = b".,:;!?#*$%&|"
