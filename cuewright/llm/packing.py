@@ -241,12 +241,12 @@ def _epoch(epoch: int, capacity: int):
     return run
 
 
-def _evolved(blocks: DataFrame, capacity: int) -> DataFrame:
+def _evolved(blocks: DataFrame, capacity: int, tasks: int) -> DataFrame:
     """block and the grouping (bins, by position) of its best island."""
     state = blocks.select("block", "lengths", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"))
     state = state.select("block", "island", "lengths", F.lit(False).alias("solved"), F.lit(0).cast("long").alias("n_bins"), *(F.lit(None).cast("array<int>").alias(c) for c in ("bins", "guest")))
     for epoch in range(EPOCHS):
-        spread = state.repartition("block", "island")  # a few heavy rows a task, as many tasks as the session shuffles to
+        spread = state.repartition(tasks, "block", "island")  # few heavy rows a task
         elite = saved(spread.mapInPandas(_epoch(epoch, capacity), "block long, island int, solved boolean, n_bins long, bins array<int>"), "elites")
         if epoch + 1 < EPOCHS:
             done = elite.groupBy("block").agg(F.max("solved").alias("done"))
@@ -278,7 +278,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         n_blocks = -(-n // BLOCK)
         dealt = left.groupBy(F.pmod(F.xxhash64("piece_id", F.lit(at)), F.lit(n_blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("piece_id", "length"))).alias("s"))
         blocks = saved(dealt.select("block", F.col("s.piece_id").alias("ids"), F.col("s.length").alias("lengths")), "blocks")
-        found = blocks.join(_evolved(blocks, capacity), "block").mapInPandas(_placed, "piece_id long, block long, bin long, offset long, filled long")
+        found = blocks.join(_evolved(blocks, capacity, max(1, n_blocks * ISLANDS // 8)), "block").mapInPandas(_placed, "piece_id long, block long, bin long, offset long, filled long")
         found = saved(found.join(left, "piece_id"), "placed")
         again = (F.col("filled") < WELL_FILLED * capacity) if n_blocks > 1 else F.lit(False)
         number = (F.lit(at).cast("long") * (1 << 32) + F.col("block")) * (1 << 14) + F.col("bin")
