@@ -29,27 +29,25 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, read_documents, row_key, saved, table
 
 WINDOW = 10
-K = 6
+K = 4
 BROADCAST_ROWS = 200_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), _GAP), "")
 
 
-def count_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(_ANY_CASE_WORD)), F.lit(0)).cast("long")
-
-
 def _upto(last: Column) -> Column:
     """0 .. last, or nothing."""
     return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
 
+_PRINTS = "array<struct<length:int,hash:bigint,first:int,last:int,covered:array<string>>>"
+
+
 def _with_fingerprints(df: DataFrame, length: int, words: str = "words") -> DataFrame:
     """Adds ``prints``: a struct for each fingerprint of windows of ``length`` words, with
     length, hash, first and last window, and the words that those windows cover.
@@ -82,11 +80,12 @@ def _with_fingerprints(df: DataFrame, length: int, words: str = "words") -> Data
 
 
 def fingerprints(df: DataFrame, lengths: list[int], keep: tuple[str, ...]) -> DataFrame:
-    """``keep`` of each row and length, hash, first, last, covered of each of its fingerprints
-    (nulls for a row without any); ``words`` is an array column of ``df``."""
+    """``keep`` of each row and length, hash, first, last, covered of each of its fingerprints, and
+    one row more of length 0 whose first is the row's count of words. ``words`` is an array column."""
     for n in lengths:
         df = _with_fingerprints(df, n).withColumnRenamed("prints", f"_prints{n}")
-    every = F.concat(*(F.col(f"_prints{n}") for n in lengths))
+    count = F.struct(F.lit(0).alias("length"), F.xxhash64(*keep).alias("hash"), F.size("words").alias("first"), F.lit(0).alias("last"), F.array().cast("array<string>").alias("covered"))
+    every = F.concat(F.array(count), *(F.coalesce(f"_prints{n}", F.array().cast(_PRINTS)) for n in lengths))
     return df.select(*keep, F.explode_outer(every).alias("p")).select(*keep, "p.*")
 
 
@@ -100,32 +99,37 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
     parts = []
     for n in range(1, WINDOW + 1):
         prints = fingerprints(items.where(size >= n if n == WINDOW else size == n), [n], ("item",))
-        parts.append(prints.where("hash is not null"))
+        parts.append(prints.where("length > 0"))
     windows = reduce(DataFrame.union, parts).select("item", "length", "hash", "covered", F.explode(F.sequence(F.lit(0), F.col("last") - F.col("first"))).alias("at"))
     return windows.groupBy("length", window_text(F.col("covered"), F.col("at"), F.col("length")).alias("window")).agg(F.first("hash").alias("hash"), F.sort_array(F.collect_set("item")).alias("items"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_text_col: str = "text", item_id_col: str = "item_id") -> DataFrame:
-    """row_key (of id and text), start, end, items: where windows of the benchmark stand in documents."""
+def _found(docs: DataFrame, benchmark: DataFrame, text_col: str, id_col: str, item_text_col: str, item_id_col: str) -> tuple[DataFrame, DataFrame]:
+    """Counts (row_key, doc_id, n_words of every row) and hits (row_key, start, end, items), from one pass over texts."""
     items = benchmark.select(F.col(item_id_col).cast("string").alias("item"), words_of(F.col(item_text_col)).alias("words"))
     windows = saved(benchmark_windows(items), "windows")
     lengths = sorted(r["length"] for r in windows.select("length").distinct().collect())  # at most WINDOW values
-    rows = docs.select(row_key(id_col, text_col).alias("row_key"), words_of(F.col(text_col)).alias("words"))
-    if not lengths:
-        return rows.where("false").select("row_key", F.lit(0).alias("start"), F.lit(0).alias("end"), F.array(F.lit("")).alias("items"))
     small = windows.count() <= BROADCAST_ROWS
     sent = F.broadcast if small else (lambda df: df)
-    known = windows.select("length", "hash").distinct()
-    found = fingerprints(rows, lengths, ("row_key",)).join(sent(known), ["length", "hash"], "left_semi")
-    spread = found.select("row_key", "length", "covered", "first", F.explode(F.sequence(F.lit(0), F.col("last") - F.col("first"))).alias("at"))
+    rows = docs.select(row_key(id_col, text_col).alias("row_key"), F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
+    known = windows.select("length", "hash").distinct().withColumn("known", F.lit(True))
+    met = fingerprints(rows, lengths, ("row_key", "doc_id")).join(sent(known), ["length", "hash"], "left").where("known OR length = 0")
+    met = saved(met.drop("known", "hash"), "met")
+    counts = met.where("length = 0").select("row_key", "doc_id", F.col("first").cast("long").alias("n_words"))
+    spread = met.where("length > 0").select("row_key", "length", "covered", "first", F.explode(F.sequence(F.lit(0), F.col("last") - F.col("first"))).alias("at"))
     spread = spread.select("row_key", "length", (F.col("first") + F.col("at")).alias("start"), window_text(F.col("covered"), F.col("at"), F.col("length")).alias("window"))
     exact = sent(windows.select("length", "window", "items"))
-    return spread.join(exact, ["length", "window"]).select("row_key", "start", (F.col("start") + F.col("length")).alias("end"), "items")
+    return counts, spread.join(exact, ["length", "window"]).select("row_key", "start", (F.col("start") + F.col("length")).alias("end"), "items")
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_text_col: str = "text", item_id_col: str = "item_id") -> DataFrame:
+    """row_key (of id and text), start, end, items: where windows of the benchmark stand in documents."""
+    return _found(docs, benchmark, text_col, id_col, item_text_col, item_id_col)[1]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_text_col: str = "text", item_id_col: str = "item_id") -> DataFrame:
     """A row for each document: row_key, doc_id, n_words, n_hit, items (sorted), contaminated."""
-    found = hits(docs, benchmark, text_col, id_col, item_text_col, item_id_col)
+    rows, found = _found(docs, benchmark, text_col, id_col, item_text_col, item_id_col)
     spans = found.groupBy("row_key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     end, n = F.lit(0), F.lit(0).cast("long")
     covered = F.aggregate(
@@ -135,7 +139,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         lambda a: a["n"],
     )
     marked = spans.select("row_key", covered.alias("n_hit"), "items")
-    rows = docs.select(row_key(id_col, text_col).alias("row_key"), F.col(id_col).alias("doc_id"), count_words(F.col(text_col)).alias("n_words"))
     return (
         rows.join(marked, "row_key", "left")
         .withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long")))
