@@ -3,7 +3,7 @@ r"""WARC archives written and read by Spark, and their transactions put together
 ``write_captures`` makes a request, a response (or a revisit) and a metadata record of every
 row of a page table. Of captures with equal payloads of at least MIN_REVISIT bytes the one
 with the smallest id holds the payload; the others are revisit records that refer to it. The
-archives are files of WARC/1.1 records, each followed by two line ends, written by Spark's
+archives are gzip files of WARC/1.1 records, each followed by two line ends, written by Spark's
 text writer, so that they land in whatever store the folder is in.
 
 ``read_records`` reads archives of any origin (plain or gzip, one member or one a record) as
@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, shared_path, table
+from .common import broadcast_if_small, saved, shared_path, table
 
 MIN_REVISIT = 100
 FILE_ROWS = 2000
@@ -61,8 +61,8 @@ def write_captures(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         "captures",
     )  # written, since record ids are drawn at random
     order = F.struct(F.col("number").isNull().alias("none"), "number", "capture")
-    first = rows.where(F.col("bytes") >= MIN_REVISIT).groupBy("digest").agg(F.min(order).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", F.col("f.capture").alias("first"))
-    rows = rows.join(first, "digest", "left")
+    first = saved(rows.where(F.col("bytes") >= MIN_REVISIT).groupBy("digest").agg(F.min(order).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", F.col("f.capture").alias("first")), "firsts")
+    rows = rows.join(broadcast_if_small(first, 160), "digest", "left")
     revisit = F.col("first").isNotNull() & (F.col("first") != F.col("capture"))
 
     at, sha = F.lit("2024-01-01T00:00:00Z"), F.concat(F.lit("sha256:"), F.col("digest"))
@@ -79,7 +79,7 @@ def write_captures(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         F.when(revisit, _record("revisit", response_id, {**reply, "WARC-Profile": F.lit(_PROFILE), "WARC-Refers-To": _urn(F.col("first"))}, http)).otherwise(_record("response", response_id, reply, F.concat(http, F.col("payload")))),
         _record("metadata", _urn(F.uuid()), {**beside, "Content-Type": F.lit("application/warc-fields")}, about),
     )
-    rows.select(F.explode(records).alias("value")).write.option("lineSep", _END * 2).option("maxRecordsPerFile", 3 * FILE_ROWS).text(path)
+    rows.select(F.explode(records).alias("value")).write.option("lineSep", _END * 2).option("maxRecordsPerFile", 3 * FILE_ROWS).option("compression", "gzip").text(path)
 
 
 def parse_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -145,10 +145,14 @@ def transactions(records: DataFrame) -> DataFrame:
     return out
 
 
-def captures(spark: SparkSession, path: str) -> DataFrame:
+def captures(spark: SparkSession, path: str, with_content: bool = True) -> DataFrame:
     """``transactions`` of the archives in ``path``, with id, payload_bytes and payload_digest of the
-    whole payload, and for revisits the id of the response that they refer to."""
-    records = saved(read_records(spark, path), "records")
+    whole payload, and for revisits the id of the response that they refer to. Without content, what
+    a response holds is left out once its length and digest are taken."""
+    records = read_records(spark, path)
+    if not with_content:
+        records = records.withColumn("content", F.when(F.col("type") == "metadata", F.col("content")))
+    records = saved(records, "records")
     out = transactions(records)
     field = lambda name: F.nullif(F.regexp_extract("metadata.content", rf"(?m)^{name}: (.*?)\r?$", 1), F.lit(""))
     out = out.withColumn("id", field("page-id"))
@@ -164,7 +168,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     write_captures(pages, path)
     kind = pages.schema["page_id"].dataType
-    return captures(spark, path).select(F.col("id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", F.col("response.type").alias("record_type"), F.nullif("refers_to", F.lit("")).cast(kind).alias("refers_to"))
+    return captures(spark, path, with_content=False).select(F.col("id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", F.col("response.type").alias("record_type"), F.nullif("refers_to", F.lit("")).cast(kind).alias("refers_to"))
 
 
 ORACLE = """
