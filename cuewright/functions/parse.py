@@ -7,7 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 
 def numbered_output(text: Column, n: Column | int) -> Column:
@@ -17,7 +17,6 @@ def numbered_output(text: Column, n: Column | int) -> Column:
     line = r"(?m)^\s*\[(\d{1,9})\][ \t]*(.*?)[ \t\r]*$"
     numbers = F.transform(F.regexp_extract_all(text, F.lit(line), F.lit(1)), lambda x: x.cast("int"))
     texts = F.regexp_extract_all(text, F.lit(line), F.lit(2))
-    at = lambda i: F.element_at(F.filter(F.arrays_zip(numbers.alias("k"), texts.alias("t")), lambda z: z["k"] == i), -1)["t"]
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     wanted = F.sequence(F.lit(1), n)
     plain = F.transform(wanted, lambda i: F.coalesce(F.get(lines, i - 1), F.lit("")))
@@ -73,3 +72,48 @@ def atempo(rate: Column) -> Column:
     down = F.greatest(F.lit(0), F.ceil(-F.log2(rate)) - 1).cast("int")
     rest = rate / F.pow(F.lit(2.0), up) * F.pow(F.lit(2.0), down)
     return F.concat(F.array_repeat(F.lit(2.0), up), F.array_repeat(F.lit(0.5), down), F.array(rest))
+
+
+@F.pandas_udf(StructType([StructField("masked", StringType()), StructField("names", ArrayType(StringType()))]))
+def guard_names(text: pd.Series, names: pd.Series) -> pd.DataFrame:
+    """Known names, longer ones first, as <<NAME_i>>, numbered by first use; and the names used."""
+
+    def mask(t: str | None, ns) -> tuple[str | None, list[str]]:
+        known = sorted({n for n in (ns if ns is not None else []) if n}, key=lambda n: (-len(n), n))
+        used: list[str] = []
+        if t is None or not known:
+            return t, used
+
+        def put(m: re.Match) -> str:
+            if m[0] not in used:
+                used.append(m[0])
+            return f"<<NAME_{used.index(m[0])}>>"
+
+        return re.sub("|".join(map(re.escape, known)), put, t), used
+
+    return pd.DataFrame([mask(t, n) for t, n in zip(text, names, strict=True)], columns=["masked", "names"])
+
+
+@F.pandas_udf(StringType())
+def canonical_hash(document: pd.Series) -> pd.Series:
+    """SHA-256 of a JSON text in canonical form: without nulls and empty containers, keys sorted,
+    no spaces. Null where it isn't JSON."""
+    import hashlib
+    import json
+
+    def bare(x):
+        if isinstance(x, dict):
+            x = {k: bare(v) for k, v in x.items()}
+            return {k: v for k, v in x.items() if v is not None and v != {} and v != []}
+        if isinstance(x, list):
+            return [y for y in map(bare, x) if y is not None and y != {} and y != []]
+        return x
+
+    def digest(t: str | None) -> str | None:
+        try:
+            x = json.loads(t) if t is not None else None
+        except ValueError:
+            return None
+        return None if t is None else hashlib.sha256(json.dumps(bare(x), sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+    return pd.Series([digest(t) for t in document])

@@ -45,3 +45,32 @@ def alignment_tier(spoken: Column, window: Column, aggressive: Column) -> Column
     """By the share of the window to the speech; fixed limits."""
     share = window / F.greatest(spoken, F.lit(1))
     return F.when(share >= 1, "fits").when(share >= 0.8, "safe").when(share >= 0.625, "moderate").when((share >= 0.5) & aggressive, "aggressive").otherwise("hard_cut")
+
+
+#: Words of address that allow a loose translation; fixed values.
+ADDRESS = ("哥", "爸", "妈", "姐", "弟", "妹", "平安哥")
+
+
+def loose_allowed(duration_ms: Column, text: Column) -> Column:
+    """Very short windows and forms of address may be translated loosely."""
+    return (duration_ms < 800) | text.rlike("|".join(ADDRESS))
+
+
+def length_fit(candidate: Column, compressed: Column, limit: Column) -> Column:
+    """status and text of a translation within ``limit`` characters: as it is, compressed, or the
+    compressed one cut; too long without a compressed one is failed, without any candidate too."""
+    bare = lambda t: F.regexp_replace(F.trim(t), '^"(.*)"$', "$1")
+    one, two = bare(candidate), bare(compressed)
+    out = lambda status, t: F.struct(F.lit(status).alias("status"), t.alias("text"))
+    return (
+        F.when(F.coalesce(candidate, F.lit("")) == "", out("failed", F.lit("")))
+        .when(F.length(one) <= limit, out("ok", one))
+        .when(F.coalesce(compressed, F.lit("")) == "", out("failed", one))
+        .when(F.length(two) <= limit, out("compressed", two))
+        .otherwise(out("truncated", F.rtrim(F.left(two, limit))))
+    )
+
+
+def speed_bucket(ratio: Column) -> Column:
+    """A speed to one decimal, a half to even, from 0.7 to 1.3."""
+    return F.least(F.greatest(F.bround(ratio, 1), F.lit(0.7)), F.lit(1.3))

@@ -41,3 +41,9 @@ def replace_terms(text: Column, terms: dict[str, str]) -> Column:
     for src in sorted(terms, key=lambda x: (-len(x), x)):
         text = F.replace(text, F.lit(src), F.lit(terms[src]))
     return text
+
+
+def name_report(texts: DataFrame, names: str, key: str = "id", group: str = "episode_id") -> DataFrame:
+    """name, n (uses), n_groups and n_texts of an array column of names, most used first by n."""
+    each = texts.select(key, group, F.explode(names).alias("name"))
+    return each.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(group).alias("n_groups"), F.count_distinct(key).alias("n_texts"))

@@ -46,3 +46,12 @@ def prune(rows: DataFrame, keep: DataFrame, key: str, used: DataFrame, used_key:
     """Rows that are kept by ``keep``, or still used."""
     gone = rows.join(keep.select(key), key, "left_anti").join(used.select(F.col(used_key).alias("_used")).where("_used is not null").distinct(), F.col("id") == F.col("_used"), "left_anti")
     return rows.join(gone.select("id"), "id", "left_anti")
+
+
+def update_fields(rows: DataFrame, changes: dict[str, Column], writable: tuple[str, ...]) -> DataFrame:
+    """Rows with the changes to writable columns that they have; others are ignored."""
+    return rows.withColumns({c: v.cast(rows.schema[c].dataType) for c, v in changes.items() if c in writable and c in rows.columns})
+
+
+def append(rows: DataFrame, path: str) -> None:
+    rows.write.mode("append").parquet(path)

@@ -1,4 +1,4 @@
 """Named queries over the driver's tables, each with its SQL where SQL can express it."""
 
-from . import catalogue, texts, timeline, workflow  # noqa: F401
+from . import catalogue, texts, timeline, walks, workflow  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -133,3 +133,36 @@ def test_change_feed_streams_each_change_once(spark, tmp_path):
     seen = []
     feed.consume(feed.changes(feed.task_stream(spark, f"{tmp_path}/in", schema)), lambda df, _: seen.extend(tuple(r) for r in df.collect()), f"{tmp_path}/at")
     assert sorted(seen) == [(1, "running"), (1, "succeeded"), (2, "failed")]
+
+
+def test_segments(spark):
+    from cuewright.functions import segments
+
+    one = spark.range(1)
+    at = lambda c: [(s.start_ms, s.end_ms, s.text) for s in one.select(c).first()[0]]
+    axis = segments.time_axis(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.array(F.lit(1.0), F.lit(1.0), F.lit(1.0)), F.lit(0), F.lit(1000))
+    assert at(axis) == [(0, 333, "a"), (333, 666, "b"), (666, 1000, "c")]
+    assert at(segments.resegment(F.lit("one two, three four. five"), F.lit(0), F.lit(5000))) == [(0, 2000, "one two,"), (2000, 4000, "three four."), (4000, 5000, "five")]
+    assert at(segments.resegment(F.lit("a, b c d e f g h i j, k"), F.lit(0), F.lit(1100))) == [(0, 1100, "a, b c d e f g h i j, k")]
+    assert at(segments.resegment(F.lit(" "), F.lit(0), F.lit(10))) == []
+    assert one.select(segments.sentences(F.lit("你好！好吗？x"))).first()[0] == ["你好！", "好吗？", "x"]
+    assert one.select(segments.sentence_scores(F.array(F.lit("ab"), F.lit("c"), F.lit("d")), F.array(F.lit(0.0), F.lit(1.0), F.lit(0.25)))).first()[0] == [0.5, 0.25, None]
+    marks = F.array(*(F.struct(F.lit(c).alias("text"), F.lit(i * 0.5).alias("start"), F.lit(i * 0.5 + 0.5).alias("end")) for i, c in enumerate("abcab")))
+    assert at(segments.align_sentences(F.array(F.lit("abc"), F.lit("x"), F.lit("ab")), marks)) == [(0, 1500, "abc"), (1500, 1700, "x"), (1500, 2500, "ab")]
+
+
+def test_names_and_hashes(spark):
+    one = spark.range(1)
+    g = one.select(parse.guard_names(F.lit("王明 and 王 and 王明"), F.array(F.lit("王"), F.lit("王明"))).alias("g")).first().g
+    assert (g.masked, list(g.names)) == ("<<NAME_0>> and <<NAME_1>> and <<NAME_0>>", ["王明", "王"])
+    assert one.select(parse.restore_names(F.lit(g.masked), F.array(*(F.lit(n) for n in g.names)))).first()[0] == "王明 and 王 and 王明"
+    r = one.select(parse.canonical_hash(F.lit('{"b":1,"a":null}')), parse.canonical_hash(F.lit('{ "b" : 1 }')), parse.canonical_hash(F.lit("no"))).first()
+    assert r[0] == r[1] and r[2] is None
+
+
+def test_lengths_and_speeds(spark):
+    one = spark.range(1)
+    fit = lambda a, b: tuple(one.select(rates.length_fit(F.lit(a).cast("string"), F.lit(b).cast("string"), F.lit(3)).alias("f")).first().f)
+    assert [fit('"abc"', None), fit("abcd", "ab"), fit("abcd", "ab cd"), fit("abcd", None), fit(None, "x")] == [("ok", "abc"), ("compressed", "ab"), ("truncated", "ab"), ("failed", "abcd"), ("failed", "")]
+    assert [r[0] for r in one.select(F.explode(F.array(*(rates.speed_bucket(F.lit(x)) for x in (0.1, 0.84, 1.26, 9.0))))).collect()] == [0.7, 0.8, 1.3, 1.3]
+    assert one.select(rates.loose_allowed(F.lit(900), F.lit("哥")), rates.loose_allowed(F.lit(800), F.lit("x"))).first()[:] == (True, False)
