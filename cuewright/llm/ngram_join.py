@@ -294,3 +294,18 @@ def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> D
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_documents(spark, sf_dir)).select("doc_id", "n_ngrams", "copy_id", "class_id", "n_links")
+
+
+#: Every pair by its common n-grams: exact, and quadratic in the rows that share one.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(ws[i:i + 4], ' ') AS gram FROM (SELECT r, ws, unnest(generate_series(1, greatest(len(ws) - 4, 1))) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.gram = b.gram AND a.r < b.r GROUP BY ALL),
+l AS (SELECT p.a, p.b, c = x.n AND c = y.n AS equal FROM p JOIN n x ON x.r = p.a JOIN n y ON y.r = p.b WHERE c * 1000000 >= 800000 * (x.n + y.n - c)),
+e AS (SELECT a, b, equal FROM l UNION ALL SELECT b, a, equal FROM l),
+reach AS (SELECT DISTINCT a, b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_ngrams, least(d.doc_id, (SELECT min(o.doc_id) FROM e JOIN d o ON o.r = e.b WHERE e.a = d.r AND e.equal)) AS copy_id,
+  least(d.doc_id, (SELECT min(o.doc_id) FROM reach JOIN d o ON o.r = reach.b WHERE reach.a = d.r)) AS class_id, (SELECT count(*) FROM e WHERE e.a = d.r) AS n_links
+FROM d LEFT JOIN n USING (r)
+"""

@@ -29,6 +29,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_benchmark_decontamination": decontaminate.ORACLE,
+        "op2_ngram_jaccard_join": ngram_join.ORACLE,
         "op5_secret_scans": secrets.ORACLE,
         "op6_warc": warc.ORACLE,
         "op7_chat_formatting": chat.ORACLE,
