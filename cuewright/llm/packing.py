@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ BLOCK = 3500
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 4, 3
 WELL_FILLED = 0.99
 #: Most words whose ids a task keeps.
-CACHE = 1_000_000
+CACHE = 1_200_000
 
 
 _MARKS = b".,:;!?#*$%&|"
@@ -72,10 +73,10 @@ class _Tokens:
 
     def _encode_words(self, words: list[bytes]) -> list[bytes]:
         """Ids of words of letters, encoded as one text and cut after each token that ends a word."""
-        ids = np.array(self.tokenizer.encode(" ".join(w.decode() for w in words), add_special_tokens=False).ids, dtype="<u4")
+        ids = np.array(self.tokenizer.encode(" ".join(map(_string, words)), add_special_tokens=False).ids, dtype="<u4")
         ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
         if len(ends) != len(words):
-            return self._encode([w.decode() for w in words])
+            return self._encode([_string(w) for w in words])
         whole = ids.tobytes()
         return [whole[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
@@ -87,7 +88,7 @@ class _Tokens:
         stems, marked = set(), []
         for w in new:
             stem = w.rstrip(_MARKS)
-            if len(stem) < len(w) and stem and (stem[-1:].isalpha() or (stem[-1] >= 0x80 and stem.decode()[-1].isalpha())):
+            if len(stem) < len(w) and stem and (stem[-1:].isalpha() or (stem[-1] >= 0x80 and _string(stem)[-1].isalpha())):
                 marked.append((w, stem, w[len(stem) :]))
                 stems |= {stem, marked[-1][2]}
             else:
@@ -95,24 +96,28 @@ class _Tokens:
         plain, other = [], []
         for s in stems.difference(self.known):
             (plain if s.isalpha() or _letters(s) else other).append(s)
-        self.known.update(zip(other, self._encode([s.decode() for s in other]), strict=True))
+        self.known.update(zip(other, self._encode([_string(s) for s in other]), strict=True))
         if plain:
             self.known.update(zip(plain, self._encode_words(plain), strict=True))
         known = self.known
         for w, stem, tail in marked:
             known[w] = known[stem] + known[tail]
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Of texts that together aren't long (a longer one stands alone)."""
-        words = [[] if "<|" in t else t.encode("utf-8", "replace").lower().split() for t in texts]
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """Of texts in UTF-8 that together aren't long (a longer one stands alone)."""
+        words = [[] if b"<|" in t else t.lower().split() for t in texts]
         self._learn(set().union(*words))
         get = self.known.__getitem__
-        return [self._encode([t])[0] if "<|" in t else b"".join(map(get, ws)) for t, ws in zip(texts, words, strict=True)]
+        return [self._encode([_string(t)])[0] if b"<|" in t else b"".join(map(get, ws)) for t, ws in zip(texts, words, strict=True)]
+
+
+def _string(text: bytes) -> str:
+    return text.decode("utf-8", "replace")
 
 
 def _letters(word: bytes) -> bool:
     """Whether a word with letters beyond ASCII stays one run of letters when it is normalized and lowered."""
-    w = word.decode()
+    w = _string(word)
     return w.isalpha() and unicodedata.is_normalized("NFC", w) and w.lower().isalpha()
 
 
@@ -129,19 +134,28 @@ def _tokens(path: str | None) -> _Tokens:
 def tokenized(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, ids of every piece."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
+    types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.list_(pa.int32())] if with_ids else [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokens(tokenizer)
         end = np.array([end_id], dtype="<u4").tobytes()
-        for pdf in batches:
-            docs, texts, out = pdf["_id"].tolist(), pdf["_text"].tolist(), []
-            for doc, ids in ((d, i + end) for a, b in tb.pieces(texts) for d, i in zip(docs[a:b], tokens.ids(texts[a:b]), strict=True)):
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    out.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, dtype="<u4").astype(np.int32)] if with_ids else [])))
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
-
-    rows = df.select(F.col(id_col).cast("string").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    pieces = rows.mapInPandas(run, "doc_id string, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+        for batch in batches:
+            docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for a, b in tb.pieces(texts):
+                out: list[list] = [[] for _ in names]
+                for doc, ids in zip(docs[a:b], tokens.ids(texts[a:b]), strict=True):
+                    ids += end
+                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        row = (doc, piece, at // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, dtype="<u4").astype(np.int32) if with_ids else None)
+                        for column, value in zip(out, row, strict=False):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
+
+    # bytes: words are cut and looked up without a string being made of them
+    rows = df.select(F.col(id_col).cast("string").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"))
+    pieces = rows.mapInArrow(run, "doc_id string, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
     return pieces.withColumn("doc_id", F.col("doc_id").cast(df.schema[id_col].dataType))
 
 

@@ -44,11 +44,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def pieces(texts: Sequence[str | None], size: int = PIECE) -> Iterator[tuple[int, int]]:
-    """Ranges of texts that hold about ``size`` characters."""
+def pieces(texts: Sequence[str | bytes | None], size: int = PIECE) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that hold about ``size`` characters (bytes, of bytes)."""
     start = total = 0
     for i, t in enumerate(texts):
-        n = len(t) if isinstance(t, str) else 0
+        n = len(t) if isinstance(t, (str, bytes)) else 0
         if i > start and total + n > size:
             yield start, i
             start, total = i, 0
