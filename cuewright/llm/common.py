@@ -52,6 +52,19 @@ def row_key(*cols: Column | str) -> Column:
     return F.unhex(F.md5(F.concat_ws("\x1f", *parts)))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, longer by as many underscores as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

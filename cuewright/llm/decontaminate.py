@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, read_documents, row_key, saved, table
+from .common import broadcast_if_small, columns_of, read_documents, row_key, saved, table, unused
 
 WINDOW = 10
 K = 4
@@ -149,8 +149,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_text_col: str = "text", item_id_col: str = "item_id") -> DataFrame:
     """The rows of ``docs`` that hold no window of the benchmark."""
-    hit = saved(hits(docs, benchmark, text_col, id_col, item_text_col, item_id_col).select(F.col("row_key").alias("_key")).distinct(), "hit")
-    return docs.withColumn("_key", row_key(id_col, text_col)).join(broadcast_if_small(hit, 48), "_key", "left_anti").select(*docs.columns)
+    key = unused(docs, "_key")
+    hit = saved(hits(docs, benchmark, text_col, id_col, item_text_col, item_id_col).select(F.col("row_key").alias(key)).distinct(), "hit")
+    return docs.withColumn(key, row_key(id_col, text_col)).join(broadcast_if_small(hit, 48), key, "left_anti").select(*columns_of(docs))
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import read_documents, row_key, saved
+from .common import columns_of, read_documents, row_key, saved, unused
 from .graph import components
 
 NGRAM = 5
@@ -288,8 +288,9 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
 
 def keep_one(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row of ``df`` of each class of near duplicates: the one with the least id."""
-    stays = near_duplicates(df, text_col, id_col).where("keep").select(F.col("row_key").alias("_key")).distinct()
-    return df.withColumn("_key", row_key(id_col, text_col)).join(stays, "_key", "left_semi").dropDuplicates(["_key"]).select(*df.columns)
+    key = unused(df, "_key")
+    stays = near_duplicates(df, text_col, id_col).where("keep").select(F.col("row_key").alias(key)).distinct()
+    return df.withColumn(key, row_key(id_col, text_col)).join(stays, key, "left_semi").dropDuplicates([key]).select(*columns_of(df))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

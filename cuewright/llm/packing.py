@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import read_documents, saved
+from .common import read_documents, saved, unused
 
 CAPACITY = 2048
 END_ID = 0
@@ -283,10 +283,14 @@ def _placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` (any table with a column length of 1 to capacity), with sequence_id and offset."""
-    pieces = saved(pieces.withColumn("piece_id", F.monotonically_increasing_id()), "pieces")
-    left = pieces.where(F.col("length") < capacity).select("piece_id", "length")
-    parts = [pieces.where(F.col("length") == capacity).select("piece_id", (F.col("piece_id") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    """``pieces`` (any table with a column length of 1 to capacity), with sequence_id and offset
+    in place of columns of these names."""
+    pieces = pieces.drop("sequence_id", "offset")
+    key = unused(pieces, "piece_id")
+    pieces = saved(pieces.withColumn(key, F.monotonically_increasing_id()), "pieces")
+    numbered = pieces.select(F.col(key).alias("piece_id"), "length")
+    left = numbered.where(F.col("length") < capacity)
+    parts = [numbered.where(F.col("length") == capacity).select("piece_id", (F.col("piece_id") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     at, n = 0, left.count()
     while n:
         n_blocks = -(-n // BLOCK)
@@ -306,7 +310,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     placed = parts[0]
     for p in parts[1:]:
         placed = placed.union(p)
-    return pieces.join(placed, "piece_id").drop("piece_id")
+    return pieces.join(placed.withColumnRenamed("piece_id", key), key).drop(key)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,7 +145,8 @@ def train(df: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
             for a, b in tb.pieces(texts):
                 yield pd.DataFrame({"y": pdf["_y"].to_numpy()[a:b], "x": list(statistics(texts[a:b]))})
 
-    rows = df.join(F.broadcast(drawn), F.col(id_col) == F.col("_id")).select("_y", F.col(text_col).alias("_text"))  # about ``sample`` rows at most
+    texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    rows = texts.join(F.broadcast(drawn), "_id").select("_y", "_text")  # about ``sample`` rows at most
     got = rows.mapInPandas(run, "y double, x array<float>").toPandas()
     x = np.stack(got["x"].to_numpy()).astype(np.float32) if len(got) else np.zeros((0, len(STATISTICS)), np.float32)
     y = got["y"].to_numpy(dtype=np.float64)

@@ -29,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, read_documents, row_key, saved
+from .common import broadcast_if_small, columns_of, read_documents, row_key, saved, unused
 
 EXAMPLE_OWNERS = 3
 
@@ -129,10 +129,11 @@ def redact(df: DataFrame, text_col: str = "text", owner_col: str = "source", rep
     """``df`` with every span of its texts (overlapping ones as one) replaced by ``mask``.
 
     Texts without a span, null ones included, stay as they are."""
-    marks = scan(df, text_col, owner_col, repository_col, ()).where(F.size("spans") > 0).select(F.col("row_key").alias("_key"), F.col("spans").alias("_spans"))
-    marks = saved(marks.dropDuplicates(["_key"]), "marks")
-    marks = broadcast_if_small(marks, 64 + 40 * F.size("_spans"))
-    rows = df.withColumn("_key", row_key(repository_col, owner_col, text_col)).join(marks, "_key", "left")
+    key, spans = unused(df, "_key"), unused(df, "_spans")
+    marks = scan(df, text_col, owner_col, repository_col, ()).where(F.size("spans") > 0).select(F.col("row_key").alias(key), F.col("spans").alias(spans))
+    marks = saved(marks.dropDuplicates([key]), "marks")
+    marks = broadcast_if_small(marks, 64 + 40 * F.size(spans))
+    rows = df.withColumn(key, row_key(repository_col, owner_col, text_col)).join(marks, key, "left")
     text = F.col(text_col)
 
     def step(a: Column, s: Column) -> Column:
@@ -141,8 +142,8 @@ def redact(df: DataFrame, text_col: str = "text", owner_col: str = "source", rep
 
     zero = F.struct(F.lit(-1).cast("long").alias("at"), F.lit("").alias("out"))
     first = lambda a, s: F.when(a["at"] < 0, step(F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), s)).otherwise(step(a, s))
-    whole = F.aggregate("_spans", zero, first, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return rows.withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(whole)).select(*df.columns)
+    whole = F.aggregate(spans, zero, first, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    return rows.withColumn(text_col, F.when(F.col(spans).isNull(), text).otherwise(whole)).select(*columns_of(df))
 
 
 def _told(spans: str) -> Column:

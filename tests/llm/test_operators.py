@@ -13,6 +13,8 @@ from cuewright.llm import chat, decontaminate, html_text, language_id, ngram_joi
 from cuewright.llm.graph import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+#: Columns of the input with names that operators use within, and one with marks in it.
+CLASHES = ("n_words", "row_id", "row_key", "_key", "_spans", "_text", "_id", "_y", "piece_id", "sequence_id", "hash", "a.b`c")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -31,7 +33,7 @@ def awkward():
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame(awkward(), DOCS).withColumn("n_words", F.lit("clash")).withColumn("row_id", F.lit(1))
+    return spark.createDataFrame(awkward(), DOCS).withColumns({c: F.lit("clash") for c in CLASHES})
 
 
 @pytest.fixture(scope="module")
@@ -69,6 +71,24 @@ def test_empty_tables(spark, none, tmp_path):
         assert q(spark, folder).count() == (1 if name.startswith("op7") else 0), name
 
 
+def all_clash(out, docs):
+    """Whether ``out`` has the columns of ``docs``, the extra ones with their values."""
+    return out.columns == docs.columns and all(r[c] == "clash" for r in out.collect() for c in CLASHES)
+
+
+def test_clean_documents_keep_their_columns(spark, docs):
+    benchmark = spark.createDataFrame([(1, " ".join(awkward()[4][1].split()[20:45]))], "item_id long, text string").withColumns({c: F.lit("clash") for c in CLASHES})
+    out = decontaminate.keep_clean(docs, benchmark)
+    assert all_clash(out, docs) and {r.doc_id for r in out.collect()}.isdisjoint({5, 6, 8})
+
+
+def test_packed_pieces_keep_their_columns(spark):
+    pieces = spark.createDataFrame([(k, 700) for k in range(5)] + [(9, 2048)], "n long, length long").withColumns({c: F.lit("clash") for c in CLASHES})
+    out = packing.pack(pieces).collect()
+    assert sorted(r.n for r in out) == [0, 1, 2, 3, 4, 9] and {r.piece_id for r in out} == {"clash"}
+    assert len({r.sequence_id for r in out}) == 4
+
+
 def brute_links(rows, threshold=0.8, n=5):
     sets = []
     for r in rows:
@@ -120,7 +140,7 @@ def test_near_duplicates_of_awkward_rows(docs):
     out = ngram_join.near_duplicates(docs).collect()
     assert len(out) == docs.count()
     assert len({bytes(r.row_key) for r in out if r.keep}) == ngram_join.keep_one(docs).count()
-    assert ngram_join.keep_one(docs).columns == docs.columns
+    assert all_clash(ngram_join.keep_one(docs), docs)
 
 
 def test_bands_reach_the_recall():
@@ -143,6 +163,7 @@ def test_components(spark):
 
 
 def test_redaction(spark, docs):
+    assert all_clash(secrets.redact(docs), docs)
     out = {r.doc_id: r.text for r in secrets.redact(docs).where("doc_id is not null").collect()}
     was = {r[0]: r[1] for r in awkward() if r[0] is not None}
     assert out[9].count("[SECRET]") == 3 and "abc123def" not in out[9]
@@ -158,7 +179,7 @@ def test_copied_examples_aren_t_owned(spark):
 
 def test_rules_keep_rows_whole(docs):
     out = quality_rules.keep_good(docs)
-    assert out.columns == docs.columns and out.where("n_words <> 'clash'").count() == 0
+    assert all_clash(out, docs)
 
 
 def test_bad_host_is_rejected(spark):
