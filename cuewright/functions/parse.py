@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from .text import strip
+
 
 def numbered_output(text: Column, n: Column | int) -> Column:
     """n texts from lines "[i] text": others are ignored, the last of a number wins, missing are empty.
@@ -17,7 +19,7 @@ def numbered_output(text: Column, n: Column | int) -> Column:
     line = r"(?m)^\s*\[(\d{1,9})\][ \t]*(.*?)[ \t\r]*$"
     numbers = F.transform(F.regexp_extract_all(text, F.lit(line), F.lit(1)), lambda x: x.cast("int"))
     texts = F.regexp_extract_all(text, F.lit(line), F.lit(2))
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: strip(x)), lambda x: x != "")
     wanted = F.sequence(F.lit(1), n)
     plain = F.transform(wanted, lambda i: F.coalesce(F.get(lines, i - 1), F.lit("")))
     return F.when(n < 1, F.array().cast("array<string>")).when(F.size(numbers) > 0, F.transform(wanted, lambda i: F.coalesce(F.try_element_at(F.filter(F.arrays_zip(numbers.alias("k"), texts.alias("t")), lambda z: z["k"] == i), F.lit(-1))["t"], F.lit("")))).otherwise(plain)
@@ -25,7 +27,7 @@ def numbered_output(text: Column, n: Column | int) -> Column:
 
 def simple_output(text: Column, n: int) -> Column:
     """Lines without leading numbers, filled up or cut to n."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"^[0-9. ]+", ""))), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: strip(F.regexp_replace(x, r"^[0-9. ]+", ""))), lambda x: x != "")
     return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.coalesce(F.get(lines, i - 1), F.lit("")))
 
 
@@ -66,6 +68,17 @@ def restore_names(text: pd.Series, names: pd.Series) -> pd.Series:
     return pd.Series([put(t, n) for t, n in zip(text, names, strict=True)])
 
 
+def byte_range(header: Column, size: Column) -> Column:
+    """start and end (inclusive) of the first range of a header like bytes=0-99, bytes=100- or
+    bytes=-500 within ``size`` bytes; null where it isn't one or lies outside."""
+    spec = F.trim(F.regexp_extract(header, r"^\s*bytes\s*=([^,]*)", 1))
+    part = lambda pattern, k: F.regexp_extract(spec, pattern, k).cast("long")
+    last, from_, both = r"^-(\d{1,18})$", r"^(\d{1,18})-$", r"^(\d{1,18})-(\d{1,18})(?:-.*[^-])?$"
+    start = F.when(spec.rlike(last), F.greatest(F.lit(0), size - part(last, 1))).when(spec.rlike(from_), part(from_, 1)).when(spec.rlike(both), part(both, 1))
+    end = F.when(spec.rlike(both), F.least(part(both, 2), size - 1)).otherwise(size - 1)
+    return F.when((start <= F.when(spec.rlike(both), part(both, 2)).otherwise(end)) & (start < size), F.struct(start.cast("long").alias("start"), end.cast("long").alias("end")))
+
+
 def atempo(rate: Column) -> Column:
     """A tempo as a chain of factors from 0.5 to 2."""
     up = F.greatest(F.lit(0), F.ceil(F.log2(rate)) - 1).cast("int")

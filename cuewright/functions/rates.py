@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip
+
 #: Characters spoken a second in the target language; fixed value.
 TARGET_CPS = 14
 
@@ -59,7 +61,7 @@ def loose_allowed(duration_ms: Column, text: Column) -> Column:
 def length_fit(candidate: Column, compressed: Column, limit: Column) -> Column:
     """status and text of a translation within ``limit`` characters: as it is, compressed, or the
     compressed one cut; too long without a compressed one is failed, without any candidate too."""
-    bare = lambda t: F.regexp_replace(F.trim(t), '^"(.*)"$', "$1")
+    bare = lambda t: F.regexp_replace(strip(t), '^"(.*)"$', "$1")
     one, two = bare(candidate), bare(compressed)
     out = lambda status, t: F.struct(F.lit(status).alias("status"), t.alias("text"))
     return (

@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip
+
 _SEGMENT = "struct<start_ms:long,end_ms:long,text:string>"
 
 
 def sentences(text: Column) -> Column:
     """Cut after 。！？!?; blank ones go."""
-    return F.filter(F.transform(F.split(text, r"(?<=[。！？!?])"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[。！？!?])"), lambda x: strip(x)), lambda x: x != "")
 
 
 def clauses(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"(?<=[,.;:!?，。；：！？])\s*"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[,.;:!?，。；：！？])\s*"), lambda x: strip(x)), lambda x: x != "")
 
 
 def time_axis(texts: Column, weights: Column, start: Column, end: Column) -> Column:

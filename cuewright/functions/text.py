@@ -10,9 +10,14 @@ TRAILING_MARKS = "，。,.、；：;:"
 _SPACE = r"[\s\u0085   -     　]+"
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(text, rf"^{_SPACE}|{_SPACE}\z", "")
+
+
 def normalize(text: Column) -> Column:
     """Wide spaces to plain ones, runs of spaces to one, none at the ends."""
-    return F.trim(F.regexp_replace(F.translate(text, "　", " "), " +", " "))
+    return F.regexp_replace(strip(F.translate(text, "　", " ")), " +", " ")
 
 
 def collapse_space(text: Column) -> Column:
@@ -21,8 +26,8 @@ def collapse_space(text: Column) -> Column:
 
 def strip_trailing_marks(text: Column) -> Column:
     """Null where nothing is left."""
-    left = F.regexp_replace(F.trim(text), f"[{TRAILING_MARKS}]+$", "")
-    return F.when(F.trim(left) != "", left)
+    left = F.regexp_replace(strip(text), f"[{TRAILING_MARKS}]+$", "")
+    return F.when(strip(left) != "", left)
 
 
 def clean_output(text: Column) -> Column:
@@ -52,6 +57,12 @@ def short_timecode(ms: Column) -> Column:
     return F.format_string("%02d:%02d.%03d", F.floor(ms / 60_000).cast("long"), F.pmod(F.floor(ms / 1000), F.lit(60)).cast("long"), F.pmod(ms, F.lit(1000)).cast("long"))
 
 
+def iso_utc(at: Column) -> Column:
+    """A time (of a session in UTC) as 2024-01-01T00:00:00.123456+00:00, without the fraction where it is 0."""
+    whole = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.concat(whole, F.when(F.date_format(at, "SSSSSS") != "000000", F.date_format(at, ".SSSSSS")).otherwise(F.lit("")), F.lit("+00:00"))
+
+
 def name_style(name: Column) -> Column:
     return F.when(F.coalesce(name, F.lit("")) == "", "keep").when(name.rlike(r"^(Mr\.|Ms\.) "), "honorific+surname").when(name.contains(" "), "pinyin").otherwise("given-name")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 _MEMBERS = "array<struct<head:long,id:long,first:long,last:long>>"
 
 
@@ -40,7 +42,7 @@ def merge_cues(cues: DataFrame, max_gap_ms: int = 500, max_duration_ms: int = 10
 def utterance_spans(members: DataFrame, cues: DataFrame) -> DataFrame:
     """Joined texts and span of each group: the end is that of the last cue by start, not the largest."""
     c = cues.join(members.select("id", "head_id"), "id")
-    row = F.struct("start_ms", "id", "text", F.trim("text_en").alias("en"), "end_ms")
+    row = F.struct("start_ms", "id", "text", strip(F.col("text_en")).alias("en"), "end_ms")
     g = c.groupBy("episode_id", "head_id").agg(F.sort_array(F.collect_list(row)).alias("c"))
     last = F.element_at("c", -1)
     return g.select(

@@ -62,3 +62,8 @@ def next_step(tasks: DataFrame) -> DataFrame:
 
 def should_run(forced: Column, recorded: Column, version_same: Column, inputs: Column, outputs: Column, status: Column) -> Column:
     return F.when(forced, "forced").when(~recorded, "not recorded").when(~version_same, "version changed").when(~inputs, "missing input").when(~outputs, "missing output").when(status != "succeeded", "status").otherwise("skip")
+
+
+def reusable(size: Column, force: Column) -> Column:
+    """Whether an artifact of ``size`` bytes (null: there is none) stands for another run."""
+    return (F.coalesce(size, F.lit(0)) > 0) & ~force

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from ..sources import adapters as A
 from .registry import query
 
@@ -109,7 +110,7 @@ def flt_5_sample_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT format('utt_{:08x}', id) AS utt_id, end_ms - start_ms AS budget_ms, nullif(emotion, 'neutral') AS emotion, 1.3::DOUBLE AS max_rate, 0 AS allow_extend_ms FROM cues WHERE kind <> 'sing' AND trim(text_en) <> '' AND end_ms > start_ms")
 def flt_6_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    c = A.cues(spark, sf).where("kind <> 'sing' AND trim(text_en) <> '' AND end_ms > start_ms")
+    c = A.cues(spark, sf).where("kind <> 'sing' AND end_ms > start_ms").where(strip(F.col("text_en")) != "")
     return c.select(F.format_string("utt_%08x", "id").alias("utt_id"), (F.col("end_ms") - F.col("start_ms")).alias("budget_ms"), F.nullif("emotion", F.lit("neutral")).alias("emotion"), F.lit(1.3).alias("max_rate"), F.lit(0).alias("allow_extend_ms"))
 
 

@@ -16,12 +16,12 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return A.table(spark, sf, "documents")
 
 
-@query("SELECT doc_id, trim(regexp_replace(replace(text, chr(12288), ' '), ' +', ' ', 'g')) AS normal, trim(regexp_replace(text, '[ \t\n\r\f\x0b]+', ' ', 'g')) AS collapsed FROM documents".replace("\\x0b", "\x0b"))
+@query("SELECT doc_id, regexp_replace(regexp_replace(replace(text, chr(12288), ' '), '^[ \t\n\r\f\x0b]+|[ \t\n\r\f\x0b]+$', '', 'g'), ' +', ' ', 'g') AS normal, trim(regexp_replace(text, '[ \t\n\r\f\x0b]+', ' ', 'g')) AS collapsed FROM documents".replace("\\x0b", "\x0b"))
 def str_1_2_spaces(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("doc_id", text.normalize(F.col("text")).alias("normal"), text.collapse_space(F.col("text")).alias("collapsed"))
 
 
-@query("+s AS (SELECT doc_id, regexp_replace(trim(text), '[，。,.、；：;:]+$', '') AS t FROM documents) SELECT doc_id, CASE WHEN trim(t) <> '' THEN t END AS t FROM s")
+@query(r"+s AS (SELECT doc_id, regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '[，。,.、；：;:]+$', '') AS t FROM documents) SELECT doc_id, CASE WHEN regexp_matches(t, '\S') THEN t END AS t FROM s")
 def str_3_trailing_marks(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("doc_id", text.strip_trailing_marks(F.col("text")).alias("t"))
 

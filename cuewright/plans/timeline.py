@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashes, rates
+from ..functions.text import strip
 from ..operators import snapshots, timeline
 from ..sources import adapters as A
 from .registry import query
@@ -112,7 +113,7 @@ def inc_2_voice_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("+b AS (SELECT episode_id, id // 7 AS uid, bool_or(trim(text_en) = '') AS blank FROM cues GROUP BY ALL) SELECT u.episode_id, u.uid FROM utterances u JOIN b USING (episode_id, uid) WHERE coalesce(source_hash, '') = '' OR source_hash <> current OR blank")
 def inc_3_dirty_translate(spark: SparkSession, sf: str) -> DataFrame:
-    b = A.cues(spark, sf).groupBy("episode_id", F.floor(F.col("id") / 7).alias("uid")).agg(F.bool_or(F.trim("text_en") == "").alias("blank"))
+    b = A.cues(spark, sf).groupBy("episode_id", F.floor(F.col("id") / 7).alias("uid")).agg(F.bool_or(strip(F.col("text_en")) == "").alias("blank"))
     h = F.coalesce("source_hash", F.lit(""))
     return A.utterances(spark, sf).join(b, ["episode_id", "uid"]).where((h == "") | (h != F.col("current")) | F.col("blank")).select("episode_id", "uid")
 
@@ -147,7 +148,7 @@ def inc_10_11_cache_keys(spark: SparkSession, sf: str) -> DataFrame:
     from ..functions.text import normalize
 
     key = hashes.short_hash(F.lit("e1"), F.lit("v2"), normalize(F.col("text_en")), "role_id", F.lit("en"))
-    return A.cues(spark, sf).select("id", key.alias("synthesis"), hashes.short_hash("role_id", F.trim("text_en"), "emotion").alias("preview"))
+    return A.cues(spark, sf).select("id", key.alias("synthesis"), hashes.short_hash("role_id", strip(F.col("text_en")), "emotion").alias("preview"))
 
 
 _W = "(end_ms - start_ms)"

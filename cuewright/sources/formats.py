@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize, timecode
+from ..functions.text import normalize, strip, timecode
 
 _WORD = "struct<start_time:long,end_time:long,text:string,additions:map<string,string>>"
 RECOGNITION = f"struct<result:struct<utterances:array<struct<start_time:long,end_time:long,text:string,additions:map<string,string>,words:array<{_WORD}>>>>>"
-VOICES = "array<struct<VoiceType:string,Name:string,Emotions:array<struct<Emotion:string,Value:string>>,Languages:array<struct<Language:string,Text:string>>>>"
+VOICES = (
+    "array<struct<VoiceType:string,Name:string,Gender:string,Age:string,Description:string,Avatar:string,TrialURL:string,ResourceID:string,Categories:array<string>,"
+    "Emotions:array<struct<Value:string,Label:string,Icon:string>>,Languages:array<struct<Language:string,Text:string,Flag:string>>>>"
+)
 
 
 def recognized(raw: DataFrame, json_col: str = "raw", key: str = "episode_id") -> DataFrame:
@@ -19,18 +22,35 @@ def recognized(raw: DataFrame, json_col: str = "raw", key: str = "episode_id") -
 
 
 def recognized_strict(raw: DataFrame, json_col: str = "raw", key: str = "episode_id") -> DataFrame:
-    """As ``recognized``, texts normalized and blank ones dropped, with words, emotion and gender."""
+    """As ``recognized``, texts normalized and blank ones dropped, with words, emotion and gender.
+
+    A start that is missing is 0, an end the start, a word's speaker that of its utterance."""
     u = raw.select(key, F.explode(F.from_json(json_col, RECOGNITION)["result"]["utterances"]).alias("u")).withColumn("text", normalize(F.coalesce("u.text", F.lit(""))))
-    word = lambda w: F.struct(w["start_time"].alias("start_ms"), w["end_time"].alias("end_ms"), normalize(w["text"]).alias("text"))
+    speaker = F.coalesce(F.col("u.additions")["speaker"], F.lit("0"))
+    start = lambda x: F.coalesce(x["start_time"], F.lit(0).cast("long"))
+    end = lambda x: F.coalesce(x["end_time"], start(x))
+    word = lambda w: F.struct(start(w).alias("start_ms"), end(w).alias("end_ms"), strip(F.coalesce(w["text"], F.lit(""))).alias("text"), F.coalesce(w["additions"]["speaker"], speaker).alias("speaker"))
     words = F.filter(F.transform(F.coalesce("u.words", F.array().cast(f"array<{_WORD}>")), word), lambda w: w["text"] != "")
-    return u.where("text <> ''").select(key, F.col("u.start_time").alias("start_ms"), F.col("u.end_time").alias("end_ms"), "text", F.coalesce(F.col("u.additions")["speaker"], F.lit("0")).alias("speaker"), F.col("u.additions")["emotion"].alias("emotion"), F.col("u.additions")["gender"].alias("gender"), words.alias("words"))
+    return u.where("text <> ''").select(key, start(F.col("u")).alias("start_ms"), end(F.col("u")).alias("end_ms"), "text", speaker.alias("speaker"), F.col("u.additions")["emotion"].alias("emotion"), F.col("u.additions")["gender"].alias("gender"), words.alias("words"))
 
 
 def voices(raw: DataFrame, json_col: str = "raw") -> DataFrame:
-    """Catalogue rows that have a voice type; emotions without a value are dropped."""
+    """Catalogue rows that have a voice type; emotions without a value are dropped. A name that is
+    missing is the voice type, other texts are empty and lists have no elements."""
     v = raw.select(F.explode(F.from_json(json_col, VOICES)).alias("v")).where("coalesce(v.VoiceType, '') <> ''")
-    emotions = F.transform(F.filter("v.Emotions", lambda e: F.coalesce(e["Value"], F.lit("")) != ""), lambda e: e["Value"])
-    return v.select(F.col("v.VoiceType").alias("voice_type"), F.col("v.Name").alias("name"), emotions.alias("emotions"), F.transform("v.Languages", lambda x: x["Language"]).alias("languages"))
+    told = lambda x, name: F.coalesce(x[name], F.lit(""))
+    listed = lambda c, item: F.coalesce(F.transform(c, item), F.array())
+    emotions = listed(F.filter("v.Emotions", lambda e: told(e, "Value") != ""), lambda e: F.struct(e["Value"].alias("value"), told(e, "Label").alias("label"), told(e, "Icon").alias("icon")))
+    languages = listed("v.Languages", lambda x: F.struct(told(x, "Language").alias("lang"), told(x, "Text").alias("text"), told(x, "Flag").alias("flag")))
+    texts = {"gender": "Gender", "age": "Age", "description": "Description", "avatar": "Avatar", "trial_url": "TrialURL", "resource_id": "ResourceID"}
+    return v.select(
+        F.col("v.VoiceType").alias("voice_type"),
+        F.coalesce("v.Name", "v.VoiceType").alias("name"),
+        *(told(F.col("v"), name).alias(c) for c, name in texts.items()),
+        F.coalesce("v.Categories", F.array().cast("array<string>")).alias("categories"),
+        emotions.alias("emotions"),
+        languages.alias("languages"),
+    )
 
 
 def resolve_alias(name: Column, lookup: dict[str, list[str]]) -> Column:
@@ -45,7 +65,7 @@ def srt_blocks(cues: DataFrame, text: str, key: str = "episode_id") -> DataFrame
     """key and srt: numbered blocks by start, without blank texts; sung ones between notes."""
     t = F.col(text)
     shown = F.when(F.col("kind") == "sing", F.concat(F.lit("♪"), t, F.lit("♪"))).otherwise(t)
-    rows = cues.where(F.trim(t) != "").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start_ms", "id", "end_ms", shown.alias("t")))).alias("c"))
+    rows = cues.where(strip(t) != "").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start_ms", "id", "end_ms", shown.alias("t")))).alias("c"))
     block = lambda c, i: F.concat((i + 1).cast("string"), F.lit("\n"), timecode(c["start_ms"]), F.lit(" --> "), timecode(c["end_ms"]), F.lit("\n"), c["t"], F.lit("\n"))
     return rows.select(key, F.array_join(F.transform("c", block), "\n").alias("srt"))
 

@@ -98,9 +98,12 @@ def test_recognition_and_subtitles(spark):
     df = spark.createDataFrame([(1, raw)], "episode_id long, raw string")
     assert sorted((r.start_ms, r.text, r.speaker) for r in formats.recognized(df).collect()) == [(1, " ", "0"), (5, " a  b ", "2")]
     r = formats.recognized_strict(df).collect()
-    assert [(x.text, x.gender, [w.text for w in x.words]) for x in r] == [("a b", "f", ["a"])]
+    assert [(x.text, x.gender, [tuple(w) for w in x.words]) for x in r] == [("a b", "f", [(5, 6, "a", "2")])]
+    bare = spark.createDataFrame([(1, '{"result":{"utterances":[{"text":"x","words":[{"text":"y","start_time":4,"additions":{"speaker":"7"}}]},{"start_time":3,"text":"z"}]}}'), (2, "no"), (3, None)], "episode_id long, raw string")
+    assert sorted((x.start_ms, x.end_ms, x.text, x.speaker, [tuple(w) for w in x.words]) for x in formats.recognized_strict(bare).collect()) == [(0, 0, "x", "0", [(4, 4, "y", "7")]), (3, 3, "z", "0", [])]
     v = spark.createDataFrame([('[{"VoiceType":"v","Name":"n","Emotions":[{"Value":"h"},{"Value":""}],"Languages":[{"Language":"en"}]},{"Name":"x"}]',)], "raw string")
-    assert [tuple(x) for x in formats.voices(v).collect()] == [("v", "n", ["h"], ["en"])]
+    got = formats.voices(v).collect()
+    assert [(x.voice_type, x.name, x.gender, [e.value for e in x.emotions], [e.lang for e in x.languages], list(x.categories)) for x in got] == [("v", "n", "", ["h"], ["en"], [])]
     c = spark.createDataFrame([(1, 1, 0, 1000, "la", "sing"), (2, 1, 1000, 2000, " ", "speech"), (3, 1, 2000, 3000, "hi", "speech")], "id long, episode_id long, start_ms long, end_ms long, t string, kind string")
     assert formats.srt_blocks(c, "t").first().srt == "1\n00:00:00,000 --> 00:00:01,000\n♪la♪\n\n2\n00:00:02,000 --> 00:00:03,000\nhi\n"
 
@@ -160,6 +163,17 @@ def test_names_and_hashes(spark):
     assert r[0] == r[1] and r[2] is None
 
 
+def test_ranges_and_times(spark):
+    headers = ["bytes=0-99", "bytes=10-", "bytes=-5", "bytes=-500", "bytes = 1-2, 5-6", "items=0-1", "bytes=5-2", "bytes=100-", "bytes=", "x", None, "bytes=1-2-3"]
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(headers)], "i int, h string")
+    got = {r.i: r.r and tuple(r.r) for r in df.select("i", parse.byte_range(F.col("h"), F.lit(100)).alias("r")).collect()}
+    assert [got[i] for i in range(12)] == [(0, 99), (10, 99), (95, 99), (0, 99), (1, 2), None, None, None, None, None, None, (1, 2)]
+    one = spark.range(1).select(*(text.iso_utc(F.lit(x).cast("timestamp")) for x in ("2024-01-02 03:04:05", "2024-01-02 03:04:05.000120"))).first()
+    assert list(one) == ["2024-01-02T03:04:05+00:00", "2024-01-02T03:04:05.000120+00:00"]
+    blank = spark.range(1).select(text.strip(F.lit("\t\u3000a b\u00a0\n")), text.normalize(F.lit("\na\u3000 b\n")), text.strip_trailing_marks(F.lit("x。\n")), text.strip(F.lit(" \n"))).first()
+    assert list(blank) == ["a b", "a b", "x", ""]
+
+
 def test_lengths_and_speeds(spark):
     one = spark.range(1)
     fit = lambda a, b: tuple(one.select(rates.length_fit(F.lit(a).cast("string"), F.lit(b).cast("string"), F.lit(3)).alias("f")).first().f)
