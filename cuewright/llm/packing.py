@@ -88,7 +88,7 @@ class _Tokens:
         stems, marked = set(), []
         for w in new:
             stem = w.rstrip(_MARKS)
-            if len(stem) < len(w) and stem and (stem[-1:].isalpha() or (stem[-1] >= 0x80 and _string(stem)[-1].isalpha())):
+            if len(stem) < len(w) and stem and (stem[-1:].isalpha() or (stem[-1] >= 0x80 and _ends_in_letter(stem))):
                 marked.append((w, stem, w[len(stem) :]))
                 stems |= {stem, marked[-1][2]}
             else:
@@ -115,6 +115,11 @@ def _string(text: bytes) -> str:
     return text.decode("utf-8", "replace")
 
 
+def _ends_in_letter(word: bytes) -> bool:
+    """Whether a word ends in a letter when it is normalized and lowered: some letters become one and a mark on it."""
+    return unicodedata.normalize("NFC", _string(word)[-1].lower())[-1].isalpha()
+
+
 def _letters(word: bytes) -> bool:
     """Whether a word with letters beyond ASCII stays one run of letters when it is normalized and lowered."""
     w = _string(word)

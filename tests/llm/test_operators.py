@@ -371,6 +371,16 @@ def test_packing_of_awkward_rows(spark, docs):
     check_packing(out, [(r[0], r[1]) for r in awkward()])
 
 
+def test_tokens_of_words_are_those_of_the_text():
+    rng = random.Random(3)
+    odd = "é É e\u0301 ß İ ı Σ ς ﬁ \u00a0 \u3000 \u2003 \u200b \u0085 \x00 \x1c \x7f 你 。 가 ا \u064b 𝒜 👩\u200d👧 \ufeff ² ½ ٣ Ǆ ŉ y\u0300 Я и\u0306 \u0958 \u0929\u093c <|end|> <|endoftext|> </w>".split(" ")
+    pool = [*"abzABZ019 \n\t\r\x0b\x0c.,:;!?#*$%&|_-'\"()<>/@=+~^`{}[]", *odd, *odd]
+    t = packing._Tokens(None)
+    for _ in range(6000):
+        s = "".join(rng.choice(pool) for _ in range(rng.randrange(1, 24)))
+        assert t.ids([s.encode()])[0] == t._encode([s])[0], repr(s)
+
+
 def test_packing_is_close_to_the_bound(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(packing, "BLOCK", 60)  # several blocks and rounds
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
