@@ -96,7 +96,7 @@ def str_19_episode_number(spark: SparkSession, sf: str) -> DataFrame:
 def str_20_range(spark: SparkSession, sf: str) -> DataFrame:
     span = F.concat_ws("-", "l_linenumber", F.col("l_linenumber") + 2)
     a, b = (F.regexp_extract(span, r"^(\d+)-(\d+)$", k).cast("int") for k in (1, 2))
-    return A.table(spark, sf, "lineitem").where("l_orderkey < 200").select("l_orderkey", "l_linenumber", F.explode(F.sequence(a, b)).alias("n"))
+    return A.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.explode(F.sequence(a, b)).alias("n"))
 
 
 @query("+n AS (SELECT *, lead(text) OVER (PARTITION BY episode_id ORDER BY ordinal) AS nx FROM lines) SELECT id, text || CASE WHEN regexp_matches(text, '[，。！？,.!?]$') THEN '' ELSE '，' END || nx AS t FROM n WHERE nx IS NOT NULL")
@@ -156,8 +156,11 @@ def src_4_alias(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT episode_id, string_agg(id || '=' || role_id, ',' ORDER BY id) AS idx FROM cues WHERE id % 4 IN (1, 2) GROUP BY episode_id")
 def snk_5_index(spark: SparkSession, sf: str) -> DataFrame:
-    g = A.cues(spark, sf).where("id % 4 IN (1, 2)").groupBy("episode_id").agg(F.sort_array(F.collect_list(F.struct("id", "role_id"))).alias("m"))
-    return g.select("episode_id", F.array_join(F.transform("m", lambda x: F.concat_ws("=", x["id"], x["role_id"])), ",").alias("idx"))
+    """id=role:voice of each cue that isn't an error; without a role, or with one that has no voice, that part is empty."""
+    r = A.roles(spark, sf).select(F.col("id").alias("role_id"), "voice_type")
+    c = A.cues(spark, sf).where("NOT speaker <=> 'error'").select("episode_id", "id", "role_id").join(r, "role_id", "left")
+    g = c.groupBy("episode_id").agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce(F.col("role_id").cast("string"), F.lit("")).alias("role"), F.coalesce("voice_type", F.lit("")).alias("voice")))).alias("m"))
+    return g.select("episode_id", F.array_join(F.transform("m", lambda x: F.concat(x["id"], F.lit("="), x["role"], F.lit(":"), x["voice"])), ",").alias("idx"))
 
 
 @query("SELECT event_id, [coalesce(props, ''), speaker, ''] AS parts FROM (SELECT event_id, props, event_type AS speaker FROM events)")
