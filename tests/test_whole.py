@@ -30,3 +30,25 @@ def test_index_of_every_cue_without_error(spark, tmp_path):
     part = [(1, "a", "Brand#1", "t", 1, 1.0), (2, "b", "Brand#2", "t", 50, 1.0)]
     sf = written(spark, tmp_path, events=(events, EVENTS), part=(part, PART))
     assert [tuple(r) for r in QUERIES["snk_5_index"](spark, sf).collect()] == [(7, "1=1:Brand#1,2=2:,3=0:,4=:,7=1:Brand#1,8=:")]
+
+
+def test_alignment_of_texts_of_any_length(spark, tmp_path):
+    import re
+
+    def walk(text):
+        out, at, end = [], 0, 0
+        for t in (x.strip() for x in re.split(r"(?<=[。！？!?])", text)):
+            if t:
+                first = text.find(t[0], at)
+                last = text.find(t[-1], first + len(t) - 1) if first >= 0 else -1
+                start = int(first * 0.06 * 1000)
+                end = int((last + 1) * 0.06 * 1000)
+                out.append((start, end, t))
+                at = last + 1
+        return out
+
+    long = "How far is it to the 城 over there? 很远。Then let us go at once! " * 60 + "without a mark at the end"
+    texts = ["", "One. Two! Three?", "x" * 400 + "! y", "x" * 401 + "! y", long, None]
+    sf = written(spark, tmp_path, conversations=([(1, k, "user", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string"))
+    got = {r.id - 1000: [tuple(s) for s in r.aligned] for r in QUERIES["win_15_align"](spark, sf).collect()}
+    assert len(long) > 3000 and got == {k: walk(t or "") for k, t in enumerate(texts)}
