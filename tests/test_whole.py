@@ -1,5 +1,7 @@
 """Queries over small tables that a cut would show in."""
 
+from pyspark.sql import functions as F
+
 from cuewright.plans import QUERIES
 
 
@@ -52,3 +54,24 @@ def test_alignment_of_texts_of_any_length(spark, tmp_path):
     sf = written(spark, tmp_path, conversations=([(1, k, "user", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string"))
     got = {r.id - 1000: [tuple(s) for s in r.aligned] for r in QUERIES["win_15_align"](spark, sf).collect()}
     assert len(long) > 3000 and got == {k: walk(t or "") for k, t in enumerate(texts)}
+
+
+def test_every_order_is_an_episode(spark, tmp_path):
+    from datetime import datetime
+
+    from cuewright.sources import adapters as A
+
+    orders = [(k, c, "O", datetime(2024, 1, 1)) for k, c in ((1, 1), (2, 1), (3, 1), (4, 2))]
+    customers = [(c, f"c{c}", 1, "s") for c in (1, 2, 3)]
+    events = [event(i, episode, "view") for i, episode in ((1, 1), (2, 2), (3, 3), (5, 99))]
+    sf = written(spark, tmp_path, orders=(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderdate timestamp_ntz"), customer=(customers, "c_custkey long, c_name string, c_nationkey int, c_mktsegment string"), events=(events, EVENTS))
+    assert sorted((r.id, r.drama_id, r.number) for r in A.episodes(spark, sf).collect()) == [(1, 1, 1), (2, 1, 2), (3, 1, 3), (4, 2, 1)]
+    assert A.dramas(spark, sf).join(A.episodes(spark, sf).select(F.col("drama_id").alias("id")), "id", "left_anti").count() == 1
+    assert sorted(r.id for r in QUERIES["jn_9_semi"](spark, sf).collect()) == [1, 2, 3]  # 99 has no episode
+
+
+def test_roles_beyond_the_second_are_found(spark, tmp_path):
+    events = [event(i, 1, "view") for i in (1, 2, 3, 4)]  # roles 1, 2, 0, none
+    part = [(1, "a", "Brand#1", "t", 1, 1.0), (2, "b", "Brand#2", "t", 1, 1.0)]
+    sf = written(spark, tmp_path, events=(events, EVENTS), part=(part, PART))
+    assert sorted(map(tuple, QUERIES["jn_12_lookup_with_default"](spark, sf).collect())) == [(1, "a"), (2, "b"), (3, "0"), (4, "-")]
