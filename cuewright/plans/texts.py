@@ -35,7 +35,7 @@ def str_4_clean_output(spark: SparkSession, sf: str) -> DataFrame:
 @query(r"SELECT doc_id, length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g'))::BIGINT AS alnum, length(regexp_replace(text, '[^一-鿿]', '', 'g'))::BIGINT AS han, regexp_full_match(substr(text, 1, 1), '[\s\p{P}\p{S}]*') AS only_marks, regexp_replace(text, '[一-鿿]', '', 'g') AS without_han FROM documents")
 def str_5_6_7_12_classes(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("text")
-    return _docs(spark, sf).select("doc_id", text.count_class(t, "A-Za-z0-9").alias("alnum"), text.count_class(t, "一-鿿").alias("han"), text.only_marks(F.substring(t, 1, 1)).alias("only_marks"), F.regexp_replace(t, "[一-鿿]", "").alias("without_han"))
+    return _docs(spark, sf).select("doc_id", text.count_class(t, "A-Za-z0-9").alias("alnum"), text.count_class(t, "一-鿿").alias("han"), text.only_marks(t).alias("only_marks"), F.regexp_replace(t, "[一-鿿]", "").alias("without_han"))
 
 
 @query("SELECT episode_id, string_agg(speaker || ': ' || text, chr(10) ORDER BY ordinal) AS t FROM lines GROUP BY episode_id")

@@ -75,3 +75,10 @@ def test_roles_beyond_the_second_are_found(spark, tmp_path):
     part = [(1, "a", "Brand#1", "t", 1, 1.0), (2, "b", "Brand#2", "t", 1, 1.0)]
     sf = written(spark, tmp_path, events=(events, EVENTS), part=(part, PART))
     assert sorted(map(tuple, QUERIES["jn_12_lookup_with_default"](spark, sf).collect())) == [(1, "a"), (2, "b"), (3, "0"), (4, "-")]
+
+
+def test_only_marks_of_the_whole_text(spark, tmp_path):
+    wanted = {'"quoted" text': False, "(a)": False, "$5": False, "...": True, "“！？” …": True, "- - -\n": True, "": True, ".\na": False}
+    sf = written(spark, tmp_path, documents=(list(enumerate(wanted)), "doc_id long, text string"))
+    got = {r.doc_id: r.only_marks for r in QUERIES["str_5_6_7_12_classes"](spark, sf).collect()}
+    assert [got[i] for i in range(len(wanted))] == list(wanted.values())
