@@ -30,7 +30,12 @@ MAX_PAD = 40
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-_HIDDEN = frozenset("head script style title template noscript iframe object audio video canvas svg math datalist noembed noframes".split())
+_HIDDEN = frozenset("head script style title template noscript iframe object audio video canvas datalist noembed noframes".split())
+#: What isn't drawn inside svg and math.
+_FOREIGN_HIDDEN = {"svg": frozenset("title desc defs metadata symbol marker pattern mask clippath".split()), "math": frozenset("annotation annotation-xml mphantom".split())}
+#: Elements of svg and math that hold HTML again, and start tags that end svg and math elsewhere.
+_HOLDS_HTML = {"svg": frozenset("foreignobject desc title".split()), "math": frozenset("mi mo mn ms mtext annotation-xml".split())}
+_ENDS_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 _PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr".split())
 _LINES = frozenset("address article aside body center dd details dialog dir div dt fieldset figcaption footer form header html legend li main menu nav option section summary tr caption thead tbody tfoot".split())
 _CELLS = frozenset(("td", "th"))
@@ -54,18 +59,25 @@ _IN_HEAD = frozenset("html head base link meta title style script noscript templ
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.IGNORECASE)
+_SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/\Z""")
 _BLANK = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children")
+    __slots__ = ("tag", "attributes", "children", "inside")
 
-    def __init__(self, tag: str, attributes: dict[str, str]):
-        self.tag, self.attributes = tag, attributes
+    def __init__(self, tag: str, attributes: dict[str, str], inside: str = ""):
+        self.tag, self.attributes, self.inside = tag, attributes, inside  # inside: svg, math or neither
         self.children: list[Node | str] = []
 
+    def foreign(self) -> str:
+        """svg or math where its children are of these, else empty."""
+        return "" if self.inside and self.tag in _HOLDS_HTML[self.inside] else self.inside
+
     def hidden(self) -> bool:
         a = self.attributes
+        if self.inside and (self.tag in _FOREIGN_HIDDEN[self.inside] or a.get("display") == "none" or a.get("visibility") in ("hidden", "collapse")):
+            return True
         return self.tag in _HIDDEN or "hidden" in a or (self.tag == "dialog" and "open" not in a) or bool(_UNSEEN.search(a.get("style", "")))
 
 
@@ -107,6 +119,10 @@ def build(page: str) -> Node:
         at = m.end()
         closing, name, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not name:
+            if stack[-1].foreign() and page.startswith("<![CDATA[", m.start()):
+                shut_at = page.find("]]>", m.start())
+                stack[-1].children.append(page[m.start() + 9 : shut_at if shut_at >= 0 else len(page)])
+                at = shut_at + 3 if shut_at >= 0 else len(page)
             continue
         name = name.lower()
         if closing:
@@ -118,14 +134,19 @@ def build(page: str) -> Node:
                 if stack[i].tag in fences or (stack[i].tag in _CELLS and name not in _GROUPS | {"tr", "table"}):
                     break
             continue
+        if name in _ENDS_FOREIGN:
+            while stack[-1].foreign():
+                stack.pop()
         if name not in _IN_HEAD:
             end(frozenset(("head",)), frozenset())
         if name in _ENDS_P:
             end(frozenset(("p",)), _P_FENCE)
         if name in _IMPLIED:
             end(*_IMPLIED[name])
-        node = Node(name, _attributes(rest))
+        node = Node(name, _attributes(rest), name if name in ("svg", "math") else stack[-1].foreign())
         stack[-1].children.append(node)
+        if node.inside and _SELF_CLOSED.search(rest):
+            continue
         if name in _RAW:
             shut = re.compile(f"</{re.escape(name)}(?=[\\s/>])[^>]*>?", re.IGNORECASE).search(page, at)
             inner = page[at : shut.start() if shut else len(page)]
@@ -219,7 +240,7 @@ def _shown(node: Node, inner: list[tuple[Node | None, list]]) -> list:
                     rows = []
                 out.append(p)
         return [*out, 1, _grid(rows), 2]
-    gap = 2 if tag in _PARAGRAPHS else 1 if tag in _LINES else 0
+    gap = 2 if tag in _PARAGRAPHS else 1 if tag in _LINES or (tag == "text" and node.inside == "svg") else 0
     parts = [p for _, ps in inner for p in ps]
     parts = [(_grid([p[1]])) if isinstance(p, tuple) and p[:1] == ("#row",) else p for p in parts] if tag not in _GROUPS else parts
     if tag in _CELLS:
