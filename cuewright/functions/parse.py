@@ -31,6 +31,22 @@ def simple_output(text: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.coalesce(F.get(lines, i - 1), F.lit("")))
 
 
+def tagged_output(text: Column, n: int) -> Column:
+    """n texts from tags <<<0>>>, <<<1>>>, ... on lines of their own: the line after a tag (blank ones
+    skipped), the last of a number wins, missing are empty."""
+    tag = r"(?smd)<<<(\d+)>>>\s*\n(.*?)(?=\n<<<\d+>>>|$)"
+    numbers = F.transform(F.regexp_extract_all(text, F.lit(tag), F.lit(1)), lambda x: x.try_cast("int"))
+    found = F.arrays_zip(numbers.alias("k"), F.regexp_extract_all(text, F.lit(tag), F.lit(2)).alias("t"))
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(strip(F.try_element_at(F.filter(found, lambda z: z["k"] == i), F.lit(-1))["t"]), F.lit("")))
+
+
+def corpus_context(scene: Column, hotwords: Column) -> Column:
+    """The context of a recognizer as JSON: the scene, then the hot words in one text; null without both."""
+    words = F.when(F.size(hotwords) > 0, F.concat(F.lit("常见词汇："), F.array_join(hotwords, "、")))
+    data = F.filter(F.array(F.struct(F.nullif(scene, F.lit("")).alias("text")), F.struct(words.alias("text"))), lambda x: x["text"].isNotNull())
+    return F.when(F.size(data) > 0, F.to_json(F.struct(F.lit("dialog_ctx").alias("context_type"), data.alias("context_data"))))
+
+
 _BREAKS = "，。！？；：、,.!?;:"
 
 
@@ -68,6 +84,24 @@ def restore_names(text: pd.Series, names: pd.Series) -> pd.Series:
     return pd.Series([put(t, n) for t, n in zip(text, names, strict=True)])
 
 
+@F.pandas_udf(StringType())
+def repair_names(text: pd.Series, names: pd.Series) -> pd.Series:
+    """Two-part names that a text lacks, put for the first of their spellings (of any case) that it holds."""
+
+    def repair(t: str | None, ns) -> str | None:
+        for name in ns if t is not None and ns is not None else []:
+            parts = name.split() if name else []
+            if len(parts) != 2 or name.lower() in t.lower():
+                continue
+            for v in name_variants(*parts)[:4]:  # with an apostrophe or with nothing between
+                t, n = re.subn(re.escape(v), lambda _, name=name: name, t, flags=re.IGNORECASE)
+                if n:
+                    break
+        return t
+
+    return pd.Series([repair(t, n) for t, n in zip(text, names, strict=True)])
+
+
 def byte_range(header: Column, size: Column) -> Column:
     """start and end (inclusive) of the first range of a header like bytes=0-99, bytes=100- or
     bytes=-500 within ``size`` bytes; null where it isn't one or lies outside."""

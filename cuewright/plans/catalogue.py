@@ -249,8 +249,8 @@ def srt_4_most_urgent(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT drama_id, string_agg(name, '|' ORDER BY CASE role_type WHEN 'lead' THEN 0 WHEN 'supporting' THEN 1 WHEN 'extra' THEN 2 WHEN 'narrator' THEN 3 ELSE 4 END, name, id) AS names FROM roles GROUP BY drama_id")
 def srt_5_roles_by_priority(spark: SparkSession, sf: str) -> DataFrame:
     prio = F.expr("CASE role_type WHEN 'lead' THEN 0 WHEN 'supporting' THEN 1 WHEN 'extra' THEN 2 WHEN 'narrator' THEN 3 ELSE 4 END")
-    g = A.roles(spark, sf).groupBy("drama_id").agg(F.sort_array(F.collect_list(F.struct(prio.alias("p"), "name", "id"))).alias("r"))
-    return g.select("drama_id", F.array_join("r.name", "|").alias("names"))
+    g = A.roles(spark, sf).groupBy("drama_id").agg(F.sort_array(F.collect_list(F.struct(prio.alias("p"), F.collate("name", "zh").alias("name"), "id"))).alias("r"))
+    return g.select("drama_id", F.array_join(F.transform("r", lambda x: F.collate(x["name"], "UTF8_BINARY")), "|").alias("names"))
 
 
 @query("SELECT role_id, arg_min(id, abs(end_ms - start_ms - 5000000) * 1000000 + id) AS id FROM cues WHERE kind = 'speech' AND role_id IS NOT NULL GROUP BY role_id")

@@ -177,3 +177,27 @@ def str_21_split(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def mth_11_atempo(spark: SparkSession, sf: str) -> DataFrame:
     return A.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", parse.atempo(F.col("l_quantity") / 10).alias("chain"))
+
+
+@query()
+def str_9_tagged(spark: SparkSession, sf: str) -> DataFrame:
+    raw = F.concat(F.lit("<<<0>>>\nold\n<<<2>>>\n"), "text", F.lit("\n<<<0>>>\n"), "speaker")
+    return A.lines(spark, sf).select("id", parse.tagged_output(raw, 3).alias("parts"))
+
+
+@query()
+def str_10_simple(spark: SparkSession, sf: str) -> DataFrame:
+    return A.lines(spark, sf).select("id", parse.simple_output(F.concat(F.lit("1. "), "speaker", F.lit("\n2. "), "text"), 3).alias("parts"))
+
+
+@query()
+def str_11_restored(spark: SparkSession, sf: str) -> DataFrame:
+    names = F.array(F.lit("Li Ming"), F.lit("Wang Fang"))
+    raw = F.concat(F.lit("<<NAME_0:x>> met wang'fang. "), "text")
+    return A.lines(spark, sf).select("id", parse.repair_names(parse.restore_names(raw, names), names).alias("t"))
+
+
+@query()
+def jsn_4_context(spark: SparkSession, sf: str) -> DataFrame:
+    g = A.lines(spark, sf).groupBy("episode_id").agg(F.array_sort(F.collect_set("speaker")).alias("words"))
+    return g.select("episode_id", parse.corpus_context(F.concat(F.lit("episode "), "episode_id"), F.col("words")).alias("context"))

@@ -84,7 +84,7 @@ def win_8_9_appearance(spark: SparkSession, sf: str) -> DataFrame:
 @query("+m AS (SELECT episode_id, speaker, max(id) AS id FROM cues GROUP BY ALL) SELECT episode_id, speaker, id FROM (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY id DESC) AS r FROM m) WHERE r <= 3")
 def win_10_most_recent(spark: SparkSession, sf: str) -> DataFrame:
     m = A.cues(spark, sf).groupBy("episode_id", "speaker").agg(F.max("id").alias("id"))
-    return m.withColumn("r", F.row_number().over(Window.partitionBy("episode_id").orderBy(F.desc("id")))).where("r <= 3").drop("r")
+    return m.withColumn("r", F.row_number().over(Window.partitionBy("episode_id").orderBy(F.desc("id")))).where("r <= 5").drop("r")
 
 
 @query("+n AS (SELECT id, row_number() OVER (PARTITION BY episode_id ORDER BY start_ms, id) AS r FROM cues WHERE text_en <> '') SELECT c.id, (n.r - 1) // 50 AS batch, coalesce(CASE WHEN n.id IS NOT NULL THEN upper(c.text_en) END, '') AS result FROM cues c LEFT JOIN n USING (id)")

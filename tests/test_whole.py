@@ -82,3 +82,20 @@ def test_only_marks_of_the_whole_text(spark, tmp_path):
     sf = written(spark, tmp_path, documents=(list(enumerate(wanted)), "doc_id long, text string"))
     got = {r.doc_id: r.only_marks for r in QUERIES["str_5_6_7_12_classes"](spark, sf).collect()}
     assert [got[i] for i in range(len(wanted))] == list(wanted.values())
+
+
+def test_parsers_and_names_in_queries(spark, tmp_path):
+    sf = written(spark, tmp_path, conversations=([(1, 0, "user", "hi")], "conv_id long, turn long, role string, text string"))
+    one = lambda q: QUERIES[q](spark, sf).collect()[0][1]
+    assert one("str_9_tagged") == ["user", "", "hi"]
+    assert one("str_10_simple") == ["user", "hi", ""]
+    assert one("str_11_restored") == "Li Ming met Wang Fang. hi"
+    assert one("jsn_4_context") == '{"context_type":"dialog_ctx","context_data":[{"text":"episode 1"},{"text":"常见词汇：user"}]}'
+
+
+def test_roles_in_chinese_order_and_five_recent(spark, tmp_path):
+    part = [(5 + 20 * 5 * k, n, "Brand#1", "t", 1, 1.0) for k, n in enumerate("王张李")]
+    events = [event(i, 7, f"k{i}") for i in range(1, 8)]
+    sf = written(spark, tmp_path, part=(part, PART), events=(events, EVENTS))
+    assert [r.names for r in QUERIES["srt_5_roles_by_priority"](spark, sf).collect()] == ["李|王|张"]
+    assert sorted(r.id for r in QUERIES["win_10_most_recent"](spark, sf).collect()) == [3, 4, 5, 6, 7]
