@@ -2,8 +2,8 @@
 
 Filters of several widths slide over one-hot bytes (A-Z lowered) of fixed-length windows; the
 largest response of each filter in a window goes through a softmax. The network is trained in
-numpy on windows of a bounded sample of labelled rows (SAMPLE documents, as many of each
-language, SAMPLE_WINDOWS windows of each, spread over the whole text) and sent with the task.
+numpy on windows of a sample of labelled rows (SAMPLE documents, as many of each
+language and about LEAST of each at least, every language; SAMPLE_WINDOWS windows of each, spread over the whole text) and sent with the task.
 Every window of every whole text is scored, in batches; a text's language has the largest
 mean probability over its windows, which is its score.
 
@@ -30,8 +30,8 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 SAMPLE, SAMPLE_WINDOWS = 3000, 3
-#: Most languages learned (those with most rows).
-MAX_LANGUAGES = 200
+#: Documents drawn of each language at least, as expected; one is always drawn.
+LEAST = 16
 EPOCHS, BATCH, RATE = 10, 64, 0.01
 #: Windows scored at once.
 AT_ONCE = 256
@@ -139,12 +139,14 @@ def held_out(id_col: str = "doc_id", mod: int = 4, rest: int = 2) -> Column:
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> Network | None:
     """A network for the rows that aren't held out; None where there are none."""
     rows = df.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = rows.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang_col).limit(MAX_LANGUAGES).collect()
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(1 << 20)).alias("at"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first")).collect()
     if not counts:
         return None
-    languages = sorted(r[0] for r in counts)
-    share = F.create_map(*(F.lit(v) for r in counts for v in (r[0], min(1.0, sample / len(languages) / r[1]))))
-    drawn = rows.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < share[F.col(lang_col)] * (1 << 20))
+    languages = sorted(r["lang"] for r in counts)
+    each = max(sample / len(languages), LEAST)
+    below = [(r["lang"], max(each / r["n"] * (1 << 20), r["first"] + 1.0)) for r in counts]
+    drawn = rows.join(F.broadcast(df.sparkSession.createDataFrame(below, "lang string, below double")), "lang").where("at < below")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -155,7 +157,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
                     out += [(lang, w[i].tobytes()) for i in sorted({int(i) for i in np.linspace(0, len(w) - 1, SAMPLE_WINDOWS)})]
             yield pd.DataFrame(out, columns=["lang", "window"])
 
-    got = drawn.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInPandas(cut, "lang string, window binary").toPandas()
+    got = drawn.select("lang", "text").mapInPandas(cut, "lang string, window binary").toPandas()
     if not len(got):
         return None
     got = got.sort_values(["lang", "window"])

@@ -2,7 +2,7 @@
 
 import pytest
 
-from cuewright.llm import html_text
+from cuewright.llm import html_text, language_id
 
 FOREIGN = [
     ("a <math><mi>x</mi><mo>=</mo><mn>2</mn><mtext>if</mtext></math> b", "a x=2if b"),
@@ -19,3 +19,9 @@ FOREIGN = [
 @pytest.mark.parametrize("page, text", FOREIGN)
 def test_math_and_svg(page, text):
     assert html_text.render(page) == text
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"text of the language {i % 205} " * 3, f"l{i % 205:03}") for i in range(205 * 12)]
+    net = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=205)
+    assert net.languages == [f"l{k:03}" for k in range(205)]
