@@ -87,21 +87,26 @@ def fill_emotions(cues: DataFrame, emotion: str = "emotion") -> DataFrame:
     """filled: a missing emotion from the nearest of the two cues on either side that have the
     same speaker and a marked one, earlier fills counting; else neutral.
 
-    A fold over the ordered cues of an episode that carries the two last filled values.
+    No fill crosses two neighbouring cues that both have an emotion, so a new run starts after
+    them; runs come from a window, and the fold that carries the two last filled values is inside one.
     """
-    e = F.col(emotion)
-    g = cues.groupBy("episode_id").agg(F.sort_array(F.collect_list(F.struct("start_ms", "id", "speaker", e.alias("emotion")))).alias("c"))
-    marked = lambda x, c: F.when((x["speaker"] == c["speaker"]) & F.coalesce(x["emotion"] != "neutral", F.lit(False)) & (x["emotion"] != ""), x["emotion"])
     kind = "struct<id:long,speaker:string,emotion:string>"
-    none = F.lit(None).cast(kind)
+    w = Window.partitionBy("episode_id").orderBy("start_ms", "id", "speaker", "e")
+    cue = F.struct("id", "speaker", F.col("e").alias("emotion")).cast(kind)
+    c = cues.select("episode_id", "start_ms", "id", "speaker", F.col(emotion).alias("e")).withColumn("c", cue)
+    c = c.withColumns({"b1": F.lag("c", 1).over(w), "b2": F.lag("c", 2).over(w), "a1": F.lead("c", 1).over(w), "a2": F.lead("c", 2).over(w)})
+    starts = F.col("b1.emotion").isNotNull() & F.col("b2.emotion").isNotNull()
+    c = c.withColumn("run", F.sum(starts.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    g = c.groupBy("episode_id", "run").agg(F.sort_array(F.collect_list(F.struct("start_ms", "id", "speaker", "e", "c", "b1", "b2", "a1", "a2"))).alias("r"))
+    marked = lambda x, c: F.when((x["speaker"] == c["speaker"]) & F.coalesce(x["emotion"] != "neutral", F.lit(False)) & (x["emotion"] != ""), x["emotion"])
 
-    def step(a: Column, i: Column) -> Column:
-        c = F.get(F.col("c"), i)
-        ahead = lambda k: marked(F.get(F.col("c"), i + k), c)
-        value = F.coalesce(c["emotion"], marked(a["one"], c), ahead(1), marked(a["two"], c), ahead(2), F.lit("neutral"))
+    def step(a: Column, x: Column) -> Column:
+        c = x["c"]
+        value = F.coalesce(c["emotion"], marked(a["one"], c), marked(x["a1"], c), marked(a["two"], c), marked(x["a2"], c), F.lit("neutral"))
         now = F.struct(c["id"].alias("id"), c["speaker"].alias("speaker"), value.alias("emotion")).cast(kind)
         return F.struct(now.alias("one"), a["one"].alias("two"), F.concat(a["out"], F.array(now)).alias("out"))
 
-    zero = F.struct(none.alias("one"), none.alias("two"), F.array().cast(f"array<{kind}>").alias("out"))
-    filled = g.select("episode_id", F.explode_outer(F.aggregate(F.sequence(F.lit(0), F.size("c") - 1), zero, step, lambda a: a["out"])).alias("x"))
+    head = F.get("r", F.lit(0))
+    zero = F.struct(head["b1"].alias("one"), head["b2"].alias("two"), F.array().cast(f"array<{kind}>").alias("out"))
+    filled = g.select("episode_id", F.explode_outer(F.aggregate("r", zero, step, lambda a: a["out"])).alias("x"))
     return filled.select("episode_id", F.col("x.id").alias("id"), F.col("x.emotion").alias("filled"))

@@ -99,3 +99,24 @@ def test_roles_in_chinese_order_and_five_recent(spark, tmp_path):
     sf = written(spark, tmp_path, part=(part, PART), events=(events, EVENTS))
     assert [r.names for r in QUERIES["srt_5_roles_by_priority"](spark, sf).collect()] == ["李|王|张"]
     assert sorted(r.id for r in QUERIES["win_10_most_recent"](spark, sf).collect()) == [3, 4, 5, 6, 7]
+
+
+def test_emotions_are_folded_in_runs(spark, capsys):
+    import random
+
+    from cuewright.operators import timeline
+
+    rng = random.Random(3)
+    cues = [(i, e, i // 2, rng.choice("ab"), rng.choice([None, None, "happy", "sad", "neutral", ""])) for e in (1, 2) for i in range(e * 1000, e * 1000 + 300)]
+    wanted = {}
+    for e in (1, 2):
+        c = [list(x) for x in cues if x[1] == e]
+        for i, x in enumerate(c):
+            near = [c[k] for k in (i - 1, i + 1, i - 2, i + 2) if 0 <= k < len(c)]
+            if x[4] is None:
+                x[4] = next((n[4] for n in near if n[3] == x[3] and n[4] not in (None, "", "neutral")), "neutral")
+            wanted[x[0]] = x[4]
+    out = timeline.fill_emotions(spark.createDataFrame(cues, "id long, episode_id long, start_ms long, speaker string, emotion string"))
+    assert {r.id: r.filled for r in out.collect()} == wanted
+    out.explain("simple")
+    assert ", run#" in capsys.readouterr().out  # groups are runs, not whole episodes
