@@ -13,7 +13,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -22,16 +22,18 @@ _powers: list[np.ndarray] = []
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, mod 2**64."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, PIECE + 1)
-        made = []
-        for base in (_BASE, _INVERSE):
-            a = np.full(size, base, dtype=np.uint64)
-            a[0] = 1
-            made.append(np.cumprod(a, dtype=np.uint64))
+    """The first n powers of the base and of its inverse, mod 2**64. Those of a piece are
+    kept; more, for a word longer than a piece, are made for the call alone."""
+    if _powers and n <= len(_powers[0]):
+        return _powers[0], _powers[1]
+    made = []
+    for base in (_BASE, _INVERSE):
+        a = np.full(max(n, PIECE + 2), base, dtype=np.uint64)
+        a[0] = 1
+        made.append(np.cumprod(a, dtype=np.uint64))
+    if n <= PIECE + 2:
         _powers[:] = made
-    return _powers[0], _powers[1]
+    return made[0], made[1]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -60,8 +62,8 @@ def pieces(texts: Sequence[str | bytes | None], size: int = PIECE) -> Iterator[t
 class Joined:
     """The bytes of some texts, each followed by a newline. A null text is empty."""
 
-    def __init__(self, texts: Sequence[str | None]):
-        raw = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
+    def __init__(self, texts: Sequence[str | bytes | None]):
+        raw = [t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
         self.bytes = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
         ends = np.cumsum([len(r) + 1 for r in raw], dtype=np.int64)
         self.starts = np.concatenate(([0], ends[:-1]))

@@ -398,3 +398,45 @@ def test_crossover_keeps_every_piece_once():
     assert sorted(i for b in child for i in b) == list(range(300)) and all(sum(sizes[i] for i in b) <= 1000 for b in child)
     best, _ = packing.evolve(lengths, 1000, 3, [one])
     assert len(best) <= len(one)
+
+
+def hard_lengths(seed):
+    return np.random.default_rng(seed).integers(500, 900, 600)
+
+
+def best_fit_decreasing(lengths, capacity):
+    return packing._best_fit([], np.argsort(-lengths, kind="stable").tolist(), lengths.tolist(), capacity)
+
+
+def test_evolution_beats_its_seed():
+    for seed in range(3):
+        lengths = hard_lengths(seed)
+        best, solved = packing.evolve(lengths, 2048, seed, [])
+        assert sorted(i for b in best for i in b) == list(range(600)) and max(packing._filled(best, lengths.tolist())) <= 2048
+        assert packing.lower_bound(lengths, 2048) <= len(best) < 0.97 * len(best_fit_decreasing(lengths, 2048)) and not solved
+
+
+def test_migration_changes_an_island():
+    lengths = hard_lengths(5)
+    elite = packing.evolve(lengths, 2048, 1, [], generations=30)[0]
+    alone, visited = packing.evolve(lengths, 2048, 2, [], generations=1)[0], packing.evolve(lengths, 2048, 2, [elite], generations=1)[0]
+    assert len(visited) <= len(elite) < len(alone)
+
+
+def test_lower_bound():
+    assert packing.lower_bound(np.array([1100] * 7), 2048) == 7
+    assert packing.lower_bound(np.array([1100, 1100, 900, 900, 148]), 2048) == 3
+    assert packing.lower_bound(np.array([1500, 1500, 700, 700]), 2048) == 3
+    assert packing.lower_bound(np.array([], dtype=int), 2048) == 0
+    rng = np.random.default_rng(4)
+    for _ in range(200):  # never over what a grouping takes
+        lengths = rng.integers(1, 100, rng.integers(1, 12))
+        assert packing.lower_bound(lengths, 100) <= len(best_fit_decreasing(lengths, 100))
+
+
+@pytest.mark.parametrize("length, bins", [(1100, 300), (700, 150), (2047, 300), (1, 1)])
+def test_pieces_that_hardly_fit_end(spark, monkeypatch, length, bins):
+    monkeypatch.setattr(packing, "BLOCK", 40)  # no bin is well filled, whatever block it is in
+    out = packing.pack(spark.range(300).select(F.lit(length).cast("long").alias("length"))).collect()
+    assert len(out) == 300 and bins <= len({r.sequence_id for r in out}) <= bins + 8
+    assert len({(r.sequence_id, r.offset) for r in out}) == 300
