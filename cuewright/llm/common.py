@@ -15,7 +15,8 @@ DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the session names none (tests on one machine) a temporary one is set.
+    Where the session names none a temporary one is set; that is for one machine, so that a
+    session on a cluster must name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -24,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     folder = tempfile.mkdtemp(prefix="spark-")
     context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
@@ -47,9 +50,9 @@ def row_key(*cols: Column | str) -> Column:
     their own. Repeated rows share a key, rows that differ don't."""
     parts = []
     for c in cols:
-        c = F.col(c) if isinstance(c, str) else c
-        parts.append(F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-")))
-    return F.unhex(F.md5(F.concat_ws("\x1f", *parts)))
+        c = (F.col(c) if isinstance(c, str) else c).cast("string")
+        parts.append(F.coalesce(F.concat(F.length(c).cast("string"), F.lit("="), c), F.lit("-")))  # no value can pass for two
+    return F.unhex(F.md5(F.concat(*parts)))
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -73,11 +76,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BROADCAST_BYTES = 64 << 20
 
 
-def broadcast_if_small(df: DataFrame, width: Column | int) -> DataFrame:
-    """A written table, marked for broadcast if ``width`` (bytes of a row) sums to at most BROADCAST_BYTES."""
+def fits_broadcast(df: DataFrame, width: Column | int) -> bool:
+    """Whether a written table's ``width`` (bytes of a row) sums to at most BROADCAST_BYTES."""
     width = F.lit(width) if isinstance(width, int) else width
-    total = df.agg(F.sum(width.cast("long"))).first()[0] or 0
-    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+    return (df.agg(F.sum(width.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def broadcast_if_small(df: DataFrame, width: Column | int) -> DataFrame:
+    """A written table, marked for broadcast if it fits."""
+    return F.broadcast(df) if fits_broadcast(df, width) else df
+
+
+#: Parts that a key's rows are dealt into where they may be many.
+SALTS = 16
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: dict[str, str], spread: list[str], width: Column | int, how: str = "left") -> DataFrame:
+    """A join in which many rows of ``left`` may share a key, and rows of ``right`` don't.
+
+    ``right`` (written, its columns named unlike those of ``left``; ``keys`` names its key for
+    each of ``left``'s) is broadcast if it fits. Else rows of a key are dealt into SALTS parts by
+    the columns ``spread``, and ``right`` is repeated for each. Its key columns are dropped; null
+    keys of ``left`` meet nothing."""
+    on = [F.col(a) == F.col(b) for a, b in keys.items()]
+    if fits_broadcast(right, width):
+        return left.join(F.broadcast(right), on, how).drop(*keys.values())
+    salt, other = unused(left, "_salt"), unused(left, "_other")
+    left = left.withColumn(salt, F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+    right = right.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, [*on, F.col(salt) == F.col(other)], how).drop(salt, other, *keys.values())
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

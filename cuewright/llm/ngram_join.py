@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import columns_of, read_documents, row_key, saved, unused
+from .common import broadcast_if_small, columns_of, join_hot, read_documents, row_key, saved, unused
 from .graph import components
 
 NGRAM = 5
@@ -103,7 +103,7 @@ def signatures(grams: np.ndarray, sizes: np.ndarray, bands: int, rows: int) -> t
 
 
 def sign(df: DataFrame, text_col: str, id_col: str, n: int, bands: int, rows: int) -> DataFrame:
-    """row_key, doc_id, n_ngrams, digest (null without n-grams), bands."""
+    """row_key, doc_id (of the id's type), n_ngrams, digest (null without n-grams), bands."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -120,26 +120,31 @@ def sign(df: DataFrame, text_col: str, id_col: str, n: int, bands: int, rows: in
                 out["digest"], out["bands"] = digests, vectors
                 yield out
 
-    at = df.select(row_key(id_col, text_col).alias("row_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
-    return at.mapInPandas(run, "row_key binary, doc_id long, n_ngrams long, digest binary, bands array<int>")
+    at = df.select(row_key(id_col, text_col).alias("row_key"), F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("_text"))
+    signed = at.mapInPandas(run, "row_key binary, doc_id string, n_ngrams long, digest binary, bands array<int>")
+    return signed.withColumn("doc_id", F.col("doc_id").cast(df.schema[id_col].dataType))
 
 
 def _units(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
     """Whole units (runs of equal unit keys), some at a time, with the runs' bounds."""
-    rest: pd.DataFrame | None = None
+    rest: list[pd.DataFrame] = []
     for pdf in batches:
-        if rest is not None and len(rest):
-            pdf = pd.concat([rest, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
         key = pdf["unit"].to_numpy()
-        change = np.flatnonzero(key[1:] != key[:-1]) + 1
-        if not len(change):
-            rest = pdf
+        if rest and rest[-1]["unit"].iat[-1] == key[0] == key[-1]:  # in the midst of a unit
+            rest.append(pdf)
             continue
-        last = int(change[-1])
-        yield pdf.iloc[:last], np.concatenate(([0], change))
-        rest = pdf.iloc[last:].reset_index(drop=True)
-    if rest is not None and len(rest):
-        yield rest, np.array([0, len(rest)])
+        pdf = pd.concat([*rest, pdf], ignore_index=True) if rest else pdf
+        key = pdf["unit"].to_numpy()
+        change = np.flatnonzero(key[1:] != key[:-1]) + 1
+        last = int(change[-1]) if len(change) else 0
+        if last:
+            yield pdf.iloc[:last], np.concatenate(([0], change))
+        rest = [pdf.iloc[last:].reset_index(drop=True)]
+    if rest:
+        pdf = pd.concat(rest, ignore_index=True)
+        yield pdf, np.array([0, len(pdf)])
 
 
 def _first_shared(vectors: np.ndarray, band: int, side: np.ndarray, crossing: bool) -> Iterator[tuple[int, np.ndarray]]:
@@ -252,7 +257,9 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     slots = classes.select("digest", "n_ngrams", F.posexplode("bands").alias("band", "hash")).select("digest", "n_ngrams", "band", F.xxhash64("band", "hash").alias("bucket"))
     crowded = slots.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.sum("n_ngrams").alias("weight")).where("members > 1")
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK_ROWS), F.ceil(F.col("weight") / BLOCK_NGRAMS)).cast("int")
-    placed = slots.join(crowded, "bucket").select("bucket", "band", "digest", blocks.alias("n_blocks"))
+    # what is left of the slots is narrow; band hashes and counts are joined to those that meet others
+    crowded = saved(crowded.select(F.col("bucket").alias("full"), blocks.alias("n_blocks")), "crowded")
+    placed = join_hot(slots.select("digest", "band", "bucket"), crowded, {"bucket": "full"}, ["digest"], 32, "inner")
     placed = placed.join(classes.select("digest", "bands", "n_docs"), "digest")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("n_blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     x, y = F.least("block", "other"), F.greatest("block", "other")
@@ -260,29 +267,31 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     unit = "unit long, band int, block int, x int, y int, digest binary, bands array<int>, n_docs long"
     active = saved(placed.repartition("unit").sortWithinPartitions("unit").mapInPandas(_active, unit), "active")
 
-    wanted = active.select("digest").distinct().join(classes.select("digest", F.col("first.k").alias("row_key")), "digest")
+    wanted = saved(active.select("digest").distinct().join(classes.select("digest", F.col("first.k").alias("row_key")), "digest"), "wanted")
     texts = df.select(row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("_text"))
-    sets = texts.join(wanted, "row_key").select("digest", "_text").mapInPandas(_grams(n), "digest binary, grams binary").dropDuplicates(["digest"])
+    texts = texts.join(broadcast_if_small(wanted, 96), "row_key").select("digest", "_text")
+    sets = texts.mapInPandas(_grams(n), "digest binary, grams binary").dropDuplicates(["digest"])
     judged = active.join(sets, "digest").repartition("unit").sortWithinPartitions("unit").mapInPandas(_verify(threshold), "digest binary, root binary, links long")
     linked = saved(judged.groupBy("digest", "root").agg(F.sum("links").alias("links")), "linked")
-    links = linked.groupBy("digest").agg(F.sum("links").alias("links"))
-    roots = components(linked, "digest", "root").select(F.col("id").alias("digest"), "root")
+    links = linked.groupBy(F.col("digest").alias("linked")).agg(F.sum("links").alias("links"))
+    roots = components(linked, "digest", "root").select(F.col("id").alias("member"), "root")
+    # classes of one document without a link are their own; only the others are told of a head
+    some = classes.join(roots, F.col("digest") == F.col("member"), "left").where("n_docs > 1 or root is not null")
+    some = some.join(links, F.col("digest") == F.col("linked"), "left")
+    some = saved(some.select("digest", "n_docs", "copy_id", "first", F.coalesce("root", "digest").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "grouped")
     least = F.min(F.struct(F.col("first.n"), F.col("first.d"), F.col("first.k")))
-    grouped = classes.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    heads = grouped.groupBy("root").agg(least.alias("head"))
-    told = grouped.join(heads, "root").join(links, "digest", "left").select("digest", "n_docs", "copy_id", F.col("head.d").alias("class_id"), F.col("head.k").alias("head_key"), F.coalesce("links", F.lit(0)).alias("links"))
-    alone = F.col("copy_key").isNull()
-    return (
-        signed.join(told.withColumnRenamed("digest", "copy_key"), F.col("digest") == F.col("copy_key"), "left")
-        .select(
-            "row_key",
-            "doc_id",
-            "n_ngrams",
-            F.when(alone, F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"),
-            F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-            F.when(alone, F.lit(0).cast("long")).otherwise(F.col("links") + F.col("n_docs") - 1).alias("n_links"),
-            F.coalesce(F.col("row_key") == F.col("head_key"), F.lit(True)).alias("keep"),
-        )
+    heads = saved(some.groupBy(F.col("root").alias("of")).agg(least.alias("head")), "heads")
+    told = join_hot(some, heads, {"root": "of"}, ["digest"], 160)
+    told = saved(told.select(F.col("digest").alias("copy_key"), "n_docs", "copy_id", F.col("head.d").alias("class_id"), F.col("head.k").alias("head_key"), "links"), "told")
+    alone = F.col("n_docs").isNull()
+    return join_hot(signed.drop("bands"), told, {"digest": "copy_key"}, ["row_key"], 160).select(
+        "row_key",
+        "doc_id",
+        "n_ngrams",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(alone, F.lit(0).cast("long")).otherwise(F.col("links") + F.col("n_docs") - 1).alias("n_links"),
+        F.coalesce(F.col("row_key") == F.col("head_key"), F.lit(True)).alias("keep"),
     )
 
 

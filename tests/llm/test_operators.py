@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cuewright.llm import chat, decontaminate, html_text, language_id, ngram_join, packing, quality_classifier, quality_rules, registry, secrets, warc
+from cuewright.llm import chat, common, decontaminate, html_text, language_id, ngram_join, packing, quality_classifier, quality_rules, registry, secrets, warc
 from cuewright.llm.graph import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -440,3 +440,35 @@ def test_pieces_that_hardly_fit_end(spark, monkeypatch, length, bins):
     out = packing.pack(spark.range(300).select(F.lit(length).cast("long").alias("length"))).collect()
     assert len(out) == 300 and bins <= len({r.sequence_id for r in out}) <= bins + 8
     assert len({(r.sequence_id, r.offset) for r in out}) == 300
+
+
+def test_row_keys_of_different_values_differ(spark):
+    rows = [("a\x1f=b", "c"), ("a", "b\x1f=c"), ("a1=b", ""), ("a", "b"), (None, "-"), ("-", None), ("", None), (None, "")]
+    keys = spark.createDataFrame(rows, "x string, y string").select(common.row_key("x", "y").alias("k")).collect()
+    assert len({bytes(r.k) for r in keys}) == len(rows)
+
+
+def test_salted_join_equals_a_broadcast(spark, monkeypatch):
+    left = spark.range(1000).select(F.when(F.col("id") % 3 > 0, F.lit(7)).otherwise(F.col("id")).alias("k"), F.col("id").alias("i")).union(spark.sql("select null, 5000L"))
+    right = spark.range(0, 500).select(F.col("id").alias("key"), (F.col("id") * 2).alias("v"))
+    for how in ("left", "inner"):
+        one = sorted(map(repr, common.join_hot(left, right, {"k": "key"}, ["i"], 16, how).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(common, "BROADCAST_BYTES", 0)
+            assert sorted(map(repr, common.join_hot(left, right, {"k": "key"}, ["i"], 16, how).collect())) == one
+    assert len(one) < 1001
+
+
+def test_near_duplicates_of_string_ids_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = [(f"d{i:05}", t) for i, t in near_rows()] + [(None, "")]
+        links, root = brute_links(rows)
+        least = {}
+        for (i, _), r in zip(rows[:-1], root, strict=False):
+            least[r] = min(least.get(r, i), i)
+        got = {r.doc_id: (r.n_links, r.class_id) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+        assert got == {i: (n, least[r]) for (i, _), n, r in zip(rows[:-1], links, root, strict=False)} | {None: (0, None)}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
