@@ -6,32 +6,35 @@ characters), ``access`` (AKIA and 16 or more of A-Z0-9), ``hex`` (24 or more of
 The method adds ``bare``: runs of 20 or more of ``[A-Za-z0-9+/_-]`` with a digit, a small
 and a capital letter, that overlap no base span and that the corpus shows to be owned.
 
-1. One pass over whole texts gives the spans and the hash of each candidate's value; it
-   is written, one narrow row for each document.
-2. Candidate hashes are made distinct by owner and repository (map-side), counted by
+1. One pass over whole texts gives the lengths of matches and of what lies between them, and
+   the hash of each candidate's value; it is written, one narrow row for each document.
+2. Matches become rows of their own: a running sum gives their places, running extremes the
+   bare ones that overlap a base one. So a text's work is linear in its length and spans.
+3. Candidate hashes are made distinct by owner and repository (map-side), counted by
    owner and then in all, so that a value that a third of the corpus holds is summed from
    partial counts. A value with EXAMPLE_OWNERS or more distinct owners is a widely copied
    example; any other is live-looking.
-3. Verdicts join back by hash to candidates, and by row key to documents.
+4. Examples join back by hash to candidates (``join_hot``), and spans by row key to documents.
 
 In ``documents`` the source is the owner and the document is the repository.
 
 Nulls and ties: a null text is empty; a null owner is one owner of its own; repeated rows
 are one repository and each comes out; an empty table gives an empty result. Extra columns
-are kept by ``redact`` and not read by the rest. Work in a text is linear in its length but
-for copying its list of spans once for each span.
+are kept by ``redact`` and not read by the rest.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, columns_of, read_documents, row_key, saved, unused
+from .common import broadcast_if_small, columns_of, join_hot, read_documents, row_key, saved, unused
 
 EXAMPLE_OWNERS = 3
+#: Characters of the parts that a text is cut into while it is masked.
+PART = 4096
 
 
 def _any_case(word: str) -> str:
@@ -59,31 +62,22 @@ def _good(kind: int, value: Column) -> Column:
     return F.lit(True)
 
 
-def _located(df: DataFrame, kind: int) -> DataFrame:
-    """Adds _spans<kind>: positions follow from the lengths of matches and of what lies between."""
+def _matched(df: DataFrame, kind: int) -> DataFrame:
+    """Adds _matches<kind>: of each match the gap before it, its size, and its value's hash (null where it isn't good)."""
     _, pattern, group = KINDS[kind]
     gaps, found, values = (f"_{x}{kind}" for x in ("gaps", "found", "values"))
     has = F.col("_text").rlike(pattern)
     df = df.withColumn(found, F.when(has, F.regexp_extract_all("_text", F.lit(pattern), F.lit(0))))
     df = df.withColumn(gaps, F.when(F.size(found) > 0, F.split("_text", pattern)))
     df = df.withColumn(values, F.when(F.size(found) > 0, F.regexp_extract_all("_text", F.lit(pattern), F.lit(group))) if group else F.col(found))
-    zipped = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("g"), F.col(found).alias("m"), F.col(values).alias("v"))
-    df = df.withColumn(f"_zip{kind}", zipped)
+    zipped = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("g"), F.col(found).alias("m"), F.col(values).alias("v")).cast("array<struct<g:string,m:string,v:string>>")
+    told = F.transform(zipped, lambda x: F.struct(F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("size"), F.when(_good(kind, x["v"]), F.xxhash64(x["v"])).alias("hash")))
+    return df.withColumn(f"_matches{kind}", told).drop(*{gaps, found, values})
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x[gaps_name])
-        end = start + F.length(x[found_name])
-        one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), F.xxhash64(x[values_name]).alias("hash"))).cast(_SPANS)
-        return F.struct(end.cast("long").alias("at"), F.when(_good(kind, x[values_name]), F.concat(a["out"], one)).otherwise(a["out"]).alias("out"))
 
-    gaps_name, found_name, values_name = "g", "m", "v"
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPANS).alias("out"))
-    df = df.withColumn(f"_zip{kind}", F.col(f"_zip{kind}").cast("array<struct<g:string,m:string,v:string>>"))
-    return df.withColumn(f"_spans{kind}", F.coalesce(F.aggregate(f"_zip{kind}", zero, step, lambda a: a["out"]), F.array().cast(_SPANS))).drop(*{found, gaps, values, f"_zip{kind}"})
-
-
-def candidates(df: DataFrame, text_col: str = "text", owner_col: str = "source", repository_col: str = "doc_id", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """For each row: row_key, ``keep``, owner, repository, base and bare spans. Written."""
+def candidates(df: DataFrame, text_col: str = "text", owner_col: str = "source", repository_col: str = "doc_id", keep: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
+    """For each row: row_key and ``keep``; and for each base or bare span of each row key:
+    row_key, owner, repository, start, kind, end, hash. Both written."""
     rows = df.select(
         row_key(repository_col, owner_col, text_col).alias("row_key"),
         *(F.col(c) for c in keep),
@@ -91,59 +85,80 @@ def candidates(df: DataFrame, text_col: str = "text", owner_col: str = "source",
         F.col(repository_col).cast("string").alias("_repository"),
         F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
     )
-    rows = reduce(_located, range(len(KINDS)), rows)
-    base = F.sort_array(F.concat(*(F.col(f"_spans{k}") for k in range(BASE))))
-    rows = rows.select("row_key", *keep, "_owner", "_repository", base.alias("base"), F.col(f"_spans{BASE}").alias("_bare"))
-    free = F.filter("_bare", lambda b: ~F.exists("base", lambda x: (x["start"] < b["end"]) & (b["start"] < x["end"])))
-    return saved(rows.withColumn("bare", free).drop("_bare"), "candidates")
-
-
-def ownership(found: DataFrame) -> DataFrame:
+    rows = reduce(_matched, range(len(KINDS)), rows)
+    matches = [F.col(f"_matches{k}") for k in range(len(KINDS))]
+    rows = saved(rows.select("row_key", *keep, "_owner", "_repository", *matches), "matches")
+
+    held = rows.where(reduce(Column.__or__, (F.size(m) > 0 for m in matches))).select("row_key", "_owner", "_repository", *matches).dropDuplicates(["row_key"])
+    tag = lambda k: lambda x, i: F.struct(F.lit(k).alias("kind"), i.alias("i"), x["gap"].alias("gap"), x["size"].alias("size"), x["hash"].alias("hash"))
+    tagged = [F.transform(m, tag(k)) for k, m in enumerate(matches)]
+    each = held.select("row_key", "_owner", "_repository", F.explode(F.concat(*(F.coalesce(t, F.array()) for t in tagged))).alias("m")).select("row_key", "_owner", "_repository", "m.*")
+    end = F.sum((F.col("gap") + F.col("size")).cast("long")).over(Window.partitionBy("row_key", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    spans = each.withColumn("end", end).withColumn("start", F.col("end") - F.col("size")).where("hash is not null")
+    base = F.col("kind") < BASE
+    upward, downward = Window.partitionBy("row_key").orderBy("start", "kind"), Window.partitionBy("row_key").orderBy(F.desc("start"), F.desc("kind"))
+    spans = spans.withColumn("_before", F.max(F.when(base, F.col("end"))).over(upward.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    spans = spans.withColumn("_after", F.min(F.when(base, F.col("start"))).over(downward.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    overlaps = (F.coalesce("_before", F.lit(-1)) > F.col("start")) | (F.coalesce("_after", F.col("end")) < F.col("end"))
+    spans = spans.where(base | ~overlaps).select("row_key", "_owner", "_repository", "start", "kind", "end", "hash")
+    return rows.select("row_key", *keep), saved(spans, "spans")
+
+
+def ownership(spans: DataFrame) -> DataFrame:
     """hash, n_repositories, n_owners and live of every candidate value."""
-    each = found.select("_owner", "_repository", F.explode(F.concat("base", "bare")).alias("s")).select(F.col("s.hash").alias("hash"), "_owner", "_repository").distinct()
-    by_owner = each.groupBy("hash", "_owner").agg(F.count(F.lit(1)).alias("n"))
+    by_owner = spans.select("hash", "_owner", "_repository").distinct().groupBy("hash", "_owner").agg(F.count(F.lit(1)).alias("n"))
     return by_owner.groupBy("hash").agg(F.sum("n").alias("n_repositories"), F.count(F.lit(1)).alias("n_owners")).withColumn("live", F.col("n_owners") < EXAMPLE_OWNERS)
 
 
+def _judged(spans: DataFrame) -> DataFrame:
+    """Spans with live: false where corpus-wide ownership makes the value an example."""
+    examples = saved(ownership(spans).where(~F.col("live")).select(F.col("hash").alias("_value"), F.lit(False).alias("live")), "examples")
+    return join_hot(spans, examples, {"hash": "_value"}, ["row_key", "start"], 24).withColumn("live", F.coalesce("live", F.lit(True)))
+
+
 def scan(df: DataFrame, text_col: str = "text", owner_col: str = "source", repository_col: str = "doc_id", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """A row for each row of ``df``: row_key, ``keep``, base (spans), spans (base ones and owned
     bare ones, by start and kind), n_live and n_examples (of the candidates)."""
-    found = candidates(df, text_col, owner_col, repository_col, keep)
-    each = found.select("row_key", F.explode(F.concat("base", "bare")).alias("s")).select("row_key", "s", F.col("s.hash").alias("hash"))
-    judged = each.join(ownership(found), "hash")
-    owned = F.when((F.col("s.kind") == BASE) & F.col("live"), F.col("s"))
-    marks = judged.groupBy("row_key").agg(F.collect_set(owned).alias("_added"), F.collect_set(F.when(F.col("live"), F.col("s"))).alias("_live"), F.collect_set(F.when(~F.col("live"), F.col("s"))).alias("_examples"))
-    marks = marks.select(F.col("row_key").alias("_key"), "_added", F.size("_live").cast("long").alias("n_live"), F.size("_examples").cast("long").alias("n_examples"))
-    none = F.lit(0).cast("long")
-    return found.join(marks, F.col("row_key") == F.col("_key"), "left").select(
-        "row_key",
-        *keep,
-        "base",
-        F.sort_array(F.concat("base", F.coalesce("_added", F.array().cast(_SPANS)))).alias("spans"),
-        F.coalesce("n_live", none).alias("n_live"),
-        F.coalesce("n_examples", none).alias("n_examples"),
+    rows, spans = candidates(df, text_col, owner_col, repository_col, keep)
+    span = F.struct("start", "kind", "end", "hash")
+    base = F.col("kind") < BASE
+    told = _judged(spans).groupBy(F.col("row_key").alias("_key")).agg(
+        F.sort_array(F.collect_list(F.when(base, span))).alias("base"),
+        F.sort_array(F.collect_list(F.when(base | F.col("live"), span))).alias("spans"),
+        F.count_if("live").alias("n_live"),
+        F.count_if(~F.col("live")).alias("n_examples"),
     )
+    told = saved(told, "told")
+    rows = join_hot(rows, told, {"row_key": "_key"}, ["row_key"], 128 + 48 * F.size("spans") + 48 * F.size("base"))
+    none, empty = F.lit(0).cast("long"), F.array().cast(_SPANS)
+    return rows.select("row_key", *keep, F.coalesce("base", empty).alias("base"), F.coalesce("spans", empty).alias("spans"), F.coalesce("n_live", none).alias("n_live"), F.coalesce("n_examples", none).alias("n_examples"))
 
 
 def redact(df: DataFrame, text_col: str = "text", owner_col: str = "source", repository_col: str = "doc_id", mask: str = "[SECRET]") -> DataFrame:
     """``df`` with every span of its texts (overlapping ones as one) replaced by ``mask``.
 
     Texts without a span, null ones included, stay as they are."""
-    key, spans = unused(df, "_key"), unused(df, "_spans")
-    marks = scan(df, text_col, owner_col, repository_col, ()).where(F.size("spans") > 0).select(F.col("row_key").alias(key), F.col("spans").alias(spans))
-    marks = saved(marks.dropDuplicates([key]), "marks")
-    marks = broadcast_if_small(marks, 64 + 40 * F.size(spans))
+    key, gaps, parts = unused(df, "_key"), unused(df, "_gaps"), unused(df, "_parts")
+    spans = _judged(candidates(df, text_col, owner_col, repository_col, ())[1]).where((F.col("kind") < BASE) | F.col("live"))
+    order = Window.partitionBy("row_key").orderBy("start", "kind")
+    spans = spans.withColumn("_to", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    # what stands before each span that begins beyond all before it, and what stands after the last
+    gap = F.when(F.coalesce("_to", F.lit(0)) <= F.col("start"), F.struct(F.coalesce("_to", F.lit(0)).alias("from"), F.col("start").alias("to")))
+    marks = spans.groupBy(F.col("row_key").alias(key)).agg(F.sort_array(F.collect_list(gap)).alias(gaps), F.max("end").alias("_last"))
+    rest = F.array(F.struct(F.col("_last").alias("from"), F.lit(1 << 40).alias("to")))
+    marks = saved(marks.select(key, F.concat(gaps, rest.cast("array<struct<from:bigint,to:bigint>>")).alias(gaps)), "marks")
+    marks = broadcast_if_small(marks, 64 + 24 * F.size(gaps))
     rows = df.withColumn(key, row_key(repository_col, owner_col, text_col)).join(marks, key, "left")
-    text = F.col(text_col)
+    rows = rows.withColumn(parts, F.when(F.col(gaps).isNotNull(), F.regexp_extract_all(text_col, F.lit(rf"(?s).{{1,{PART}}}"), F.lit(0))))
 
-    def step(a: Column, s: Column) -> Column:
-        gap = F.when(s["start"] >= a["at"], F.concat(F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mask))).otherwise(F.lit(""))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], gap).alias("out"))
+    def text_of(g: Column) -> Column:
+        """A gap's text from the parts that it lies in, so that no text is walked from its start for each gap."""
+        first, last = (F.floor(g["from"] / PART)).cast("int"), F.least(F.floor(g["to"] / PART), F.size(parts)).cast("int")
+        some = F.array_join(F.slice(parts, first + 1, last - first + 1), "")
+        return F.substring(some, (g["from"] - first * PART + 1).cast("int"), (F.least(g["to"] - g["from"], F.length(some).cast("long"))).cast("int"))
 
-    zero = F.struct(F.lit(-1).cast("long").alias("at"), F.lit("").alias("out"))
-    first = lambda a, s: F.when(a["at"] < 0, step(F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), s)).otherwise(step(a, s))
-    whole = F.aggregate(spans, zero, first, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return rows.withColumn(text_col, F.when(F.col(spans).isNull(), text).otherwise(whole)).select(*columns_of(df))
+    whole = F.array_join(F.transform(gaps, text_of), mask)
+    return rows.withColumn(text_col, F.when(F.col(gaps).isNull(), F.col(text_col)).otherwise(whole)).select(*columns_of(df))
 
 
 def _told(spans: str) -> Column:
