@@ -9,9 +9,10 @@ windows are kept once, with the range of windows that they stand for.
 
 Fingerprints of documents carry the few words that their windows cover and meet
 those of the benchmark; hits are extended to the windows in their range, which are
-compared word for word with the benchmark's distinct windows. Up to BROADCAST_ROWS
-windows the benchmark is broadcast (its size is counted first), so that documents
-aren't shuffled; beyond that both sides are shuffled on the fingerprint.
+compared word for word with the benchmark's distinct windows. A benchmark whose
+fingerprints, or windows, sum to few enough bytes is broadcast, so that documents
+aren't shuffled; beyond that both sides are shuffled on the fingerprint, documents of
+a common one in parts (``join_hot``).
 
 Nulls and ties: a null text, or one without words, has no windows and no hits; a
 null item_id counts as no item but its windows still mark words; repeated items or
@@ -26,11 +27,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, columns_of, read_documents, row_key, saved, table, unused
+from .common import broadcast_if_small, columns_of, join_hot, read_documents, row_key, saved, table, unused
 
 WINDOW = 10
 K = 4
-BROADCAST_ROWS = 200_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -109,17 +109,17 @@ def _found(docs: DataFrame, benchmark: DataFrame, text_col: str, id_col: str, it
     items = benchmark.select(F.col(item_id_col).cast("string").alias("item"), words_of(F.col(item_text_col)).alias("words"))
     windows = saved(benchmark_windows(items), "windows")
     lengths = sorted(r["length"] for r in windows.select("length").distinct().collect())  # at most WINDOW values
-    small = windows.count() <= BROADCAST_ROWS
-    sent = F.broadcast if small else (lambda df: df)
     rows = docs.select(row_key(id_col, text_col).alias("row_key"), F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
-    known = windows.select("length", "hash").distinct().withColumn("known", F.lit(True))
-    met = fingerprints(rows, lengths, ("row_key", "doc_id")).join(sent(known), ["length", "hash"], "left").where("known OR length = 0")
+    known = saved(windows.select(F.col("length").alias("_length"), F.col("hash").alias("_hash")).distinct().withColumn("known", F.lit(True)), "known")
+    met = join_hot(fingerprints(rows, lengths, ("row_key", "doc_id")), known, {"length": "_length", "hash": "_hash"}, ["row_key", "first"], 32).where("known OR length = 0")
     met = saved(met.drop("known", "hash"), "met")
     counts = met.where("length = 0").select("row_key", "doc_id", F.col("first").cast("long").alias("n_words"))
     spread = met.where("length > 0").select("row_key", "length", "covered", "first", F.explode(F.sequence(F.lit(0), F.col("last") - F.col("first"))).alias("at"))
     spread = spread.select("row_key", "length", (F.col("first") + F.col("at")).alias("start"), window_text(F.col("covered"), F.col("at"), F.col("length")).alias("window"))
-    exact = sent(windows.select("length", "window", "items"))
-    return counts, spread.join(exact, ["length", "window"]).select("row_key", "start", (F.col("start") + F.col("length")).alias("end"), "items")
+    exact = windows.select(F.col("length").alias("_length"), F.col("window").alias("_window"), "items")
+    width = 96 + F.octet_length("_window") + F.aggregate("items", F.lit(0), lambda a, i: a + 24 + F.octet_length(i))
+    found = join_hot(spread, exact, {"length": "_length", "window": "_window"}, ["row_key", "start"], width, "inner")
+    return counts, found.select("row_key", "start", (F.col("start") + F.col("length")).alias("end"), "items")
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_text_col: str = "text", item_id_col: str = "item_id") -> DataFrame:

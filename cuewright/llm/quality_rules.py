@@ -4,7 +4,7 @@ Rules count over whole texts (words are runs of [^\x20\x09-\x0D]): few words, an
 words in 3-word windows that come again. Failures are summed by host (two counts
 a host, map-side combined), each host's failure rate is shrunk with a beta prior
 that is fitted to all hosts by moments, and hosts whose shrunk rate passes a limit
-are rejected; the verdict is joined back to documents.
+are rejected; the verdict is joined back to documents, those of a large host in parts.
 
 Nulls and ties: a null or empty text has no words and fails; a null host has no
 verdict, so that its documents stand on their own; repeated rows each count and
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
-from .common import broadcast_if_small, read_documents, saved
+from .common import join_hot, read_documents, saved, unused
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -116,14 +116,10 @@ def judge(df: DataFrame, text_col: str = "text", host_col: str = "source", keep:
     """``keep``, the host, the counts, base_failed, shrunk_rate, host_rejected and kept."""
     columns = tuple(dict.fromkeys((*keep, host_col)))
     counted = saved(with_counts(df, text_col, columns).withColumn("base_failed", base_failed()), "rules")
-    verdicts = saved(host_verdicts(counted, host_col).select(F.col("host").alias("_host"), "shrunk_rate", "host_rejected"), "hosts")
-    verdicts = broadcast_if_small(verdicts, 64 + F.length("_host"))
-    return (
-        counted.join(verdicts, F.col(host_col) == F.col("_host"), "left")
-        .drop("_host")
-        .withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
-        .withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
-    )
+    host = unused(counted, "_host")
+    verdicts = saved(host_verdicts(counted, host_col).select(F.col("host").alias(host), "shrunk_rate", "host_rejected"), "hosts")
+    judged = join_hot(counted, verdicts, {host_col: host}, [*keep[:1], "n_words", "word_chars"], 64 + F.length(host))
+    return judged.withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False))).withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
 def keep_good(df: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:

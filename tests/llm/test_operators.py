@@ -60,7 +60,7 @@ def test_awkward_documents_equal_sql(spark, same, docs, tmp_path):
 
 
 def test_large_benchmark_isn_t_broadcast(spark, sf_dir, same, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
     same(decontaminate.op1_benchmark_decontamination(spark, sf_dir), decontaminate.ORACLE, sf_dir)
 
 
@@ -492,3 +492,8 @@ def test_many_spans_in_long_texts(spark, same, tmp_path, monkeypatch):
                 wanted += [t[at : s.start], "[SECRET]"]
             at = max(at, s.end)
         assert out[i] == "".join([*wanted, t[at:]])
+
+
+def test_verdicts_of_a_hot_host_without_broadcasts(spark, sf_dir, same, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    same(quality_rules.op9_quality_rules(spark, sf_dir), quality_rules.ORACLE, sf_dir)
