@@ -6,29 +6,29 @@ with the smallest id holds the payload; the others are revisit records that refe
 archives are gzip files of WARC/1.1 records, each followed by two line ends, written by Spark's
 text writer, so that they land in whatever store the folder is in.
 
-``read_records`` reads archives of any origin (plain or gzip, one member or one a record) as
-rows, by the lengths that records state, so that a payload may hold anything.
+``read_records`` reads archives of any origin (gzip, one member or one a record, or plain) as
+rows, by the lengths that records state, so that a payload may hold anything. Gzip files (named
+.gz) of any size are streamed: Spark's text reader cuts them where a record could begin, and a
+task holds one record. Plain ones are held whole, one at a time.
 ``transactions`` joins request, response and metadata records through their
 WARC-Concurrent-To identifiers into one nested row a capture.
 
 Nulls and ties: a null payload is empty; a null id sorts after the others and comes back as
 null; a null url is written as an empty target; rows that repeat an id are captures of their
 own (if they share the smallest id and a payload, one of them is the response); an empty table
-gives an empty result. Extra columns are not read. A file holds at most FILE_ROWS captures, and
-a task holds one file at a time.
+gives an empty result. Extra columns are not read. A file holds at most FILE_ROWS captures.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, saved, shared_path, table
+from .common import broadcast_if_small, join_hot, saved, shared_path, table
 
 MIN_REVISIT = 100
 FILE_ROWS = 2000
@@ -61,9 +61,12 @@ def write_captures(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         "captures",
     )  # written, since record ids are drawn at random
     order = F.struct(F.col("number").isNull().alias("none"), "number", "capture")
-    first = saved(rows.where(F.col("bytes") >= MIN_REVISIT).groupBy("digest").agg(F.min(order).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", F.col("f.capture").alias("first")), "firsts")
-    rows = rows.join(broadcast_if_small(first, 160), "digest", "left")
-    revisit = F.col("first").isNotNull() & (F.col("first") != F.col("capture"))
+    narrow = rows.where(F.col("bytes") >= MIN_REVISIT).select("capture", "digest", "number")
+    first = saved(narrow.groupBy(F.col("digest").alias("of")).agg(F.min(order).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("of", F.col("f.capture").alias("first")), "firsts")
+    repeats = join_hot(narrow.select("capture", "digest"), first, {"digest": "of"}, ["capture"], 160, "inner").where(F.col("first") != F.col("capture"))
+    repeats = saved(repeats.select(F.col("capture").alias("_capture"), "first"), "repeats")
+    rows = rows.join(broadcast_if_small(repeats, 160), F.col("capture") == F.col("_capture"), "left").drop("_capture")
+    revisit = F.col("first").isNotNull()
 
     at, sha = F.lit("2024-01-01T00:00:00Z"), F.concat(F.lit("sha256:"), F.col("digest"))
     response_id = _urn(F.col("capture"))
@@ -82,54 +85,86 @@ def write_captures(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     rows.select(F.explode(records).alias("value")).write.option("lineSep", _END * 2).option("maxRecordsPerFile", 3 * FILE_ROWS).option("compression", "gzip").text(path)
 
 
-def parse_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record of an archive."""
-    if content[:2] == b"\x1f\x8b":
-        content = gzip.decompress(content)  # every member
-    at = 0
-    while True:
-        while content[at : at + 2] == b"\r\n":
-            at += 2
-        if at >= len(content):
-            return
-        end = content.find(b"\r\n\r\n", at)
-        if not content.startswith(b"WARC/", at) or end < 0:
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = {}
-        for line in content[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
-            name, _, value = line.partition(":")
-            headers[name.strip().lower()] = value.strip()
-        size = int(headers["content-length"])
-        yield headers, content[end + 4 : end + 4 + size]
-        at = end + 4 + size
+_BETWEEN = b"\r\n\r\nWARC/1."
+
+
+def _stated(start: bytes) -> tuple[dict[str, str], int, int]:
+    """Headers (names in lower case) of the record that begins so, where its block begins and where it ends."""
+    end = start.find(b"\r\n\r\n")
+    if not start.startswith(b"WARC/") or end < 0:
+        raise ValueError(f"no WARC record: {start[:40]!r}")
+    headers = {}
+    for line in start[:end].decode("utf-8", "replace").split("\r\n")[1:]:
+        name, _, value = line.partition(":")
+        headers[name.strip().lower()] = value.strip()
+    return headers, end + 4, end + 4 + int(headers["content-length"])
+
+
+def whole_records(parts: Iterator[tuple[object, bytes]]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of each record, from (file, part) in order: files cut at _BETWEEN, which
+    may stand in a payload too; there the parts are put together again."""
+    file, held, size, need = None, [], 0, (({}), 0, 0)
+
+    def finished() -> tuple[dict[str, str], bytes]:
+        if size < need[2]:
+            raise ValueError(f"a WARC record ends after {size} of {need[2]} bytes")
+        return need[0], b"".join(held)[need[1] : need[2]]
+
+    for at, part in parts:
+        if held and at == file and size < need[2]:
+            held += [_BETWEEN, part]
+            size += len(_BETWEEN) + len(part)
+            continue
+        if held:
+            yield finished()
+        start = part.lstrip(b"\r\n") if at != file else _BETWEEN[4:] + part
+        held, size, file = [start], len(start), at
+        if start:
+            need = _stated(start)
+        else:
+            held = []
+    if held:
+        yield finished()
 
 
 _FIELDS = ("warc-type", "warc-record-id", "warc-concurrent-to", "warc-refers-to", "warc-target-uri", "warc-date", "warc-payload-digest", "content-type")
 _RECORD = "type string, record_id string, concurrent_to string, refers_to string, target_uri string, date string, payload_digest string, content_type string, http_head string, content string, content_bytes long, content_digest string"
 
 
-def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _told(records: Iterator[tuple[dict[str, str], bytes]]) -> Iterator[pa.RecordBatch]:
     names = [f.split()[0] for f in _RECORD.split(", ")]
-    for pdf in batches:
-        for content in pdf["content"]:
+    types = [pa.int64() if n == "content_bytes" else pa.string() for n in names]
+    out, size = [], 0
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+    for headers, block in records:
+        head, body = "", block
+        if headers.get("content-type", "").startswith("application/http"):
+            cut = block.find(b"\r\n\r\n")
+            head, body = (block[:cut].decode("latin-1"), block[cut + 4 :]) if cut >= 0 else (block.decode("latin-1"), b"")
+        out.append((*(headers.get(f) for f in _FIELDS), head, body.decode("utf-8", "replace"), len(body), hashlib.sha256(body).hexdigest()))
+        size += len(body) + 200
+        if size > 1 << 22:
+            yield batch()
             out, size = [], 0
-            for headers, block in parse_archive(content):
-                head, body = "", block
-                if headers.get("content-type", "").startswith("application/http"):
-                    cut = block.find(b"\r\n\r\n")
-                    head, body = (block[:cut].decode("latin-1"), block[cut + 4 :]) if cut >= 0 else (block.decode("latin-1"), b"")
-                out.append((*(headers.get(f) for f in _FIELDS), head, body.decode("utf-8", "replace"), len(body), hashlib.sha256(body).hexdigest()))
-                size += len(body)
-                if size > 1 << 22:
-                    yield pd.DataFrame(out, columns=names)
-                    out, size = [], 0
-            if out:
-                yield pd.DataFrame(out, columns=names)
+    if out:
+        yield batch()
+
+
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _told(whole_records((f.as_py(), v.as_py()) for b in batches for f, v in zip(b.column(0), b.column(1), strict=True)))
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cut = lambda k, content: ((k, part) for part in content.split(_BETWEEN))
+    yield from _told(whole_records(p for b in batches for k, v in enumerate(b.column(0)) for p in cut((id(b), k), v.as_py())))
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """A row for each record of the archives in ``path``; content is the block without its HTTP head."""
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(_records, _RECORD)
+    packed = spark.read.option("pathGlobFilter", "*.gz").option("lineSep", _BETWEEN.decode()).text(path)
+    packed = packed.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value")).mapInArrow(_streamed, _RECORD)
+    plain = spark.read.format("binaryFile").option("pathGlobFilter", "*[^z]").load(path).select("content").mapInArrow(_held, _RECORD)
+    return packed.union(plain)
 
 
 def transactions(records: DataFrame) -> DataFrame:
@@ -160,7 +195,9 @@ def captures(spark: SparkSession, path: str, with_content: bool = True) -> DataF
     out = out.withColumn("payload_bytes", F.when(revisit, F.regexp_extract("response.http_head", r"(?mi)^content-length: *(\d+)", 1).cast("long")).otherwise(F.col("response.content_bytes")))
     out = out.withColumn("payload_digest", F.when(revisit, F.regexp_extract("response.payload_digest", "^sha256:([0-9a-f]{64})$", 1)).otherwise(F.col("response.content_digest")))
     ids = records.where("type = 'metadata'").select(F.col("concurrent_to").alias("_target"), F.regexp_extract("content", r"(?m)^page-id: (.*?)\r?$", 1).alias("refers_to"))
-    return out.join(ids, F.col("response.refers_to") == F.col("_target"), "left").drop("_target")
+    # only revisits refer to a record, many of them perhaps to the same
+    told = join_hot(out.where(F.col("response.refers_to").isNotNull()).withColumn("_at", F.col("response.refers_to")), saved(ids, "ids"), {"_at": "_target"}, ["record_id"], 160).drop("_at")
+    return told.unionByName(out.where(F.col("response.refers_to").isNull()).withColumn("refers_to", F.lit(None).cast("string")))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -312,15 +312,48 @@ def test_warc_of_repeated_ids(spark, tmp_path):
     assert all(r.request.content_type.endswith("request") and r.metadata.content.startswith("page-id: 1") for r in out)
 
 
-def test_archives_with_a_gzip_member_a_record():
+def archive_record(k, body, more=b""):
+    return b"WARC/1.1\r\nWARC-Type: " + k + b"\r\n" + more + b"Content-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+
+
+def test_archives_of_any_origin(spark, tmp_path):
     import gzip
 
-    one = lambda k, body: b"WARC/1.1\r\nWARC-Type: " + k + b"\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
-    parts = [(b"response", b"a\r\n\r\nb"), (b"metadata", b"")]
-    packed = b"".join(gzip.compress(one(*p)) for p in parts)
-    assert [(h["warc-type"].encode(), b) for h, b in warc.parse_archive(packed)] == parts
-    with pytest.raises(ValueError):
-        list(warc.parse_archive(b"nonsense"))
+    parts = [(b"response", b"a\r\n\r\nb"), (b"metadata", b""), (b"response", b"x\r\n\r\nWARC/1.1\r\nWARC-Type: fake\r\n\r\nWARC/1.0 y\r\n"), (b"resource", b"\r\n\r\n"), (b"response", bytes(range(256)))]
+    (tmp_path / "members.warc.gz").write_bytes(b"".join(gzip.compress(archive_record(*p)) for p in parts))
+    (tmp_path / "one.warc.gz").write_bytes(gzip.compress(b"".join(archive_record(*p) for p in parts)))
+    (tmp_path / "plain.warc").write_bytes(b"".join(archive_record(*p) for p in parts))
+    (tmp_path / "empty.warc.gz").write_bytes(gzip.compress(b""))
+    got = sorted((r.type, r.content_bytes, r.content_digest) for r in warc.read_records(spark, str(tmp_path)).collect())
+    assert got == sorted([(k.decode(), len(b), hashlib.sha256(b).hexdigest()) for k, b in parts] * 3)
+    for bad in (b"nonsense", archive_record(b"x", b"cut off")[:-12]):
+        with pytest.raises(ValueError):
+            list(warc.whole_records(iter([(0, bad)])))
+
+
+def test_a_large_archive_takes_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def batches():  # 300 MB of records in one file
+        body = archive_record(b"response", b"z" * 300_000)[:-4]
+        for k in range(100):
+            rows = [body if k == i == 0 else body[7:] for i in range(10)]
+            yield pa.RecordBatch.from_arrays([pa.array([1] * 10, pa.int64()), pa.array(rows, pa.binary())], names=["file", "value"])
+
+    tracemalloc.start()
+    n = sum(b.num_rows for b in warc._streamed(batches()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 1000 and peak < 40 << 20
+
+
+def test_one_payload_in_most_pages(spark, same, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    rows = [(i, f"http://h/{i}", "<p>" + ("same " * 40 if i % 10 else f"own {i} " * 40)) for i in range(600)]
+    folder = written(spark, tmp_path, pages=spark.createDataFrame(rows, "page_id long, url string, html string"))
+    same(warc.op6_warc(spark, folder), warc.ORACLE, folder)
 
 
 def test_chat_escapes_come_back():
