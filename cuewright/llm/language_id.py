@@ -36,7 +36,12 @@ EPOCHS, BATCH, RATE = 10, 64, 0.01
 #: Windows scored at once.
 AT_ONCE = 256
 _STRIDE = WINDOW - max(WIDTHS) + 1
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter (of any script; a number sign such as ½ is none)."""
+    return any(m[0].isalpha() for m in _MAYBE_LETTER.finditer(text))
 
 
 def windows(text: str) -> np.ndarray:
@@ -71,6 +76,24 @@ class Network:
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        """Slopes of the mean log loss of windows x with labels y, by the weights in order."""
+        places = [r.argmax(axis=1) for r in self.responses(x)]
+        row, col = np.arange(len(x))[:, None], np.arange(FILTERS)[None, :]
+        pooled = np.concatenate([sum(t[k][x[row, p + k], col] for k in range(w)) for w, t, p in zip(WIDTHS, self.tables, places, strict=True)], axis=1)
+        p = self.probabilities(pooled)
+        p[np.arange(len(y)), y] -= 1
+        p /= len(y)
+        hidden = np.maximum(pooled, 0)
+        back = (p @ self.out.T) * (pooled > 0)
+        slopes = []
+        for i, (w, t) in enumerate(zip(WIDTHS, self.tables, strict=True)):
+            g = np.zeros_like(t)
+            for k in range(w):
+                np.add.at(g[k], (x[row, places[i] + k], np.broadcast_to(col, places[i].shape)), back[:, i * FILTERS : (i + 1) * FILTERS])
+            slopes.append(g)
+        return [*slopes, hidden.T @ p, p.sum(axis=0)]
+
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Network:
         rng = np.random.default_rng(seed)
         weights = [*self.tables, self.out, self.bias]
@@ -79,24 +102,9 @@ class Network:
         for _ in range(epochs):
             order = rng.permutation(len(x))
             for at in range(0, len(x), BATCH):
-                xb, yb = x[order[at : at + BATCH]], y[order[at : at + BATCH]]
-                places = [r.argmax(axis=1) for r in self.responses(xb)]
-                row, col = np.arange(len(xb))[:, None], np.arange(FILTERS)[None, :]
-                pooled = np.concatenate([sum(t[k][xb[row, p + k], col] for k in range(w)) for w, t, p in zip(WIDTHS, self.tables, places, strict=True)], axis=1)
-                p = self.probabilities(pooled)
-                p[np.arange(len(yb)), yb] -= 1
-                p /= len(yb)
-                hidden = np.maximum(pooled, 0)
-                back = (p @ self.out.T) * (pooled > 0)
-                slopes = []
-                for i, (w, t) in enumerate(zip(WIDTHS, self.tables, strict=True)):
-                    g = np.zeros_like(t)
-                    for k in range(w):
-                        np.add.at(g[k], (xb[row, places[i] + k], np.broadcast_to(col, places[i].shape)), back[:, i * FILTERS : (i + 1) * FILTERS])
-                    slopes.append(g)
-                slopes += [hidden.T @ p, p.sum(axis=0)]
+                batch = order[at : at + BATCH]
                 step += 1
-                for w_, g, m, v in zip(weights, slopes, first, second, strict=True):  # Adam
+                for w_, g, m, v in zip(weights, self.gradients(x[batch], y[batch]), first, second, strict=True):  # Adam
                     m += 0.1 * (g - m)
                     v += 0.001 * (g * g - v)
                     w_ -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -152,7 +160,7 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
         for pdf in batches:
             out = []
             for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
-                if _LETTER.search(text):
+                if has_letter(text):
                     w = windows(text)
                     out += [(lang, w[i].tobytes()) for i in sorted({int(i) for i in np.linspace(0, len(w) - 1, SAMPLE_WINDOWS)})]
             yield pd.DataFrame(out, columns=["lang", "window"])
@@ -171,7 +179,7 @@ def predict(df: DataFrame, network: Network | None, text_col: str = "text", keep
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(network) if network else None
         for pdf in batches:
-            texts = [t if _LETTER.search(t) else "" for t in pdf.pop("_text")]
+            texts = [t if has_letter(t) else "" for t in pdf.pop("_text")]
             langs, scores = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
             for a, b in tb.pieces(texts) if scorer else ():
                 at = [i for i in range(a, b) if texts[i]]

@@ -7,7 +7,7 @@ flattened into arrays, and all trees are walked at once, a level at a time, for
 documents.
 
 Nulls and ties: a null or empty text has statistics of zero and is scored like any other; rows
-whose label is null, and ids that are null, aren't learned from; an id with several labels is
+whose label is null, and ids that are null, aren't learned from; an id with both labels is
 learned from once for each; equal gains go to the first statistic and bin; without labels every
 score is 0.5; repeated rows each come out; an empty table gives an empty result. Columns
 besides the named ones aren't read.
@@ -135,7 +135,7 @@ def grow(x: np.ndarray, y: np.ndarray) -> Forest:
 
 def train(df: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE) -> Forest:
     """Trees for the labelled rows that aren't held out, at most about ``sample`` of them (drawn by hash of the id)."""
-    known = labels.where(~held_out(id_col, 3, 1) & F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y"))
+    known = labels.where(~held_out(id_col, 3, 1) & F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y")).distinct()
     n = known.count()
     drawn = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(min(1.0, sample / max(1, n)) * (1 << 20)))
 
@@ -146,7 +146,7 @@ def train(df: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
                 yield pd.DataFrame({"y": pdf["_y"].to_numpy()[a:b], "x": list(statistics(texts[a:b]))})
 
     texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = texts.join(F.broadcast(drawn), "_id").select("_y", "_text")  # about ``sample`` rows at most
+    rows = texts.join(F.broadcast(drawn), "_id").select("_y", "_text")  # about ``sample`` ids at most, each with both labels at most
     got = rows.mapInPandas(run, "y double, x array<float>").toPandas()
     x = np.stack(got["x"].to_numpy()).astype(np.float32) if len(got) else np.zeros((0, len(STATISTICS)), np.float32)
     y = got["y"].to_numpy(dtype=np.float64)

@@ -530,3 +530,72 @@ def test_many_spans_in_long_texts(spark, same, tmp_path, monkeypatch):
 def test_verdicts_of_a_hot_host_without_broadcasts(spark, sf_dir, same, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
     same(quality_rules.op9_quality_rules(spark, sf_dir), quality_rules.ORACLE, sf_dir)
+
+
+def plain_loss(net, x, y):
+    total = 0.0
+    for window, label in zip(x, y, strict=True):
+        pooled = [max(sum(t[k][window[i + k]][f] for k in range(w)) for i in range(len(window) - w + 1)) for w, t in zip(language_id.WIDTHS, net.tables, strict=True) for f in range(language_id.FILTERS)]
+        z = [sum(max(h, 0) * net.out[j][c] for j, h in enumerate(pooled)) + net.bias[c] for c in range(len(net.bias))]
+        total += np.log(sum(np.exp(v) for v in z)) - z[label]
+    return total / len(y)
+
+
+def test_gradients_are_those_of_a_plain_loss():
+    rng = np.random.default_rng(3)
+    net = language_id.Network(["a", "b", "c"])
+    net.tables, net.out, net.bias = [t.astype(np.float64) for t in net.tables], net.out.astype(np.float64), net.bias.astype(np.float64)
+    x, y = rng.integers(97, 101, (3, 12)).astype(np.uint8), np.array([0, 2, 1])
+    slopes = net.gradients(x, y)
+    for weights, slope in zip([*net.tables, net.out, net.bias], slopes, strict=True):
+        for place in [np.unravel_index(k, slope.shape) for k in np.argsort(-np.abs(slope), axis=None)[:3]]:
+            was = weights[place]
+            weights[place] = was + 1e-6
+            up = plain_loss(net, x, y)
+            weights[place] = was - 1e-6
+            down = plain_loss(net, x, y)
+            weights[place] = was
+            assert np.isclose((up - down) / 2e-6, slope[place], atol=1e-5)
+
+
+def test_predictions_are_means_over_windows(spark):
+    texts = ["the cat sat on the mat " * 40, "der Hund und die Katze", "x" * 300, "½ ² Ⅷ 12", "é", ""]
+    net = language_id.Network(["de", "en"])
+    got = {r.doc_id: r for r in language_id.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), net).collect()}
+    for i, t in enumerate(texts):
+        if not any(c.isalpha() for c in t):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        p = np.mean([net.probabilities(np.concatenate([r.max(axis=1) for r in net.responses(w[None])], axis=1))[0] for w in language_id.windows(t)], axis=0)
+        assert got[i].lang_pred == net.languages[int(p.argmax())] and np.isclose(got[i].score, p.max(), atol=1e-5)
+
+
+def test_splits_are_the_best_of_all():
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 12, (300, 3)).astype(np.float32)
+    y = (x[:, 1] > 7).astype(float)
+    f = quality_classifier.grow(x, y)
+    share = (y.sum() + 1) / (len(y) + 2)
+    g, h = y - share, np.full(len(y), share * (1 - share))
+    score = lambda m: g[m].sum() ** 2 / (h[m].sum() + quality_classifier.SHRINK)
+    gains = {(k, v): score(x[:, k] <= v) + score(x[:, k] > v) - score(x[:, k] > -1) for k in range(3) for v in range(11)}
+    best = max(gains, key=gains.get)
+    assert (int(f.feature[0, 0]), float(f.threshold[0, 0])) == (best[0], float(best[1]))
+
+
+def test_repeated_labels_are_learned_from_once(spark):
+    docs = spark.createDataFrame([(i, f"word{i} " * (5 + i % 7)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    one, many = (quality_classifier.train(docs, x) for x in (labels, labels.union(labels).union(labels.where("doc_id = 3"))))
+    assert one.prior == many.prior and np.array_equal(one.value, many.value)
+
+
+def test_pages_and_labels_with_clashing_columns(spark, tmp_path):
+    clash = {c: F.lit("clash") for c in (*CLASHES, "digest", "bytes", "capture", "first", "file", "value", "y", "x", "score")}
+    pages = spark.createDataFrame([(1, "u", "<p>a</p>" * 40), (2, "u", "<p>a</p>" * 40), (3, "u", "<p>" + "long " * 300_000)], "page_id long, url string, html string").withColumns(clash)
+    docs = spark.createDataFrame([(i, f"word{i} text", "en", "s", 1) for i in range(8)], DOCS).withColumns(clash)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(8)], "doc_id long, quality int, toxic int").withColumns({c: v for c, v in clash.items()})
+    folder = written(spark, tmp_path, pages=pages, documents=docs, labels=labels)
+    assert [len(r.text) for r in html_text.op3_html_extraction(spark, folder).orderBy("page_id").collect()] == [118, 118, 1_499_999]
+    assert [r.record_type for r in warc.op6_warc(spark, folder).orderBy("page_id").collect()] == ["response", "revisit", "response"]
+    assert quality_classifier.op10_quality_classifier(spark, folder).count() == 8
