@@ -9,20 +9,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from .text import strip
+from .text import CLAUSE_MARKS, strip
 
 
 def numbered_output(text: Column, n: Column | int) -> Column:
-    """n texts from lines "[i] text": others are ignored, the last of a number wins, missing are empty.
-    Without any numbered line, the lines themselves."""
+    """n texts from "[i] text" (over lines, up to the next number): the last of a number wins, missing are
+    empty. Without any, the lines themselves, without what numbers them."""
     n = F.lit(n) if isinstance(n, int) else n
-    line = r"(?m)^\s*\[(\d{1,9})\][ \t]*(.*?)[ \t\r]*$"
-    numbers = F.transform(F.regexp_extract_all(text, F.lit(line), F.lit(1)), lambda x: x.cast("int"))
-    texts = F.regexp_extract_all(text, F.lit(line), F.lit(2))
+    text = strip(text)
+    entry = r"(?s)\[(\d{1,9})\]\s*(.+?)(?=\s*\[\d+\]|\z)"
+    found = F.arrays_zip(F.transform(F.regexp_extract_all(text, F.lit(entry), F.lit(1)), lambda x: x.cast("int")).alias("k"), F.regexp_extract_all(text, F.lit(entry), F.lit(2)).alias("t"))
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: strip(x)), lambda x: x != "")
     wanted = F.sequence(F.lit(1), n)
-    plain = F.transform(wanted, lambda i: F.coalesce(F.get(lines, i - 1), F.lit("")))
-    return F.when(n < 1, F.array().cast("array<string>")).when(F.size(numbers) > 0, F.transform(wanted, lambda i: F.coalesce(F.try_element_at(F.filter(F.arrays_zip(numbers.alias("k"), texts.alias("t")), lambda z: z["k"] == i), F.lit(-1))["t"], F.lit("")))).otherwise(plain)
+    numbered = F.transform(wanted, lambda i: F.coalesce(strip(F.try_element_at(F.filter(found, lambda z: z["k"] == i), F.lit(-1))["t"]), F.lit("")))
+    plain = F.transform(wanted, lambda i: F.coalesce(strip(F.regexp_replace(F.get(lines, i - 1), r"^\[?\d+\]?\s*[:.\-]?\s*", "")), F.lit("")))
+    return F.when(n < 1, F.array().cast("array<string>")).when(F.exists(numbered, lambda x: x != ""), numbered).otherwise(plain)
 
 
 def simple_output(text: Column, n: int) -> Column:
@@ -47,30 +48,22 @@ def corpus_context(scene: Column, hotwords: Column) -> Column:
     return F.when(F.size(data) > 0, F.to_json(F.struct(F.lit("dialog_ctx").alias("context_type"), data.alias("context_data"))))
 
 
-_BREAKS = "，。！？；：、,.!?;:"
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def split_at_ratio(text: pd.Series, ratio: pd.Series) -> pd.Series:
-    """Two parts of a text, cut at the mark nearest the ratio (the right one of two as near), which
-    goes; at the ratio itself without a mark."""
-
-    def cut(t: str | None, r: float) -> list[str] | None:
-        if t is None:
-            return None
-        want = round(len(t) * r)
-        marks = [i for i, c in enumerate(t) if c in _BREAKS and 0 < i < len(t) - 1]
-        if not marks:
-            return [t[:want], t[want:]]
-        i = min(marks, key=lambda k: (abs(k - want), -k))
-        return [t[:i], t[i + 1 :]]
-
-    return pd.Series([cut(t, r) for t, r in zip(text, ratio, strict=True)])
+def split_at_ratio(text: Column, ratio: Column) -> Column:
+    """Two parts of a text, cut at the mark nearest the ratio (the one at or after it of two as near),
+    which goes; at the ratio itself, but after a character at least, without a mark."""
+    want = F.floor(F.length(text) * ratio + 0.5).cast("int")
+    left, right = F.substring(text, F.lit(1), want), F.substring(text, want + 1, F.length(text))
+    after = F.length(F.regexp_extract(right, rf"(?s)^([^{CLAUSE_MARKS}]*)[{CLAUSE_MARKS}]", 1))
+    before = F.length(F.regexp_extract(left, rf"(?s)[{CLAUSE_MARKS}]([^{CLAUSE_MARKS}]*)\z", 1))
+    has = lambda part: part.rlike(f"[{CLAUSE_MARKS}]")
+    at = F.when(has(right) & (~has(left) | (after <= before)), want + after).when(has(left), want - 1 - before)
+    cut = F.greatest(F.lit(1), want)
+    return F.array(F.substring(text, F.lit(1), F.coalesce(at, cut)), F.substring(text, F.coalesce(at + 1, cut) + 1, F.length(text)))
 
 
 def name_variants(a: str, b: str) -> list[str]:
-    """Spellings of a two-part name."""
-    return [f"{a}{s}{x}" for s in ("'", "", " ", "-") for x in (b.lower(), b)]
+    """Spellings that a translation may give a two-part name: an apostrophe or nothing between."""
+    return [f"{a}'{b.lower()}", f"{a}{b.lower()}"]
 
 
 @F.pandas_udf(StringType())
@@ -93,7 +86,7 @@ def repair_names(text: pd.Series, names: pd.Series) -> pd.Series:
             parts = name.split() if name else []
             if len(parts) != 2 or name.lower() in t.lower():
                 continue
-            for v in name_variants(*parts)[:4]:  # with an apostrophe or with nothing between
+            for v in name_variants(*parts):
                 t, n = re.subn(re.escape(v), lambda _, name=name: name, t, flags=re.IGNORECASE)
                 if n:
                     break

@@ -30,23 +30,33 @@ def max_chars(duration_ms: Column, cps: float = TARGET_CPS) -> Column:
 
 
 def fit(trimmed: Column, budget: Column, extend: Column, max_rate: float = 1.3) -> Column:
-    """status, rate and final_ms of speech of ``trimmed`` ms in a window that may grow by ``extend``."""
+    """status, rate and final_ms of speech of ``trimmed`` ms in a window that may grow by ``extend``:
+    speech is filled up to the window, or to the longer one; what doesn't fit at all stays as long as it is."""
     longer = budget + extend
     out = lambda status, rate, final: F.struct(F.lit(status).alias("status"), rate.cast("double").alias("rate"), final.cast("long").alias("final_ms"))
     one = F.lit(1.0)
     return (
-        F.when(trimmed <= budget, out("success", one, trimmed))
+        F.when(trimmed <= budget, out("success", one, budget))
         .when(trimmed <= max_rate * budget, out("rate_adjusted", trimmed / budget, budget))
-        .when((extend > 0) & (trimmed <= longer), out("extended", one, trimmed))
+        .when((extend > 0) & (trimmed <= longer), out("extended", one, longer))
         .when((extend > 0) & (trimmed <= max_rate * longer), out("extended", trimmed / longer, longer))
         .otherwise(out("failed", trimmed / F.greatest(budget, F.lit(1)), trimmed))
     )
 
 
-def alignment_tier(spoken: Column, window: Column, aggressive: Column) -> Column:
-    """By the share of the window to the speech; fixed limits."""
-    share = window / F.greatest(spoken, F.lit(1))
-    return F.when(share >= 1, "fits").when(share >= 0.8, "safe").when(share >= 0.625, "moderate").when((share >= 0.5) & aggressive, "aggressive").otherwise("hard_cut")
+def alignment_tier(spoken: Column, window: Column, aggressive: Column, start: Column | None = None, next_start: Column | None = None) -> Column:
+    """How speech of ``spoken`` ms gets into a window: filled up, let run over where the next one
+    starts late enough, or sped up by the share of the window to the speech; fixed limits."""
+    share = window / spoken
+    free = (start + spoken <= next_start) if start is not None and next_start is not None else F.lit(False)
+    return (
+        F.when(spoken <= window, "padding")
+        .when(free, "overflow_allowed")
+        .when(share >= 0.8, "safe")
+        .when(share >= 0.625, "moderate")
+        .when((share >= 0.5) & aggressive, "aggressive")
+        .otherwise("hard_cut")
+    )
 
 
 #: Words of address that allow a loose translation; fixed values.
@@ -73,6 +83,11 @@ def length_fit(candidate: Column, compressed: Column, limit: Column) -> Column:
     )
 
 
+def speed(spoken: Column, budget: Column) -> Column:
+    """The bucket of the speed that brings speech into a budget; 1 where the budget is empty."""
+    return F.when(budget > 0, speed_bucket(spoken / budget)).otherwise(F.lit(1.0))
+
+
 def speed_bucket(ratio: Column) -> Column:
     """A speed to one decimal, a half to even, from 0.7 to 1.3."""
     return F.least(F.greatest(F.bround(ratio, 1), F.lit(0.7)), F.lit(1.3))

@@ -31,8 +31,20 @@ def strip_trailing_marks(text: Column) -> Column:
 
 
 def clean_output(text: Column) -> Column:
-    """A translation without separators, name and slang placeholders."""
-    return collapse_space(F.regexp_replace(F.regexp_replace(text, r"<sep>|<<NAME_\d+(?::[^>]*)?>>", ""), r"<SLANG:[^>]*>", ""))
+    """A translation without name and slang placeholders; separators become spaces."""
+    for pattern, by in ((r"<sep>", " "), (r"<<NAME_\d+(?::[^>]*)?>>", ""), (r"<SLANG:[^>]+>", "")):
+        text = F.regexp_replace(text, pattern, by)
+    return collapse_space(text)
+
+
+#: Marks between clauses; fixed values.
+CLAUSE_MARKS = "，。！？、；：,.!?;:"
+
+
+def merge_texts(text: Column, following: Column) -> Column:
+    """Two texts as one, with a comma between them where the first isn't empty and ends in no mark."""
+    bare = (text != "") & ~text.rlike(rf"[{CLAUSE_MARKS}]\z")
+    return F.concat(text, F.when(bare, F.lit("，")).otherwise(F.lit("")), following)
 
 
 def only_marks(text: Column) -> Column:

@@ -1,7 +1,8 @@
 """Glossary terms in texts.
 
-A glossary is small (its size is checked by the caller's broadcast), texts are many: terms
-are joined by containment against a broadcast glossary, so that texts aren't shuffled.
+A glossary that fits is broadcast (its bytes are summed first), so that texts aren't shuffled.
+Beyond that terms meet texts by their first two characters: only texts' ids, starts of words
+and the terms are shuffled, each text once for a start that it holds.
 """
 
 from __future__ import annotations
@@ -9,24 +10,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_TERMS = 10_000
+#: Most bytes of a glossary that is broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
-def term_hits(texts: DataFrame, glossary: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
-    """key and hits (src:target by term) of the texts that hold a term; an ambiguous term needs
-    one of its indicators in the text. Glossary: src, target, indicators (null: not ambiguous)."""
-    n = glossary.limit(MAX_TERMS + 1).count()
-    if n > MAX_TERMS:
-        raise ValueError(f"a glossary has at most {MAX_TERMS} terms")
+def _meeting(texts: DataFrame, glossary: DataFrame, text: str) -> DataFrame:
+    """Texts with each term that stands in them; an ambiguous term needs one of its indicators in the text."""
     t = F.col(text)
     context = F.col("indicators").isNull() | F.exists("indicators", lambda w: t.contains(w))
-    hits = texts.join(F.broadcast(glossary), t.contains(F.col("src")) & context)
-    return hits.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "src", "target"))), ",").alias("hits"))
+    holds = t.contains(F.col("src")) & context
+    width = 64 + F.octet_length("src") + F.octet_length("target") + F.coalesce(F.octet_length(F.array_join("indicators", ",")), F.lit(0))
+    if (glossary.agg(F.sum(width.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES:
+        return texts.join(F.broadcast(glossary), holds)
+    pairs = F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.substring(t, i, F.lit(2)))
+    starts = F.array_distinct(F.concat(pairs, F.split(t, ""), F.array(F.lit(""))))
+    begun = texts.withColumn("_start", F.explode(F.when(F.length(t) > 0, starts).otherwise(F.array(F.lit("")))))
+    return begun.join(glossary.withColumn("_start", F.substring("src", 1, 2)), "_start").where(holds).drop("_start")
+
+
+def term_hits(texts: DataFrame, glossary: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
+    """key and hits (src:target by term) of the texts that hold a term. Glossary: src, target, indicators (null: not ambiguous)."""
+    return _meeting(texts, glossary, text).groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "src", "target"))), ",").alias("hits"))
 
 
 def violations(texts: DataFrame, glossary: DataFrame, text: str, output: str, key: str = "id") -> DataFrame:
-    """key and src where a term stands in a text and its target not in the output (any case)."""
-    return texts.join(F.broadcast(glossary), F.col(text).contains(F.col("src")) & ~F.lower(output).contains(F.lower("target"))).select(key, "src")
+    """key and src where a term stands in a text (an ambiguous one with an indicator) and its target not in the output (any case)."""
+    return _meeting(texts, glossary, text).where(~F.lower(output).contains(F.lower("target"))).select(key, "src")
 
 
 def fuzzy_match(sentences: DataFrame, segments: DataFrame, by: str) -> DataFrame:
@@ -36,13 +45,6 @@ def fuzzy_match(sentences: DataFrame, segments: DataFrame, by: str) -> DataFrame
     return j.groupBy(by, "sentence_id").agg(F.min("segment_id").alias("segment_id"))
 
 
-def replace_terms(text: Column, terms: dict[str, str]) -> Column:
-    """Literal replacements, one after another, longer terms first."""
-    for src in sorted(terms, key=lambda x: (-len(x), x)):
-        text = F.replace(text, F.lit(src), F.lit(terms[src]))
-    return text
-
-
 def name_report(texts: DataFrame, names: str, key: str = "id", group: str = "episode_id") -> DataFrame:
     """name, n (uses), n_groups and n_texts of an array column of names, most used first by n."""
     each = texts.select(key, group, F.explode(names).alias("name"))

@@ -42,6 +42,14 @@ def classify(old: DataFrame, new: DataFrame, key: str, source: list[str], role:
     return out.withColumn("restart", restart)
 
 
+def restarts(changes: DataFrame, by: str) -> DataFrame:
+    """Where work on each group starts again: at the earliest place that any of its changes asks for
+    (source_review, then tts, then translation_review); null where nothing changed."""
+    order = F.array(F.lit("source_review"), F.lit("tts"), F.lit("translation_review"))
+    first = F.min(F.nullif(F.array_position(order, F.coalesce("restart", F.lit(""))), F.lit(0)))
+    return changes.groupBy(by).agg(F.get(order, (first - 1).cast("int")).alias("restart"))
+
+
 def prune(rows: DataFrame, keep: DataFrame, key: str, used: DataFrame, used_key: str) -> DataFrame:
     """Rows that are kept by ``keep``, or still used."""
     gone = rows.join(keep.select(key), key, "left_anti").join(used.select(F.col(used_key).alias("_used")).where("_used is not null").distinct(), F.col("id") == F.col("_used"), "left_anti")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.adapters import GATES, STEPS
+from ..sources.adapters import GATE_AFTER, PHASES, STEPS
 
-#: Stages of the display and their steps; fixed values.
-STAGES = {"prepare": ("extract", "asr"), "source": ("parse", "source_review"), "translation": ("translate", "translation_review"), "voice": ("tts",), "output": ("mix", "burn")}
+#: Stages of the display and their phases; fixed values.
+STAGES = {"extract": ("extract",), "recognize": ("asr", "parse"), "translate": ("translate",), "dub": ("tts", "mix"), "compose": ("burn",)}
 
 
 def latest(tasks: DataFrame, *keys: str) -> DataFrame:
@@ -23,26 +23,46 @@ def episode_status(episodes: DataFrame, tasks: DataFrame) -> DataFrame:
     return episodes.join(t, F.col("id") == F.col("_e"), "left").select("id", status.alias("derived"))
 
 
-def steps(tasks: DataFrame) -> DataFrame:
-    """Every step of every episode with its newest status (pending without a task)."""
-    grid = tasks.select("episode_id").distinct().select("episode_id", F.posexplode(F.array(*(F.lit(s) for s in STEPS))).alias("ordinal", "type"))
-    return grid.join(latest(tasks.select("episode_id", "type", "id", "status"), "episode_id", "type").drop("id"), ["episode_id", "type"], "left").withColumn("status", F.coalesce("status", F.lit("pending")))
+def _newest(episodes: DataFrame, tasks: DataFrame) -> DataFrame:
+    """episode_id, of (newest status by type, null without tasks) and legacy: succeeded before there were tasks of phases."""
+    t = latest(tasks.select("episode_id", "type", "id", "status"), "episode_id", "type")
+    t = t.groupBy(F.col("episode_id").alias("_e")).agg(F.map_from_entries(F.collect_list(F.struct("type", "status"))).alias("of"), F.bool_or(F.col("type").isin(*PHASES)).alias("has"))
+    e = episodes.select(F.col("id").alias("episode_id"), F.col("status").alias("_s")).join(t, F.col("episode_id") == F.col("_e"), "left")
+    return e.select("episode_id", "of", (F.col("_s").eqNullSafe("succeeded") & ~F.coalesce("has", F.lit(False))).alias("legacy"))
 
 
-def gate_status(all_steps: DataFrame) -> DataFrame:
-    before = {g: STEPS[STEPS.index(g) - 1] for g in GATES}
-    wide = all_steps.groupBy("episode_id").agg(*(F.max(F.when(F.col("type") == s, F.col("status"))).alias(s) for s in STEPS))
-    state = lambda g: F.when(F.col(g) == "succeeded", "passed").when(F.col(before[g]) == "succeeded", "awaiting").otherwise("pending")
-    return wide.select("episode_id", *(state(g).alias(g) for g in GATES))
+def phases(episodes: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Every phase of every episode (id, status) with its newest status; without a task it is pending,
+    or succeeded where the episode was before there were tasks."""
+    e = _newest(episodes, tasks).select("episode_id", "of", "legacy", F.posexplode(F.array(*(F.lit(p) for p in PHASES))).alias("ordinal", "type"))
+    return e.select("episode_id", "ordinal", "type", F.coalesce(F.col("of")[F.col("type")], F.when(F.col("legacy"), "succeeded").otherwise("pending")).alias("status"))
 
 
-def stage_status(all_steps: DataFrame) -> DataFrame:
+def gate_status(episodes: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Every gate of every episode: passed, awaiting (the phase before it is done) or pending."""
+    of = F.col("of")
+    state = lambda phase, gate: F.when(F.col("legacy") | of[gate].eqNullSafe("succeeded"), "passed").when(of[phase].eqNullSafe("succeeded"), "awaiting").otherwise("pending")
+    return _newest(episodes, tasks).select("episode_id", *(state(phase, gate).alias(gate) for phase, gate in GATE_AFTER.items()))
+
+
+def stage_status(all_phases: DataFrame) -> DataFrame:
     stage = F.lit(None).cast("string")
     for name, of in STAGES.items():
         stage = F.when(F.col("type").isin(*of), name).otherwise(stage)
     s = F.col("status")
     rolled = F.when(F.bool_or(s == "failed"), "failed").when(F.bool_or(s == "running"), "running").when(F.bool_and(s.isin("succeeded", "skipped")), "succeeded").otherwise("pending")
-    return all_steps.groupBy("episode_id", stage.alias("stage")).agg(rolled.alias("status"))
+    return all_phases.groupBy("episode_id", stage.alias("stage")).agg(rolled.alias("status"))
+
+
+def active_range(first: str | None = None, last: str | None = None) -> tuple[str, ...]:
+    """Phases from ``first`` to ``last``, by default all."""
+    for p in (first, last):
+        if p is not None and p not in PHASES:
+            raise ValueError(f"unknown phase: {p}")
+    a, b = PHASES.index(first) if first else 0, PHASES.index(last) if last else len(PHASES) - 1
+    if a > b:
+        raise ValueError(f"{first} comes after {last}")
+    return PHASES[a : b + 1]
 
 
 def reset_to(tasks: DataFrame, step: str) -> DataFrame:
@@ -53,11 +73,51 @@ def reset_to(tasks: DataFrame, step: str) -> DataFrame:
     return kept.unionByName(back.select(F.lit(None).cast("long").alias("id"), F.col("_e").alias("episode_id"), F.lit(step).alias("type"), F.lit("pending").alias("status")))
 
 
-def next_step(tasks: DataFrame) -> DataFrame:
-    """What a snapshot of newest tasks leads to: the next step, done, failed, or wait."""
-    after = F.create_map(*(F.lit(x) for a, b in zip(STEPS, (*STEPS[1:], "done"), strict=True) for x in (a, b)))
-    t = latest(tasks.select("episode_id", "id", "type", "status"), "episode_id")
-    return t.select("episode_id", "type", "status", F.when(F.col("status") == "succeeded", after[F.col("type")]).when(F.col("status") == "failed", "failed").otherwise("wait").alias("leads_to"))
+def resume(tasks: DataFrame, first: str | None = None, last: str | None = None) -> DataFrame:
+    """What comes next for every episode with tasks, in the active range: wait (its newest task is
+    pending or running), a failed phase again, a gate that isn't passed, the phase after the last that
+    succeeded, done, or the first phase. An explicit ``first`` doesn't wait: the range starts anew.
+
+    episode_id, type and status of the newest task, leads_to, creates (whether a task has to be made:
+    a gate that is pending already isn't made again)."""
+    active = active_range(first, last)
+    in_range = F.col("type").isin(*active)
+    gates = {g: F.max_by(F.when(F.col("type") == g, F.col("status")), F.when(F.col("type") == g, F.col("id"))) for g in GATE_AFTER.values()}
+    t = tasks.groupBy("episode_id").agg(
+        F.max_by(F.struct("type", "status"), "id").alias("t"),
+        F.max_by(F.when(in_range, F.col("type")), F.when(in_range & (F.col("status") == "succeeded"), F.col("id"))).alias("done"),
+        *(s.alias(g) for g, s in gates.items()),
+    )
+    t = t.select("episode_id", "t.*", "done", *gates)
+    after = F.lit(None).cast("string")
+    held, open_gate = F.lit(False), F.lit(None).cast("string")
+    for phase, gate in GATE_AFTER.items():
+        not_passed = (F.col("done") == phase) & ~F.col(gate).eqNullSafe("succeeded")
+        open_gate = F.when(not_passed, gate).otherwise(open_gate)
+        held = held | F.coalesce(not_passed & F.col(gate).eqNullSafe("pending"), F.lit(False))
+    for phase, following in zip(active, (*active[1:], "done"), strict=True):
+        after = F.when(F.col("done") == phase, following).otherwise(after)
+    busy = F.col("status").isin("pending", "running")
+    leads = F.when(F.lit(first is not None), active[0]).when(busy, "wait").when((F.col("status") == "failed") & in_range, F.col("type"))
+    leads = leads.otherwise(F.coalesce(open_gate, after, F.lit(active[0])))
+    return t.withColumn("leads_to", leads).select("episode_id", "type", "status", "leads_to", (~F.col("leads_to").isin("wait", "done") & ~(F.col("leads_to").isin(*GATE_AFTER.values()) & held)).alias("creates"))
+
+
+def pass_gate(tasks: DataFrame, gate: str) -> DataFrame:
+    """id, episode_id, type, status of all tasks once a gate is passed: its newest pending task succeeded,
+    or, where none is pending and it isn't passed, a new one (id null). Episodes with another task pending
+    or running last stay as they are."""
+    t = tasks.select("id", "episode_id", "type", "status")
+    of = t.groupBy(F.col("episode_id").alias("_e")).agg(
+        F.max(F.when((F.col("type") == gate) & (F.col("status") == "pending"), F.col("id"))).alias("gate"),
+        F.max_by(F.when(F.col("type") == gate, F.col("status")), F.when(F.col("type") == gate, F.col("id"))).alias("was"),
+        F.max_by(F.struct("type", "status"), "id").alias("last"),
+    )
+    busy = (F.col("last.type") != gate) & F.col("last.status").isin("pending", "running")
+    of = of.where(~busy).drop("last")
+    told = t.join(of, F.col("episode_id") == F.col("_e"), "left").select("id", "episode_id", "type", F.when(F.col("id") == F.col("gate"), "succeeded").otherwise(F.col("status")).alias("status"))
+    made = of.where("gate IS NULL AND NOT was <=> 'succeeded'").select(F.lit(None).cast(t.schema["id"].dataType).alias("id"), F.col("_e").alias("episode_id"), F.lit(gate).alias("type"), F.lit("succeeded").alias("status"))
+    return told.unionByName(made)
 
 
 def should_run(forced: Column, recorded: Column, version_same: Column, inputs: Column, outputs: Column, status: Column) -> Column:

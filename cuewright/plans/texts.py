@@ -26,13 +26,13 @@ def str_3_trailing_marks(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("doc_id", text.strip_trailing_marks(F.col("text")).alias("t"))
 
 
-@query(r"SELECT id, trim(regexp_replace(regexp_replace(regexp_replace('<sep>' || speaker || ' <<NAME_1:x>>' || text_en || ' <SLANG:y> ok', '<sep>|<<NAME_\d+(:[^>]*)?>>', '', 'g'), '<SLANG:[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS t FROM cues")
+@query(r"SELECT id, trim(regexp_replace(regexp_replace(regexp_replace('<sep>' || speaker || '<sep>x <<NAME_1:x>>' || text_en || ' <SLANG:y> ok', '<sep>', ' ', 'g'), '<<NAME_\d+(:[^>]*)?>>|<SLANG:[^>]+>', '', 'g'), '\s+', ' ', 'g')) AS t FROM cues")
 def str_4_clean_output(spark: SparkSession, sf: str) -> DataFrame:
-    raw = F.concat(F.lit("<sep>"), "speaker", F.lit(" <<NAME_1:x>>"), "text_en", F.lit(" <SLANG:y> ok"))
+    raw = F.concat(F.lit("<sep>"), "speaker", F.lit("<sep>x <<NAME_1:x>>"), "text_en", F.lit(" <SLANG:y> ok"))
     return A.cues(spark, sf).select("id", text.clean_output(raw).alias("t"))
 
 
-@query(r"SELECT doc_id, length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g'))::BIGINT AS alnum, length(regexp_replace(text, '[^一-鿿]', '', 'g'))::BIGINT AS han, regexp_full_match(substr(text, 1, 1), '[\s\p{P}\p{S}]*') AS only_marks, regexp_replace(text, '[一-鿿]', '', 'g') AS without_han FROM documents")
+@query(r"SELECT doc_id, length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g'))::BIGINT AS alnum, length(regexp_replace(text, '[^一-鿿]', '', 'g'))::BIGINT AS han, regexp_full_match(text, '[\s\p{P}\p{S}]*') AS only_marks, regexp_replace(text, '[一-鿿]', '', 'g') AS without_han FROM documents")
 def str_5_6_7_12_classes(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("text")
     return _docs(spark, sf).select("doc_id", text.count_class(t, "A-Za-z0-9").alias("alnum"), text.count_class(t, "一-鿿").alias("han"), text.only_marks(t).alias("only_marks"), F.regexp_replace(t, "[一-鿿]", "").alias("without_han"))
@@ -67,7 +67,7 @@ def jn_11_str_16_glossary_hits(spark: SparkSession, sf: str) -> DataFrame:
     return glossary.term_hits(_docs(spark, sf), g, "text", "doc_id")
 
 
-@query(_G + " SELECT doc_id, src FROM documents JOIN g ON contains(text, src) AND NOT contains(lower(text), lower(target))")
+@query(_G + " SELECT doc_id, src FROM documents JOIN g ON contains(text, src) AND (indicators IS NULL OR len(list_filter(indicators, lambda w: contains(text, w))) > 0) AND NOT contains(lower(text), lower(target))")
 def str_17_violations(spark: SparkSession, sf: str) -> DataFrame:
     g = spark.createDataFrame(_TERMS, "src string, target string, indicators array<string>")
     return glossary.violations(_docs(spark, sf), g, "text", "text", "doc_id")
@@ -92,20 +92,19 @@ def str_19_episode_number(spark: SparkSession, sf: str) -> DataFrame:
     return A.dramas(spark, sf).select("id", n.cast("long").alias("n"))
 
 
-@query("SELECT l_orderkey, l_linenumber, unnest(generate_series(l_linenumber, l_linenumber + 2))::INT AS n FROM lineitem WHERE l_orderkey < 200")
+@query("SELECT l_orderkey, l_linenumber, unnest(generate_series(l_linenumber, l_linenumber + 2))::INT AS n FROM lineitem")
 def str_20_range(spark: SparkSession, sf: str) -> DataFrame:
     span = F.concat_ws("-", "l_linenumber", F.col("l_linenumber") + 2)
     a, b = (F.regexp_extract(span, r"^(\d+)-(\d+)$", k).cast("int") for k in (1, 2))
     return A.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.explode(F.sequence(a, b)).alias("n"))
 
 
-@query("+n AS (SELECT *, lead(text) OVER (PARTITION BY episode_id ORDER BY ordinal) AS nx FROM lines) SELECT id, text || CASE WHEN regexp_matches(text, '[，。！？,.!?]$') THEN '' ELSE '，' END || nx AS t FROM n WHERE nx IS NOT NULL")
+@query("+n AS (SELECT *, lead(text) OVER (PARTITION BY episode_id ORDER BY ordinal) AS nx FROM lines) SELECT id, text || CASE WHEN text = '' OR regexp_matches(text, '[，。！？、；：,.!?;:]$') THEN '' ELSE '，' END || nx AS t FROM n WHERE nx IS NOT NULL")
 def str_22_merge_texts(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
     nx = F.lead("text").over(Window.partitionBy("episode_id").orderBy("ordinal"))
-    mark = F.when(F.col("text").rlike(r"[，。！？,.!?]\z"), F.lit("")).otherwise(F.lit("，"))
-    return A.lines(spark, sf).select("id", F.concat("text", mark, nx).alias("t")).where("t is not null")
+    return A.lines(spark, sf).select("id", text.merge_texts(F.col("text"), nx).alias("t")).where("t is not null")
 
 
 @query("SELECT id, drama_id || '/' || lpad(number::VARCHAR, 3, '0') || '/asr.json' AS path, CASE WHEN number % 2 = 0 THEN 'video' ELSE 'subtitle' END AS kind FROM episodes")
@@ -142,6 +141,12 @@ def snk_2_3_srt(spark: SparkSession, sf: str) -> DataFrame:
     return formats.srt_blocks(c, "text_en")
 
 
+@query(f"+c AS (SELECT episode_id, id, start_ms % 86400000 AS start_ms, end_ms % 86400000 AS end_ms, text, kind FROM cues WHERE trim(text) <> ''), n AS (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY start_ms, id) AS r FROM c) SELECT episode_id, string_agg(r || chr(10) || {_HMS.replace('ms ', 'start_ms ')} || ' --> ' || {_HMS.replace('ms ', 'end_ms ')} || chr(10) || CASE WHEN kind = 'sing' THEN '♪' || text || '♪' ELSE text END || chr(10), chr(10) ORDER BY r) AS srt FROM n GROUP BY episode_id")
+def snk_3_source_srt(spark: SparkSession, sf: str) -> DataFrame:
+    c = A.cues(spark, sf).withColumns({x: F.col(x) % 86_400_000 for x in ("start_ms", "end_ms")})
+    return formats.srt_blocks(c, "text")
+
+
 @query("+s AS (SELECT episode_id, id, text, start_ms, end_ms, speaker FROM lines) SELECT episode_id, start_ms, end_ms, text, speaker FROM s")
 def src_2_recognized(spark: SparkSession, sf: str) -> DataFrame:
     u = F.struct(F.col("start_ms").alias("start_time"), F.col("end_ms").alias("end_time"), "text", F.create_map(F.lit("speaker"), "speaker").alias("additions"))
@@ -154,7 +159,7 @@ def src_4_alias(spark: SparkSession, sf: str) -> DataFrame:
     return A.cues(spark, sf).select("id", formats.resolve_alias(F.col("speaker"), {"calm": ["click", "view"], "angry": ["error"]}).alias("emotion"))
 
 
-@query("SELECT episode_id, string_agg(id || '=' || role_id, ',' ORDER BY id) AS idx FROM cues WHERE id % 4 IN (1, 2) GROUP BY episode_id")
+@query("SELECT episode_id, string_agg(c.id || '=' || coalesce(role_id::VARCHAR, '') || ':' || coalesce(r.voice_type, ''), ',' ORDER BY c.id) AS idx FROM cues c LEFT JOIN roles r ON r.id = c.role_id WHERE speaker IS DISTINCT FROM 'error' GROUP BY episode_id")
 def snk_5_index(spark: SparkSession, sf: str) -> DataFrame:
     """id=role:voice of each cue that isn't an error; without a role, or with one that has no voice, that part is empty."""
     r = A.roles(spark, sf).select(F.col("id").alias("role_id"), "voice_type")
@@ -163,18 +168,27 @@ def snk_5_index(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("episode_id", F.array_join(F.transform("m", lambda x: F.concat(x["id"], F.lit("="), x["role"], F.lit(":"), x["voice"])), ",").alias("idx"))
 
 
-@query("SELECT event_id, [coalesce(props, ''), speaker, ''] AS parts FROM (SELECT event_id, props, event_type AS speaker FROM events)")
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN [props, event_type || chr(10) || 'second', ''] WHEN 1 THEN [event_type, props, ''] ELSE [event_type, 'b', props] END AS parts FROM events")
 def str_8_9_10_numbered(spark: SparkSession, sf: str) -> DataFrame:
-    raw = F.concat(F.lit("[1] old\n[2] "), "event_type", F.lit("\n[9] x\n[1] "), "props")
+    over_lines = F.concat(F.lit("[1] old\n[2] "), "event_type", F.lit("\nsecond\n[9] x\n[1] "), "props")
+    in_line = F.concat(F.lit(" [1] "), "event_type", F.lit(" [2]  "), "props")
+    unnumbered = F.concat(F.lit("1. "), "event_type", F.lit("\n\n2: b\n"), "props", F.lit("\nmore"))
+    k = F.col("event_id") % 3
+    raw = F.when(k == 0, over_lines).when(k == 1, in_line).otherwise(unnumbered)
     return A.table(spark, sf, "events").select("event_id", parse.numbered_output(raw, 3).alias("parts"))
 
 
-@query()
+_MARKS = "[，。！？、；：,.!?;:]"
+
+
+@query(rf"""+w AS (SELECT id, text, floor(length(text) * ((id % 11) / 10.0::DOUBLE) + 0.5)::INT AS w FROM lines), m AS (SELECT id, text, w, unnest(generate_series(1, length(text)))::INT - 1 AS i FROM w),
+b AS (SELECT id, arg_min(i, CASE WHEN i >= w THEN (i - w) * 2 ELSE (w - 1 - i) * 2 + 1 END) AS i FROM m WHERE regexp_matches(substr(text, i + 1, 1), '{_MARKS}') GROUP BY id)
+SELECT w.id, CASE WHEN b.i IS NOT NULL THEN [substr(text, 1, b.i), substr(text, b.i + 2)] ELSE [substr(text, 1, greatest(1, w)), substr(text, greatest(1, w) + 1)] END AS parts FROM w LEFT JOIN b USING (id)""")
 def str_21_split(spark: SparkSession, sf: str) -> DataFrame:
-    return A.lines(spark, sf).select("id", parse.split_at_ratio("text", F.lit(0.5)).alias("parts"))
+    return A.lines(spark, sf).select("id", parse.split_at_ratio(F.col("text"), F.col("id") % 11 / F.lit(10.0)).alias("parts"))
 
 
-@query()
+@query("+r AS (SELECT l_orderkey, l_linenumber, l_quantity / 10.0::DOUBLE AS r FROM lineitem), n AS (SELECT *, CASE WHEN r <= 2 THEN 0 WHEN r <= 4 THEN 1 ELSE 2 END AS up, CASE WHEN r >= 0.5 THEN 0 WHEN r >= 0.25 THEN 1 WHEN r >= 0.125 THEN 2 ELSE 3 END AS down FROM r) SELECT l_orderkey, l_linenumber, [2.0::DOUBLE for x in range(up)] || [0.5::DOUBLE for x in range(down)] || [r / pow(2, up) * pow(2, down)] AS chain FROM n")
 def mth_11_atempo(spark: SparkSession, sf: str) -> DataFrame:
     return A.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", parse.atempo(F.col("l_quantity") / 10).alias("chain"))
 
@@ -185,19 +199,19 @@ def str_9_tagged(spark: SparkSession, sf: str) -> DataFrame:
     return A.lines(spark, sf).select("id", parse.tagged_output(raw, 3).alias("parts"))
 
 
-@query()
+@query("+l AS (SELECT id, list_filter(list_transform(string_split('1. ' || speaker || chr(10) || '2. ' || text, chr(10)), lambda x: trim(regexp_replace(x, '^[0-9. ]+', ''), ' ' || chr(9) || chr(13))), lambda x: x <> '') AS l FROM lines) SELECT id, [coalesce(l[1], ''), coalesce(l[2], ''), coalesce(l[3], '')] AS parts FROM l")
 def str_10_simple(spark: SparkSession, sf: str) -> DataFrame:
     return A.lines(spark, sf).select("id", parse.simple_output(F.concat(F.lit("1. "), "speaker", F.lit("\n2. "), "text"), 3).alias("parts"))
 
 
-@query()
+@query("SELECT id, 'Li Ming met Wang Fang. ' || text AS t FROM lines")
 def str_11_restored(spark: SparkSession, sf: str) -> DataFrame:
     names = F.array(F.lit("Li Ming"), F.lit("Wang Fang"))
     raw = F.concat(F.lit("<<NAME_0:x>> met wang'fang. "), "text")
     return A.lines(spark, sf).select("id", parse.repair_names(parse.restore_names(raw, names), names).alias("t"))
 
 
-@query()
+@query("""SELECT episode_id, '{"context_type":"dialog_ctx","context_data":[{"text":"episode ' || episode_id || '"},{"text":"常见词汇：' || string_agg(DISTINCT speaker, '、' ORDER BY speaker) || '"}]}' AS context FROM lines GROUP BY episode_id""")
 def jsn_4_context(spark: SparkSession, sf: str) -> DataFrame:
     g = A.lines(spark, sf).groupBy("episode_id").agg(F.array_sort(F.collect_set("speaker")).alias("words"))
     return g.select("episode_id", parse.corpus_context(F.concat(F.lit("episode "), "episode_id"), F.col("words")).alias("context"))

@@ -81,7 +81,7 @@ def win_8_9_appearance(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("episode_id", "role_id", at(F.col("o")).alias("place"), at(F.desc("l")).alias("recent"), ((at(F.col("o")) - 1) % 12).alias("colour"))
 
 
-@query("+m AS (SELECT episode_id, speaker, max(id) AS id FROM cues GROUP BY ALL) SELECT episode_id, speaker, id FROM (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY id DESC) AS r FROM m) WHERE r <= 3")
+@query("+m AS (SELECT episode_id, speaker, max(id) AS id FROM cues GROUP BY ALL) SELECT episode_id, speaker, id FROM (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY id DESC) AS r FROM m) WHERE r <= 5")
 def win_10_most_recent(spark: SparkSession, sf: str) -> DataFrame:
     m = A.cues(spark, sf).groupBy("episode_id", "speaker").agg(F.max("id").alias("id"))
     return m.withColumn("r", F.row_number().over(Window.partitionBy("episode_id").orderBy(F.desc("id")))).where("r <= 5").drop("r")
@@ -95,7 +95,15 @@ def win_14_batches(spark: SparkSession, sf: str) -> DataFrame:
     return A.cues(spark, sf).withColumn("n", filled).select("id", F.when(on, F.floor((F.col("n") - 1) / 50)).alias("batch"), F.when(on, F.upper("text_en")).otherwise(F.lit("")).alias("result"))
 
 
-@query()
+_MARKED = "CASE WHEN {s} = c.speaker AND {e} <> 'neutral' AND {e} <> '' THEN {e} END"
+_FILLED = f"coalesce(c.e, {_MARKED.format(s='p.speaker', e='p.e1')}, {_MARKED.format(s='c.s1', e='c.n1')}, {_MARKED.format(s='p.s2', e='p.e2')}, {_MARKED.format(s='c.s2', e='c.n2')}, 'neutral')"
+
+
+@query(f"""+c AS (SELECT episode_id, id, speaker, e, row_number() OVER w AS r, lead(speaker, 1) OVER w AS s1, lead(e, 1) OVER w AS n1, lead(speaker, 2) OVER w AS s2, lead(e, 2) OVER w AS n2
+  FROM (SELECT *, CASE WHEN id % 3 <> 0 THEN emotion END AS e FROM cues) WINDOW w AS (PARTITION BY episode_id ORDER BY start_ms, id)),
+p AS (SELECT episode_id, 0::BIGINT AS r, NULL::BIGINT AS id, NULL::VARCHAR AS speaker, NULL::VARCHAR AS e1, NULL::VARCHAR AS s2, NULL::VARCHAR AS e2 FROM c WHERE r = 1
+  UNION ALL SELECT c.episode_id, c.r, c.id, c.speaker, {_FILLED}, p.speaker, p.e1 FROM p JOIN c ON c.episode_id = p.episode_id AND c.r = p.r + 1)
+SELECT episode_id, id, e1 AS filled FROM p WHERE r > 0""")
 def win_4_emotion_fill(spark: SparkSession, sf: str) -> DataFrame:
     c = A.cues(spark, sf).withColumn("emotion", F.when(F.col("id") % 3 != 0, F.col("emotion")))
     return timeline.fill_emotions(c)
@@ -130,17 +138,28 @@ def inc_5_cache_sync(spark: SparkSession, sf: str) -> DataFrame:
     return A.utterances(spark, sf).select("episode_id", "uid", new.alias("text_en"), F.when(new != F.col("text_en"), F.lit("")).otherwise(F.col("voice_hash")).alias("voice_hash"))
 
 
-_DIFF = """+o AS (SELECT id, text, start_ms, end_ms, role_id, text_en FROM cues WHERE id % 10 <> 3),
-n AS (SELECT id, text, CASE WHEN id % 10 = 1 THEN start_ms + 5 ELSE start_ms END AS start_ms, end_ms, CASE WHEN id % 10 IN (1, 2) THEN 77 ELSE role_id END AS role_id, CASE WHEN id % 10 = 5 THEN 'new' ELSE text_en END AS text_en FROM cues WHERE id % 10 <> 4),
-k AS (SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'insert' WHEN n.id IS NULL THEN 'delete' WHEN o.text <> n.text OR o.start_ms <> n.start_ms OR o.end_ms <> n.end_ms THEN 'source' WHEN o.role_id IS DISTINCT FROM n.role_id THEN 'role' WHEN o.text_en <> n.text_en THEN 'target' ELSE 'none' END AS change FROM o FULL JOIN n ON o.id = n.id)"""
+_DIFF = """+o AS (SELECT id, episode_id, text, start_ms, end_ms, emotion, kind, role_id, text_en FROM cues WHERE id % 10 <> 3),
+n AS (SELECT id, episode_id, text, CASE WHEN id % 20 = 6 THEN 'sad' ELSE emotion END AS emotion, CASE WHEN id % 20 = 7 THEN 'sing' ELSE kind END AS kind, CASE WHEN id % 10 = 1 THEN start_ms + 5 ELSE start_ms END AS start_ms, end_ms, CASE WHEN id % 10 IN (1, 2) THEN 77 ELSE role_id END AS role_id, CASE WHEN id % 10 = 5 THEN 'new' ELSE text_en END AS text_en FROM cues WHERE id % 10 <> 4),
+k AS (SELECT coalesce(o.id, n.id) AS id, coalesce(o.episode_id, n.episode_id) AS episode_id, CASE WHEN o.id IS NULL THEN 'insert' WHEN n.id IS NULL THEN 'delete' WHEN o.text <> n.text OR o.start_ms <> n.start_ms OR o.end_ms <> n.end_ms OR o.emotion <> n.emotion OR o.kind <> n.kind THEN 'source' WHEN o.role_id IS DISTINCT FROM n.role_id THEN 'role' WHEN o.text_en <> n.text_en THEN 'target' ELSE 'none' END AS change FROM o FULL JOIN n ON o.id = n.id)"""
 
 
 @query(_DIFF + " SELECT id, change, CASE WHEN change IN ('insert', 'delete', 'source') THEN 'source_review' WHEN change = 'role' THEN 'tts' WHEN change = 'target' THEN 'translation_review' END AS restart FROM k")
 def inc_6_jn_14_diff(spark: SparkSession, sf: str) -> DataFrame:
-    c = A.cues(spark, sf).select("id", "text", "start_ms", "end_ms", "role_id", "text_en")
+    return _diff(spark, sf).select("id", "change", "restart")
+
+
+@query(_DIFF + " SELECT episode_id, CASE WHEN bool_or(change IN ('insert', 'delete', 'source')) THEN 'source_review' WHEN bool_or(change = 'role') THEN 'tts' WHEN bool_or(change = 'target') THEN 'translation_review' END AS restart FROM k GROUP BY episode_id")
+def inc_6_episode_restart(spark: SparkSession, sf: str) -> DataFrame:
+    episodes = A.cues(spark, sf).select("id", "episode_id")
+    return snapshots.restarts(_diff(spark, sf).join(episodes, "id"), "episode_id")
+
+
+def _diff(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored snapshot of cues and an edited one, compared."""
+    c = A.cues(spark, sf).select("id", "text", "start_ms", "end_ms", "emotion", "kind", "role_id", "text_en")
     m = F.col("id") % 10
-    new = c.where("id % 10 <> 4").withColumns({"start_ms": F.when(m == 1, F.col("start_ms") + 5).otherwise(F.col("start_ms")), "role_id": F.when(m.isin(1, 2), F.lit(77).cast("long")).otherwise(F.col("role_id")), "text_en": F.when(m == 5, F.lit("new")).otherwise(F.col("text_en"))})
-    return snapshots.classify(c.where("id % 10 <> 3"), new, "id", ["text", "start_ms", "end_ms"], "role_id", "text_en")
+    new = c.where("id % 10 <> 4").withColumns({"start_ms": F.when(m == 1, F.col("start_ms") + 5).otherwise(F.col("start_ms")), "role_id": F.when(m.isin(1, 2), F.lit(77).cast("long")).otherwise(F.col("role_id")), "text_en": F.when(m == 5, F.lit("new")).otherwise(F.col("text_en")), "emotion": F.when(F.col("id") % 20 == 6, F.lit("sad")).otherwise(F.col("emotion")), "kind": F.when(F.col("id") % 20 == 7, F.lit("sing")).otherwise(F.col("kind"))})
+    return snapshots.classify(c.where("id % 10 <> 3"), new, "id", ["text", "start_ms", "end_ms", "emotion", "kind"], "role_id", "text_en")
 
 
 @query("SELECT id, substr(sha256('e1|v2|' || trim(regexp_replace(text_en, ' +', ' ', 'g')) || '|' || coalesce(role_id::VARCHAR, '') || '|en'), 1, 16) AS synthesis, substr(sha256(coalesce(role_id::VARCHAR, '') || '|' || trim(text_en) || '|' || emotion), 1, 16) AS preview FROM cues")
@@ -164,7 +183,7 @@ def mth_1_to_5_rates(spark: SparkSession, sf: str) -> DataFrame:
 _FIT = """+p AS (SELECT l_orderkey * 10 + l_linenumber AS id, (l_quantity * 100)::BIGINT AS trimmed, (l_partkey % 4000) + 100 AS budget, l_suppkey % 3 * 200 AS ext FROM lineitem),
 f AS (SELECT *, CASE WHEN trimmed <= budget THEN 'success' WHEN trimmed <= 1.3::DOUBLE * budget THEN 'rate_adjusted' WHEN ext > 0 AND trimmed <= budget + ext THEN 'extended' WHEN ext > 0 AND trimmed <= 1.3::DOUBLE * (budget + ext) THEN 'extended+' ELSE 'failed' END AS s FROM p),
 x AS (SELECT id, rtrim(s, '+') AS status, CASE s WHEN 'success' THEN 1 WHEN 'rate_adjusted' THEN trimmed / budget WHEN 'extended' THEN 1 WHEN 'extended+' THEN trimmed / (budget + ext) ELSE trimmed / greatest(budget, 1) END::DOUBLE AS rate,
-  CASE s WHEN 'rate_adjusted' THEN budget WHEN 'extended+' THEN budget + ext ELSE trimmed END AS final_ms FROM f)"""
+  CASE WHEN s IN ('success', 'rate_adjusted') THEN budget WHEN s = 'failed' THEN trimmed ELSE budget + ext END AS final_ms FROM f)"""
 
 
 def _fitted(spark: SparkSession, sf: str) -> DataFrame:
@@ -183,10 +202,10 @@ def agg_10_16_report(spark: SparkSession, sf: str) -> DataFrame:
     return _fitted(spark, sf).agg(F.count(F.lit(1)).alias("total"), F.count_if(~bad).alias("success"), F.count_if(bad).alias("failed"), F.bool_and(~bad).alias("all_succeeded"), F.count_if(F.col("status") == "extended").alias("extended"))
 
 
-@query("""SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN q >= 1 THEN 'fits' WHEN q >= 0.8 THEN 'safe' WHEN q >= 0.625 THEN 'moderate' WHEN q >= 0.5 AND l_tax > 0.04 THEN 'aggressive' ELSE 'hard_cut' END AS tier FROM (SELECT *, (l_partkey % 50 + 1) / greatest(l_quantity, 1)::DOUBLE AS q FROM lineitem)""")
+@query("""SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_quantity <= w THEN 'padding' WHEN l_quantity <= l_suppkey % 40 THEN 'overflow_allowed' WHEN q >= 0.8 THEN 'safe' WHEN q >= 0.625 THEN 'moderate' WHEN q >= 0.5 AND l_tax > 0.04 THEN 'aggressive' ELSE 'hard_cut' END AS tier FROM (SELECT *, l_partkey % 50 + 1 AS w, (l_partkey % 50 + 1) / l_quantity::DOUBLE AS q FROM lineitem)""")
 def mth_9_tiers(spark: SparkSession, sf: str) -> DataFrame:
     li = A.table(spark, sf, "lineitem")
-    return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), rates.alignment_tier(F.col("l_quantity"), F.col("l_partkey") % 50 + 1, F.col("l_tax") > 0.04).alias("tier"))
+    return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), rates.alignment_tier(F.col("l_quantity"), F.col("l_partkey") % 50 + 1, F.col("l_tax") > 0.04, F.lit(100), F.col("l_suppkey") % 40 + 100).alias("tier"))
 
 
 @query("SELECT id, start_ms, greatest(0, start_ms - 100) AS pad_start, least(1722000000000, end_ms + 100) AS pad_end, abs(end_ms - start_ms - 600000) > 50 AS mismatch FROM cues WHERE kind = 'sing'")

@@ -10,9 +10,11 @@ from ..sources import adapters as A
 from .registry import query
 
 _LATEST = "+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY id DESC) AS r FROM tasks) WHERE r = 1)"
-_STEPS = """+s(o, type) AS (VALUES (0, 'extract'), (1, 'asr'), (2, 'parse'), (3, 'source_review'), (4, 'translate'), (5, 'translation_review'), (6, 'tts'), (7, 'mix'), (8, 'burn')),
+_PHASES = """+s(o, type) AS (VALUES (0, 'extract'), (1, 'asr'), (2, 'parse'), (3, 'translate'), (4, 'tts'), (5, 'mix'), (6, 'burn')),
 lt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY episode_id, type ORDER BY id DESC) AS r FROM tasks) WHERE r = 1),
-st AS (SELECT e.episode_id, s.o AS ordinal, s.type, coalesce(lt.status, 'pending') AS status FROM (SELECT DISTINCT episode_id FROM tasks) e CROSS JOIN s LEFT JOIN lt ON lt.episode_id = e.episode_id AND lt.type = s.type)"""
+leg AS (SELECT id FROM episodes WHERE status = 'succeeded' AND id NOT IN (SELECT episode_id FROM lt JOIN s USING (type))),
+st AS (SELECT e.id AS episode_id, s.o AS ordinal, s.type, coalesce(lt.status, CASE WHEN leg.id IS NULL THEN 'pending' ELSE 'succeeded' END) AS status
+  FROM episodes e CROSS JOIN s LEFT JOIN lt ON lt.episode_id = e.id AND lt.type = s.type LEFT JOIN leg ON leg.id = e.id)"""
 
 
 def _tasks(spark: SparkSession, sf: str) -> DataFrame:
@@ -24,29 +26,45 @@ def stm_4_episode_status(spark: SparkSession, sf: str) -> DataFrame:
     return workflow.episode_status(A.episodes(spark, sf), _tasks(spark, sf))
 
 
-@query(_STEPS + " SELECT * FROM st")
+@query(_PHASES + " SELECT * FROM st")
 def stm_5_steps(spark: SparkSession, sf: str) -> DataFrame:
-    return workflow.steps(_tasks(spark, sf))
+    return workflow.phases(A.episodes(spark, sf), _tasks(spark, sf))
 
 
-@query(_STEPS + """, w AS (SELECT episode_id, max(status) FILTER (type = 'parse') AS p, max(status) FILTER (type = 'source_review') AS s, max(status) FILTER (type = 'translate') AS t, max(status) FILTER (type = 'translation_review') AS r FROM st GROUP BY episode_id)
-SELECT episode_id, CASE WHEN s = 'succeeded' THEN 'passed' WHEN p = 'succeeded' THEN 'awaiting' ELSE 'pending' END AS source_review, CASE WHEN r = 'succeeded' THEN 'passed' WHEN t = 'succeeded' THEN 'awaiting' ELSE 'pending' END AS translation_review FROM w""")
+@query(_PHASES + """ SELECT e.id AS episode_id, CASE WHEN leg.id IS NOT NULL OR s.status = 'succeeded' THEN 'passed' WHEN p.status = 'succeeded' THEN 'awaiting' ELSE 'pending' END AS source_review,
+  CASE WHEN leg.id IS NOT NULL OR r.status = 'succeeded' THEN 'passed' WHEN t.status = 'succeeded' THEN 'awaiting' ELSE 'pending' END AS translation_review FROM episodes e LEFT JOIN leg ON leg.id = e.id
+  LEFT JOIN lt s ON s.episode_id = e.id AND s.type = 'source_review' LEFT JOIN lt p ON p.episode_id = e.id AND p.type = 'parse' LEFT JOIN lt r ON r.episode_id = e.id AND r.type = 'translation_review' LEFT JOIN lt t ON t.episode_id = e.id AND t.type = 'translate'""")
 def stm_6_gates(spark: SparkSession, sf: str) -> DataFrame:
-    return workflow.gate_status(workflow.steps(_tasks(spark, sf)))
+    return workflow.gate_status(A.episodes(spark, sf), _tasks(spark, sf))
 
 
-@query(_STEPS + """ SELECT episode_id, CASE WHEN ordinal < 2 THEN 'prepare' WHEN ordinal < 4 THEN 'source' WHEN ordinal < 6 THEN 'translation' WHEN ordinal = 6 THEN 'voice' ELSE 'output' END AS stage,
+@query(_PHASES + """ SELECT episode_id, CASE type WHEN 'extract' THEN 'extract' WHEN 'asr' THEN 'recognize' WHEN 'parse' THEN 'recognize' WHEN 'translate' THEN 'translate' WHEN 'burn' THEN 'compose' ELSE 'dub' END AS stage,
   CASE WHEN bool_or(status = 'failed') THEN 'failed' WHEN bool_or(status = 'running') THEN 'running' WHEN bool_and(status IN ('succeeded', 'skipped')) THEN 'succeeded' ELSE 'pending' END AS status FROM st GROUP BY ALL""")
 def agg_15_stages(spark: SparkSession, sf: str) -> DataFrame:
-    return workflow.stage_status(workflow.steps(_tasks(spark, sf)))
+    return workflow.stage_status(workflow.phases(A.episodes(spark, sf), _tasks(spark, sf)))
 
 
-@query(_LATEST + " SELECT episode_id, type, status, CASE status WHEN 'succeeded' THEN CASE type WHEN 'extract' THEN 'asr' WHEN 'asr' THEN 'parse' WHEN 'parse' THEN 'source_review' WHEN 'source_review' THEN 'translate' WHEN 'translate' THEN 'translation_review' WHEN 'translation_review' THEN 'tts' WHEN 'tts' THEN 'mix' WHEN 'mix' THEN 'burn' ELSE 'done' END WHEN 'failed' THEN 'failed' ELSE 'wait' END AS leads_to FROM l")
+_RESUME = _PHASES + """, act AS (SELECT * FROM s WHERE o BETWEEN {a} AND {b}), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY id DESC) AS r FROM tasks) WHERE r = 1),
+d AS (SELECT episode_id, arg_max(o, t.id) AS o, arg_max(t.type, t.id) AS type FROM tasks t JOIN act USING (type) WHERE status = 'succeeded' GROUP BY episode_id),
+g AS (SELECT d.episode_id, gt.gate, lt.status FROM d JOIN (VALUES ('parse', 'source_review'), ('translate', 'translation_review')) gt(type, gate) USING (type) LEFT JOIN lt ON lt.episode_id = d.episode_id AND lt.type = gt.gate),
+n AS (SELECT l.episode_id, l.type, l.status, CASE WHEN l.status IN ('pending', 'running') THEN 'wait' WHEN l.status = 'failed' AND l.type IN (SELECT type FROM act) THEN l.type
+  WHEN g.gate IS NOT NULL AND g.status IS DISTINCT FROM 'succeeded' THEN g.gate WHEN d.o = {b} THEN 'done' WHEN d.o IS NOT NULL THEN (SELECT any_value(type) FROM act WHERE act.o = d.o + 1) ELSE (SELECT any_value(type) FROM act WHERE act.o = {a}) END AS leads_to, g.gate, g.status AS gs
+  FROM l LEFT JOIN d USING (episode_id) LEFT JOIN g USING (episode_id))
+SELECT episode_id, type, status, leads_to, leads_to NOT IN ('wait', 'done') AND NOT (leads_to IN ('source_review', 'translation_review') AND gate = leads_to AND coalesce(gs = 'pending', false)) IS TRUE AS creates FROM n"""
+
+
+@query(_RESUME.format(a=0, b=6))
 def stm_2_win_11_next_step(spark: SparkSession, sf: str) -> DataFrame:
-    return workflow.next_step(_tasks(spark, sf))
+    return workflow.resume(_tasks(spark, sf))
+
+
+@query(_RESUME.format(a=0, b=3))
+def win_11_resume_to_translate(spark: SparkSession, sf: str) -> DataFrame:
+    return workflow.resume(_tasks(spark, sf), last="translate")
 
 
-@query(_STEPS + """, b AS (SELECT episode_id FROM lt WHERE type = 'translate' AND status = 'succeeded')
+@query("""+s(o, type) AS (VALUES (0, 'extract'), (1, 'asr'), (2, 'parse'), (3, 'source_review'), (4, 'translate'), (5, 'translation_review'), (6, 'tts'), (7, 'mix'), (8, 'burn')),
+b AS (SELECT episode_id FROM (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY id DESC) AS r FROM tasks WHERE type = 'translate') WHERE r = 1 AND status = 'succeeded')
 SELECT t.id, t.episode_id, t.type, t.status FROM tasks t JOIN s USING (type) WHERE t.episode_id NOT IN (SELECT episode_id FROM b) OR s.o < 4 UNION ALL SELECT NULL, episode_id, 'translate', 'pending' FROM b""")
 def inc_7_reset(spark: SparkSession, sf: str) -> DataFrame:
     return workflow.reset_to(_tasks(spark, sf), "translate")
@@ -70,22 +88,17 @@ def stm_9_cancel(spark: SparkSession, sf: str) -> DataFrame:
     return workflow.episode_status(A.episodes(spark, sf), _tasks(spark, sf).where("status <> 'pending'"))
 
 
-@query("+g AS (SELECT episode_id, max(id) AS id FROM tasks WHERE type = 'source_review' AND status = 'pending' GROUP BY ALL)" + _LATEST.replace("+l AS", ", l AS") + """ SELECT t.id, CASE WHEN t.id = g.id AND NOT (l.type <> 'source_review' AND l.status IN ('pending', 'running')) THEN 'succeeded' ELSE t.status END AS status FROM tasks t LEFT JOIN g ON g.episode_id = t.episode_id JOIN l ON l.episode_id = t.episode_id""")
+@query(_LATEST + """, g AS (SELECT episode_id, max(id) FILTER (status = 'pending') AS gate, arg_max(status, id) AS was FROM tasks WHERE type = 'source_review' GROUP BY ALL),
+f AS (SELECT episode_id, gate, was FROM l LEFT JOIN g USING (episode_id) WHERE NOT (l.type <> 'source_review' AND l.status IN ('pending', 'running')))
+SELECT t.id, t.episode_id, t.type, CASE WHEN t.id = f.gate THEN 'succeeded' ELSE t.status END AS status FROM tasks t LEFT JOIN f ON f.episode_id = t.episode_id
+UNION ALL SELECT NULL, episode_id, 'source_review', 'succeeded' FROM f WHERE gate IS NULL AND was IS DISTINCT FROM 'succeeded'""")
 def stm_7_pass_gate(spark: SparkSession, sf: str) -> DataFrame:
-    t = _tasks(spark, sf).select("id", "episode_id", "type", "status")
-    gate = t.where("type = 'source_review' AND status = 'pending'").groupBy("episode_id").agg(F.max("id").alias("gate"))
-    last = workflow.latest(t, "episode_id").select("episode_id", F.col("type").alias("lt"), F.col("status").alias("ls"))
-    busy = (F.col("lt") != "source_review") & F.col("ls").isin("pending", "running")
-    j = t.join(gate, "episode_id", "left").join(last, "episode_id")
-    return j.select("id", F.when((F.col("id") == F.col("gate")) & ~busy, "succeeded").otherwise(F.col("status")).alias("status"))
+    return workflow.pass_gate(_tasks(spark, sf), "source_review")
 
 
-@query("SELECT id, type FROM tasks WHERE type IN ('parse', 'source_review', 'translate', 'translation_review', 'tts')")
+@query("SELECT id, type FROM tasks WHERE type IN ('parse', 'translate', 'tts')")
 def stm_10_active_range(spark: SparkSession, sf: str) -> DataFrame:
-    first, last = A.STEPS.index("parse"), A.STEPS.index("tts")
-    if first > last:
-        raise ValueError("the range is reversed")
-    return _tasks(spark, sf).where(F.col("type").isin(*A.STEPS[first : last + 1])).select("id", "type")
+    return _tasks(spark, sf).where(F.col("type").isin(*workflow.active_range("parse", "tts"))).select("id", "type")
 
 
 @query("+g AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS brk FROM events), s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM g) SELECT user_id, max(ts) AS last_edit, count(*) AS n_edits FROM s GROUP BY user_id, burst")

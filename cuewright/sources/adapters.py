@@ -1,6 +1,6 @@
 """The driver's tables as domain views, and the same views as SQL for the oracles.
 
-dramas are customers, episodes orders (some customers have none), cues
+dramas are customers, episodes orders, cues
 and tasks are events, lines are conversation turns on a time axis of 60 ms a character.
 """
 
@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: Steps of the workflow in order, gates between phases; fixed values.
 STEPS = ("extract", "asr", "parse", "source_review", "translate", "translation_review", "tts", "mix", "burn")
 GATES = ("source_review", "translation_review")
+#: Phases in order, and the gate after some; fixed values.
+PHASES = ("extract", "asr", "parse", "translate", "tts", "mix", "burn")
+GATE_AFTER = {"parse": "source_review", "translate": "translation_review"}
 STATUSES = ("succeeded", "failed", "running", "pending")
 
 
@@ -83,7 +86,7 @@ def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
 VIEWS = """
 dramas AS (SELECT c_custkey AS id, c_name AS name, c_nationkey AS user_id, c_mktsegment AS segment FROM customer),
 episodes AS (SELECT o_orderkey AS id, o_custkey AS drama_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::BIGINT AS number,
-  CASE o_orderstatus WHEN 'O' THEN 'ready' WHEN 'P' THEN 'running' ELSE 'succeeded' END AS status, o_orderdate::DATE AS updated_at FROM orders WHERE o_orderkey % 3 = 0),
+  CASE o_orderstatus WHEN 'O' THEN 'ready' WHEN 'P' THEN 'running' ELSE 'succeeded' END AS status, o_orderdate::DATE AS updated_at FROM orders),
 cues AS (SELECT event_id AS id, user_id AS episode_id, (epoch_us(ts) // 1000) AS start_ms, (epoch_us(ts) // 1000) + floor(value * 60000)::BIGINT AS end_ms, event_type AS speaker,
   CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id % 3 END AS role_id, CASE WHEN event_id % 2 = 0 THEN 'neutral' ELSE 'happy' END AS emotion,
   CASE WHEN event_type = 'error' THEN 'sing' ELSE 'speech' END AS kind, props AS text, CASE WHEN event_id % 5 = 0 THEN '' ELSE event_type || ' ' || event_id END AS text_en FROM events),

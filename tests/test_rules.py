@@ -64,7 +64,7 @@ def test_end_extension(spark):
 def test_fit(spark):
     cases = [(100, 100, 0), (130, 100, 0), (131, 100, 0), (150, 100, 60), (200, 100, 60), (300, 100, 60)]
     df = spark.createDataFrame(cases, "t long, b long, e long").select(rates.fit(F.col("t"), F.col("b"), F.col("e")).alias("f")).select("f.*")
-    assert [(r.status, round(r.rate, 3), r.final_ms) for r in df.collect()] == [("success", 1.0, 100), ("rate_adjusted", 1.3, 100), ("failed", 1.31, 131), ("extended", 1.0, 150), ("extended", 1.25, 160), ("failed", 3.0, 300)]
+    assert [(r.status, round(r.rate, 3), r.final_ms) for r in df.collect()] == [("success", 1.0, 100), ("rate_adjusted", 1.3, 100), ("failed", 1.31, 131), ("extended", 1.0, 160), ("extended", 1.25, 160), ("failed", 3.0, 300)]
 
 
 def test_timecodes(spark):
@@ -91,6 +91,123 @@ def test_parsing(spark):
     assert r[1] == "Li and <<NAME_5>>"
     assert list(r[2]) == [2.0, 2.0, 1.25] and list(r[3]) == [0.5, 0.5, 0.8]
     assert "A'b" in parse.name_variants("A", "B")
+    r = one.select(parse.numbered_output(F.lit("[1] a [2] b\nmore [3]  c"), 4), parse.numbered_output(F.lit("1. a\n\n[2] - \n3) c"), 3), parse.split_at_ratio(F.lit(",ab"), F.lit(0.1)), parse.split_at_ratio(F.lit("ab,c,"), F.lit(0.7)), parse.split_at_ratio(F.lit("abc"), F.lit(0.0)), parse.split_at_ratio(F.lit("abc"), F.lit(0.5))).first()
+    assert tuple(map(list, r)) == (["a", "b\nmore", "c", ""], ["", "- \n3) c", ""], ["", "ab"], ["ab,c", ""], ["a", "bc"], ["ab", "c"])
+
+
+def test_merged_texts(spark):
+    cases = [("a", "b", "a，b"), ("", "b", "b"), ("a、", "b", "a、b"), ("a;", "b", "a;b"), ("a\n", "b", "a\n，b")]
+    df = spark.createDataFrame(cases, "a string, b string, t string")
+    assert all(r.t == r.got for r in df.select("t", text.merge_texts(F.col("a"), F.col("b")).alias("got")).collect())
+    assert spark.range(1).select(text.clean_output(F.lit("a<sep>b <SLANG:> c"))).first()[0] == "a b <SLANG:> c"
+
+
+def test_speech_tiers(spark):
+    cases = [(100, 100, False, 0, 0, "padding"), (120, 100, False, 0, 120, "overflow_allowed"), (125, 100, False, 0, 0, "safe"), (160, 100, True, 0, 0, "moderate"), (200, 100, True, 0, 0, "aggressive"), (200, 100, False, 0, 0, "hard_cut"), (0, 0, False, 0, 0, "padding")]
+    df = spark.createDataFrame(cases, "s int, w int, a boolean, at int, next int, t string")
+    assert all(r.t == r.got for r in df.select("t", rates.alignment_tier(F.col("s"), F.col("w"), F.col("a"), F.col("at"), F.col("next")).alias("got")).collect())
+    assert spark.range(1).select(rates.speed(F.lit(5), F.lit(0)), rates.speed(F.lit(6), F.lit(5))).first()[:] == (1.0, 1.2)
+
+
+TASK = "id long, episode_id long, type string, status string"
+
+
+def resumed(spark, tasks, **more):
+    return {r.episode_id: (r.leads_to, r.creates) for r in workflow.resume(spark.createDataFrame(tasks, TASK), **more).collect()}
+
+
+def test_resume(spark):
+    tasks = [
+        (1, 1, "extract", "succeeded"), (2, 1, "asr", "running"),  # waits
+        (3, 2, "extract", "succeeded"), (4, 2, "asr", "failed"),  # again
+        (5, 3, "parse", "succeeded"),  # a gate that isn't there
+        (6, 4, "parse", "succeeded"), (7, 4, "source_review", "succeeded"),  # passed
+        (8, 5, "burn", "succeeded"),  # done
+        (9, 6, "source_review", "failed"),  # nothing succeeded in the range
+        (10, 7, "parse", "succeeded"), (11, 7, "source_review", "pending"), (12, 7, "source_review", "skipped"),
+        (13, 8, "parse", "succeeded"), (14, 8, "source_review", "pending"), (15, 8, "mix", "cancelled"),
+    ]
+    got = resumed(spark, tasks)
+    assert got == {1: ("wait", False), 2: ("asr", True), 3: ("source_review", True), 4: ("translate", True), 5: ("done", False), 6: ("extract", True), 7: ("source_review", True), 8: ("source_review", False)}
+    assert resumed(spark, tasks, last="parse")[4] == ("done", False) and set(resumed(spark, tasks, first="tts").values()) == {("tts", True)}
+    with pytest.raises(ValueError):
+        workflow.active_range("tts", "parse")
+    with pytest.raises(ValueError):
+        workflow.active_range("none")
+
+
+def test_phases_and_gates_of_episodes_without_tasks(spark):
+    e = spark.createDataFrame([(1, "succeeded"), (2, "running"), (3, "succeeded")], "id long, status string")
+    t = spark.createDataFrame([(1, 3, "parse", "succeeded"), (2, 1, "source_review", "pending")], TASK)
+    got = {}
+    for r in workflow.phases(e, t).collect():
+        got.setdefault(r.episode_id, {})[r.type] = r.status
+    assert set(got[1].values()) == {"succeeded"} and set(got[2].values()) == {"pending"} and got[3] == {**dict.fromkeys(workflow.PHASES, "pending"), "parse": "succeeded"}
+    assert {r.episode_id: (r.source_review, r.translation_review) for r in workflow.gate_status(e, t).collect()} == {1: ("passed", "passed"), 2: ("pending", "pending"), 3: ("awaiting", "pending")}
+
+
+def test_passed_gates(spark):
+    tasks = [(1, 1, "source_review", "pending"), (2, 2, "parse", "succeeded"), (3, 3, "source_review", "succeeded"), (4, 4, "source_review", "pending"), (5, 4, "tts", "running")]
+    got = sorted((r.episode_id, r.id or 0, r.type, r.status) for r in workflow.pass_gate(spark.createDataFrame(tasks, TASK), "source_review").collect())
+    assert got == [(1, 1, "source_review", "succeeded"), (2, 0, "source_review", "succeeded"), (2, 2, "parse", "succeeded"), (3, 3, "source_review", "succeeded"), (4, 4, "source_review", "pending"), (4, 5, "tts", "running")]
+
+
+def test_one_restart_an_episode(spark):
+    c = spark.createDataFrame([(1, "tts"), (1, "source_review"), (2, "translation_review"), (2, "tts"), (3, None)], "e long, restart string")
+    assert {r.e: r.restart for r in snapshots.restarts(c, "e").collect()} == {1: "source_review", 2: "tts", 3: None}
+
+
+def test_large_glossary_meets_texts_by_their_starts(spark, monkeypatch):
+    g = spark.createDataFrame([("王", "Wang", None), ("王明", "Wang Ming", None), ("胡", "tile", ["牌"]), ("", "all", None)], "src string, target string, indicators array<string>")
+    t = spark.createDataFrame([(1, "见王明"), (2, "胡牌王"), (3, "x"), (4, "")], "id long, text string")
+    one = {r.id: r.hits for r in glossary.term_hits(t, g).collect()}
+    monkeypatch.setattr(glossary, "BROADCAST_BYTES", 0)
+    assert {r.id: r.hits for r in glossary.term_hits(t, g).collect()} == one and one[1] == ":all,王:Wang,王明:Wang Ming"
+
+
+def plain_segments(text, start, end):
+    """The rule step by step."""
+    import re
+
+    text, dur = text.strip(), end - start
+    if not text or dur <= 0:
+        return []
+    if dur < 1500:
+        return [(start, end, text)]
+    if re.search(r"[,.?!—;:]", text):
+        parts = [p.strip() for p in re.split(r"(?<=[,.?!—;:])", text)]
+        parts = [p for p in parts if re.search(r"\w", p)]
+    else:
+        words = text.split()
+        per = max(8, min(12, int(len(words) / max(1, dur / 2000))))
+        parts = [" ".join(words[i : i + per]) for i in range(0, len(words), per)]
+    parts = parts or [text]
+    weights = [len(p.split()) / 2.5 * 1000.0 for p in parts]
+    scale, at, out = dur / sum(weights), start, []
+    for p, w in zip(parts, weights, strict=True):
+        until = min(end, int(at + w * scale))
+        out.append([at, until, p])
+        at = until
+    out[-1][1] = end
+    merged = [out[0]]
+    for s in out[1:]:
+        if s[1] - s[0] < 500:
+            merged[-1] = [merged[-1][0], s[1], merged[-1][2].rstrip() + " " + s[2]]
+        else:
+            merged.append(s)
+    if len(merged) > 1 and merged[0][1] - merged[0][0] < 500:
+        merged[:2] = [[merged[0][0], merged[1][1], merged[0][2].rstrip() + " " + merged[1][2]]]
+    return [tuple(s) for s in merged]
+
+
+def test_segments_of_every_line_equal_the_plain_rule(spark, sf_dir):
+    from cuewright.functions import segments
+    from cuewright.sources import adapters as A
+
+    rows = A.lines(spark, sf_dir).select("text", "start_ms", "end_ms", segments.resegment(F.col("text"), F.col("start_ms"), F.col("end_ms")).alias("s")).collect()
+    assert len(rows) > 50
+    for r in rows:
+        assert [tuple(s) for s in r.s] == plain_segments(r.text, r.start_ms, r.end_ms)
 
 
 def test_recognition_and_subtitles(spark):
@@ -112,7 +229,7 @@ def test_glossary(spark):
     g = spark.createDataFrame([("胡", "tile", ["牌"]), ("王", "Wang", None)], "src string, target string, indicators array<string>")
     t = spark.createDataFrame([(1, "王 and 胡", "wang"), (2, "胡牌", ""), (3, "x", "")], "id long, text string, out string")
     assert {r.id: r.hits for r in glossary.term_hits(t, g).collect()} == {1: "王:Wang", 2: "胡:tile"}
-    assert sorted(tuple(r) for r in glossary.violations(t, g, "text", "out").collect()) == [(1, "胡"), (2, "胡")]
+    assert sorted(tuple(r) for r in glossary.violations(t, g, "text", "out").collect()) == [(2, "胡")]  # 胡 is ambiguous without 牌
 
 
 def test_snapshots(spark):
@@ -146,12 +263,15 @@ def test_segments(spark):
     axis = segments.time_axis(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.array(F.lit(1.0), F.lit(1.0), F.lit(1.0)), F.lit(0), F.lit(1000))
     assert at(axis) == [(0, 333, "a"), (333, 666, "b"), (666, 1000, "c")]
     assert at(segments.resegment(F.lit("one two, three four. five"), F.lit(0), F.lit(5000))) == [(0, 2000, "one two,"), (2000, 4000, "three four."), (4000, 5000, "five")]
-    assert at(segments.resegment(F.lit("a, b c d e f g h i j, k"), F.lit(0), F.lit(1100))) == [(0, 1100, "a, b c d e f g h i j, k")]
+    assert at(segments.resegment(F.lit(" a, b c d e f g h i j, k "), F.lit(0), F.lit(1499))) == [(0, 1499, "a, b c d e f g h i j, k")]
+    assert at(segments.resegment(F.lit("a b c d e f g h i j k l m n o p q r s t"), F.lit(0), F.lit(4000))) == [(0, 2000, "a b c d e f g h i j"), (2000, 4000, "k l m n o p q r s t")]
+    assert at(segments.resegment(F.lit("?! ..."), F.lit(0), F.lit(4000))) == [(0, 4000, "?! ...")] and at(segments.resegment(F.lit("x"), F.lit(5), F.lit(5))) == []
     assert at(segments.resegment(F.lit(" "), F.lit(0), F.lit(10))) == []
     assert one.select(segments.sentences(F.lit("你好！好吗？x"))).first()[0] == ["你好！", "好吗？", "x"]
-    assert one.select(segments.sentence_scores(F.array(F.lit("ab"), F.lit("c"), F.lit("d")), F.array(F.lit(0.0), F.lit(1.0), F.lit(0.25)))).first()[0] == [0.5, 0.25, None]
+    scores = one.select(segments.sentence_scores(F.array(F.lit("a，b。"), F.lit("…！"), F.lit("c?"), F.lit("d")), F.array(F.lit(0.0), F.lit(1.0), F.lit(0.25)))).first()[0]
+    assert [tuple(s) for s in scores] == [("a，b。", 0.5), ("c?", 0.25)]
     marks = F.array(*(F.struct(F.lit(c).alias("text"), F.lit(i * 0.5).alias("start"), F.lit(i * 0.5 + 0.5).alias("end")) for i, c in enumerate("abcab")))
-    assert at(segments.align_sentences(F.array(F.lit("abc"), F.lit("x"), F.lit("ab")), marks)) == [(0, 1500, "abc"), (1500, 1700, "x"), (1500, 2500, "ab")]
+    assert at(segments.align_sentences(F.array(F.lit("abc"), F.lit("x"), F.lit("ab")), marks)) == [(0, 1500, "abc"), (1500, 2500, "ab")]  # x isn't there
 
 
 def test_names_and_hashes(spark):
