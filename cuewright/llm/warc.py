@@ -85,46 +85,71 @@ def write_captures(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     rows.select(F.explode(records).alias("value")).write.option("lineSep", _END * 2).option("maxRecordsPerFile", 3 * FILE_ROWS).option("compression", "gzip").text(path)
 
 
-_BETWEEN = b"\r\n\r\nWARC/1."
+_BETWEEN = b"WARC/1."
 
 
-def _stated(start: bytes) -> tuple[dict[str, str], int, int]:
-    """Headers (names in lower case) of the record that begins so, where its block begins and where it ends."""
-    end = start.find(b"\r\n\r\n")
-    if not start.startswith(b"WARC/") or end < 0:
-        raise ValueError(f"no WARC record: {start[:40]!r}")
+def _stated(data: bytes, at: int = 0) -> tuple[dict[str, str], int, int]:
+    """Headers (names in lower case) of the record that begins at a place, where its block begins and where it ends."""
+    end = data.find(b"\r\n\r\n", at)
+    if not data.startswith(b"WARC/", at) or end < 0:
+        raise ValueError(f"no WARC record: {data[at : at + 40]!r}")
     headers = {}
-    for line in start[:end].decode("utf-8", "replace").split("\r\n")[1:]:
+    for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
         name, _, value = line.partition(":")
         headers[name.strip().lower()] = value.strip()
     return headers, end + 4, end + 4 + int(headers["content-length"])
 
 
 def whole_records(parts: Iterator[tuple[object, bytes]]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record, from (file, part) in order: files cut at _BETWEEN, which
-    may stand in a payload too; there the parts are put together again."""
-    file, held, size, need = None, [], 0, (({}), 0, 0)
-
-    def finished() -> tuple[dict[str, str], bytes]:
-        if size < need[2]:
-            raise ValueError(f"a WARC record ends after {size} of {need[2]} bytes")
-        return need[0], b"".join(held)[need[1] : need[2]]
-
-    for at, part in parts:
-        if held and at == file and size < need[2]:
+    """Headers and block of each record, from (file, part) in order: files cut at _BETWEEN.
+
+    Only the stated lengths say where a record ends. Where _BETWEEN stands in a payload, parts are put
+    together again; where a reader missed it, a part holds several records, and each comes out. What
+    is neither a record nor line ends between two is an error, so that nothing is lost unseen."""
+    file, held, size, need = None, [], 0, 0
+
+    def finished() -> Iterator[tuple[dict[str, str], bytes]]:
+        data, at = b"".join(held), 0
+        while at < len(data):
+            headers, begins, ends = _stated(data, at)
+            if ends > len(data):
+                raise ValueError(f"a WARC record lacks {ends - len(data)} bytes")
+            yield headers, data[begins:ends]
+            at = ends
+            while data[at : at + 2] == b"\r\n":
+                at += 2
+
+    for name, part in parts:
+        if name == file and held and size < need:
             held += [_BETWEEN, part]
             size += len(_BETWEEN) + len(part)
             continue
         if held:
-            yield finished()
-        start = part.lstrip(b"\r\n") if at != file else _BETWEEN[4:] + part
-        held, size, file = [start], len(start), at
-        if start:
-            need = _stated(start)
-        else:
-            held = []
+            # a record that was begun behind another one in the same part may go on in this one
+            rest = _begun(b"".join(held)) if name == file else 0
+            if rest:
+                held += [_BETWEEN, part]
+                size += len(_BETWEEN) + len(part)
+                need = size + rest - len(_BETWEEN) - len(part)
+                continue
+            yield from finished()
+        start = _BETWEEN + part if name == file else part.lstrip(b"\r\n")
+        file, held, size = name, [start] if start else [], len(start)
+        need = _stated(start)[2] if start else 0
     if held:
-        yield finished()
+        yield from finished()
+
+
+def _begun(data: bytes) -> int:
+    """Bytes that the last record in ``data`` lacks."""
+    at = 0
+    while at < len(data):
+        at = _stated(data, at)[2]
+        if at > len(data):
+            return at - len(data)
+        while data[at : at + 2] == b"\r\n":
+            at += 2
+    return 0
 
 
 _FIELDS = ("warc-type", "warc-record-id", "warc-concurrent-to", "warc-refers-to", "warc-target-uri", "warc-date", "warc-payload-digest", "content-type")

@@ -326,11 +326,36 @@ def test_archives_of_any_origin(spark, tmp_path):
     (tmp_path / "empty.warc.gz").write_bytes(gzip.compress(b""))
     got = sorted((r.type, r.content_bytes, r.content_digest) for r in warc.read_records(spark, str(tmp_path)).collect())
     assert got == sorted([(k.decode(), len(b), hashlib.sha256(b).hexdigest()) for k, b in parts] * 3)
-    for bad in (b"nonsense", archive_record(b"x", b"cut off")[:-12]):
+    for bad in (b"nonsense", archive_record(b"x", b"cut off")[:-12], archive_record(b"x", b"y") + b"junk", archive_record(b"x", b"y") * 2 + archive_record(b"x", b"cut off")[:-12]):
         with pytest.raises(ValueError):
             list(warc.whole_records(iter([(0, bad)])))
 
 
+def test_records_come_out_wherever_a_reader_cuts():
+    """Cut at every, at some and at none of the places where a record could begin."""
+    rng = random.Random(11)
+    bodies = [b"a", b"", b"x WARC/1.1\r\n\r\nWARC/1. y", b"\r\n\r\n", b"WARC/1.", bytes(range(256)), b"q" * 5000]
+    for _ in range(300):
+        wanted = [(b"r%d" % k, rng.choice(bodies)) for k in range(rng.randrange(1, 8))]
+        pieces = b"".join(archive_record(k, b) for k, b in wanted).split(warc._BETWEEN)
+        parts = [pieces[0]]
+        for piece in pieces[1:]:
+            if rng.random() < 0.4:
+                parts[-1] += warc._BETWEEN + piece  # the reader missed it
+            else:
+                parts.append(piece)
+        got = [(h["warc-type"].encode(), b) for h, b in warc.whole_records((1, p) for p in parts)]
+        assert got == wanted
+
+
+def test_every_record_of_many_files_is_read(spark, same, tmp_path):
+    """Enough bytes for many buffers of the reader, with records that end in line ends at any place in them."""
+    rng = random.Random(12)
+    rows = [(i, f"http://h/{i}", "<p>" + "ab c\r\n" * rng.randrange(1, 900) + str(i)) for i in range(6000)]
+    folder = written(spark, tmp_path, pages=spark.createDataFrame(rows, "page_id long, url string, html string"))
+    same(warc.op6_warc(spark, folder), warc.ORACLE, folder)
+
+
 def test_a_large_archive_takes_little_memory():
     import tracemalloc
 
