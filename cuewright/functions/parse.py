@@ -48,6 +48,16 @@ def corpus_context(scene: Column, hotwords: Column) -> Column:
     return F.when(F.size(data) > 0, F.to_json(F.struct(F.lit("dialog_ctx").alias("context_type"), data.alias("context_data"))))
 
 
+def json_update(old: Column, new: Column) -> Column:
+    """A JSON object with the fields of ``new`` put over it (whole values, nested ones too); old fields keep their
+    places. What is null, or no object, has no fields."""
+    fields = lambda c: F.coalesce(F.from_json(c, "map<string,variant>", {"mode": "PERMISSIVE"}), F.from_json(F.lit("{}"), "map<string,variant>"))
+    a, b = fields(old), fields(new)
+    kept = F.transform(F.map_entries(a), lambda e: F.struct(e["key"].alias("key"), F.when(F.map_contains_key(b, e["key"]), F.try_element_at(b, e["key"])).otherwise(e["value"]).alias("value")))
+    added = F.filter(F.map_entries(b), lambda e: ~F.map_contains_key(a, e["key"]))
+    return F.to_json(F.map_from_entries(F.concat(kept, added)))
+
+
 def split_at_ratio(text: Column, ratio: Column) -> Column:
     """Two parts of a text, cut at the mark nearest the ratio (the one at or after it of two as near),
     which goes; at the ratio itself, but after a character at least, without a mark."""

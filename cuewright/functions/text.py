@@ -84,3 +84,11 @@ def json_object(text: Column) -> Column:
     first = F.instr(text, "{")
     last = F.length(text) - F.instr(F.reverse(text), "}") + 1
     return F.when((first > 0) & text.contains("}") & (last > first), F.substring(text, first, last - first + 1))
+
+
+def ago(then_ms: Column, now_ms: Column) -> Column:
+    """How long ago, in whole minutes, hours, days or months of 30 days; -- without a time."""
+    minutes = F.floor((now_ms - then_ms) / 60_000)
+    part = lambda by, unit: F.concat(F.floor(minutes / by).cast("string"), F.lit(unit))
+    told = F.when(minutes < 1, "刚刚").when(minutes < 60, part(1, "分钟前")).when(minutes < 1440, part(60, "小时前")).when(minutes < 43_200, part(1440, "天前"))
+    return F.when(then_ms.isNull(), "--").otherwise(told.otherwise(part(43_200, "个月前")))

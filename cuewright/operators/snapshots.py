@@ -56,6 +56,48 @@ def prune(rows: DataFrame, keep: DataFrame, key: str, used: DataFrame, used_key:
     return rows.join(gone.select("id"), "id", "left_anti")
 
 
+#: The role that speech falls back to and that is never pruned; a fixed value.
+DEFAULT_ROLE = "默认"
+
+
+def set_roles(stored: DataFrame, listed: DataFrame, dramas: DataFrame, used: DataFrame) -> DataFrame:
+    """Roles once the lists of ``dramas`` (drama_id) are set; other dramas, and columns a list doesn't have, stay.
+
+    ``listed``: drama_id, position, id, name, voice_type, role_type. A row with a positive id changes that role
+    of its drama, if there is one; others change the role of their name or add one (id null). The last row of
+    an id or a name counts; ids come before names. Roles that are in no list go, an empty list's too, but for the
+    default one and those in ``used`` (drama_id, role_id)."""
+    fields = ["name", "voice_type", "role_type"]
+    last = lambda rows, key: rows.groupBy("drama_id", key).agg(F.max_by(F.struct(*fields), "position").alias("_new"))
+    has_id = F.coalesce(F.col("id") > 0, F.lit(False))
+    change = lambda c: F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(F.col(c)).alias(c)
+    others = [c for c in stored.columns if c not in fields]
+
+    kept = stored.join(last(listed.where(has_id), "id"), ["drama_id", "id"], "left")
+    kept = kept.select(*others, *(change(c) for c in fields), F.col("_new").isNotNull().alias("_seen"))
+    named = last(listed.where(~has_id), "name").withColumnRenamed("name", "_name").withColumnRenamed("drama_id", "_drama")
+    both = kept.join(named, (F.col("drama_id") == F.col("_drama")) & (F.col("name") == F.col("_name")), "full_outer")
+    both = both.select(*(F.coalesce(c, "_drama").alias(c) if c == "drama_id" else F.col(c) for c in others), *(change(c) for c in fields), (F.coalesce("_seen", F.lit(False)) | F.col("_new").isNotNull()).alias("_seen"))
+
+    spared = used.where("role_id IS NOT NULL").select(F.col("drama_id").alias("_drama"), F.col("role_id").alias("_role")).distinct()
+    both = both.join(spared, (F.col("drama_id") == F.col("_drama")) & (F.col("id") == F.col("_role")), "left")
+    both = both.join(dramas.select(F.col("drama_id").alias("_set")).distinct(), F.col("drama_id") == F.col("_set"), "left")
+    stays = F.col("_set").isNull() | F.col("_seen") | F.col("name").eqNullSafe(DEFAULT_ROLE) | F.col("_role").isNotNull()
+    return both.where(stays).select(*stored.columns)
+
+
+def delete_cues(cues: DataFrame, links: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cues and links (cue_id, ..) without those of ``gone`` (id)."""
+    ids = gone.select("id")
+    return cues.join(ids, "id", "left_anti"), links.join(ids.withColumnRenamed("id", "cue_id"), "cue_id", "left_anti").select(*links.columns)
+
+
+def delete_utterances(utterances: DataFrame, links: DataFrame, gone: DataFrame, keys: tuple[str, ...] = ("uid",)) -> tuple[DataFrame, DataFrame]:
+    """Utterances and their links without those of ``gone``; both sides have the keys."""
+    ids = gone.select(*keys)
+    return utterances.join(ids, list(keys), "left_anti").select(*utterances.columns), links.join(ids, list(keys), "left_anti").select(*links.columns)
+
+
 def update_fields(rows: DataFrame, changes: dict[str, Column], writable: tuple[str, ...]) -> DataFrame:
     """Rows with the changes to writable columns that they have; others are ignored."""
     return rows.withColumns({c: v.cast(rows.schema[c].dataType) for c, v in changes.items() if c in writable and c in rows.columns})

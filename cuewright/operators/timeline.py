@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashes import source_hash
 from ..functions.text import strip
 
 _MEMBERS = "array<struct<head:long,id:long,first:long,last:long>>"
@@ -56,6 +57,34 @@ def utterance_spans(members: DataFrame, cues: DataFrame) -> DataFrame:
     )
 
 
+def reconcile(members: DataFrame, cues: DataFrame, stored: DataFrame, links: DataFrame) -> DataFrame:
+    """The next snapshot of utterances, a row for each group of ``members`` (as merge_cues gives them).
+
+    A group whose cues are just those of a stored utterance of its episode keeps that one (of several the
+    largest uid) and all its columns but text, speaker, role_id, emotion and kind, which come from its cues (the last
+    four from the first), and source_hash, which is cleared where it isn't that of the cues. Other groups
+    are new: uid and stored columns null. Utterances that no group keeps aren't in the result, nor are
+    ``links`` (episode_id, uid, cue_id) of none."""
+    fields = ("speaker", "role_id", "emotion", "kind")
+    c = cues.join(members.select("id", "head_id"), "id")
+    row = F.struct("start_ms", "id", "text", "end_ms", *fields)
+    g = c.groupBy("episode_id", "head_id").agg(F.sort_array(F.collect_list(row)).alias("c"))
+    g = g.select("episode_id", "head_id", F.array_sort(F.transform("c", lambda x: x["id"])).alias("ids"), F.array_join(F.transform("c", lambda x: x["text"]), "").alias("text"), *(F.col("c")[0][f].alias(f) for f in fields), source_hash("c").alias("_now"))
+    held = links.groupBy("episode_id", "uid").agg(F.array_sort(F.collect_list("cue_id")).alias("ids")).groupBy("episode_id", "ids").agg(F.max("uid").alias("uid"))
+    kept = [x for x in stored.columns if x not in ("episode_id", "uid", "text", "source_hash", *fields)]
+    old = held.join(stored.select("episode_id", "uid", "source_hash", *kept), ["episode_id", "uid"])
+    now = F.when(F.col("source_hash") == F.col("_now"), F.col("source_hash")).alias("source_hash")
+    return g.join(old, ["episode_id", "ids"], "left").select("episode_id", "head_id", "uid", "text", *fields, now, *kept)
+
+
+def translation_metrics(results: DataFrame) -> DataFrame:
+    """One row of totals over ``results`` (status, extend_ms, retries); truncated ones count as failed."""
+    s = F.col("status")
+    kinds = {"ok": s == "ok", "compressed": s == "compressed", "failed": s.isin("failed", "truncated"), "skipped": s == "skipped"}
+    sums = (F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(f"total_{c}") for c in ("extend_ms", "retries"))
+    return results.agg(F.count(F.lit(1)).alias("total"), *sums, *(F.count_if(of).alias(k) for k, of in kinds.items()))
+
+
 def extend_ends(cues: DataFrame, least: int = 1200, more: int = 200) -> DataFrame:
     """new_end: longer ends that stay clear of the next start; the last row isn't capped."""
     w = Window.partitionBy("episode_id").orderBy("start_ms", "id")

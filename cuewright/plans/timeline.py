@@ -48,6 +48,17 @@ def jn_13_set_2_reconcile(spark: SparkSession, sf: str) -> DataFrame:
     return new.join(old, ["episode_id", "ids"], "full_outer").select("head_id", "uid", action.alias("action"))
 
 
+@query(_MERGE + """, g AS (SELECT f.episode_id, f.head_id, list(c.id ORDER BY c.id) AS ids, string_agg(c.text, '' ORDER BY c.start_ms, c.id) AS text, first(c.speaker ORDER BY c.start_ms, c.id) AS speaker, first(c.role_id ORDER BY c.start_ms, c.id) AS role_id,
+  first(c.emotion ORDER BY c.start_ms, c.id) AS emotion, first(c.kind ORDER BY c.start_ms, c.id) AS kind, substr(sha256(string_agg(c.text || '|' || c.start_ms || '|' || c.end_ms || '|' || c.emotion, '|' ORDER BY c.start_ms, c.id)), 1, 16) AS now FROM fold f JOIN cues c USING (id) GROUP BY f.episode_id, f.head_id),
+e AS (SELECT episode_id, uid, list(id ORDER BY id) AS ids FROM (SELECT episode_id, id // 7 AS uid, id FROM cues) GROUP BY ALL)
+SELECT g.episode_id, g.head_id, u.uid, g.text, g.speaker, g.role_id, g.emotion, g.kind, CASE WHEN u.source_hash = g.now THEN u.source_hash END AS source_hash, u.text_en, u.voice_hash
+FROM g LEFT JOIN e ON g.episode_id = e.episode_id AND g.ids = e.ids LEFT JOIN utterances u ON u.episode_id = e.episode_id AND u.uid = e.uid""")
+def jn_13_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    links = A.cues(spark, sf).select("episode_id", F.floor(F.col("id") / 7).alias("uid"), F.col("id").alias("cue_id"))
+    stored = A.utterances(spark, sf).select("episode_id", "uid", "source_hash", "text_en", "voice_hash")
+    return timeline.reconcile(_merged(spark, sf), A.cues(spark, sf), stored, links)
+
+
 @query("SELECT episode_id, id, type, status FROM (SELECT *, row_number() OVER (PARTITION BY episode_id, type ORDER BY id DESC) AS r FROM tasks) WHERE r = 1")
 def win_1_2_latest(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.workflow import latest

@@ -239,6 +239,45 @@ def test_snapshots(spark):
     assert got == [(1, "a", None), (2, "b", 5), (3, "c", 7)]
 
 
+def test_reconciled_utterances(spark):
+    from cuewright.functions.hashes import source_hash
+
+    c = spark.createDataFrame([cue(1, 0, 100), cue(2, 150, 250), cue(3, 5000, 5100, "b", 7, "sad"), cue(4, 9000, 9100), cue(5, 0, 50, episode=2)], CUE)
+    now = c.where("id = 3").select(source_hash(F.array(F.struct("text", "start_ms", "end_ms", "emotion")))).first()[0]
+    stored = spark.createDataFrame([(1, 10, "old", "A"), (1, 11, now, "B"), (1, 12, now, "C"), (1, 13, "x", "D"), (2, 14, None, "E")], "episode_id long, uid long, source_hash string, note string")
+    links = spark.createDataFrame([(1, 10, 2), (1, 10, 1), (1, 11, 3), (1, 12, 3), (1, 13, 4), (1, 13, 1), (2, 14, 5)], "episode_id long, uid long, cue_id long")
+    got = {r.head_id: (r.uid, r.text, r.speaker, r.role_id, r.emotion, r.source_hash, r.note) for r in timeline.reconcile(timeline.merge_cues(c), c, stored, links).collect()}
+    # Of two utterances of the same cues the later stays, 13 goes, a hash that isn't the cues' is cleared.
+    assert got == {1: (10, "t1t2", "a", None, "neutral", None, "A"), 3: (12, "t3", "b", 7, "sad", now, "C"), 4: (None, "t4", "a", None, "neutral", None, None), 5: (14, "t5", "a", None, "neutral", None, "E")}
+
+
+def test_role_lists(spark):
+    stored = spark.createDataFrame([(1, 1, "a", "v", "lead", "s1"), (2, 1, "b", "v", "extra", "s2"), (3, 1, "默认", "v", "extra", None), (4, 1, "c", "v", "extra", None), (5, 2, "d", "v", "extra", None), (6, 3, "e", "v", "extra", None)], "id long, drama_id long, name string, voice_type string, role_type string, sample string")
+    listed = spark.createDataFrame([(1, 0, 1, "a2", "w", "lead"), (1, 1, None, "b", "x", "extra"), (1, 2, 0, "b", "y", "extra"), (1, 3, None, "n", None, "extra"), (1, 4, 6, "zz", "w", "lead")], "drama_id long, position int, id long, name string, voice_type string, role_type string")
+    used = spark.createDataFrame([(1, 4), (3, 5), (1, None)], "drama_id long, role_id long")
+    got = {(r.id, r.drama_id, r.name, r.voice_type, r.sample) for r in snapshots.set_roles(stored, listed, spark.createDataFrame([(1,), (2,)], "drama_id long"), used).collect()}
+    assert got == {(1, 1, "a2", "w", "s1"), (2, 1, "b", "y", "s2"), (3, 1, "默认", "v", None), (4, 1, "c", "v", None), (None, 1, "n", None, None), (6, 3, "e", "v", None)}
+
+
+def test_requests_paths_and_updates(spark):
+    from cuewright.functions import requests
+
+    one = spark.range(1)
+    off, no = F.lit(False), F.lit(None)
+    faults = lambda *c: list(one.select(requests.request_faults(*c)).first()[0])
+    assert faults(off, no.cast("int"), no.cast("string"), off, off, F.lit(1), F.lit("en")) == []
+    assert faults(F.lit(True), F.lit(300), F.lit("m"), F.lit(True), F.lit(True), F.lit(2), F.lit("zh-CN")) == []
+    assert faults(F.lit(True), F.lit(5001), F.lit("m"), off, F.lit(True), no.cast("int"), F.lit("")) == ["the window isn't within 300 and 5000", "a speaker model needs speakers", "split channels need two"]
+    assert one.select(requests.require(F.array().cast("array<string>"), F.lit(3))).first()[0] == 3
+    with pytest.raises(Exception, match="broken; twice"):
+        one.select(requests.require(F.array(F.lit("broken"), F.lit("twice")), F.col("id"))).collect()
+    paths = [requests.artifact_path(F.lit(k), F.lit("/w/5/007")) for k in ("mix.audio", "subs.en_srt", "x.y", "z")]
+    assert list(one.select(*paths).first()) == ["/w/5/007/007-mix.wav", "/w/5/007/output/007-en.srt", "/w/5/007/x/y", "/w/5/007/misc/z"]
+    updates = [parse.json_update(F.lit(a).cast("string"), F.lit(b).cast("string")) for a, b in (('{"a":{"x":1},"b":[1,2.5]}', '{"c":true,"a":{"y":null}}'), (None, '{"a":1}'), ('{"a":1}', None), ("no", '{"a":"é"}'))]
+    assert list(one.select(*updates).first()) == ['{"a":{"y":null},"b":[1,2.5],"c":true}', '{"a":1}', '{"a":1}', '{"a":"é"}']
+    assert [r[0] for r in one.select(F.explode(F.array(*(text.ago(F.lit(t).cast("long"), F.lit(10_000_000_000)) for t in (None, 9_999_999_999, 10_000_000_000 - 59 * 60_000, 0))))).collect()] == ["--", "刚刚", "59分钟前", "3个月前"]
+
+
 def test_states_without_tasks(spark):
     e = spark.createDataFrame([(1,), (2,)], "id long")
     t = spark.createDataFrame([(1, 1, "asr", "succeeded"), (2, 1, "parse", "pending")], "id long, episode_id long, type string, status string")
