@@ -50,8 +50,14 @@ def corpus_context(scene: Column, hotwords: Column) -> Column:
 
 def json_update(old: Column, new: Column) -> Column:
     """A JSON object with the fields of ``new`` put over it (whole values, nested ones too); old fields keep their
-    places. What is null, or no object, has no fields."""
-    fields = lambda c: F.coalesce(F.from_json(c, "map<string,variant>", {"mode": "PERMISSIVE"}), F.from_json(F.lit("{}"), "map<string,variant>"))
+    places. What is null, or no object, has no fields; of a field that comes twice the last counts."""
+    kind = "map<string,variant>"
+
+    def fields(c: Column) -> Column:
+        found = F.map_entries(F.coalesce(F.from_json(c, kind), F.from_json(F.lit("{}"), kind)))
+        later = lambda e, i: F.exists(F.slice(found, i + 2, F.size(found)), lambda x: x["key"] == e["key"])
+        return F.map_from_entries(F.filter(found, lambda e, i: ~later(e, i)))
+
     a, b = fields(old), fields(new)
     kept = F.transform(F.map_entries(a), lambda e: F.struct(e["key"].alias("key"), F.when(F.map_contains_key(b, e["key"]), F.try_element_at(b, e["key"])).otherwise(e["value"]).alias("value")))
     added = F.filter(F.map_entries(b), lambda e: ~F.map_contains_key(a, e["key"]))

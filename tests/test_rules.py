@@ -273,8 +273,8 @@ def test_requests_paths_and_updates(spark):
         one.select(requests.require(F.array(F.lit("broken"), F.lit("twice")), F.col("id"))).collect()
     paths = [requests.artifact_path(F.lit(k), F.lit("/w/5/007")) for k in ("mix.audio", "subs.en_srt", "x.y", "z")]
     assert list(one.select(*paths).first()) == ["/w/5/007/007-mix.wav", "/w/5/007/output/007-en.srt", "/w/5/007/x/y", "/w/5/007/misc/z"]
-    updates = [parse.json_update(F.lit(a).cast("string"), F.lit(b).cast("string")) for a, b in (('{"a":{"x":1},"b":[1,2.5]}', '{"c":true,"a":{"y":null}}'), (None, '{"a":1}'), ('{"a":1}', None), ("no", '{"a":"é"}'))]
-    assert list(one.select(*updates).first()) == ['{"a":{"y":null},"b":[1,2.5],"c":true}', '{"a":1}', '{"a":1}', '{"a":"é"}']
+    updates = [parse.json_update(F.lit(a).cast("string"), F.lit(b).cast("string")) for a, b in (('{"a":{"x":1},"b":[1,2.5]}', '{"c":true,"a":{"y":null}}'), (None, '{"a":1}'), ('{"a":1}', None), ("no", '{"a":"é"}'), ('{"a":1,"a":2,"b":3}', '{"b":4,"b":5}'))]
+    assert list(one.select(*updates).first()) == ['{"a":{"y":null},"b":[1,2.5],"c":true}', '{"a":1}', '{"a":1}', '{"a":"é"}', '{"a":2,"b":5}']
     assert [r[0] for r in one.select(F.explode(F.array(*(text.ago(F.lit(t).cast("long"), F.lit(10_000_000_000)) for t in (None, 9_999_999_999, 10_000_000_000 - 59 * 60_000, 0))))).collect()] == ["--", "刚刚", "59分钟前", "3个月前"]
 
 
