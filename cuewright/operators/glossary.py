@@ -3,6 +3,9 @@
 A glossary that fits is broadcast (its bytes are summed first), so that texts aren't shuffled.
 Beyond that terms meet texts by their first two characters: only texts' ids, starts of words
 and the terms are shuffled, each text once for a start that it holds.
+
+Texts meet texts that hold them by their first 16 characters, or as many of them as the
+largest power of two within them, so that the texts of a group aren't all paired.
 """
 
 from __future__ import annotations
@@ -12,6 +15,14 @@ from pyspark.sql import functions as F
 
 #: Most bytes of a glossary that is broadcast.
 BROADCAST_BYTES = 16 << 20
+#: Characters of the starts by which texts meet texts that hold them.
+START_SIZES = (1, 2, 4, 8, 16)
+
+
+def _pieces(text: Column, *sizes: int) -> Column:
+    """All substrings of some sizes; a text is cut into characters once."""
+    cut = lambda c, n: F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(1), F.size(c) - (n - 1)), lambda i: F.array_join(F.slice(c, i, F.lit(n)), ""))).otherwise(F.array().cast("array<string>"))
+    return F.flatten(F.transform(F.array(F.split(text, "")), lambda c: F.concat(*(cut(c, n) for n in sizes))))
 
 
 def _meeting(texts: DataFrame, glossary: DataFrame, text: str) -> DataFrame:
@@ -22,9 +33,8 @@ def _meeting(texts: DataFrame, glossary: DataFrame, text: str) -> DataFrame:
     width = 64 + F.octet_length("src") + F.octet_length("target") + F.coalesce(F.octet_length(F.array_join("indicators", ",")), F.lit(0))
     if (glossary.agg(F.sum(width.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES:
         return texts.join(F.broadcast(glossary), holds)
-    pairs = F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.substring(t, i, F.lit(2)))
-    starts = F.array_distinct(F.concat(pairs, F.split(t, ""), F.array(F.lit(""))))
-    begun = texts.withColumn("_start", F.explode(F.when(F.length(t) > 0, starts).otherwise(F.array(F.lit("")))))
+    starts = F.array_distinct(F.concat(_pieces(t, 1, 2), F.array(F.lit(""))))
+    begun = texts.withColumn("_start", F.explode(starts))
     return begun.join(glossary.withColumn("_start", F.substring("src", 1, 2)), "_start").where(holds).drop("_start")
 
 
@@ -38,11 +48,41 @@ def violations(texts: DataFrame, glossary: DataFrame, text: str, output: str, ke
     return _meeting(texts, glossary, text).where(~F.lower(output).contains(F.lower("target"))).select(key, "src")
 
 
+def _held(inner: DataFrame, outer: DataFrame, by: str, least: Column) -> DataFrame:
+    """``by``, inner, outer and ``least`` of distinct texts of a group, the inner one (not empty) within the outer."""
+    size = F.lit(START_SIZES[0])
+    for n in START_SIZES[1:]:
+        size = F.when(F.length("inner") >= n, n).otherwise(size)
+    begun = inner.where("inner <> ''").withColumn("_start", F.substring(F.col("inner"), F.lit(1), size))
+    held = outer.withColumn("_start", F.explode(F.array_distinct(_pieces(F.col("outer"), *START_SIZES))))
+    return begun.join(held, [by, "_start"]).where(F.col("outer").contains(F.col("inner"))).select(by, "inner", "outer", least.alias("least"))
+
+
 def fuzzy_match(sentences: DataFrame, segments: DataFrame, by: str) -> DataFrame:
-    """For each sentence the first segment of the same ``by`` that equals it, holds it or is held by it."""
-    s, g = F.col("sentence"), F.col("segment")
-    j = sentences.join(segments, by).where((s == g) | s.contains(g) | g.contains(s))
-    return j.groupBy(by, "sentence_id").agg(F.min("segment_id").alias("segment_id"))
+    """For each sentence the first segment of the same ``by`` that equals it, holds it or is held by it.
+
+    Null texts match nothing; an empty text is held by every text of its group."""
+    s = sentences.select(by, "sentence").distinct()
+    g = segments.where("segment IS NOT NULL").groupBy(by, "segment").agg(F.min("segment_id").alias("least"))
+    inner, outer = F.col("segment").alias("inner"), F.col("segment").alias("outer")
+    within = _held(g.select(by, inner, "least"), s.select(by, F.col("sentence").alias("outer")), by, F.col("least")).select(by, F.col("outer").alias("sentence"), "least")
+    around = _held(s.select(by, F.col("sentence").alias("inner")), g.select(by, outer, "least"), by, F.col("least")).select(by, F.col("inner").alias("sentence"), "least")
+    of_all = g.groupBy(by).agg(F.min("least").alias("any"), F.min(F.when(F.col("segment") == "", F.col("least"))).alias("empty"))
+    rest = s.where("sentence IS NOT NULL").join(of_all, by).select(by, "sentence", F.when(F.col("sentence") == "", F.col("any")).otherwise(F.col("empty")).alias("least"))
+    found = within.unionByName(around).unionByName(rest).groupBy(by, "sentence").agg(F.min("least").alias("segment_id")).where("segment_id IS NOT NULL")
+    return sentences.select(by, "sentence_id", "sentence").join(found, [by, "sentence"]).groupBy(by, "sentence_id").agg(F.min("segment_id").alias("segment_id"))
+
+
+def listing(glossary: DataFrame, dramas: DataFrame, drama_id: int | None = None, user_id: int | None = None) -> DataFrame:
+    """id, drama_id, drama_name, type, src, target of a drama's entries, of those of a user's dramas, or of all, in order.
+
+    A drama's entries, and all, stay where the drama isn't known; a user's dramas are known ones."""
+    d = dramas.select(F.col("id").alias("_d"), F.col("name").alias("drama_name"), F.col("user_id").alias("_user"))
+    of = glossary if drama_id is None else glossary.where(F.col("drama_id") == drama_id)
+    told = of.join(d, F.col("drama_id") == F.col("_d"), "left")
+    if drama_id is None and user_id is not None:
+        told = told.where(F.col("_user") == user_id)
+    return told.select("id", "drama_id", "drama_name", "type", "src", "target").orderBy("drama_id", "type", "src")
 
 
 def name_report(texts: DataFrame, names: str, key: str = "id", group: str = "episode_id") -> DataFrame:

@@ -120,6 +120,16 @@ def pass_gate(tasks: DataFrame, gate: str) -> DataFrame:
     return told.unionByName(made)
 
 
+def reset_orphans(episodes: DataFrame, tasks: DataFrame, error: str) -> tuple[DataFrame, DataFrame]:
+    """Running tasks failed, as no worker has them; and the status of the episodes that had one, from their newest task."""
+    lost = F.col("status") == "running"
+    reset = tasks.withColumn("error", F.when(lost, error)).withColumn("status", F.when(lost, "failed").otherwise(F.col("status")))
+    of = reset.groupBy(F.col("episode_id").alias("_e")).agg(F.max_by("status", "id").alias("_s"), F.count("error").alias("_lost")).where("_lost > 0")
+    derived = F.when(F.col("_s") == "pending", "review").when(F.col("_s") == "failed", "failed").otherwise("ready")
+    told = episodes.join(of, F.col("id") == F.col("_e"), "left").withColumn("status", F.when(F.col("_e").isNull(), F.col("status")).otherwise(derived))
+    return told.drop("_e", "_s", "_lost"), reset
+
+
 def should_run(forced: Column, recorded: Column, version_same: Column, inputs: Column, outputs: Column, status: Column) -> Column:
     return F.when(forced, "forced").when(~recorded, "not recorded").when(~version_same, "version changed").when(~inputs, "missing input").when(~outputs, "missing output").when(status != "succeeded", "status").otherwise("skip")
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import parse, rates, requests, text
-from ..operators import snapshots, timeline
+from ..functions import hashes, parse, rates, requests, text
+from ..operators import glossary, snapshots, timeline, workflow
 from ..sources import adapters as A
+from ..sources import formats
 from .registry import query
 
 
@@ -91,3 +92,60 @@ SELECT id, CASE WHEN m IS NULL THEN '--' WHEN m < 1 THEN '刚刚' WHEN m < 60 TH
 def tim_3_time_ago(spark: SparkSession, sf: str) -> DataFrame:
     then = F.when(F.col("id") % 13 != 0, F.col("start_ms"))
     return A.cues(spark, sf).select("id", text.ago(then, F.lit(1_722_000_000_000)).alias("ago"))
+
+
+@query("""+r AS (SELECT *, CASE WHEN status = 'running' THEN 'failed' ELSE status END AS s FROM tasks), l AS (SELECT episode_id, arg_max(s, id) AS s FROM r GROUP BY episode_id HAVING bool_or(status = 'running'))
+SELECT 'task' AS kind, id, s AS status, CASE WHEN status = 'running' THEN 'worker lost' END AS error FROM r UNION ALL
+SELECT 'episode', e.id, CASE WHEN l.s IS NULL THEN status WHEN l.s = 'pending' THEN 'review' WHEN l.s = 'failed' THEN 'failed' ELSE 'ready' END, NULL FROM episodes e LEFT JOIN l ON l.episode_id = e.id""")
+def stm_8_reset_orphans(spark: SparkSession, sf: str) -> DataFrame:
+    e, t = workflow.reset_orphans(A.episodes(spark, sf), A.tasks(spark, sf), "worker lost")
+    kept = t.select(F.lit("task").alias("kind"), "id", "status", "error")
+    return kept.unionByName(e.select(F.lit("episode").alias("kind"), "id", "status", F.lit(None).cast("string").alias("error")))
+
+
+_GLOSSARY = "+g AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 9 <> 0 THEN p_partkey % 400 END AS drama_id, p_type AS type, p_name AS src, p_brand AS target FROM part) SELECT g.id, drama_id, d.name AS drama_name, type, src, target FROM g LEFT JOIN dramas d ON d.id = g.drama_id"
+
+
+def _glossary(spark: SparkSession, sf: str) -> DataFrame:
+    return A.table(spark, sf, "part").selectExpr("p_partkey AS id", "CASE WHEN p_partkey % 9 <> 0 THEN p_partkey % 400 END AS drama_id", "p_type AS type", "p_name AS src", "p_brand AS target")
+
+
+@query(_GLOSSARY)
+def jn_7_listing(spark: SparkSession, sf: str) -> DataFrame:
+    return glossary.listing(_glossary(spark, sf), A.dramas(spark, sf))
+
+
+@query(_GLOSSARY + " WHERE drama_id = 7")
+def jn_7_listing_of_drama(spark: SparkSession, sf: str) -> DataFrame:
+    return glossary.listing(_glossary(spark, sf), A.dramas(spark, sf), drama_id=7)
+
+
+@query(_GLOSSARY + " WHERE d.user_id = 3")
+def jn_7_listing_of_user(spark: SparkSession, sf: str) -> DataFrame:
+    return glossary.listing(_glossary(spark, sf), A.dramas(spark, sf), user_id=3)
+
+
+@query("""+c(key, en) AS (VALUES ('calm', true), ('angry', false), ('glad', true)), k AS (SELECT id, CASE speaker WHEN 'click' THEN 'calm' WHEN 'view' THEN 'glad' WHEN 'error' THEN 'angry' ELSE speaker END AS emotion FROM cues)
+SELECT id, emotion, coalesce(en, false) AS in_english FROM k LEFT JOIN c ON c.key = k.emotion""")
+def src_4_emotions(spark: SparkSession, sf: str) -> DataFrame:
+    """An alias of two keys is the last one's; a speaker that is no alias stays and has no languages."""
+    text = '[{"key": "calm", "name": "Calm", "lang": ["zh", "en"], "alias": ["click", "view"]}, {"key": "angry", "name": "Angry", "lang": ["zh"], "alias": ["error"], "disabled": true}, {"key": "glad", "lang": ["en"], "alias": ["view"]}]'
+    config = formats.emotions(spark.createDataFrame([(text,)], "value string"))
+    c = formats.resolve_emotions(A.cues(spark, sf).select("id", F.col("speaker").alias("emotion")), config, "emotion")
+    return formats.emotions_with_language(c, config, "emotion", "en", "in_english")
+
+
+@query("""+k AS (SELECT id, trim(regexp_replace(text_en, '[ \t\n]+', ' ', 'g')) AS t, coalesce(role_id::VARCHAR, '') AS v, CASE WHEN id % 2 = 0 THEN '温柔' ELSE 'general' END AS style FROM cues)
+SELECT id, substr(sha256('e1|v1|' || t || '|' || v || '|{"pitch": ' || id % 3 || ', "rate": 1.1, "style": "' || CASE WHEN id % 2 = 0 THEN '\\u6e29\\u67d4' ELSE 'general' END || '"}|en'), 1, 16) AS with_prosody, substr(sha256('e2|v1|' || t || '|' || v), 1, 16) AS with_reference,
+  sha256('{"channels": 1, "engine": "e3", "engine_ver": "v1", "format": "wav", "lang": "en-US", "prosody": {"pitch": ' || id % 3 || ', "rate": 1.0, "role": "", "style": "' || style || '", "volume": ""}, "sample_rate": 24000, "text": "' || t || '", "voice": "' || v || '"}') AS of_payload FROM k""")
+def inc_10_synthesis_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys of an engine with prosody, of one with a reference voice, and of one that hashes its whole request."""
+    spoken = F.concat(F.lit(" \t"), F.regexp_replace("text_en", " ", " \n "), F.lit("\n"))
+    voice, style, pitch = F.coalesce(F.col("role_id").cast("string"), F.lit("")), F.when(F.col("id") % 2 == 0, "温柔"), F.col("id") % 3
+    prosody = F.to_json(F.struct(F.coalesce(style, F.lit("general")).alias("style"), F.lit(1.1).alias("rate"), pitch.alias("pitch")))
+    return A.cues(spark, sf).withColumn("prosody", prosody).select(
+        "id",
+        hashes.synthesis_key("e1", "v1", spoken, voice, F.col("prosody"), F.lit("en")).alias("with_prosody"),
+        hashes.synthesis_key("e2", "v1", spoken, voice).alias("with_reference"),
+        hashes.payload_key("e3", "v1", spoken, voice, {"style": style, "pitch": pitch}, F.lit("en-US"), "wav", 24_000, 1).alias("of_payload"),
+    )

@@ -61,6 +61,27 @@ def resolve_alias(name: Column, lookup: dict[str, list[str]]) -> Column:
     return out
 
 
+def emotions(raw: DataFrame, json_col: str = "value") -> DataFrame:
+    """position, key, name, languages, aliases and disabled of a configuration, a JSON list in one text
+    (as ``spark.read.text`` with ``wholetext`` gives it)."""
+    kind = "array<struct<key:string,name:string,lang:array<string>,alias:array<string>,disabled:boolean>>"
+    e = raw.select(F.posexplode(F.from_json(json_col, kind)).alias("position", "e"))
+    none = F.array().cast("array<string>")
+    return e.select("position", "e.key", "e.name", F.coalesce("e.lang", none).alias("languages"), F.coalesce("e.alias", none).alias("aliases"), F.coalesce("e.disabled", F.lit(False)).alias("disabled"))
+
+
+def resolve_emotions(df: DataFrame, config: DataFrame, col: str) -> DataFrame:
+    """``df`` with the key whose aliases hold the column in its place, of several the last; what is no alias stays."""
+    alias = config.select(F.explode("aliases").alias("_alias"), "position", "key").groupBy("_alias").agg(F.max_by("key", "position").alias("_key"))
+    return df.join(alias, F.col(col) == F.col("_alias"), "left").withColumn(col, F.coalesce("_key", col)).drop("_alias", "_key")
+
+
+def emotions_with_language(df: DataFrame, config: DataFrame, col: str, language: str, name: str = "supported") -> DataFrame:
+    """``df`` with whether the emotion of a column is configured for a language; one that isn't configured isn't."""
+    known = config.groupBy(F.col("key").alias("_key")).agg(F.max_by("languages", "position").alias("_languages"))
+    return df.join(known, F.col(col) == F.col("_key"), "left").withColumn(name, F.coalesce(F.array_contains("_languages", language), F.lit(False))).drop("_key", "_languages")
+
+
 def srt_blocks(cues: DataFrame, text: str, key: str = "episode_id") -> DataFrame:
     """key and srt: numbered blocks by start, without blank texts; sung ones between notes."""
     t = F.col(text)

@@ -9,9 +9,14 @@ from pyspark.sql import SparkSession
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; where that isn't set (tests on one machine), below a temporary folder."""
+    """A new path below ``spark.checkpoint.dir``; where that isn't set, on one machine, below a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="spark-")
+        named = current.get() if current.isDefined() else None
+    if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="spark-")
     return f"{named.rstrip('/')}/{what}-{uuid.uuid4().hex}"

@@ -339,3 +339,49 @@ def test_lengths_and_speeds(spark):
     assert [fit('"abc"', None), fit("abcd", "ab"), fit("abcd", "ab cd"), fit("abcd", None), fit(None, "x")] == [("ok", "abc"), ("compressed", "ab"), ("truncated", "ab"), ("failed", "abcd"), ("failed", "")]
     assert [r[0] for r in one.select(F.explode(F.array(*(rates.speed_bucket(F.lit(x)) for x in (0.1, 0.84, 1.26, 9.0))))).collect()] == [0.7, 0.8, 1.3, 1.3]
     assert one.select(rates.loose_allowed(F.lit(900), F.lit("哥")), rates.loose_allowed(F.lit(800), F.lit("x"))).first()[:] == (True, False)
+
+
+def test_fuzzy_match_equals_all_pairs(spark):
+    texts = ["", None, "a", "b", "ab", "abc", "a long sentence of words", "long sentence of words", "sentence of word", "世界", "你好世界", "aé😀", "é😀", "x" * 40, "x" * 17, "ab"]
+    s = [(g, i, t) for g in (1, 2) for i, t in enumerate(texts[g - 1 :])] + [(3, 0, "a"), (3, 1, "")]
+    g = [(g, 100 + i, t) for g in (1, 2) for i, t in enumerate(reversed(texts[2 * g - 2 :]))] + [(4, 100, "a")]
+    wanted = {}
+    for by, i, t in s:
+        ids = [j for b, j, u in g if b == by and t is not None and u is not None and (t in u or u in t)]
+        if ids:
+            wanted[by, i] = min(ids)
+    got = glossary.fuzzy_match(spark.createDataFrame(s, "by int, sentence_id int, sentence string"), spark.createDataFrame(g, "by int, segment_id int, segment string"), "by")
+    assert {(r.by, r.sentence_id): r.segment_id for r in got.collect()} == wanted
+
+
+def test_glossary_beyond_a_broadcast(spark, monkeypatch):
+    t = spark.createDataFrame([(1, "the aé😀 b"), (2, ""), (3, None), (4, "b")], "id int, text string")
+    g = spark.createDataFrame([("aé", "x", None), ("é😀", "y", None), ("b", "z", ["the"]), ("", "all", None)], "src string, target string, indicators array<string>")
+    small = {r.id: r.hits for r in glossary.term_hits(t, g).collect()}
+    monkeypatch.setattr(glossary, "BROADCAST_BYTES", 0)
+    assert {r.id: r.hits for r in glossary.term_hits(t, g).collect()} == small == {1: ":all,aé:x,b:z,é😀:y", 2: ":all", 4: ":all"}
+
+
+def test_orphans_and_their_episodes(spark):
+    tasks = spark.createDataFrame([(1, 1, "running"), (2, 1, "pending"), (3, 2, "running"), (4, 3, "failed"), (5, 4, "running"), (6, 4, "succeeded")], "id int, episode_id int, status string")
+    e, t = workflow.reset_orphans(spark.createDataFrame([(i, "ready") for i in range(1, 6)], "id int, status string"), tasks, "lost")
+    assert {r.id: r.status for r in e.collect()} == {1: "review", 2: "failed", 3: "ready", 4: "ready", 5: "ready"}
+    assert {r.id: (r.status, r.error) for r in t.collect()} == {1: ("failed", "lost"), 2: ("pending", None), 3: ("failed", "lost"), 4: ("failed", None), 5: ("failed", "lost"), 6: ("succeeded", None)}
+
+
+def test_keys_of_synthesis(spark):
+    import hashlib
+    import json
+
+    from cuewright.functions import hashes
+
+    rows = [(" a \t b\n", '{"rate": 1.0, "pitch": 0, "style": "é"}', 1.5), ('"q" \\ \x0e', "{}", None), ("", "not JSON", 1.0)]
+    df = spark.createDataFrame(rows, "text string, prosody string, rate double")
+    told = df.select("text", "prosody", "rate", hashes.synthesis_key("e", "v", F.col("text"), F.lit("n"), F.col("prosody"), F.lit("en")).alias("k"), hashes.payload_key("e", "v", F.col("text"), F.lit("n"), {"rate": F.col("rate")}, F.lit("en"), "wav", 24000, 1).alias("p"))
+    for r in told.collect():
+        text = " ".join(r.text.split())
+        prosody = "" if r.prosody == "not JSON" else json.dumps(json.loads(r.prosody), sort_keys=True)
+        assert r.k == hashlib.sha256("|".join(["e", "v", text, "n", prosody, "en"]).encode()).hexdigest()[:16]
+        payload = {"engine": "e", "engine_ver": "v", "voice": "n", "lang": "en", "format": "wav", "sample_rate": 24000, "channels": 1, "text": text}
+        payload["prosody"] = {"rate": 1.0 if r.rate is None else r.rate, "pitch": 0, "style": "general", "role": "", "volume": ""}
+        assert r.p == hashlib.sha256(json.dumps(payload, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
