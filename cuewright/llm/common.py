@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +35,37 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+_noted: ContextVar[list[str] | None] = ContextVar("noted", default=None)
+
+
 def shared_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    noted = _noted.get()
+    if noted is not None:
+        noted.append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """A folder's end, in whatever store it is; one that isn't there is no error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators write to the shared folder within it are removed at its end.
+
+    What is to outlast it has to be written elsewhere before then: a result of an operator is
+    read from such tables, too."""
+    paths: list[str] = []
+    outer = _noted.set(paths)
+    try:
+        yield
+    finally:
+        _noted.reset(outer)
+        for path in paths:
+            remove(spark, path)
 
 
 def saved(df: DataFrame, what: str = "table") -> DataFrame:
