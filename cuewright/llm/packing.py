@@ -281,7 +281,9 @@ def _fitness(genome: list[list[int]], sizes: list[int], capacity: int) -> tuple[
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     """Bins that any grouping takes at least: for each k, pieces over capacity - k stand without
-    those of k and more, and what the pieces between leave open takes no more than it holds."""
+    those of k and more, and what the pieces between leave open takes no more than it holds; for
+    each of a few k, no bin takes more than k pieces over a (k + 1)th of it (a piece counts as the
+    whole kths below its share, or as its share where that is a whole number of (k + 1)ths)."""
     n = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
     count, total = np.cumsum(n), np.cumsum(n * np.arange(capacity + 1))
     k = np.arange(1, capacity // 2 + 1)
@@ -290,7 +292,13 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     room = half * capacity - (total[capacity - k] - total[capacity // 2])
     small = total[capacity // 2] - total[k - 1]
     most = int((alone + half + np.maximum(0, -((room - small) // capacity))).max(initial=0))
-    return max(most, -(-int(lengths.sum()) // capacity))
+    most = max(most, -(-int(lengths.sum()) // capacity))
+    for k in range(2, 17):
+        times = (k + 1) * lengths.astype(np.int64)
+        even = times % capacity == 0
+        kths, whole = int((times[~even] // capacity).sum()), int(lengths[even].sum())
+        most = max(most, -(-(kths * capacity + whole * k) // (k * capacity)))
+    return most
 
 
 def evolve(lengths: np.ndarray, capacity: int, seed: int, guests: list[list[list[int]]], generations: int = GENERATIONS, population: int = POPULATION) -> tuple[list[list[int]], bool]:

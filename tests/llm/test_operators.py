@@ -486,9 +486,12 @@ def test_lower_bound():
     assert packing.lower_bound(np.array([1100, 1100, 900, 900, 148]), 2048) == 3
     assert packing.lower_bound(np.array([1500, 1500, 700, 700]), 2048) == 3
     assert packing.lower_bound(np.array([], dtype=int), 2048) == 0
+    assert packing.lower_bound(np.array([560] * 7), 2048) == 3
+    assert packing.lower_bound(np.array([512] * 8), 2048) == 2
+    assert packing.lower_bound(np.array([420] * 9 + [2048]), 2048) == 4
     rng = np.random.default_rng(4)
     for _ in range(200):  # never over what a grouping takes
-        lengths = rng.integers(1, 100, rng.integers(1, 12))
+        lengths = rng.integers(1, 100 // rng.integers(1, 5), rng.integers(1, 40))
         assert packing.lower_bound(lengths, 100) <= len(best_fit_decreasing(lengths, 100))
 
 
