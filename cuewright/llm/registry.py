@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, html_text, language_id, ngram_join, packing, quality_classifier, quality_rules, secrets, warc
+from . import chat, decontaminate, divergence, html_text, language_id, ngram_join, packing, pieces, quality_classifier, quality_rules, search, secrets, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,9 @@ def queries() -> dict[str, Query]:
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+        "op11_sentencepiece": pieces.op11_sentencepiece,
+        "op12_lexical_search": search.op12_lexical_search,
+        "op13_source_divergence": divergence.op13_source_divergence,
     }
 
 
@@ -34,4 +37,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_warc": warc.ORACLE,
         "op7_chat_formatting": chat.ORACLE,
         "op9_quality_rules": quality_rules.ORACLE,
+        "op12_lexical_search": search.ORACLE,
+        "op13_source_divergence": divergence.ORACLE,
     }
