@@ -28,13 +28,14 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, StructField, StructType
 
 from . import textbytes as tb
 from .common import columns_of, read_documents
@@ -260,12 +261,11 @@ def _pieces(path: str | None) -> Pieces:
     return _loaded[path]
 
 
-def _with(df: DataFrame, made: str, run, kind: str, of) -> DataFrame:
+def _with(df: DataFrame, made: str, run: Callable[[pa.Array], Iterator[tuple[int, int, pa.Array]]], kind: DataType, of: Column) -> DataFrame:
     """``df`` with a column that ``run`` makes of the column ``of``, batch by batch."""
     kept = [c for c, name in zip(columns_of(df), df.columns, strict=True) if name.lower() != made.lower()]
     given = df.select(*kept, of.alias(made))
-    fields = given.drop(made).schema if len(kept) else None
-    schema = given.drop(made).schema.add(made, kind) if fields is not None else f"{made} {kind}"
+    schema = StructType([*given.schema.fields[:-1], StructField(made, kind)])
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -286,7 +286,7 @@ def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", model: s
             yield a, b, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
 
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    return _with(df, ids_col, run, "array<int>", text)
+    return _with(df, ids_col, run, ArrayType(IntegerType()), text)
 
 
 def decode(df: DataFrame, ids_col: str = "ids", text_col: str = "text", model: str | None = None) -> DataFrame:
@@ -304,7 +304,7 @@ def decode(df: DataFrame, ids_col: str = "ids", text_col: str = "text", model: s
             start = end
 
     ids = F.coalesce(F.col(ids_col), F.array().cast("array<int>"))
-    return _with(df, text_col, run, "string", ids)
+    return _with(df, text_col, run, StringType(), ids)
 
 
 def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
