@@ -29,6 +29,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from functools import cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -46,14 +47,13 @@ SPACE = "▁"
 #: The table of known cut-outs: slots, bytes of a cut-out, ids of one.
 SLOTS, WORD_BYTES, WORD_IDS = 1 << 20, 23, 9
 #: Most answers about two pieces that a worker keeps.
-MAX_PAIRS = 1 << 20
+MAX_PAIRS = 1 << 19
 
 
 class Pieces:
-    """The vocabulary of a model, and encoding and decoding by it."""
+    """The vocabulary of a model, and decoding by it."""
 
     def __init__(self, path: str | None = None):
-        import ahocorasick
         import sentencepiece
 
         if path is None:
@@ -74,6 +74,33 @@ class Pieces:
         self.texts = ["" if a else model.id_to_piece(i) for i, a in zip(ids, apart, strict=True)]
         self.number = {t: i for i, t in enumerate(self.texts) if t}
         self.score = [model.get_score(i) for i in ids]
+        out = [bytes([self.of_byte.index(i)]) if model.is_byte(i) else b"" if model.is_control(i) else " ⁇ ".encode() if model.is_unknown(i) else _bytes(self.texts[i]) for i in ids]
+        self.out_bytes = np.frombuffer(b"".join(out), dtype=np.uint8)
+        self.out_ends = np.cumsum([len(o) for o in out])
+        self.out_sizes = np.array([len(o) for o in out])
+
+    def decoded(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """Texts of rows of ids: their pieces' bytes, without the space that encoding adds."""
+        sizes = self.out_sizes[ids]
+        ends = np.cumsum(sizes)
+        whole = self.out_bytes[np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - self.out_ends[ids], sizes)].tobytes()
+        at = np.concatenate(([0], ends))[bounds].tolist()
+        out = []
+        for a, b, first in zip(at[:-1], at[1:], bounds[:-1].tolist(), strict=True):
+            text = whole[a:b]
+            spaced = a < b and text[:1] == b" " and self.texts[ids[first]][:1] == SPACE
+            out.append((text[1:] if spaced else text).decode("utf-8", "replace"))
+        return out
+
+
+class Encoder(Pieces):
+    """Encoding by the vocabulary of a model."""
+
+    def __init__(self, path: str | None = None):
+        import ahocorasick
+
+        super().__init__(path)
+        self.size = len(self.texts)
         # a character that stands in pieces, but is none, can be merged and has an id of its own kind
         characters = sorted(set().union(*self.number))
         for c in characters:
@@ -81,7 +108,6 @@ class Pieces:
                 self.number[c] = len(self.texts)
                 self.texts.append(c)
                 self.score.append(float("-inf"))
-        self.size = len(ids)
         self.lengths = array("i", map(len, self.texts))
         self.foreign = re.compile("([^" + "".join(map(re.escape, characters)) + "])") if characters else re.compile("(.)", re.DOTALL)
         self.automaton = ahocorasick.Automaton()
@@ -100,11 +126,6 @@ class Pieces:
         self.known = np.zeros((SLOTS, WORD_IDS), dtype=np.int32)
         self.n_ids = np.zeros(SLOTS, dtype=np.uint8)
 
-        out = [bytes([self.of_byte.index(i)]) if model.is_byte(i) else b"" if model.is_control(i) else " ⁇ ".encode() if model.is_unknown(i) else _bytes(self.texts[i]) for i in ids]
-        self.out_bytes = np.frombuffer(b"".join(out), dtype=np.uint8)
-        self.out_ends = np.cumsum([len(o) for o in out])
-        self.out_sizes = np.array([len(o) for o in out])
-
     def _prefix(self, text: str) -> int:
         """The longest piece that is a beginning of another one."""
         return next((self.number[text[:n]] for n in range(len(text) - 1, 0, -1) if text[:n] in self.number), -1)
@@ -232,33 +253,16 @@ class Pieces:
         key = key.view(np.uint64)
         return key, (tb.mixed(key[:, 0] ^ tb.mixed(key[:, 1] ^ tb.mixed(key[:, 2]))) & np.uint64(SLOTS - 1)).astype(np.int64)
 
-    def decoded(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
-        """Texts of rows of ids: their pieces' bytes, without the space that encoding adds."""
-        sizes = self.out_sizes[ids]
-        ends = np.cumsum(sizes)
-        whole = self.out_bytes[np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - self.out_ends[ids], sizes)].tobytes()
-        at = np.concatenate(([0], ends))[bounds].tolist()
-        out = []
-        for a, b, first in zip(at[:-1], at[1:], bounds[:-1].tolist(), strict=True):
-            text = whole[a:b]
-            spaced = a < b and text[:1] == b" " and self.texts[ids[first]][:1] == SPACE
-            out.append((text[1:] if spaced else text).decode("utf-8", "replace"))
-        return out
-
 
 def _bytes(text: str, mark: bool = True) -> bytes:
     """UTF-8, with the mark for a space as a space."""
     return (text.replace(SPACE, " ") if mark else text).encode("utf-8", "surrogatepass")
 
 
-_loaded: dict[str | None, Pieces] = {}
-
-
-def _pieces(path: str | None) -> Pieces:
+@cache
+def _pieces(kind: type[Pieces], path: str | None) -> Pieces:
     """One for each Python worker, which serves many tasks."""
-    if path not in _loaded:
-        _loaded[path] = Pieces(path)
-    return _loaded[path]
+    return kind(path)
 
 
 def _with(df: DataFrame, made: str, run: Callable[[pa.Array], Iterator[tuple[int, int, pa.Array]]], kind: DataType, of: Column) -> DataFrame:
@@ -280,9 +284,9 @@ def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", model: s
     """``df`` with ``ids_col``, the ids (array of int) of each text; without begin and end ids, no sampling."""
 
     def run(texts: pa.Array) -> Iterator[tuple[int, int, pa.Array]]:
-        pieces, given = _pieces(model), texts.to_pylist()
+        encoder, given = _pieces(Encoder, model), texts.to_pylist()
         for a, b in tb.pieces(given):
-            ids, bounds = pieces.ids(given[a:b])
+            ids, bounds = encoder.ids(given[a:b])
             yield a, b, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
 
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
@@ -293,11 +297,11 @@ def decode(df: DataFrame, ids_col: str = "ids", text_col: str = "text", model: s
     """``df`` with ``text_col``, the text of each row of ids (null: empty)."""
 
     def run(rows: pa.Array) -> Iterator[tuple[int, int, pa.Array]]:
-        pieces, size = _pieces(model), np.diff(rows.offsets.to_numpy())
+        pieces, size = _pieces(Pieces, model), np.diff(rows.offsets.to_numpy())
         total = np.concatenate(([0], np.cumsum(size)))
         start = 0
         while start < len(rows):
-            end = max(start + 1, int(np.searchsorted(total, total[start] + tb.PIECE, side="right")) - 1)
+            end = max(start + 1, int(np.searchsorted(total, total[start] + tb.PIECE // 4, side="right")) - 1)
             part = rows.slice(start, end - start)
             ids = part.flatten().to_numpy(zero_copy_only=False)
             yield start, end, pa.array(pieces.decoded(ids, total[start : end + 1] - total[start]), pa.string())

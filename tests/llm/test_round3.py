@@ -26,7 +26,7 @@ def library():
 
 @pytest.fixture(scope="module")
 def model():
-    return pieces.Pieces()
+    return pieces.Encoder()
 
 
 def encoded(model, texts):
@@ -63,7 +63,7 @@ def test_backtracking_by_itself(model):
 
 
 def test_the_table_of_words_may_be_overrun(library, model, monkeypatch):
-    small = pieces.Pieces()
+    small = pieces.Encoder()
     monkeypatch.setattr(pieces, "SLOTS", 4)
     monkeypatch.setattr(pieces, "MAX_PAIRS", 8)
     texts = [f"w{k} word{k % 7} and more" for k in range(200)]
