@@ -65,7 +65,7 @@ class Pieces:
         self.of_byte = [0] * 256
         for i in ids:
             if model.is_byte(i):
-                self.of_byte[int(model.id_to_piece(i), 16) if model.id_to_piece(i).startswith("0x") else int(model.id_to_piece(i)[1:-1], 16)] = i
+                self.of_byte[int(model.id_to_piece(i)[1:-1], 16)] = i  # <0x0A>
         if sum(map(model.is_byte, ids)) != 256:
             raise ValueError("the model has no bytes for unknown characters")
         if any(map(model.is_unused, ids)) or model.normalize(" ﬁ  á ") != f"{SPACE}{SPACE}ﬁ{SPACE}{SPACE}á{SPACE}":
