@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.hashes import source_hash
 from ..functions.text import strip
-
-_MEMBERS = "array<struct<head:long,id:long,first:long,last:long>>"
+from .folds import fold
 
 
 def merge_cues(cues: DataFrame, max_gap_ms: int = 500, max_duration_ms: int = 10_000) -> DataFrame:
@@ -16,28 +16,22 @@ def merge_cues(cues: DataFrame, max_gap_ms: int = 500, max_duration_ms: int = 10
 
     A cue joins the group before it if both have the same role (or neither has one and the
     speaker is the same), the same emotion, at most the gap to the cue before, and the group
-    stays within the duration. All but the last are conditions on neighbours, so runs come from
-    a window; only the duration is folded, inside a run.
+    stays within the duration. All but the last are conditions on neighbours, which come from
+    a window; the duration is folded along an episode's cues, one state at a time.
     """
     w = Window.partitionBy("episode_id").orderBy("start_ms", "id")
     before = lambda c: F.lag(c).over(w)
     same = F.when(F.col("role_id").isNotNull() & before("role_id").isNotNull(), F.col("role_id") == before("role_id")).when(F.col("role_id").isNull() & before("role_id").isNull(), F.col("speaker") == before("speaker")).otherwise(F.lit(False))
     joins = same & (F.col("emotion") == before("emotion")) & (F.col("start_ms") - before("end_ms") <= max_gap_ms)
-    runs = cues.select("episode_id", "id", "start_ms", "end_ms", (~F.coalesce(joins, F.lit(False))).cast("long").alias("breaks"))
-    runs = runs.withColumn("run", F.sum("breaks").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    folded = runs.groupBy("episode_id", "run").agg(F.sort_array(F.collect_list(F.struct("start_ms", "id", "end_ms"))).alias("cues"))
+    rows = cues.repartition("episode_id").select("episode_id", "id", "start_ms", "end_ms", F.coalesce(joins, F.lit(False)).alias("joins"))
 
-    def step(a: Column, c: Column) -> Column:
-        opens = a["first"].isNull() | (c["end_ms"] - a["first"] > max_duration_ms)
-        first = F.when(opens, c["start_ms"]).otherwise(a["first"])
-        head = F.when(opens, c["id"]).otherwise(a["head"])
-        one = F.array(F.struct(head.alias("head"), c["id"].alias("id"), c["start_ms"].alias("first"), c["end_ms"].alias("last"))).cast(_MEMBERS)
-        return F.struct(first.alias("first"), head.alias("head"), F.concat(a["out"], one).alias("out"))
+    def step(state: tuple | None, row: tuple) -> tuple[object, tuple]:
+        _, id_, start, end, joins = row
+        if state is None or not joins or (end is not None and state[1] is not None and end - state[1] > max_duration_ms):
+            state = id_, start
+        return state[0], state
 
-    nothing = F.lit(None).cast("long")
-    zero = F.struct(nothing.alias("first"), nothing.alias("head"), F.array().cast(_MEMBERS).alias("out"))
-    groups = folded.select("episode_id", F.explode_outer(F.aggregate("cues", zero, step, lambda a: a["out"])).alias("m"))
-    return groups.select("episode_id", F.col("m.head").alias("head_id"), F.col("m.id").alias("id"))
+    return fold(rows, "episode_id", ["start_ms", "id"], step, "head_id", cues.schema["id"].dataType, ["episode_id", "id"]).select("episode_id", "head_id", "id")
 
 
 def utterance_spans(members: DataFrame, cues: DataFrame) -> DataFrame:
@@ -116,26 +110,18 @@ def fill_emotions(cues: DataFrame, emotion: str = "emotion") -> DataFrame:
     """filled: a missing emotion from the nearest of the two cues on either side that have the
     same speaker and a marked one, earlier fills counting; else neutral.
 
-    No fill crosses two neighbouring cues that both have an emotion, so a new run starts after
-    them; runs come from a window, and the fold that carries the two last filled values is inside one.
-    """
-    kind = "struct<id:long,speaker:string,emotion:string>"
+    What comes after a cue is a window's; the two last filled cues are the state of a fold along an
+    episode's cues."""
     w = Window.partitionBy("episode_id").orderBy("start_ms", "id", "speaker", "e")
-    cue = F.struct("id", "speaker", F.col("e").alias("emotion")).cast(kind)
-    c = cues.select("episode_id", "start_ms", "id", "speaker", F.col(emotion).alias("e")).withColumn("c", cue)
-    c = c.withColumns({"b1": F.lag("c", 1).over(w), "b2": F.lag("c", 2).over(w), "a1": F.lead("c", 1).over(w), "a2": F.lead("c", 2).over(w)})
-    starts = F.col("b1.emotion").isNotNull() & F.col("b2.emotion").isNotNull()
-    c = c.withColumn("run", F.sum(starts.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    g = c.groupBy("episode_id", "run").agg(F.sort_array(F.collect_list(F.struct("start_ms", "id", "speaker", "e", "c", "b1", "b2", "a1", "a2"))).alias("r"))
-    marked = lambda x, c: F.when((x["speaker"] == c["speaker"]) & F.coalesce(x["emotion"] != "neutral", F.lit(False)) & (x["emotion"] != ""), x["emotion"])
-
-    def step(a: Column, x: Column) -> Column:
-        c = x["c"]
-        value = F.coalesce(c["emotion"], marked(a["one"], c), marked(x["a1"], c), marked(a["two"], c), marked(x["a2"], c), F.lit("neutral"))
-        now = F.struct(c["id"].alias("id"), c["speaker"].alias("speaker"), value.alias("emotion")).cast(kind)
-        return F.struct(now.alias("one"), a["one"].alias("two"), F.concat(a["out"], F.array(now)).alias("out"))
-
-    head = F.get("r", F.lit(0))
-    zero = F.struct(head["b1"].alias("one"), head["b2"].alias("two"), F.array().cast(f"array<{kind}>").alias("out"))
-    filled = g.select("episode_id", F.explode_outer(F.aggregate("r", zero, step, lambda a: a["out"])).alias("x"))
-    return filled.select("episode_id", F.col("x.id").alias("id"), F.col("x.emotion").alias("filled"))
+    c = cues.repartition("episode_id").select("episode_id", "start_ms", "id", "speaker", F.col(emotion).alias("e"))
+    marked = lambda n: F.when((F.lead("speaker", n).over(w) == F.col("speaker")) & (F.lead("e", n).over(w) != "neutral") & (F.lead("e", n).over(w) != ""), F.lead("e", n).over(w))
+    c = c.withColumns({"next1": marked(1), "next2": marked(2)})
+
+    def step(state: tuple | None, row: tuple) -> tuple[object, tuple]:
+        _, _, _, speaker, own, next1, next2 = row
+        one, two = state or ((None, None), (None, None))
+        of = lambda cue: cue[1] if speaker is not None and cue[0] == speaker and cue[1] not in (None, "", "neutral") else None
+        value = own if own is not None else of(one) or next1 or of(two) or next2 or "neutral"
+        return value, ((speaker, value), one)
+
+    return fold(c, "episode_id", ["start_ms", "id", "speaker", "e"], step, "filled", StringType(), ["episode_id", "id"])

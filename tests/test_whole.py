@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from cuewright.operators import timeline
 from cuewright.plans import QUERIES
 
 
@@ -101,7 +102,7 @@ def test_roles_in_chinese_order_and_five_recent(spark, tmp_path):
     assert sorted(r.id for r in QUERIES["win_10_most_recent"](spark, sf).collect()) == [3, 4, 5, 6, 7]
 
 
-def test_emotions_are_folded_in_runs(spark, capsys):
+def test_emotions_are_folded_as_a_stream(spark, capsys):
     import random
 
     from cuewright.operators import timeline
@@ -119,4 +120,28 @@ def test_emotions_are_folded_in_runs(spark, capsys):
     out = timeline.fill_emotions(spark.createDataFrame(cues, "id long, episode_id long, start_ms long, speaker string, emotion string"))
     assert {r.id: r.filled for r in out.collect()} == wanted
     out.explain("simple")
-    assert ", run#" in capsys.readouterr().out  # groups are runs, not whole episodes
+    plan = capsys.readouterr().out.split("== Initial Plan ==")[0]
+    assert "collect_list" not in plan and plan.count("Exchange hashpartitioning") == 1  # a stream, in the partitions that the window has
+
+
+def test_a_million_cues_in_one_run(spark):
+    """A fold takes time by the number of cues, however long a run is; rows as a plain walk gives them."""
+    import time
+
+    n = 1_000_000
+    cues = spark.range(n).selectExpr("id", "1L AS episode_id", "id * 10 AS start_ms", "id * 10 + 9 + (id % 7) * 100 AS end_ms", "'a' AS speaker", "CAST(NULL AS long) AS role_id", "'neutral' AS emotion")
+    began = time.time()
+    got = timeline_of(cues)
+    assert time.time() - began < 60
+    wanted, head, first = {}, 0, 0
+    for i in range(n):
+        if i * 10 + 9 + (i % 7) * 100 - first > 10_000:
+            head, first = i, i * 10
+        wanted[head] = wanted.get(head, 0) + 1
+    assert got == wanted
+    filled = timeline.fill_emotions(cues.withColumn("emotion", F.expr("CASE WHEN id = 0 THEN 'sad' END")))
+    assert [tuple(r) for r in filled.groupBy("filled").count().collect()] == [("sad", n)]
+
+
+def timeline_of(cues):
+    return {r.head_id: r["count"] for r in timeline.merge_cues(cues).groupBy("head_id").count().collect()}
