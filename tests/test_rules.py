@@ -157,11 +157,11 @@ def test_one_restart_an_episode(spark):
     assert {r.e: r.restart for r in snapshots.restarts(c, "e").collect()} == {1: "source_review", 2: "tts", 3: None}
 
 
-def test_large_glossary_meets_texts_by_their_starts(spark, monkeypatch):
+def test_large_glossary_meets_texts_in_blocks(spark, monkeypatch):
     g = spark.createDataFrame([("王", "Wang", None), ("王明", "Wang Ming", None), ("胡", "tile", ["牌"]), ("", "all", None)], "src string, target string, indicators array<string>")
     t = spark.createDataFrame([(1, "见王明"), (2, "胡牌王"), (3, "x"), (4, "")], "id long, text string")
     one = {r.id: r.hits for r in glossary.term_hits(t, g).collect()}
-    monkeypatch.setattr(glossary, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(glossary, "BLOCK_BYTES", 9)
     assert {r.id: r.hits for r in glossary.term_hits(t, g).collect()} == one and one[1] == ":all,王:Wang,王明:Wang Ming"
 
 
@@ -354,11 +354,11 @@ def test_fuzzy_match_equals_all_pairs(spark):
     assert {(r.by, r.sentence_id): r.segment_id for r in got.collect()} == wanted
 
 
-def test_glossary_beyond_a_broadcast(spark, monkeypatch):
+def test_glossary_of_many_blocks(spark, monkeypatch):
     t = spark.createDataFrame([(1, "the aé😀 b"), (2, ""), (3, None), (4, "b")], "id int, text string")
     g = spark.createDataFrame([("aé", "x", None), ("é😀", "y", None), ("b", "z", ["the"]), ("", "all", None)], "src string, target string, indicators array<string>")
     small = {r.id: r.hits for r in glossary.term_hits(t, g).collect()}
-    monkeypatch.setattr(glossary, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(glossary, "BLOCK_BYTES", 9)
     assert {r.id: r.hits for r in glossary.term_hits(t, g).collect()} == small == {1: ":all,aé:x,b:z,é😀:y", 2: ":all", 4: ":all"}
 
 
@@ -385,3 +385,59 @@ def test_keys_of_synthesis(spark):
         payload = {"engine": "e", "engine_ver": "v", "voice": "n", "lang": "en", "format": "wav", "sample_rate": 24000, "channels": 1, "text": text}
         payload["prosody"] = {"rate": 1.0 if r.rate is None else r.rate, "pitch": 0, "style": "general", "role": "", "volume": ""}
         assert r.p == hashlib.sha256(json.dumps(payload, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
+
+
+def test_terms_overlap_and_repeat(spark):
+    """Held against a plain version: terms within terms, equal terms, null parts, texts that repeat."""
+    import random
+
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("ab王 ") for _ in range(rng.randrange(1, n)))
+    g = [(word(5), rng.choice(["X", "a", None, "Ab"]), rng.choice([None, None, [], ["b"], ["王", None], [""]])) for _ in range(40)] + [(None, "n", None)]
+    t = [(k % 50, word(14), rng.choice([None, "ab", "XX", ""])) for k in range(60)] + [(99, None, "x"), (98, "", "x")]
+    holds = lambda e, x: e[0] is not None and x is not None and e[0] in x and (e[2] is None or any(w is not None and w in x for w in e[2]))
+    gd, td = spark.createDataFrame(g, "src string, target string, indicators array<string>"), spark.createDataFrame(t, "id long, text string, out string")
+    wanted: dict = {}
+    for i, x, _ in t:
+        for e in g:
+            if holds(e, x):
+                wanted.setdefault(i, set()).add(":".join(y for y in e[:2] if y is not None))
+    assert {r.id: r.hits for r in glossary.term_hits(td, gd).collect()} == {i: ",".join(sorted(v)) for i, v in wanted.items()}
+    bad = sorted((i, e[0]) for i, x, out in t for e in g if holds(e, x) and out is not None and e[1] is not None and e[1].lower() not in out.lower())
+    assert sorted(map(tuple, glossary.violations(td, gd, "text", "out").collect())) == bad
+
+
+def test_texts_are_not_shuffled_by_term(spark, capsys):
+    t = spark.createDataFrame([(1, "a text")], "id long, text string")
+    glossary.term_hits(t, spark.createDataFrame([("a", "b", None)], "src string, target string, indicators array<string>")).explain("simple")
+    plan = capsys.readouterr().out
+    below = plan[plan.index("Exchange") :]
+    assert "Join" not in plan and "_text" not in plan[: plan.index("MapInArrow")] and "MapInArrow" in below
+
+
+def test_containment_by_the_rarest_anchor(spark):
+    """Long texts that share most of what they say, in groups; blocks of proposals; held against a plain version."""
+    import random
+
+    from cuewright.operators import containment
+
+    rng = random.Random(8)
+    common = " ".join(rng.choice(["so", "it", "goes", "Ünd", "日本"]) for _ in range(3000))
+    texts = [common + f" end {k}" for k in range(30)] + [f"{k}" + common[: 1000 + k] for k in range(10)] + ["end 1", "end 2", "d", "日", common, "goes it so", "x" * 50]
+    rows = [(g, t) for g in ("a", "b", None) for t in texts[: 40 if g == "b" else None]] + [("a", None), ("a", "")]
+    inner = spark.createDataFrame([(g, t, k) for k, (g, t) in enumerate(rows)], "g string, inner string, n int")
+    outer = spark.createDataFrame(rows, "g string, outer string")
+    wanted = sorted((g, k) for k, (g, t) in enumerate(rows) if g and t for h, u in rows if h == g and u and t in u)
+    for block in (containment.BLOCK, 40):
+        got = containment.held(inner, outer, "g", F.col("n"), block)
+        assert got.columns == ["g", "inner", "outer", "least"] and sorted((r.g, r.least) for r in got.collect()) == wanted
+
+
+def test_containment_of_megabyte_texts(spark):
+    """A group of long texts: only the sentence's own neighbours meet."""
+    from cuewright.operators import containment
+
+    long = spark.range(60).selectExpr("1 AS g", "concat(repeat('all of them say this. ', 45000), 'number ', id, '.') AS outer")
+    short = spark.range(60).selectExpr("1 AS g", "concat('say this. number ', id, '.') AS inner", "id")
+    got = containment.held(short, long, "g", F.col("id")).select("least", F.expr("right(outer, 12)").alias("at")).collect()
+    assert sorted(r.least for r in got) == list(range(60)) and all(r["at"].endswith(f" {r.least}.") for r in got)
