@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, StructField, StructType
 
 Step = Callable[[list | None, tuple], tuple[object, list]]
@@ -32,9 +33,6 @@ def fold(rows: DataFrame, group: str, order: list[str], step: Step, result: str,
                     of, state = row[at], None
                 value, state = step(state, row)
                 said.append(value)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(said, pa.type_for_alias(_ARROW[kind.simpleString()]))], names=[*keep, result])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(said, to_arrow_type(kind))], names=[*keep, result])
 
     return sorted_.mapInArrow(run, schema)
-
-
-_ARROW = {"bigint": "int64", "int": "int32", "string": "string", "boolean": "bool", "double": "double"}
