@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import parse, rates, segments
-from ..operators import glossary, snapshots
+from ..functions import names, parse, rates, segments
+from ..operators import glossary, intervals, snapshots, stored
 from ..sources import adapters as A
+from ..sources.shared import shared_path
 from .registry import query
 
 
@@ -79,3 +80,44 @@ def prj_1_4_writable(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT id, '{\"speaker\":\"' || speaker || '\"' || CASE WHEN role_id IS NULL THEN '' ELSE ',\"role_id\":' || role_id END || '}' AS json FROM cues")
 def jsn_3_4_snk_4_json(spark: SparkSession, sf: str) -> DataFrame:
     return A.cues(spark, sf).select("id", F.to_json(F.struct("speaker", "role_id")).alias("json"))
+
+
+#: Lines of Chinese characters from the roles' names, a call before and one after a separator.
+_HAN = ("abcdefghijklmnopqrstuvwxyz", "平安王老哥姐平小红老明哥师李老平姐安哥红王老明姐小哥")
+
+
+@query("""+t AS (SELECT id, translate(name, 'abcdefghijklmnopqrstuvwxyz', '{1}') || ' <sep> ' || translate(reverse(name), 'abcdefghijklmnopqrstuvwxyz', '{1}') || '，老平' AS text FROM roles),
+p AS (SELECT id, text, unnest(string_split(text, ' <sep> ')) AS part FROM t),
+w AS (SELECT id, text, part, 4 AS n, unnest(regexp_extract_all(part, '[\u4e00-\u9fff]{{4}}')) AS word, unnest(range(len(regexp_extract_all(part, '[\u4e00-\u9fff]{{4}}')))) AS k FROM p
+  UNION ALL SELECT id, text, part, 3, unnest(regexp_extract_all(part, '[\u4e00-\u9fff]{{3}}')), unnest(range(len(regexp_extract_all(part, '[\u4e00-\u9fff]{{3}}')))) FROM p),
+c AS (SELECT id, text, word[:n - 1] AS name, k = 0 AND starts_with(part, word) AS first FROM w WHERE word[-1:] IN ('哥', '姐', '老')),
+s AS (SELECT id, name, CASE WHEN name[-1:] IN ('哥', '姐', '老') THEN 60 ELSE 0 END + CASE WHEN first THEN 40 ELSE 0 END + CASE WHEN len(string_split(text, name)) > 2 THEN 40 ELSE 0 END + 10 AS score FROM c WHERE NOT contains(name, '老师') OR len(name) > 2)
+SELECT t.id, coalesce(string_agg(DISTINCT name, ',' ORDER BY encode(name)), '') AS names FROM t LEFT JOIN s ON s.id = t.id AND score >= 100 GROUP BY t.id""".format(*_HAN))
+def str_27_scored_names(spark: SparkSession, sf: str) -> DataFrame:
+    han = lambda c: F.translate(c, *_HAN)
+    lines = A.roles(spark, sf).select("id", F.concat(han(F.col("name")), F.lit(names.SEPARATOR), han(F.reverse("name")), F.lit("，老平")).alias("text"))
+    return lines.select("id", F.array_join(F.array_sort(names.guard(F.col("text"))["names"]), ",").alias("names"))
+
+
+@query("""+b AS (SELECT episode_id, min(start_ms) AS a, max(end_ms) AS z FROM cues GROUP BY episode_id), p AS (SELECT episode_id, a + k * ((z - a) // 200) AS t FROM b, (SELECT unnest(range(200)) AS k)),
+m AS (SELECT p.episode_id, p.t, first(c.id ORDER BY c.start_ms, c.id) AS cue_id FROM (SELECT DISTINCT * FROM p) p JOIN cues c ON c.episode_id = p.episode_id AND c.start_ms <= p.t AND p.t < c.end_ms GROUP BY ALL)
+SELECT episode_id, count(*) AS n_points, count(DISTINCT cue_id) AS n_cues, sum(cue_id)::BIGINT AS ids FROM m GROUP BY episode_id""")
+def flt_11_cues_at_points(spark: SparkSession, sf: str) -> DataFrame:
+    c = A.cues(spark, sf)
+    points = c.groupBy("episode_id").agg(F.min("start_ms").alias("a"), F.max("end_ms").alias("z"))
+    points = points.select("episode_id", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("k"), "a", "z").selectExpr("episode_id", "a + k * ((z - a) div 200) AS t")
+    return intervals.covering(points, c).groupBy("episode_id").agg(F.count(F.lit(1)).alias("n_points"), F.count_distinct("cue_id").alias("n_cues"), F.sum("cue_id").alias("ids"))
+
+
+@query("""+n AS (SELECT id, episode_id, start_ms + 5 AS start_ms FROM cues WHERE id % 2 = 0 AND episode_id % 3 = 0), u AS (SELECT DISTINCT episode_id, id // 7 AS uid FROM cues)
+SELECT 'cue' AS kind, episode_id, id, start_ms FROM (SELECT id, episode_id, start_ms FROM cues WHERE episode_id % 3 <> 0 UNION ALL FROM n SELECT id, episode_id, start_ms) UNION ALL SELECT 'utterance', episode_id, uid, NULL FROM u WHERE episode_id % 3 <> 0""")
+def dml_12_reparse(spark: SparkSession, sf: str) -> DataFrame:
+    c, u = A.cues(spark, sf).select("id", "episode_id", "start_ms"), A.utterances(spark, sf).select("episode_id", "uid")
+    cues_at, utterances_at = shared_path(spark, "stored-cues"), shared_path(spark, "stored-utterances")
+    stored.store(c, cues_at, "episode_id")
+    stored.store(u, utterances_at, "episode_id")
+    again = c.where("episode_id % 3 = 0").select("episode_id")
+    parsed = c.where("id % 2 = 0").withColumn("start_ms", F.col("start_ms") + 5)
+    stored.reparse(cues_at, utterances_at, u.schema, parsed, again)
+    cues = stored.stored(spark, cues_at, c.schema).select(F.lit("cue").alias("kind"), "episode_id", "id", "start_ms")
+    return cues.unionByName(stored.stored(spark, utterances_at, u.schema).select(F.lit("utterance").alias("kind"), "episode_id", F.col("uid").alias("id"), F.lit(None).cast("long").alias("start_ms")))
