@@ -59,6 +59,18 @@ def alignment_tier(spoken: Column, window: Column, aggressive: Column, start: Co
     )
 
 
+#: Sounds with which a line may be spoken fast; fixed values.
+SOUNDS = ("ha", "haha", "ah", "oh", "hey", "bro", "wow", "yeah", "ok", "okay")
+
+
+def aggressive_allowed(text: Column) -> Column:
+    """Whether a line may be spoken at more than 1.25 times its pace: one of at most three words, or with a sound
+    somewhere in it, in any case; an empty or missing line may not."""
+    words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    sounds = F.exists(F.array(*(F.lit(s) for s in SOUNDS)), lambda s: F.lower(text).contains(s))
+    return F.coalesce((text != "") & ((words <= 3) | sounds), F.lit(False))
+
+
 #: Words of address that allow a loose translation; fixed values.
 ADDRESS = ("哥", "爸", "妈", "姐", "弟", "妹", "平安哥")
 

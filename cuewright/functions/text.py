@@ -92,3 +92,21 @@ def ago(then_ms: Column, now_ms: Column) -> Column:
     part = lambda by, unit: F.concat(F.floor(minutes / by).cast("string"), F.lit(unit))
     told = F.when(minutes < 1, "刚刚").when(minutes < 60, part(1, "分钟前")).when(minutes < 1440, part(60, "小时前")).when(minutes < 43_200, part(1440, "天前"))
     return F.when(then_ms.isNull(), "--").otherwise(told.otherwise(part(43_200, "个月前")))
+
+
+def filled(template: Column, values: dict[str, Column]) -> Column:
+    """A template whose {name} marks are filled with values (null: empty), all at once: what a value says is no mark,
+    and marks without a value stay."""
+    names = sorted(values)
+    mark = r"\{(" + "|".join(names) + r")\}"
+    parts, marks = F.split(template, mark, -1), F.regexp_extract_all(template, F.lit(mark), F.lit(1))
+    of = F.create_map(*(x for n in names for x in (F.lit(n), F.coalesce(values[n].cast("string"), F.lit("")))))
+    return F.array_join(F.zip_with(parts, marks, lambda p, m: F.concat(p, F.coalesce(of[m], F.lit("")))), "")
+
+
+def label(key: Column, labels: dict[str, str], default: str) -> Column:
+    """The label of a key, or the default."""
+    out = F.lit(default)
+    for k, v in labels.items():
+        out = F.when(key == k, v).otherwise(out)
+    return out

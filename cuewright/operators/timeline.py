@@ -56,10 +56,10 @@ def reconcile(members: DataFrame, cues: DataFrame, stored: DataFrame, links: Dat
 
     A group whose cues are just those of a stored utterance of its episode keeps that one (of several the
     largest uid) and all its columns but text, speaker, role_id, emotion and kind, which come from its cues (the last
-    four from the first), and source_hash, which is cleared where it isn't that of the cues. Other groups
-    are new: uid and stored columns null. Utterances that no group keeps aren't in the result, nor are
-    ``links`` (episode_id, uid, cue_id) of none."""
-    fields = ("speaker", "role_id", "emotion", "kind")
+    four, and gender where cues have one, from the first), and source_hash, which is cleared where it isn't that
+    of the cues. Other groups are new: uid and stored columns null. Utterances that no group keeps aren't in the
+    result, nor are ``links`` (episode_id, uid, cue_id) of none; ``relinked`` gives the new ones."""
+    fields = ("speaker", "role_id", "emotion", "kind", *(("gender",) if "gender" in cues.columns else ()))
     c = cues.join(members.select("id", "head_id"), "id")
     row = F.struct("start_ms", "id", "text", "end_ms", *fields)
     g = c.groupBy("episode_id", "head_id").agg(F.sort_array(F.collect_list(row)).alias("c"))
@@ -71,6 +71,34 @@ def reconcile(members: DataFrame, cues: DataFrame, stored: DataFrame, links: Dat
     return g.join(old, ["episode_id", "ids"], "left").select("episode_id", "head_id", "uid", "text", *fields, now, *kept)
 
 
+def relinked(members: DataFrame, snapshot: DataFrame, next_uid: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The snapshot with a uid for its new utterances, and all links (episode_id, uid, cue_id) of its cues.
+
+    New ones are numbered within their episode, by their first cue's id, after the last of ``next_uid``
+    (episode_id, last), or from 1."""
+    w = Window.partitionBy("episode_id").orderBy("head_id")
+    new = snapshot.where("uid IS NULL").join(next_uid.select(F.col("episode_id").alias("_e"), "last"), F.col("episode_id") == F.col("_e"), "left")
+    new = new.withColumn("uid", (F.coalesce("last", F.lit(0)) + F.row_number().over(w)).cast(snapshot.schema["uid"].dataType)).drop("_e", "last")
+    told = snapshot.where("uid IS NOT NULL").unionByName(new)
+    return told, members.join(told.select("episode_id", "head_id", "uid"), ["episode_id", "head_id"]).select("episode_id", "uid", F.col("id").alias("cue_id"))
+
+
+def role_cues(cues: DataFrame, episodes: DataFrame, drama_id: int | None = None, role_id: int | None = None) -> DataFrame:
+    """Cues that have a role, with the drama and the number of their episode; of a drama's role, where these are given."""
+    e = episodes.select(F.col("id").alias("episode_id"), "drama_id", F.col("number").alias("episode_number"))
+    c = cues.where("role_id IS NOT NULL" if role_id is None else F.col("role_id") == role_id)
+    return c.join(e if drama_id is None else e.where(F.col("drama_id") == drama_id), "episode_id")
+
+
+def best_samples(cues: DataFrame, episodes: DataFrame, available: DataFrame, wanted_ms: int = 5000) -> DataFrame:
+    """drama_id, role_id and id of the cue that a role's voice is taken from: of its cues over the drama, in episodes that
+    have a voice track (``available``: episode_id), that whose length is nearest to what is wanted, the first by
+    episode and start among equals. Cues of episodes without a track give way to the next best."""
+    c = role_cues(cues, episodes).join(available.select("episode_id").distinct(), "episode_id", "left_semi")
+    off = F.abs(F.col("end_ms") - F.col("start_ms") - wanted_ms)
+    return c.groupBy("drama_id", "role_id").agg(F.min_by("id", F.struct(off.alias("off"), "episode_id", "start_ms", "id")).alias("id"))
+
+
 def translation_metrics(results: DataFrame) -> DataFrame:
     """One row of totals over ``results`` (status, extend_ms, retries); truncated ones count as failed."""
     s = F.col("status")

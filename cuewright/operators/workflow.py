@@ -103,6 +103,49 @@ def resume(tasks: DataFrame, first: str | None = None, last: str | None = None)
     return t.withColumn("leads_to", leads).select("episode_id", "type", "status", "leads_to", (~F.col("leads_to").isin("wait", "done") & ~(F.col("leads_to").isin(*GATE_AFTER.values()) & held)).alias("creates"))
 
 
+def submit(episodes: DataFrame, tasks: DataFrame, first: str | None = None, last: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Tasks (id, episode_id, type, status, force) and episodes once work on every one of ``episodes`` is asked for.
+
+    An episode whose newest task is pending or running stays as it is, unless ``first`` is given: then its
+    pending tasks go, and the range starts anew. Others get a task (id null, pending; force as ``first`` is
+    given): a failed phase again, a gate that isn't passed, the phase after the last that succeeded, or the first
+    one, as an episode without tasks does. Status: review before a gate, running before a phase."""
+    active, forced = active_range(first, last), F.lit(first is not None)
+    keys = episodes.select(F.col("id").alias("episode_id"))
+    t = tasks.join(keys, "episode_id", "left_semi").select("id", "episode_id", "type", "status")
+    busy = latest(t, "episode_id").where(F.col("status").isin("pending", "running")).select(F.col("episode_id").alias("_e"))
+    kept = tasks.select("id", "episode_id", "type", "status")
+    if first is not None:
+        kept = kept.join(busy, F.col("episode_id") == F.col("_e"), "left").where(F.col("_e").isNull() | (F.col("status") != "pending")).drop("_e")
+    said = keys.join(resume(t, first, last).select("episode_id", "leads_to", "creates"), "episode_id", "left")
+    said = said.select("episode_id", F.coalesce("leads_to", F.lit(active[0])).alias("leads_to"), F.coalesce("creates", F.lit(True)).alias("creates"))
+    made = said.where("creates").select(F.lit(None).cast(tasks.schema["id"].dataType).alias("id"), "episode_id", F.col("leads_to").alias("type"), F.lit("pending").alias("status"))
+    gate = F.col("leads_to").isin(*GATE_AFTER.values())
+    status = said.where(~F.col("leads_to").isin("wait", "done")).select(F.col("episode_id").alias("_e"), F.when(gate, "review").otherwise("running").alias("_s"))
+    told = episodes.join(status, F.col("id") == F.col("_e"), "left").withColumn("status", F.coalesce("_s", "status")).drop("_e", "_s")
+    return kept.withColumn("force", F.lit(None).cast("boolean")).unionByName(made.withColumn("force", F.when(~F.col("type").isin(*GATE_AFTER.values()), forced))), told
+
+
+def transition(tasks: DataFrame, changes: DataFrame) -> DataFrame:
+    """``tasks`` (id, status, claimed_at, finished_at, error, ..) after ``changes`` (id, change, at, error): claim a pending
+    task, complete or fail any; pass a pending gate. Of several changes of a task they take effect in order of at:
+    a claim or a pass of a task that isn't pending by then does nothing."""
+    order = F.sort_array(F.collect_list(F.struct("at", "change", "error")))
+    c = changes.groupBy(F.col("id").alias("_id")).agg(order.alias("_c"))
+    names = ("status", "claimed_at", "finished_at", "error")
+    state = F.struct(*(F.col(n) for n in names))
+
+    def step(s: Column, x: Column) -> Column:
+        is_ = lambda *k: x["change"].isin(*k)
+        pending = s["status"] == "pending"
+        claims, ends = is_("claim") & pending, is_("complete", "fail") | (is_("pass") & pending)
+        status = F.when(claims, "running").when(ends, F.when(is_("fail"), "failed").otherwise("succeeded")).otherwise(s["status"])
+        return F.struct(status.alias("status"), F.when(claims, x["at"]).otherwise(s["claimed_at"]).alias("claimed_at"), F.when(ends, x["at"]).otherwise(s["finished_at"]).alias("finished_at"), F.when(is_("fail"), x["error"]).otherwise(s["error"]).alias("error"))
+
+    j = tasks.join(c, F.col("id") == F.col("_id"), "left").withColumn("_s", F.aggregate(F.coalesce("_c", F.array().cast(c.schema["_c"].dataType)), state, step))
+    return j.select(*(F.col(f"_s.{n}").alias(n) if n in names else F.col(n) for n in tasks.columns))
+
+
 def pass_gate(tasks: DataFrame, gate: str) -> DataFrame:
     """id, episode_id, type, status of all tasks once a gate is passed: its newest pending task succeeded,
     or, where none is pending and it isn't passed, a new one (id null). Episodes with another task pending

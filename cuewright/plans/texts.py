@@ -147,9 +147,9 @@ def snk_3_source_srt(spark: SparkSession, sf: str) -> DataFrame:
     return formats.srt_blocks(c, "text")
 
 
-@query("+s AS (SELECT episode_id, id, text, start_ms, end_ms, speaker FROM lines) SELECT episode_id, start_ms, end_ms, text, speaker FROM s")
+@query("+s AS (SELECT episode_id, id, text, start_ms, end_ms, speaker FROM lines) SELECT episode_id, start_ms, end_ms, text, speaker, CASE WHEN id % 2 = 0 THEN 'happy' END AS emotion, CASE WHEN id % 3 = 0 THEN 'female' END AS gender FROM s")
 def src_2_recognized(spark: SparkSession, sf: str) -> DataFrame:
-    u = F.struct(F.col("start_ms").alias("start_time"), F.col("end_ms").alias("end_time"), "text", F.create_map(F.lit("speaker"), "speaker").alias("additions"))
+    u = F.struct(F.col("start_ms").alias("start_time"), F.col("end_ms").alias("end_time"), "text", F.create_map(F.lit("speaker"), "speaker", F.lit("emotion"), F.expr("CASE WHEN id % 2 = 0 THEN 'happy' END"), F.lit("gender"), F.expr("CASE WHEN id % 3 = 0 THEN 'female' END")).alias("additions"))
     raw = A.lines(spark, sf).groupBy("episode_id").agg(F.to_json(F.struct(F.struct(F.collect_list(u).alias("utterances")).alias("result"))).alias("raw"))
     return formats.recognized(raw)
 

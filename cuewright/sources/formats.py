@@ -16,9 +16,9 @@ VOICES = (
 
 
 def recognized(raw: DataFrame, json_col: str = "raw", key: str = "episode_id") -> DataFrame:
-    """A row for each utterance: key, start_ms, end_ms, text (blank ones too) and speaker ("0" if unknown)."""
+    """A row for each utterance: key, start_ms, end_ms, text (blank ones too), speaker ("0" if unknown), emotion and gender (null if unknown)."""
     u = raw.select(key, F.explode(F.from_json(json_col, RECOGNITION)["result"]["utterances"]).alias("u"))
-    return u.select(key, F.col("u.start_time").alias("start_ms"), F.col("u.end_time").alias("end_ms"), F.col("u.text").alias("text"), F.coalesce(F.col("u.additions")["speaker"], F.lit("0")).alias("speaker"))
+    return u.select(key, F.col("u.start_time").alias("start_ms"), F.col("u.end_time").alias("end_ms"), F.col("u.text").alias("text"), F.coalesce(F.col("u.additions")["speaker"], F.lit("0")).alias("speaker"), F.col("u.additions")["emotion"].alias("emotion"), F.col("u.additions")["gender"].alias("gender"))
 
 
 def recognized_strict(raw: DataFrame, json_col: str = "raw", key: str = "episode_id") -> DataFrame:
