@@ -124,7 +124,8 @@ class Styles:
 
     def _rule(self, selectors: str, css: str) -> None:
         self.n += 1
-        if not _declared(css, ()):
+        told = _declared(css, ())
+        if not told:
             return
         for selector in selectors.split(","):
             m = _SELECTOR.match(selector.strip())
@@ -132,7 +133,8 @@ class Styles:
                 tag = (m[1] or "*").lower().replace("*", "")
                 rank = (0, int(m[2] == "#"), int(m[2] == "."), int(bool(tag)), self.n)
                 held = self.rules.setdefault((tag, m[2] or "", m[3] or ""), {})
-                for name, new in _declared(css, rank).items():
+                for name, (important, value) in told.items():
+                    new = (*important, *rank), value
                     held[name] = max(held.get(name, new), new)
 
     def of(self, node: Node) -> dict[str, str]:
@@ -418,16 +420,55 @@ def _rows(inner: list[tuple[Node | None, list]]) -> list:
     return [*out, 1, _grid(rows), 2]
 
 
-def _shown(node: Node, inner: list[tuple[Node | None, list]], level: int) -> list:
-    """Parts of a node from those of its children; ``level`` counts the lists and tables around it, itself included."""
+#: Around what stands in a pre within another one, whose lines the outer one makes.
+_OPEN, _CLOSE = object(), object()
+_KEPT = ("pre", "textarea")
+
+
+def _kept(parts: list) -> str:
+    """Text as it stands, that of inner ones without empty lines at its ends, on lines of its own; each piece is touched once or twice."""
+    out: list[str] = []
+    begun: list[tuple[int, int, list[bool]]] = [(0, 0, [False])]  # where it was opened, where its text starts, whether it has any
+    for p in _flat(parts):
+        opened, start, full = begun[-1]
+        if p is _OPEN:
+            opened = len(out)
+            if opened > start:
+                out.append("\n")
+            begun.append((opened, len(out), [False]))
+            continue
+        if p is _CLOSE:
+            begun.pop()
+            if full[0]:
+                while not (last := out.pop().rstrip("\n")):
+                    pass
+                out += [last, "\n"]
+                begun[-1][2][0] = True
+            else:
+                del out[opened:]
+            continue
+        text = p if isinstance(p, str) else "\n" if isinstance(p, int) else "\n".join(_grid([p]) if isinstance(p, _Row) else p)
+        if len(out) == start:
+            text = text.lstrip("\n")
+        if text:
+            out.append(text)
+            full[0] = full[0] or bool(text.strip())
+    return "".join(out)
+
+
+def _shown(node: Node, inner: list[tuple[Node | None, list]], level: int, kept: bool) -> list:
+    """Parts of a node from those of its children; ``level`` counts the lists and tables around it, itself included;
+    ``kept`` says that a pre around it makes its lines."""
     tag = node.tag
     if tag == "br":
         return [1]
     parts = [ps for _, ps in inner]
     if tag == "input":
         return [] if node.attributes.get("type", "").strip().lower() in _SILENT else [node.attributes.get("value", "")]
-    if tag in ("pre", "textarea"):
-        whole = "".join(p if isinstance(p, str) else "\n" if isinstance(p, int) else "\n".join(_grid([p]) if isinstance(p, _Row) else p) for p in _flat(parts))
+    if tag in _KEPT and kept:
+        return [_OPEN, parts, _CLOSE]
+    if tag in _KEPT:
+        whole = _kept(parts)
         return [2, tuple(line.rstrip() for line in whole.strip("\n").split("\n")), 2] if whole.strip() else []
     if tag == "hr":
         return [2]
@@ -451,6 +492,8 @@ def _shown(node: Node, inner: list[tuple[Node | None, list]], level: int) -> lis
 
 
 _LISTS = frozenset(("ul", "ol", "menu", "dir"))
+#: Elements that make lines or cells of what stands in them.
+_MADE = _LISTS | _CELLS | _GROUPS | {"li", "tr", "table"}
 
 
 def render(page: str | None) -> str:
@@ -458,10 +501,14 @@ def render(page: str | None) -> str:
     if not page:
         return ""
     root, styles = build(page)
-    work: list[tuple[Node, Iterator, list, bool, int]] = [(root, iter(root.children), [], True, 0)]
+    work: list[tuple[Node, Iterator, list, bool, int, bool]] = [(root, iter(root.children), [], True, 0, False)]
     while True:
-        node, rest, inner, seen, level = work[-1]
+        node, rest, inner, seen, level, kept = work[-1]
+        closed = node.tag == "details" and "open" not in node.attributes
+        within = node.tag in _KEPT or (kept and not (level <= LEVELS and node.tag in _MADE))
         for child in rest:
+            if closed and (isinstance(child, str) or child.tag != "summary" or inner):
+                continue
             if isinstance(child, str):
                 if seen:
                     inner.append((None, [child]))
@@ -470,11 +517,11 @@ def render(page: str | None) -> str:
             if shows is not None:
                 if child.tag == "input" and not shows:
                     continue
-                work.append((child, iter(child.children), [], shows, level + (child.tag in _LISTS or child.tag == "table")))
+                work.append((child, iter(child.children), [], shows, level + (child.tag in _LISTS or child.tag == "table"), within))
                 break
         else:
             work.pop()
-            parts = _shown(node, inner, level)
+            parts = _shown(node, inner, level, kept)
             if not work:
                 return "\n".join(_lines(parts))
             work[-1][2].append((node, parts))

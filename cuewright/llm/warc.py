@@ -7,9 +7,9 @@ archives are gzip files of WARC/1.1 records, each followed by two line ends, wri
 text writer, so that they land in whatever store the folder is in.
 
 ``read_records`` reads archives of any origin (gzip, one member or one a record, or plain) as
-rows, by the lengths that records state, so that a payload may hold anything. Gzip files (named
-.gz) of any size are streamed: Spark's text reader cuts them where a record could begin, and a
-task holds one record. Plain ones are held whole, one at a time.
+rows, by the lengths that records state, so that a payload may hold anything. Files of any size are
+streamed: Spark's text reader cuts them where a record could begin, and a task holds one record. Gzip
+files are those named .gz in any case; all others are plain, which several tasks read, and whose parts are sorted.
 ``transactions`` joins request, response and metadata records through their
 WARC-Concurrent-To identifiers into one nested row a capture.
 
@@ -179,17 +179,15 @@ def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _told(whole_records((f.as_py(), v.as_py()) for b in batches for f, v in zip(b.column(0), b.column(1), strict=True)))
 
 
-def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cut = lambda k, content: ((k, part) for part in content.split(_BETWEEN))
-    yield from _told(whole_records(p for b in batches for k, v in enumerate(b.column(0)) for p in cut((id(b), k), v.as_py())))
-
-
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record of the archives in ``path``; content is the block without its HTTP head."""
-    packed = spark.read.option("pathGlobFilter", "*.gz").option("lineSep", _BETWEEN.decode()).text(path)
-    packed = packed.select(F.xxhash64("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value")).mapInArrow(_streamed, _RECORD)
-    plain = spark.read.format("binaryFile").option("pathGlobFilter", "*[^z]").load(path).select("content").mapInArrow(_held, _RECORD)
-    return packed.union(plain)
+    """A row for each record of the archives in ``path``, whatever their names; content is the block without its HTTP head."""
+    parts = spark.read.option("lineSep", _BETWEEN.decode()).text(path)
+    parts = parts.select(F.lower("_metadata.file_name").alias("name"), F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
+    packed = F.col("name").endswith(".gz")
+    # a plain file is read by several tasks; its parts come together again in their order, by way of sorted files on disk
+    plain = parts.where(~packed).select("file", "block", F.monotonically_increasing_id().alias("n"), "value")
+    plain = plain.repartition("file").sortWithinPartitions("file", "block", "n").select("file", "value")
+    return parts.where(packed).select("file", "value").mapInArrow(_streamed, _RECORD).union(plain.mapInArrow(_streamed, _RECORD))
 
 
 def transactions(records: DataFrame) -> DataFrame:

@@ -1,12 +1,14 @@
 """Small cases that a cut would show in."""
 
+import gzip
+import hashlib
 import time
 from collections import Counter
 from html.parser import HTMLParser
 
 import pytest
 
-from cuewright.llm import html_text, language_id
+from cuewright.llm import html_text, language_id, warc
 
 FOREIGN = [
     ("a <math><mi>x</mi><mo>=</mo><mn>2</mn><mtext>if</mtext></math> b", "a x=2if b"),
@@ -55,7 +57,7 @@ def test_layout(page, text):
 
 
 N = 100_000
-HOSTILE = ["<b" * N, "<b" * N + ">", "<span>" * N, "<p><table><td>" + "<span>" * N + "<div>" * N, "<div>" * N + "a<br>" * N, "<ul><li>" * N, "<table><tr><td>" * (N // 2), '<a "' * N + ">", "&#" + "1" * N, "<p><b>" * N, "<table>" + "<tr><td rowspan=65534>a" * (N // 4), "<table><tr>" + "<td>" + "x" * N + "<td>y<tr><td>a<td>b" * (N // 5), "<style>" + "." * N + "{" * N, "<style>" + ".a{display:none}" * N + "</style>" + "<p class=a>" * N]
+HOSTILE = ["<b" * N, "<b" * N + ">", "<span>" * N, "<p><table><td>" + "<span>" * N + "<div>" * N, "<div>" * N + "a<br>" * N, "<ul><li>" * N, "<table><tr><td>" * (N // 2), '<a "' * N + ">", "&#" + "1" * N, "<p><b>" * N, "<table>" + "<tr><td rowspan=65534>a" * (N // 4), "<table><tr>" + "<td>" + "x" * N + "<td>y<tr><td>a<td>b" * (N // 5), "<style>" + "." * N + "{" * N, "<style>" + ".a{display:none}" * N + "</style>" + "<p class=a>" * N, "<style>" + ".a," * N + "{" + "display:none;" * N + "}</style>", "<pre>" * N + "a\n" * (5 * N), "<pre>a\n" * N, "<pre> \n" * N, "<pre><ul><li>" * (N // 3) + "a\n" * N]
 
 
 @pytest.mark.parametrize("k", range(len(HOSTILE)))
@@ -103,3 +105,32 @@ def test_pages_hold_the_words_of_a_plain_renderer(spark, sf_dir):
         plain.close()
         with_letter = lambda text: Counter(w for w in text.split() if any(c.isalpha() for c in w))
         assert with_letter(r.text) == with_letter("".join(plain.text)), r.page_id
+
+
+def test_pre_within_pre():
+    show = html_text.render
+    assert show("<pre>a\n<pre>\n\nb  \n c\n\n</pre>d</pre>e") == "a\n\nb\n c\nd\n\ne"
+    assert show("<pre><pre> </pre>x<pre></pre></pre>") == "x"
+    assert show("<pre>1<pre>2<pre>3</pre></pre>4</pre>") == "1\n2\n3\n4"
+    assert show("<pre><ul><li>a<pre>b\nc</pre></ul></pre>") == "- a\n\n  b\n  c"
+
+
+def test_closed_details_show_their_summary():
+    assert html_text.render("<details>no<summary>yes</summary><p>no<summary>no</summary></details>on") == "yes\non"
+    assert html_text.render("<details open><summary>yes</summary><p>too</details>") == "yes\n\ntoo"
+
+
+def test_archives_of_any_name_and_plain_ones_in_many_parts(spark, tmp_path):
+    record = lambda k, body: b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:%d>\r\nContent-Length: %d\r\n\r\n" % (k, len(body)) + body + b"\r\n\r\n"
+    bodies = {k: (b"WARC/1.0 in it \r\n\r\n" if k % 3 else b"x") * (k + 1) for k in range(90)}
+    for n, name in enumerate(("a.warc", "fizz", "warc.GZ", "b.warc.gz")):
+        whole = b"".join(record(100 * n + k, body) for k, body in bodies.items())
+        (tmp_path / name).write_bytes(gzip.compress(whole) if name.lower().endswith(".gz") else whole)
+    size = "spark.sql.files.maxPartitionBytes"
+    was = spark.conf.get(size)
+    spark.conf.set(size, "3000")
+    try:
+        got = {r.record_id: (r.content_bytes, r.content_digest) for r in warc.read_records(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set(size, was)
+    assert got == {f"<urn:{100 * n + k}>": (len(b), hashlib.sha256(b).hexdigest()) for n in range(4) for k, b in bodies.items()}
