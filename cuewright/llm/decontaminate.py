@@ -111,7 +111,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, text_col: str, id_col: str, it
     lengths = sorted(r["length"] for r in windows.select("length").distinct().collect())  # at most WINDOW values
     rows = docs.select(row_key(id_col, text_col).alias("row_key"), F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
     known = saved(windows.select(F.col("length").alias("_length"), F.col("hash").alias("_hash")).distinct().withColumn("known", F.lit(True)), "known")
-    met = join_hot(fingerprints(rows, lengths, ("row_key", "doc_id")), known, {"length": "_length", "hash": "_hash"}, ["row_key", "first"], 32).where("known OR length = 0")
+    met = join_hot(fingerprints(rows, lengths, ("row_key", "doc_id")), known, {"length": "_length", "hash": "_hash"}, ["row_key", "first"], 32, costly=True).where("known OR length = 0")
     met = saved(met.drop("known", "hash"), "met")
     counts = met.where("length = 0").select("row_key", "doc_id", F.col("first").cast("long").alias("n_words"))
     spread = met.where("length > 0").select("row_key", "length", "covered", "first", F.explode(F.sequence(F.lit(0), F.col("last") - F.col("first"))).alias("at"))

@@ -218,8 +218,12 @@ def captures(spark: SparkSession, path: str, with_content: bool = True) -> DataF
     out = out.withColumn("payload_bytes", F.when(revisit, F.regexp_extract("response.http_head", r"(?mi)^content-length: *(\d+)", 1).cast("long")).otherwise(F.col("response.content_bytes")))
     out = out.withColumn("payload_digest", F.when(revisit, F.regexp_extract("response.payload_digest", "^sha256:([0-9a-f]{64})$", 1)).otherwise(F.col("response.content_digest")))
     ids = records.where("type = 'metadata'").select(F.col("concurrent_to").alias("_target"), F.regexp_extract("content", r"(?m)^page-id: (.*?)\r?$", 1).alias("refers_to"))
-    # only revisits refer to a record, many of them perhaps to the same
-    told = join_hot(out.where(F.col("response.refers_to").isNotNull()).withColumn("_at", F.col("response.refers_to")), saved(ids, "ids"), {"_at": "_target"}, ["record_id"], 160).drop("_at")
+    # only revisits refer to a record, many of them perhaps to the same; of all ids, those that are referred to are told
+    out = saved(out.withColumn("_at", F.col("response.refers_to")), "transactions")
+    wanted = saved(out.where("_at is not null").select(F.col("_at").alias("_wanted")).distinct(), "wanted")
+    ids = ids.join(broadcast_if_small(wanted, 96), F.col("_target") == F.col("_wanted"), "left_semi")
+    told = join_hot(out.where("_at is not null"), saved(ids, "ids"), {"_at": "_target"}, ["record_id"], 160).drop("_at")
+    out = out.drop("_at")
     return told.unionByName(out.where(F.col("response.refers_to").isNull()).withColumn("refers_to", F.lit(None).cast("string")))
 
 
