@@ -2,8 +2,10 @@
 
 Filters of several widths slide over one-hot bytes (A-Z lowered) of fixed-length windows; the
 largest response of each filter in a window goes through a softmax. The network is trained in
-numpy on windows of a sample of labelled rows (SAMPLE documents, as many of each
-language and about LEAST of each at least, every language; SAMPLE_WINDOWS windows of each, spread over the whole text) and sent with the task.
+numpy on windows of a sample of labelled rows (SAMPLE documents, as many of each language and
+about LEAST of each at least; SAMPLE_WINDOWS windows of each, spread over the whole text) and sent with the
+task. The sample is bounded by documents: an id counts once however many rows repeat it, and of more than
+LANGUAGES labels those with most documents are learned (a label a row would make the corpus the sample).
 Every window of every whole text is scored, in batches; a text's language has the largest
 mean probability over its windows, which is its score.
 
@@ -32,6 +34,10 @@ FILTERS = 16
 SAMPLE, SAMPLE_WINDOWS = 3000, 3
 #: Documents drawn of each language at least, as expected; one is always drawn.
 LEAST = 16
+#: Languages learned at most, those with most documents, so that LANGUAGES * LEAST documents are drawn at most.
+LANGUAGES = 1024
+#: Steps of the hash by which documents are drawn.
+_STEPS = 1 << 40
 EPOCHS, BATCH, RATE = 10, 64, 0.01
 #: Windows scored at once.
 AT_ONCE = 256
@@ -147,14 +153,17 @@ def held_out(id_col: str = "doc_id", mod: int = 4, rest: int = 2) -> Column:
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> Network | None:
     """A network for the rows that aren't held out; None where there are none."""
     rows = df.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(1 << 20)).alias("at"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first")).collect()
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(_STEPS)).alias("at"))
+    # ids are counted by a sketch, repeated ones once
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("at", 0.02).alias("n"), F.min("at").alias("first"))
+    counts = counts.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return None
     languages = sorted(r["lang"] for r in counts)
     each = max(sample / len(languages), LEAST)
-    below = [(r["lang"], max(each / r["n"] * (1 << 20), r["first"] + 1.0)) for r in counts]
-    drawn = rows.join(F.broadcast(df.sparkSession.createDataFrame(below, "lang string, below double")), "lang").where("at < below")
+    below = [(r["lang"], max(each / max(r["n"], 1) * _STEPS, r["first"] + 1.0)) for r in counts]
+    drawn = rows.join(F.broadcast(df.sparkSession.createDataFrame(below, "lang string, below double")), "lang").where("at < below")  # at most LANGUAGES rows
+    drawn = drawn.groupBy("lang", "at").agg(F.min("text").alias("text"))  # rows that repeat an id are one
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

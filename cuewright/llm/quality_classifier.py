@@ -134,10 +134,14 @@ def grow(x: np.ndarray, y: np.ndarray) -> Forest:
 
 
 def train(df: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE) -> Forest:
-    """Trees for the labelled rows that aren't held out, at most about ``sample`` of them (drawn by hash of the id)."""
+    """Trees for the labelled rows that aren't held out, at most about ``sample`` of them (drawn by hash of the id).
+
+    The bound is one of labels, not of rows: of rows that repeat an id, one of each distinct label is learned from, the one
+    whose text comes first."""
     known = labels.where(~held_out(id_col, 3, 1) & F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y")).distinct()
     n = known.count()
-    drawn = known.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(min(1.0, sample / max(1, n)) * (1 << 20)))
+    steps = 1 << 40
+    drawn = known.where(F.pmod(F.xxhash64("_id"), F.lit(steps)) < int(min(1.0, sample / max(1, n)) * steps))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -146,7 +150,8 @@ def train(df: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
                 yield pd.DataFrame({"y": pdf["_y"].to_numpy()[a:b], "x": list(statistics(texts[a:b]))})
 
     texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = texts.join(F.broadcast(drawn), "_id").select("_y", "_text")  # about ``sample`` ids at most, each with both labels at most
+    rows = texts.join(F.broadcast(drawn), "_id")  # about ``sample`` rows
+    rows = rows.groupBy("_id", "_y").agg(F.min("_text").alias("_text")).select("_y", "_text")
     got = rows.mapInPandas(run, "y double, x array<float>").toPandas()
     x = np.stack(got["x"].to_numpy()).astype(np.float32) if len(got) else np.zeros((0, len(STATISTICS)), np.float32)
     y = got["y"].to_numpy(dtype=np.float64)
