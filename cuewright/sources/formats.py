@@ -96,9 +96,39 @@ def write_srt(cues: DataFrame, text: str, path: str, key: str = "episode_id") ->
     srt_blocks(cues, text, key).select(key, F.col("srt").alias("value")).write.partitionBy(key).text(path)
 
 
-def report_json(df: DataFrame) -> DataFrame:
-    """Rows as JSON objects, null fields left out."""
-    return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
+#: A segment of a report on synthesis, and the report.
+SEGMENT = "utt_id: long, budget_ms: long, raw_ms: long, trimmed_ms: long, final_ms: long, rate: double, status: string, output_path: string, error: string"
+REPORT = f"struct<audio_duration_ms: long, segments_dir: string, total_segments: long, success_count: long, failed_count: long, segments: array<struct<{SEGMENT}>>>"
+
+
+def report_json(segments: DataFrame, key: str = "episode_id") -> DataFrame:
+    """key and json, a report of each key's segments by utt_id; ``segments`` has the fields of SEGMENT,
+    audio_duration_ms and segments_dir (of the key). An error that is null is written as null."""
+    fields = [f.split(":")[0] for f in SEGMENT.split(", ")]
+    g = segments.groupBy(key).agg(
+        F.max("audio_duration_ms").alias("audio_duration_ms"),
+        F.max("segments_dir").alias("segments_dir"),
+        F.count(F.lit(1)).alias("total_segments"),
+        F.count_if(~F.col("status").eqNullSafe("failed")).alias("success_count"),
+        F.count_if(F.col("status") == "failed").alias("failed_count"),
+        F.sort_array(F.collect_list(F.struct(*fields))).alias("segments"),
+    )
+    return g.select(key, F.to_json(F.struct(*(c for c in g.columns if c != key)), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def report_rows(reports: DataFrame, json_col: str = "json", key: str = "episode_id") -> DataFrame:
+    """A row for each segment of reports as ``report_json`` writes them, with its report's other fields;
+    text that is no report gives none."""
+    r = reports.select(key, F.from_json(json_col, REPORT).alias("r"))
+    return r.select(key, *(f"r.{c}" for c in ("audio_duration_ms", "segments_dir", "total_segments", "success_count", "failed_count")), F.explode("r.segments").alias("s")).select("*", "s.*").drop("s")
+
+
+def sync_actions(local: DataFrame, remote: DataFrame, key: str) -> DataFrame:
+    """key and action for every key of two tables (key, sha): ``skip`` where checksums agree, ``download`` where there is
+    no local file, else ``upload``. A checksum that is null or empty agrees with none. Keys are unique in each table."""
+    l, r = local.select(F.col(key), F.col("sha").alias("_local"), F.lit(True).alias("_here")), remote.select(F.col(key), F.col("sha").alias("_remote"))  # noqa: E741
+    synced = (F.col("_local") != "") & (F.col("_local") == F.col("_remote"))
+    return l.join(r, key, "full").select(key, F.when(F.col("_here").isNull(), "download").when(synced, "skip").otherwise("upload").alias("action"))
 
 
 def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
