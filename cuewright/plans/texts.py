@@ -193,7 +193,8 @@ def mth_11_atempo(spark: SparkSession, sf: str) -> DataFrame:
     return A.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", parse.atempo(F.col("l_quantity") / 10).alias("chain"))
 
 
-@query()
+@query(r"""+t AS (SELECT id, speaker, ltrim(text, E' \t\n\v\f\r') AS said FROM lines)
+SELECT id, CASE WHEN said = '' THEN ['old', '', '<<<0>>>'] ELSE [trim(speaker), '', regexp_replace(string_split(said, chr(10))[1], '\s+$', '')] END AS parts FROM t""")
 def str_9_tagged(spark: SparkSession, sf: str) -> DataFrame:
     raw = F.concat(F.lit("<<<0>>>\nold\n<<<2>>>\n"), "text", F.lit("\n<<<0>>>\n"), "speaker")
     return A.lines(spark, sf).select("id", parse.tagged_output(raw, 3).alias("parts"))

@@ -12,7 +12,24 @@ from ..sources.shared import shared_path
 from .registry import query
 
 
-@query()
+_TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+
+@query(rf"""+c AS (SELECT id, start_ms AS s, end_ms AS e, {_TRIM.format("text")} AS whole FROM lines WHERE {_TRIM.format("text")} <> '' AND end_ms > start_ms),
+w AS (SELECT *, string_split(regexp_replace(whole, '\s+', ' ', 'g'), ' ') AS words FROM c WHERE e - s >= 1500),
+n AS (SELECT *, greatest(8, least(12, floor(len(words) / greatest(1.0::DOUBLE, (e - s) / 2000.0::DOUBLE))))::BIGINT AS per FROM w),
+p AS (SELECT id, s, e, whole, CASE WHEN regexp_matches(whole, '[,.?!—;:]')
+  THEN list_filter(list_transform(regexp_extract_all(whole, '[^,.?!—;:]*[,.?!—;:]|[^,.?!—;:]+'), lambda x: {_TRIM.format("x")}), lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}_]'))
+  ELSE list_transform(range((len(words) - 1) // per + 1), lambda i: array_to_string(words[i * per + 1:i * per + per], ' ')) END AS parts FROM n),
+q AS (SELECT id, s, e, CASE WHEN len(parts) > 0 THEN parts ELSE [whole] END AS parts FROM p),
+k AS (SELECT *, list_transform(parts, lambda x: len(string_split(regexp_replace(x, '\s+', ' ', 'g'), ' ')) / 2.5::DOUBLE * 1000) AS weights FROM q),
+t AS (SELECT *, (e - s) / list_reduce(list_prepend(0.0::DOUBLE, weights), lambda a, b: a + b) AS ms FROM k),
+ax AS (SELECT id, 0::BIGINT AS i, s AS a, s AS b FROM t UNION ALL
+  SELECT id, i + 1, b, CASE WHEN i + 1 = len(parts) THEN e ELSE least(e, floor(b + weights[i + 1] * ms)::BIGINT) END FROM ax JOIN t USING (id) WHERE i < len(parts)),
+h AS (SELECT id, i, a, b, parts[i] AS text, count(*) FILTER (i = 1 OR b - a >= 500) OVER (PARTITION BY id ORDER BY i) AS g FROM ax JOIN t USING (id) WHERE i > 0),
+f AS (SELECT *, max(g) OVER (PARTITION BY id) AS n_groups, max(b) FILTER (g = 1) OVER (PARTITION BY id) - min(a) OVER (PARTITION BY id) AS first_ms FROM h)
+SELECT id, min(a) AS start_ms, max(b) AS end_ms, string_agg(text, ' ' ORDER BY i) AS text FROM f GROUP BY id, CASE WHEN g = 1 AND n_groups > 1 AND first_ms < 500 THEN 2 ELSE g END
+UNION ALL SELECT id, s, e, whole FROM c WHERE e - s < 1500""")
 def win_12_13_mth_15_resegment(spark: SparkSession, sf: str) -> DataFrame:
     x = A.lines(spark, sf)
     return x.select("id", F.explode(segments.resegment(F.col("text"), F.col("start_ms"), F.col("end_ms"))).alias("s")).select("id", "s.*")
