@@ -9,7 +9,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from .text import CLAUSE_MARKS, strip
+from .text import CLAUSE_MARKS, clean_output, collapse_space, strip
+
+#: A numbered text up to the next number, what numbers a plain line, a tag and the line after it; fixed values.
+NUMBERED = r"(?s)\[(\d{1,9})\]\s*(.+?)(?=\s*\[\d+\]|\z)"
+NUMBER_OF_LINE = r"^\[?\d+\]?\s*[:.\-]?\s*"
+TAGGED = r"(?smd)<<<(\d+)>>>\s*\n(.*?)(?=\n<<<\d+>>>|$)"
 
 
 def numbered_output(text: Column, n: Column | int) -> Column:
@@ -17,12 +22,11 @@ def numbered_output(text: Column, n: Column | int) -> Column:
     empty. Without any, the lines themselves, without what numbers them."""
     n = F.lit(n) if isinstance(n, int) else n
     text = strip(text)
-    entry = r"(?s)\[(\d{1,9})\]\s*(.+?)(?=\s*\[\d+\]|\z)"
-    found = F.arrays_zip(F.transform(F.regexp_extract_all(text, F.lit(entry), F.lit(1)), lambda x: x.cast("int")).alias("k"), F.regexp_extract_all(text, F.lit(entry), F.lit(2)).alias("t"))
+    found = F.arrays_zip(F.transform(F.regexp_extract_all(text, F.lit(NUMBERED), F.lit(1)), lambda x: x.cast("int")).alias("k"), F.regexp_extract_all(text, F.lit(NUMBERED), F.lit(2)).alias("t"))
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: strip(x)), lambda x: x != "")
     wanted = F.sequence(F.lit(1), n)
     numbered = F.transform(wanted, lambda i: F.coalesce(strip(F.try_element_at(F.filter(found, lambda z: z["k"] == i), F.lit(-1))["t"]), F.lit("")))
-    plain = F.transform(wanted, lambda i: F.coalesce(strip(F.regexp_replace(F.get(lines, i - 1), r"^\[?\d+\]?\s*[:.\-]?\s*", "")), F.lit("")))
+    plain = F.transform(wanted, lambda i: F.coalesce(strip(F.regexp_replace(F.get(lines, i - 1), NUMBER_OF_LINE, "")), F.lit("")))
     return F.when(n < 1, F.array().cast("array<string>")).when(F.exists(numbered, lambda x: x != ""), numbered).otherwise(plain)
 
 
@@ -35,9 +39,8 @@ def simple_output(text: Column, n: int) -> Column:
 def tagged_output(text: Column, n: int) -> Column:
     """n texts from tags <<<0>>>, <<<1>>>, ... on lines of their own: the line after a tag (blank ones
     skipped), the last of a number wins, missing are empty."""
-    tag = r"(?smd)<<<(\d+)>>>\s*\n(.*?)(?=\n<<<\d+>>>|$)"
-    numbers = F.transform(F.regexp_extract_all(text, F.lit(tag), F.lit(1)), lambda x: x.try_cast("int"))
-    found = F.arrays_zip(numbers.alias("k"), F.regexp_extract_all(text, F.lit(tag), F.lit(2)).alias("t"))
+    numbers = F.transform(F.regexp_extract_all(text, F.lit(TAGGED), F.lit(1)), lambda x: x.try_cast("int"))
+    found = F.arrays_zip(numbers.alias("k"), F.regexp_extract_all(text, F.lit(TAGGED), F.lit(2)).alias("t"))
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(strip(F.try_element_at(F.filter(found, lambda z: z["k"] == i), F.lit(-1))["t"]), F.lit("")))
 
 
@@ -111,6 +114,14 @@ def repair_names(text: pd.Series, names: pd.Series) -> pd.Series:
     return pd.Series([repair(t, n) for t, n in zip(text, names, strict=True)])
 
 
+def finished_translation(text: Column, names: Column) -> Column:
+    """A translation as it is stored: names restored and repaired, without placeholders, separators and Han
+    characters, spaces as one. Names that are null aren't known; a null text is empty."""
+    known = F.coalesce(names, F.array().cast("array<string>"))
+    t = clean_output(repair_names(restore_names(F.coalesce(text, F.lit("")), known), known))
+    return collapse_space(F.regexp_replace(t, "[\u4e00-\u9fff]+", ""))
+
+
 def byte_range(header: Column, size: Column) -> Column:
     """start and end (inclusive) of the first range of a header like bytes=0-99, bytes=100- or
     bytes=-500 within ``size`` bytes; null where it isn't one or lies outside."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..operators import catalogue
 from ..sources import adapters as A
 from .registry import query
 
@@ -15,12 +16,7 @@ _AGG = """+a AS (SELECT d.id, d.name, d.user_id, count(e.id) AS n, max(e.updated
 
 
 def drama_totals(spark: SparkSession, sf: str) -> DataFrame:
-    """A row for each drama, with or without episodes. Episodes are summed before the join, so
-    that only one row a drama is shuffled on either side."""
-    e = A.episodes(spark, sf).groupBy("drama_id").agg(F.count(F.lit(1)).alias("n"), F.max("updated_at").alias("updated_at"), F.count_if(F.col("status") == "succeeded").alias("succeeded"), F.count_if(F.col("status") != "ready").alias("started"))
-    d = A.dramas(spark, sf).select("id", "name", "user_id")
-    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return d.join(e, F.col("id") == F.col("drama_id"), "left").select("id", "name", "user_id", zero("n"), "updated_at", zero("succeeded"), zero("started"))
+    return catalogue.drama_totals(A.dramas(spark, sf), A.episodes(spark, sf))
 
 
 @query(_AGG + "SELECT * FROM a")
@@ -28,6 +24,15 @@ def agg_1_catalogue(spark: SparkSession, sf: str) -> DataFrame:
     return drama_totals(spark, sf)
 
 
+@query("""+e AS (SELECT *, CASE WHEN id % 3 > 0 THEN updated_at END AS at FROM episodes), d AS (SELECT *, DATE '1996-01-01' + (id % 900)::INT AS at FROM dramas)
+SELECT d.id, d.name, count(e.id) AS n, max(coalesce(e.at, d.at)) AS updated_at, count(*) FILTER (e.status = 'succeeded') AS succeeded, count(*) FILTER (e.status <> 'ready') AS started FROM d LEFT JOIN e ON e.drama_id = d.id GROUP BY d.id, d.name""")
+def agg_1_catalogue_with_own_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """Dramas have no dates in the tables, so that they are made from ids; every third episode has none."""
+    d = A.dramas(spark, sf).withColumn("updated_at", F.expr("date_add(DATE'1996-01-01', CAST(id % 900 AS INT))"))
+    e = A.episodes(spark, sf).withColumn("updated_at", F.expr("CASE WHEN id % 3 > 0 THEN updated_at END"))
+    return catalogue.drama_totals(d, e, ("id", "name"))
+
+
 @query(_AGG + f"SELECT id, {_STATUS} AS status FROM a")
 def agg_2_status_classes(spark: SparkSession, sf: str) -> DataFrame:
     return drama_totals(spark, sf).select("id", F.expr(_STATUS).alias("status"))
@@ -82,14 +87,8 @@ def agg_18_categories_first_seen(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT id, name FROM dramas WHERE user_id = 7 AND name LIKE '%0_1%'")
 def flt_1_2_optional_and_substring(spark: SparkSession, sf: str) -> DataFrame:
-    return listing(A.dramas(spark, sf), owner=7, search="0_1").select("id", "name")
-
+    return catalogue.listing(A.dramas(spark, sf), owner=7, search="0_1").select("id", "name")
 
-def listing(dramas: DataFrame, owner: int | None = None, search: str | None = None) -> DataFrame:
-    """Conditions only where they are given; % and _ of a search are wildcards."""
-    if owner is not None:
-        dramas = dramas.where(F.col("user_id") == owner)
-    return dramas.where(F.col("name").like(f"%{search}%")) if search else dramas
 
 
 @query("SELECT id, type FROM tasks WHERE type IN ('tts', 'mix') AND status = 'pending'")
@@ -127,16 +126,9 @@ def flt_8_role_search(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT id FROM dramas WHERE name GLOB 'Customer#*7' OR name GLOB '*00?'")
 def flt_9_glob_list(spark: SparkSession, sf: str) -> DataFrame:
-    return A.dramas(spark, sf).where(allowed(F.col("name"), ["Customer#*7", "*00?"])).select("id")
+    return A.dramas(spark, sf).where(catalogue.allowed(F.col("name"), ["Customer#*7", "*00?"])).select("id")
 
 
-def allowed(name: F.Column, globs: list[str]) -> F.Column:
-    """Whether any glob (* and ?) holds; none allows all."""
-    import re
-
-    patterns = ["^" + re.escape(g).replace(r"\*", ".*").replace(r"\?", ".") + "$" for g in globs]
-    return F.exists(F.array(*(F.lit(p) for p in patterns)), lambda p: F.regexp_like(name, p)) if patterns else F.lit(True)
-
 
 @query("SELECT e.id FROM episodes e JOIN dramas d ON d.id = e.drama_id WHERE d.user_id = 3")
 def flt_10_ownership(spark: SparkSession, sf: str) -> DataFrame:
@@ -226,13 +218,8 @@ def jn_12b_preflight(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("+o AS (SELECT name, user_id, id, row_number() OVER (ORDER BY name DESC, id) AS r FROM dramas) SELECT name, user_id, id FROM o WHERE r BETWEEN 21 AND 40")
 def srt_1_2_page(spark: SparkSession, sf: str) -> DataFrame:
-    return page(A.dramas(spark, sf).select("name", "user_id", "id"), {"name": F.desc("name"), "id": F.desc("id")}, "name", "id", 2, 0)
-
+    return catalogue.page(A.dramas(spark, sf).select("name", "user_id", "id"), {"name": F.desc("name"), "id": F.desc("id")}, "name", "id", 2, 0)
 
-def page(df: DataFrame, sorts: dict[str, F.Column], by: str, key: str, number: int, size: int, most: int = 100) -> DataFrame:
-    """A page of a whitelisted order (the first of ``sorts`` if unknown), ties by key; numbers and sizes are put right."""
-    size = min(size, most) if size >= 1 else 20
-    return df.orderBy(sorts.get(by, next(iter(sorts.values()))), key).offset((max(1, number) - 1) * size).limit(size)
 
 
 @query("SELECT type, min(id) AS id FROM tasks WHERE status = 'pending' GROUP BY type")

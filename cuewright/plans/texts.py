@@ -212,6 +212,13 @@ def str_11_restored(spark: SparkSession, sf: str) -> DataFrame:
     return A.lines(spark, sf).select("id", parse.repair_names(parse.restore_names(raw, names), names).alias("t"))
 
 
+@query("SELECT id, trim(regexp_replace(regexp_replace('Li Ming met Wang Fang ' || text, '[\u4e00-\u9fff]+', '', 'g'), '\\s+', ' ', 'g')) AS t FROM lines")
+def str_11_finished(spark: SparkSession, sf: str) -> DataFrame:
+    names = F.array(F.lit("Li Ming"), F.lit("Wang Fang"))
+    raw = F.concat(F.lit("<<NAME_0:x>> met wang'fang<sep><<NAME_7>><SLANG:y>你好 "), "text")
+    return A.lines(spark, sf).select("id", parse.finished_translation(raw, names).alias("t"))
+
+
 @query("""SELECT episode_id, '{"context_type":"dialog_ctx","context_data":[{"text":"episode ' || episode_id || '"},{"text":"常见词汇：' || string_agg(DISTINCT speaker, '、' ORDER BY speaker) || '"}]}' AS context FROM lines GROUP BY episode_id""")
 def jsn_4_context(spark: SparkSession, sf: str) -> DataFrame:
     g = A.lines(spark, sf).groupBy("episode_id").agg(F.array_sort(F.collect_set("speaker")).alias("words"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize, strip, timecode
@@ -92,7 +92,7 @@ def srt_blocks(cues: DataFrame, text: str, key: str = "episode_id") -> DataFrame
 
 
 def write_srt(cues: DataFrame, text: str, path: str, key: str = "episode_id") -> None:
-    """A folder of subtitles for each episode, one row a file line block."""
+    """A folder of subtitles for each episode."""
     srt_blocks(cues, text, key).select(key, F.col("srt").alias("value")).write.partitionBy(key).text(path)
 
 
@@ -129,7 +129,3 @@ def sync_actions(local: DataFrame, remote: DataFrame, key: str) -> DataFrame:
     l, r = local.select(F.col(key), F.col("sha").alias("_local"), F.lit(True).alias("_here")), remote.select(F.col(key), F.col("sha").alias("_remote"))  # noqa: E741
     synced = (F.col("_local") != "") & (F.col("_local") == F.col("_remote"))
     return l.join(r, key, "full").select(key, F.when(F.col("_here").isNull(), "download").when(synced, "skip").otherwise("upload").alias("action"))
-
-
-def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)

@@ -8,9 +8,8 @@ def test_query_equals_its_sql(spark, sf_dir, same, name):
     same(QUERIES[name](spark, sf_dir), ORACLES[name], sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_query_without_sql_runs(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).count() > 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry(spark):
