@@ -441,3 +441,16 @@ def test_containment_of_megabyte_texts(spark):
     short = spark.range(60).selectExpr("1 AS g", "concat('say this. number ', id, '.') AS inner", "id")
     got = containment.held(short, long, "g", F.col("id")).select("least", F.expr("right(outer, 12)").alias("at")).collect()
     assert sorted(r.least for r in got) == list(range(60)) and all(r["at"].endswith(f" {r.least}.") for r in got)
+
+
+def test_segments_of_a_text_of_many_clauses(spark):
+    """Parts and their words are made once a text, not again for each part."""
+    import time
+
+    from cuewright.functions import segments
+
+    text = " ".join(f"clause {k}, and one that has more words;" if k % 3 else "yes!" for k in range(1000))
+    began = time.time()
+    got = spark.createDataFrame([(text, 0, 60 * len(text))], "t string, a long, b long").select(segments.resegment(F.col("t"), F.col("a"), F.col("b")).alias("s")).first().s
+    assert time.time() - began < 20
+    assert [tuple(s) for s in got] == plain_segments(text, 0, 60 * len(text))
