@@ -50,8 +50,8 @@ SELECT id, floor((a - 1) * 0.06::DOUBLE * 1000)::BIGINT AS start_ms, floor(b * 0
 def win_15_align(spark: SparkSession, sf: str) -> DataFrame:
     x = A.lines(spark, sf)
     chars = F.transform(F.split("text", ""), lambda c, i: F.struct(c.alias("text"), (i * 0.06).alias("start"), ((i + 1) * 0.06).alias("end")))
-    aligned = x.select("id", segments.sentences(F.col("text")).alias("t"), chars.alias("m")).select("id", segments.align_sentences(F.col("t"), F.col("m")).alias("aligned"))
-    return aligned.select("id", F.explode("aligned").alias("s")).select("id", "s.*")
+    aligned = x.select("id", segments.align_sentences(segments.sentences(F.col("text")), chars).alias("aligned"))
+    return _each(aligned, "aligned")
 
 
 @query(_SPOKEN + r""", n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS j FROM x WHERE said), t AS (SELECT id, k, regexp_replace(string_agg(c, '' ORDER BY i), '^\s+|\s+$', '', 'g') AS text FROM x GROUP BY id, k)

@@ -454,3 +454,17 @@ def test_segments_of_a_text_of_many_clauses(spark):
     got = spark.createDataFrame([(text, 0, 60 * len(text))], "t string, a long, b long").select(segments.resegment(F.col("t"), F.col("a"), F.col("b")).alias("s")).first().s
     assert time.time() - began < 20
     assert [tuple(s) for s in got] == plain_segments(text, 0, 60 * len(text))
+
+
+def test_marks_of_an_alignment_stay_with_spark(spark, capsys):
+    """Python gets the marks' characters as one text, and gives places: no row of it for each mark."""
+    from cuewright.functions import segments
+
+    marks = F.expr("transform(split(t, ''), (c, i) -> named_struct('text', c, 'start', i * 0.5, 'end', i * 0.5 + 0.5))")
+    out = spark.createDataFrame([("a b! c?",), ("",), (None,)], "t string").select(segments.align_sentences(segments.sentences(F.col("t")), marks).alias("s"))
+    assert [r.s and [tuple(s) for s in r.s] for r in out.collect()] == [[(0, 1500, "a b!"), (2500, 3000, "c?")], [], None]
+    odd = F.expr("array(named_struct('text', 'ab', 'start', 0.0D, 'end', 0.0D), named_struct('text', 'c', 'start', 1.0D, 'end', 1.0D), named_struct('text', null, 'start', 1.5D, 'end', 2.0D))")
+    assert [tuple(s) for s in spark.range(1).select(segments.align_sentences(F.array(F.lit("ab"), F.lit("c")), odd)).first()[0]] == [(1000, 1500, "c")]
+    out.explain("simple")
+    plan = capsys.readouterr().out
+    assert "array_join(" in plan[plan.index("ArrowEvalPython") :]
