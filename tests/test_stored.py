@@ -120,3 +120,15 @@ def test_known_names_stand_anywhere_but_within_windows(spark):
     assert names.masked("看王明来", rules) == ("看王明来", [])  # windows of two begin at the first: 看王, 明来
     df = spark.createDataFrame([(1, "王明"), (2, None), (3, "")], "id long, text string").select("id", names.guard(F.col("text"), rules).alias("g"))
     assert {r.id: (r.g.masked, r.g.names) for r in df.collect()} == {1: ("<<NAME_0>>", ["王明"]), 2: (None, []), 3: ("", [])}
+
+
+def test_points_make_no_row_for_each_length_of_cues(spark, capsys):
+    """Cues of 40 lengths: a point stays one row, and meets cues in the order of time, without a join."""
+    cues = spark.range(40).selectExpr("id", "1L AS episode_id", "0L AS start_ms", "CAST(pow(2, id) AS long) AS end_ms")
+    points = spark.range(2000).selectExpr("1L AS episode_id", "id AS t", "'p' AS more")
+    got = intervals.covering(points, cues)
+    assert got.columns == ["episode_id", "t", "more", "cue_id"]
+    assert {r.t: r.cue_id for r in got.collect()} == {t: t.bit_length() for t in range(2000)}
+    got.explain("simple")
+    plan = capsys.readouterr().out
+    assert "Join" not in plan and "Generate" not in plan
