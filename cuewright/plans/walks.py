@@ -119,7 +119,8 @@ SELECT t.id, coalesce(string_agg(DISTINCT name, ',' ORDER BY encode(name)), '')
 def str_27_scored_names(spark: SparkSession, sf: str) -> DataFrame:
     han = lambda c: F.translate(c, *_HAN)
     lines = A.roles(spark, sf).select("id", F.concat(han(F.col("name")), F.lit(names.SEPARATOR), han(F.reverse("name")), F.lit("，老平")).alias("text"))
-    return lines.select("id", F.array_join(F.array_sort(names.guard(F.col("text"))["names"]), ",").alias("names"))
+    dealt = lines.repartition("id")  # a few megabytes of names would be a task or two
+    return dealt.select("id", F.array_join(F.array_sort(names.guard(F.col("text"))["names"]), ",").alias("names"))
 
 
 @query("""+b AS (SELECT episode_id, min(start_ms) AS a, max(end_ms) AS z FROM cues GROUP BY episode_id), p AS (SELECT episode_id, a + k * ((z - a) // 200) AS t FROM b, (SELECT unnest(range(200)) AS k)),

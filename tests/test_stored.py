@@ -132,3 +132,12 @@ def test_points_make_no_row_for_each_length_of_cues(spark, capsys):
     got.explain("simple")
     plan = capsys.readouterr().out
     assert "Join" not in plan and "Generate" not in plan
+
+
+def test_names_are_scored_by_all_tasks(spark, sf_dir, capsys):
+    """Names are narrow: a table that one task reads is dealt out before Python scores it."""
+    from cuewright.plans import QUERIES
+
+    QUERIES["str_27_scored_names"](spark, sf_dir).explain("simple")
+    plan = capsys.readouterr().out
+    assert "Exchange hashpartitioning(id" in plan[plan.index("ArrowEvalPython") :]
