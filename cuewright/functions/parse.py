@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
@@ -85,33 +87,50 @@ def name_variants(a: str, b: str) -> list[str]:
     return [f"{a}'{b.lower()}", f"{a}{b.lower()}"]
 
 
-@F.pandas_udf(StringType())
-def restore_names(text: pd.Series, names: pd.Series) -> pd.Series:
-    """<<NAME_i>> and <<NAME_i:...>> by the i-th name; numbers without a name stay."""
-    mark = re.compile(r"<<NAME_(\d{1,9})(?::[^>]*)?>>")
+#: Rows that are Python objects at once; the rest of a batch stays in Arrow.
+ROWS = 256
 
-    def put(t: str | None, ns) -> str | None:
-        return t if t is None or ns is None else mark.sub(lambda m: ns[int(m[1])] if int(m[1]) < len(ns) else m[0], t)
 
-    return pd.Series([put(t, n) for t, n in zip(text, names, strict=True)])
+def _row_by_row(f: Callable[..., str | None], *columns: pa.Array) -> pa.Array:
+    starts = range(0, len(columns[0]), ROWS)
+    return pa.concat_arrays([pa.array(map(f, *(c.slice(k, ROWS).to_pylist() for c in columns)), pa.string()) for k in starts] or [pa.array([], pa.string())])
 
 
-@F.pandas_udf(StringType())
-def repair_names(text: pd.Series, names: pd.Series) -> pd.Series:
+_NAME_MARK = re.compile(r"<<NAME_(\d{1,9})(?::[^>]*)?>>")
+
+
+def _restored(t: str | None, ns: list | None) -> str | None:
+    return t if t is None or ns is None else _NAME_MARK.sub(lambda m: ns[int(m[1])] if int(m[1]) < len(ns) else m[0], t)
+
+
+def _repaired(t: str | None, ns: list | None) -> str | None:
+    for name in ns if t is not None and ns is not None else []:
+        parts = name.split() if name else []
+        if len(parts) != 2 or name.lower() in t.lower():
+            continue
+        for v in name_variants(*parts):
+            t, n = re.subn(re.escape(v), lambda _, name=name: name, t, flags=re.IGNORECASE)
+            if n:
+                break
+    return t
+
+
+@F.arrow_udf(StringType())
+def restore_names(text: pa.Array, names: pa.Array) -> pa.Array:
+    """<<NAME_i>> and <<NAME_i:...>> by the i-th name; numbers without a name stay."""
+    return _row_by_row(_restored, text, names)
+
+
+@F.arrow_udf(StringType())
+def repair_names(text: pa.Array, names: pa.Array) -> pa.Array:
     """Two-part names that a text lacks, put for the first of their spellings (of any case) that it holds."""
+    return _row_by_row(_repaired, text, names)
+
 
-    def repair(t: str | None, ns) -> str | None:
-        for name in ns if t is not None and ns is not None else []:
-            parts = name.split() if name else []
-            if len(parts) != 2 or name.lower() in t.lower():
-                continue
-            for v in name_variants(*parts):
-                t, n = re.subn(re.escape(v), lambda _, name=name: name, t, flags=re.IGNORECASE)
-                if n:
-                    break
-        return t
-
-    return pd.Series([repair(t, n) for t, n in zip(text, names, strict=True)])
+@F.arrow_udf(StringType())
+def restore_and_repair_names(text: pa.Array, names: pa.Array) -> pa.Array:
+    """Both at once: one after the other, each text would go to Python twice, to two workers a task."""
+    return _row_by_row(lambda t, ns: _repaired(_restored(t, ns), ns), text, names)
 
 
 def finished_translation(text: Column, names: Column) -> Column:

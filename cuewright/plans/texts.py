@@ -209,7 +209,7 @@ def str_10_simple(spark: SparkSession, sf: str) -> DataFrame:
 def str_11_restored(spark: SparkSession, sf: str) -> DataFrame:
     names = F.array(F.lit("Li Ming"), F.lit("Wang Fang"))
     raw = F.concat(F.lit("<<NAME_0:x>> met wang'fang. "), "text")
-    return A.lines(spark, sf).select("id", parse.repair_names(parse.restore_names(raw, names), names).alias("t"))
+    return A.lines(spark, sf).select("id", parse.restore_and_repair_names(raw, names).alias("t"))
 
 
 @query("SELECT id, trim(regexp_replace(regexp_replace('Li Ming met Wang Fang ' || text, '[\u4e00-\u9fff]+', '', 'g'), '\\s+', ' ', 'g')) AS t FROM lines")

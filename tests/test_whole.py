@@ -145,3 +145,18 @@ def test_a_million_cues_in_one_run(spark):
 
 def timeline_of(cues):
     return {r.head_id: r["count"] for r in timeline.merge_cues(cues).groupBy("head_id").count().collect()}
+
+
+def test_names_are_restored_by_one_worker_a_task(spark, sf_dir, capsys):
+    """Texts go to Python once; results of more rows than are objects at once."""
+    from cuewright.functions import parse
+
+    for name in ("str_11_restored",):
+        QUERIES[name](spark, sf_dir).explain("simple")
+        assert capsys.readouterr().out.count("ArrowEvalPython") == 1
+    names = F.expr("CASE WHEN id % 3 = 0 THEN NULL ELSE array('Li Ming', NULL, concat('Wang N', id)) END")
+    t = F.expr("CASE WHEN id % 5 <> 0 THEN concat('<<NAME_0>> li\\'ming <<NAME_2:x>> wangn', id, ' <<NAME_9>>') END")
+    rows = spark.range(1000).coalesce(1).select("id", t.alias("t"), parse.restore_and_repair_names(t, names).alias("one"), parse.repair_names(parse.restore_names(t, names), names).alias("two")).collect()
+    for r in rows:
+        wanted = None if r.t is None else r.t if r.id % 3 == 0 else f"Li Ming li'ming Wang N{r.id} wangn{r.id} <<NAME_9>>"
+        assert r.one == r.two == wanted
