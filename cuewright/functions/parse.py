@@ -137,7 +137,7 @@ def finished_translation(text: Column, names: Column) -> Column:
     """A translation as it is stored: names restored and repaired, without placeholders, separators and Han
     characters, spaces as one. Names that are null aren't known; a null text is empty."""
     known = F.coalesce(names, F.array().cast("array<string>"))
-    t = clean_output(repair_names(restore_names(F.coalesce(text, F.lit("")), known), known))
+    t = clean_output(restore_and_repair_names(F.coalesce(text, F.lit("")), known))
     return collapse_space(F.regexp_replace(t, "[\u4e00-\u9fff]+", ""))
 
 

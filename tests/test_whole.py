@@ -151,7 +151,7 @@ def test_names_are_restored_by_one_worker_a_task(spark, sf_dir, capsys):
     """Texts go to Python once; results of more rows than are objects at once."""
     from cuewright.functions import parse
 
-    for name in ("str_11_restored",):
+    for name in ("str_11_restored", "str_11_finished"):
         QUERIES[name](spark, sf_dir).explain("simple")
         assert capsys.readouterr().out.count("ArrowEvalPython") == 1
     names = F.expr("CASE WHEN id % 3 = 0 THEN NULL ELSE array('Li Ming', NULL, concat('Wang N', id)) END")
