@@ -22,10 +22,11 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{named.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written below a shared path and read again: its lineage is cut, a lost executor costs a reread."""
+def written(df: DataFrame, what: str, *by: str) -> DataFrame:
+    """``df`` written below a shared path (a folder for each value of ``by``) and read again: its lineage is cut, a lost
+    executor costs a reread."""
     path = shared_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -468,3 +468,26 @@ def test_marks_of_an_alignment_stay_with_spark(spark, capsys):
     out.explain("simple")
     plan = capsys.readouterr().out
     assert "array_join(" in plan[plan.index("ArrowEvalPython") :]
+
+
+def test_containment_walks_a_text_once(spark, monkeypatch):
+    """Blocks hold whole groups, so that a text isn't walked by the blocks of others."""
+    from cuewright.operators import containment
+
+    walked, holding = spark.sparkContext.accumulator(0), containment._holding
+
+    def counting(wanted):
+        run = holding(wanted)
+
+        def counted(batches):
+            for batch in batches:
+                walked.add(batch.num_rows)
+                yield from run([batch])
+
+        return counted
+
+    monkeypatch.setattr(containment, "_holding", counting)
+    inner = spark.range(200).selectExpr("id AS g", "concat('text ', id) AS inner", "id")
+    outer = spark.range(200).selectExpr("id AS g", "concat('a text ', id, '.') AS outer")
+    got = containment.held(inner, outer, "g", F.col("id"), 60).select("g", "least").collect()
+    assert sorted(map(tuple, got)) == [(k, k) for k in range(200)] and walked.value == 200
